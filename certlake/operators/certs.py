@@ -16,6 +16,7 @@ from certlake.functions import leaf as lf
 from certlake.functions import names as nm
 from certlake.functions.dns import day_of_millis
 from certlake.operators import der
+from certlake.operators.once import computed_once
 
 # The helper travels inside the task, so executors need no installed copy of the package.
 cloudpickle.register_pickle_by_value(der)
@@ -28,7 +29,7 @@ def decode_leaves(entries: DataFrame) -> DataFrame:
     `truncated` or `empty`; `payload` is set exactly where it is NULL.
     """
     keep = [c for c in entries.columns if c != "leaf_input"]
-    leaves = entries.select(*keep, lf.decode_base64(F.col("leaf_input")).alias("_leaf"))
+    leaves = computed_once(entries, *keep, lf.decode_base64(F.col("leaf_input")).alias("_leaf"))
     leaf = F.col("_leaf")
     long_enough = F.length(leaf) >= lf.MIN_LEAF_BYTES
     heads = leaves.select(*keep, "_leaf", F.when(long_enough, lf.entry_type(leaf)).alias("_kind"))
@@ -46,7 +47,7 @@ def decode_leaves(entries: DataFrame) -> DataFrame:
         .when(size.isNull() | (F.length(leaf) < lf.payload_offset(kind) + size), "truncated")
         .when(size == 0, "empty")
     )
-    reasoned = sized.select(*keep, "_leaf", "_kind", "_size", reason.alias("reject_reason"))
+    reasoned = computed_once(sized, *keep, "_leaf", "_kind", "_size", reason.alias("reject_reason"))
     accepted = F.col("reject_reason").isNull()
     payload = F.substring(leaf, lf.payload_offset(kind) + 1, size)
     return reasoned.select(

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -42,8 +42,8 @@ def run_for(query: StreamingQuery, seconds: float) -> bool:
     return bool(ended)
 
 
-def json_writer(rows: DataFrame, path: str) -> DataStreamWriter:
-    return rows.select(*RESULT_KEYS).writeStream.format("json").option("path", path)
+def json_writer(rows: DataFrame, path: str, columns: Sequence[str] = RESULT_KEYS) -> DataStreamWriter:
+    return rows.select(*columns).writeStream.format("json").option("path", path)
 
 
 def parquet_writer(rows: DataFrame, path: str) -> DataStreamWriter:

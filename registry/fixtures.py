@@ -60,7 +60,7 @@ ORDER_BASE = {
 CERT_STAGES = [
     {
         "host": "concat('shop', u, '.example.com')",
-        "ts": f"{BASE_MS} + k * 1000",
+        "ts": f"{BASE_MS} + k * 60000",
         "has_dns": "k % 11 <> 3 and k % 13 <> 5",
     },
     {
@@ -145,7 +145,8 @@ def fx_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = "translate(base64(unhex(leaf)), '\\r\\n', '')"
     broken = "case when k % 20 = 9 then 'A' when k % 20 = 19 then '!' else"
     return orders_base(spark, sf_dir).selectExpr(
-        "log_url", "k as entry_index", f"{broken} {text} end as leaf_input"
+        "inline(array(named_struct('log_url', log_url, 'entry_index', k, "
+        f"'leaf_input', {broken} {text} end)))"
     )
 
 
@@ -168,6 +169,8 @@ _VALID_NAMES = (
 
 HOSTS = {"page_id": "page_id", "url": "url", "host": "lower(regexp_extract(url, '^[a-z]+://([^/:?#]+)', 1))"}
 
+# Ship days folded into 30 days, so that days hold many records.
+RECORD_TIME = f"{BASE_S} + ({{day}} % 30) * 86400 + l_orderkey % 86400"
 DNS = {
     "d": "concat('www.shop', l_suppkey, '.example.com')",
     "ts": None,
@@ -206,7 +209,8 @@ def fx_names(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def fx_answers_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as landed DNS answers with their certificate: `domain, ips, sha1, ttl, error_message, resolver, ts`."""
-    columns = dict(DNS, ts="cast(cast(cast(l_shipdate as timestamp) as bigint) + l_orderkey % 86400 as bigint)")
+    day = "cast(floor(cast(cast(l_shipdate as timestamp) as bigint) / 86400) as bigint)"
+    columns = dict(DNS, ts=RECORD_TIME.format(day=day))
     df = table(spark, sf_dir, "lineitem").selectExpr(*[f"{e} as {n}" for n, e in columns.items()])
     ips = "case when failed then null else filter(array(ip1, ip2, ip3), x -> x is not null) end"
     return df.selectExpr(
@@ -309,7 +313,7 @@ def _select(columns: dict[str, str], source: str) -> str:
     return f"select {', '.join(f'{e} as {n}' for n, e in columns.items())} from {source}"
 
 
-_DNS_DUCK = dict(DNS, ts="cast(epoch(l_shipdate) as bigint) + l_orderkey % 86400")
+_DNS_DUCK = dict(DNS, ts=RECORD_TIME.format(day="(cast(epoch(l_shipdate) as bigint) // 86400)"))
 _IPV4 = "^(25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])([.](25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])){3}$"
 
 CTES: dict[str, tuple[tuple[str, ...], str]] = {
