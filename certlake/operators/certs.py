@@ -22,6 +22,13 @@ from certlake.operators.once import computed_once
 cloudpickle.register_pickle_by_value(der)
 
 
+def decode_base64(df: DataFrame, column: str, name: str) -> DataFrame:
+    """The frame with a base64 `column` replaced by its bytes; NULL where it is no base64."""
+    keep = [c for c in df.columns if c != column]
+    decoded = computed_once(df, *keep, column, lf.lax_base64(F.col(column)).alias("_lax"))
+    return computed_once(decoded, *keep, lf.checked_base64(F.col(column), F.col("_lax")).alias(name))
+
+
 def decode_leaves(entries: DataFrame) -> DataFrame:
     """Adds `ts, ts_u64, entry_type, payload, reject_reason`; all built-in expressions.
 
@@ -29,7 +36,7 @@ def decode_leaves(entries: DataFrame) -> DataFrame:
     `truncated` or `empty`; `payload` is set exactly where it is NULL.
     """
     keep = [c for c in entries.columns if c != "leaf_input"]
-    leaves = computed_once(entries, *keep, lf.decode_base64(F.col("leaf_input")).alias("_leaf"))
+    leaves = decode_base64(entries, "leaf_input", "_leaf")
     leaf = F.col("_leaf")
     long_enough = F.length(leaf) >= lf.MIN_LEAF_BYTES
     heads = leaves.select(*keep, "_leaf", F.when(long_enough, lf.entry_type(leaf)).alias("_kind"))
@@ -62,23 +69,21 @@ def decode_leaves(entries: DataFrame) -> DataFrame:
 
 def _kernel(details: bool, bare_tbs: bool, schema: pa.Schema, fields: list[str]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        empty = (None,) * len(fields)
+        nothing = (None,) * len(fields)
         for batch in batches:
-            kinds = batch.column("entry_type").to_pylist()
-            rows = []
-            for kind, data in zip(kinds, batch.column("payload").to_pylist()):
-                found = der.read_certificate(data, details) if data is not None else None
-                if found is None and bare_tbs and kind == 1 and data is not None:
-                    found = der.read_bare_tbs(data, details)
-                rows.append(found or empty)
+            kinds = batch.column("entry_type").to_pylist() if bare_tbs else None
+            found = []
+            for row, data in enumerate(batch.column("payload").to_pylist()):
+                certificate = None if data is None else der.read_certificate(data, details)
+                if certificate is None and bare_tbs and data is not None and kinds[row] == 1:
+                    certificate = der.read_bare_tbs(data, details)
+                found.append(certificate or nothing)
+            values = dict(zip(fields, zip(*found))) if found else {}
+            values["decoded"] = [c is not nothing for c in found]
             columns = [
-                batch.column(f.name)
-                if f.name in batch.schema.names
-                else pa.array([r[fields.index(f.name)] for r in rows], f.type)
+                batch.column(f.name) if f.name in batch.schema.names else pa.array(values.get(f.name, ()), f.type)
                 for f in schema
-                if f.name != "decoded"
             ]
-            columns.append(pa.array([r[0] is not None for r in rows], pa.bool_()))
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     return run

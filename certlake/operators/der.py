@@ -7,12 +7,14 @@ Anything malformed gives None and never an exception, so bad input cannot fail a
 from __future__ import annotations
 
 import datetime as dt
-from ipaddress import IPv4Address, IPv6Address
+from ipaddress import IPv6Address
 
 COMMON_NAME = b"\x55\x04\x03"
 SUBJECT_ALT_NAME = b"\x55\x1d\x11"
 SEQUENCE, SET, OID, BOOLEAN, OCTETS, INTEGER = 0x30, 0x31, 0x06, 0x01, 0x04, 0x02
 UTC_TIME, GENERAL_TIME = 0x17, 0x18
+TBS_TAGS = (INTEGER, SEQUENCE, SEQUENCE, SEQUENCE, SEQUENCE, SEQUENCE)
+CERTIFICATE_TAGS = (SEQUENCE, SEQUENCE, 0x03)
 SAN_EMAIL, SAN_DNS, SAN_IP = 0x81, 0x82, 0x87
 # String tags and their encodings, and the short names of RFC 4514.
 ENCODINGS = {0x1E: "utf-16-be", 0x1C: "utf-32-be"}
@@ -24,32 +26,41 @@ SHORT_NAMES = {
 }
 
 
-def header(data: bytes, at: int, end: int) -> tuple[int, int, int]:
-    """(tag, start of the content, end of the content) of the element at `at`."""
-    tag, size = data[at], data[at + 1]
-    at += 2
-    if size >= 0x80:
-        width = size & 0x7F
-        if not 1 <= width <= 4 or at + width > end:
-            raise ValueError("length")
-        size = int.from_bytes(data[at : at + width], "big")
-        if size < 0x80 or size >> (8 * (width - 1)) == 0:
-            raise ValueError("length is not minimal")
-        at += width
-    if tag & 0x1F == 0x1F or at + size > end:
-        raise ValueError("element")
-    return tag, at, at + size
+def long_length(data: bytes, at: int, end: int) -> tuple[int, int]:
+    """(length, start of the content) where the first length byte, before `at`, is 0x80 or more."""
+    width = data[at - 1] & 0x7F
+    if not 1 <= width <= 4 or at + width > end:
+        raise ValueError("length")
+    size = int.from_bytes(data[at : at + width], "big")
+    if size < 0x80 or size >> (8 * (width - 1)) == 0:
+        raise ValueError("length is not minimal")
+    return size, at + width
 
 
 def children(data: bytes, at: int, end: int) -> list[tuple[int, int, int]]:
+    """(tag, start, end of the content) of the elements that fill [at, end) exactly."""
     out = []
     while at < end:
-        element = header(data, at, end)
-        out.append(element)
-        at = element[2]
+        tag, size = data[at], data[at + 1]
+        at += 2
+        if size >= 0x80:
+            size, at = long_length(data, at, end)
+        stop = at + size
+        if stop > end or tag & 0x1F == 0x1F:
+            raise ValueError("element")
+        out.append((tag, at, stop))
+        at = stop
     return out
 
 
+def only(data: bytes, at: int, end: int, tag: int) -> tuple[int, int]:
+    """The content of the single element that fills [at, end)."""
+    ((found, start, stop),) = children(data, at, end)
+    if found != tag:
+        raise ValueError("tag")
+    return start, stop
+
+
 def expect(element: tuple[int, int, int], tag: int) -> tuple[int, int]:
     if element[0] != tag:
         raise ValueError("tag")
@@ -59,21 +70,22 @@ def expect(element: tuple[int, int, int], tag: int) -> tuple[int, int]:
 def text(data: bytes, element: tuple[int, int, int]) -> str:
     tag, at, end = element
     if tag in UTF8_TAGS:
-        return data[at:end].decode("utf-8")
+        return data[at:end].decode()
     return data[at:end].decode(ENCODINGS[tag])
 
 
 def attributes(data: bytes, at: int, end: int) -> list[list[tuple[bytes, tuple[int, int, int]]]]:
     """The relative names in order, each a list of (type, value element)."""
     out = []
-    for rdn in children(data, at, end):
+    for tag, a, b in children(data, at, end):
+        if tag != SET or a == b:
+            raise ValueError("name part")
         pairs = []
-        for pair in children(data, *expect(rdn, SET)):
-            kind, value = children(data, *expect(pair, SEQUENCE))
-            a, b = expect(kind, OID)
-            pairs.append((data[a:b], value))
-        if not pairs:
-            raise ValueError("empty name part")
+        for tag, c, d in children(data, a, b):
+            kind, value = children(data, c, d)
+            if tag != SEQUENCE or kind[0] != OID:
+                raise ValueError("attribute")
+            pairs.append((data[kind[1] : kind[2]], value))
         out.append(pairs)
     return out
 
@@ -110,29 +122,34 @@ def rfc4514(data: bytes, parts) -> str:
     return ",".join(shown)
 
 
-def moment(data: bytes, element: tuple[int, int, int]) -> dt.datetime:
+def time_text(data: bytes, element: tuple[int, int, int]) -> bytes:
+    """The fourteen digits of a time."""
     tag, at, end = element
-    digits = data[at:end].decode("ascii")
+    digits = data[at : end - 1]
     if tag == UTC_TIME:
-        digits = ("19" if digits[:2] >= "50" else "20") + digits
+        digits = (b"19" if digits[:2] >= b"50" else b"20") + digits
     elif tag != GENERAL_TIME:
         raise ValueError("time")
-    if len(digits) != 15 or digits[14] != "Z" or not digits[:14].isdigit():
+    if len(digits) != 14 or data[end - 1] != 0x5A or not digits.isdigit():
         raise ValueError("time")
+    return digits
+
+
+def moment(digits: bytes) -> dt.datetime:
     parts = [int(digits[i : i + 2]) for i in range(4, 14, 2)]
     return dt.datetime(int(digits[:4]), *parts, tzinfo=dt.timezone.utc)
 
 
 def alternative_names(data: bytes, at: int, end: int):
     dns, emails, ips = [], [], []
-    for tag, a, b in children(data, *expect(header(data, at, end), SEQUENCE)):
+    for tag, a, b in children(data, *only(data, at, end, SEQUENCE)):
         if tag == SAN_DNS:
-            dns.append(data[a:b].decode("utf-8"))
+            dns.append(data[a:b].decode())
         elif tag == SAN_EMAIL:
-            emails.append(data[a:b].decode("utf-8"))
+            emails.append(data[a:b].decode())
         elif tag == SAN_IP:
             if b - a == 4:
-                ips.append(str(IPv4Address(data[a:b])))
+                ips.append("%d.%d.%d.%d" % tuple(data[a:b]))
             elif b - a == 16:
                 ips.append(str(IPv6Address(data[a:b])))
             else:
@@ -143,37 +160,37 @@ def alternative_names(data: bytes, at: int, end: int):
 def extension_names(data: bytes, at: int, end: int):
     """Alternative names of an Extensions element; a malformed list yields none at all."""
     found, seen = ([], [], []), set()
-    for extension in children(data, *expect(header(data, at, end), SEQUENCE)):
-        parts = children(data, *expect(extension, SEQUENCE))
+    for tag, a, b in children(data, *only(data, at, end, SEQUENCE)):
+        parts = children(data, a, b)
         kind, value = parts[0], parts[-1]
-        if len(parts) not in (2, 3) or (len(parts) == 3 and parts[1][0] != BOOLEAN):
+        if (
+            tag != SEQUENCE or kind[0] != OID or value[0] != OCTETS
+            or len(parts) not in (2, 3) or (len(parts) == 3 and parts[1][0] != BOOLEAN)
+        ):
             raise ValueError("extension")
-        a, b = expect(kind, OID)
-        oid = data[a:b]
+        oid = data[kind[1] : kind[2]]
         if oid in seen:
             raise ValueError("duplicate extension")
         seen.add(oid)
-        a, b = expect(value, OCTETS)
         if oid == SUBJECT_ALT_NAME:
-            found = alternative_names(data, a, b)
+            found = alternative_names(data, value[1], value[2])
     return found
 
 
 def read_tbs(data: bytes, at: int, end: int, details: bool):
     parts = children(data, at, end)
     if parts[0][0] == 0xA0:
-        a, b = expect(header(data, parts[0][1], parts[0][2]), INTEGER)
+        a, b = only(data, parts[0][1], parts[0][2], INTEGER)
         if data[a:b] not in (b"\x00", b"\x02"):
             raise ValueError("version")
         parts = parts[1:]
     serial, algorithm, issuer, validity, subject, key, *rest = parts
-    expect(serial, INTEGER), expect(algorithm, SEQUENCE), expect(key, SEQUENCE)
-    start, stop = children(data, *expect(validity, SEQUENCE))
-    not_before, not_after = moment(data, start), moment(data, stop)
-    issuer_parts = attributes(data, *expect(issuer, SEQUENCE))
-    subject_parts = attributes(data, *expect(subject, SEQUENCE))
-    if any(tag not in (0x81, 0x82, 0xA1, 0xA2, 0xA3) for tag, _, _ in rest):
-        raise ValueError("trailing fields")
+    if (serial[0], algorithm[0], issuer[0], validity[0], subject[0], key[0]) != TBS_TAGS:
+        raise ValueError("fields")
+    start, stop = children(data, validity[1], validity[2])
+    not_before, not_after = time_text(data, start), time_text(data, stop)
+    issuer_parts = attributes(data, issuer[1], issuer[2])
+    subject_parts = attributes(data, subject[1], subject[2])
 
     subject_text = issuer_text = None
     try:
@@ -191,19 +208,20 @@ def read_tbs(data: bytes, at: int, end: int, details: bool):
                 dns, emails, ips = extension_names(data, a, b)
             except (ValueError, LookupError):
                 pass
-    return cns, dns, emails, ips, subject_text, issuer_text, not_before, not_after
+        elif tag not in (0x81, 0x82, 0xA1, 0xA2):
+            raise ValueError("trailing fields")
+    if not details:
+        return cns, dns, emails, ips, None, None, None, None
+    return cns, dns, emails, ips, subject_text, issuer_text, moment(not_before), moment(not_after)
 
 
 def read_certificate(data: bytes, details: bool = False):
     """The field tuple of a whole certificate, or None."""
     try:
-        size = len(data)
-        outer = header(data, 0, size)
-        if outer[2] != size:
+        tbs, algorithm, signature = children(data, *only(data, 0, len(data), SEQUENCE))
+        if (tbs[0], algorithm[0], signature[0]) != CERTIFICATE_TAGS:
             return None
-        tbs, algorithm, signature = children(data, *expect(outer, SEQUENCE))
-        expect(algorithm, SEQUENCE), expect(signature, 0x03)
-        return read_tbs(data, *expect(tbs, SEQUENCE), details)
+        return read_tbs(data, tbs[1], tbs[2], details)
     except (ValueError, LookupError, OverflowError, TypeError):
         return None
 
@@ -211,9 +229,6 @@ def read_certificate(data: bytes, details: bool = False):
 def read_bare_tbs(data: bytes, details: bool = False):
     """The field tuple of a to-be-signed part without its wrapper, or None."""
     try:
-        tbs = header(data, 0, len(data))
-        if tbs[2] != len(data):
-            return None
-        return read_tbs(data, *expect(tbs, SEQUENCE), details)
+        return read_tbs(data, *only(data, 0, len(data), SEQUENCE), details)
     except (ValueError, LookupError, OverflowError, TypeError):
         return None

@@ -2,7 +2,6 @@
 
 from pyspark.sql import functions as F
 
-from certlake.functions import leaf as lf
 from certlake.functions import names as nm
 from certlake.operators import certs
 from certlake.plans.search import certificate_table, search_names
@@ -43,7 +42,7 @@ _LEAF_HEX = (
     ),
 )
 def base64_decode(spark, sf_dir):
-    decoded = fx_entries(spark, sf_dir).select("entry_index", lf.decode_base64(F.col("leaf_input")).alias("leaf"))
+    decoded = certs.decode_base64(fx_entries(spark, sf_dir), "leaf_input", "leaf")
     return decoded.select("entry_index", F.length("leaf").alias("n_bytes"), F.sha1("leaf").alias("digest"))
 
 
