@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from certlake.functions import names
+from certlake.operators.once import broadcast_if_small
 from certlake.operators.ordered import explode_steps, successive
 
 DEFAULT_BATCH = 1000
@@ -47,13 +48,10 @@ def select_log(df: DataFrame, log_url: str | None = None) -> DataFrame:
 
 
 def tail_entries(entries: DataFrame, heads: DataFrame, count: int = 100) -> DataFrame:
-    """The last `count` indices of each log, by its tree size.
-
-    No broadcast hint: the planner converts by the measured size of the tree heads.
-    """
+    """The last `count` indices of each log, by its tree size."""
     bounds = heads.select("log_url", F.greatest(F.lit(0), F.col("tree_size") - count).alias("_from"), "tree_size")
     return (
-        entries.join(bounds, "log_url")
+        entries.join(broadcast_if_small(bounds), "log_url")
         .where((F.col("entry_index") >= F.col("_from")) & (F.col("entry_index") < F.col("tree_size")))
         .drop("_from", "tree_size")
     )
@@ -81,7 +79,7 @@ def index_gaps(entries: DataFrame, heads: DataFrame) -> DataFrame:
     """
     received = (
         entries.select("log_url", "entry_index")
-        .join(heads.select("log_url", "tree_size"), "log_url")
+        .join(broadcast_if_small(heads.select("log_url", "tree_size")), "log_url")
         .where("entry_index < tree_size")
         .select("log_url", "entry_index")
     )

@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from certlake.functions import health as fh
@@ -240,12 +240,13 @@ def server_details(snap: DataFrame) -> DataFrame:
 
 def worst_servers(snap: DataFrame, limit: int = 5) -> DataFrame:
     """The report's top servers, excluded first, with the number of further ones."""
-    listed = summary_servers(snap)
-    more = listed.agg(F.greatest(F.count("*") - limit, F.lit(0))).scalar()
+    # The window spans the listed servers, one row each.
+    further = F.greatest(F.count("*").over(Window.partitionBy()) - limit, F.lit(0))
+    listed = summary_servers(snap).withColumn("more_servers", further)
     top = listed.orderBy(F.desc("is_excluded"), F.desc("score"), "server_key").limit(limit)
     return top.select(
         "server_key", "status", "is_excluded", "exclusion_until", "batch_size", "poll_interval_multiplier",
-        "base_poll_interval", "consecutive_failures", F.round("score", 6).alias("score"), more.alias("more_servers"),
+        "base_poll_interval", "consecutive_failures", F.round("score", 6).alias("score"), "more_servers",
     )
 
 

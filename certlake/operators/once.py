@@ -1,4 +1,4 @@
-"""A border that keeps costly columns from being evaluated more than once."""
+"""Small planning aids: evaluate once, broadcast only what was measured."""
 
 from __future__ import annotations
 
@@ -14,3 +14,15 @@ def computed_once(df: DataFrame, *columns: str | Column) -> DataFrame:
     It does not do so through a generator, and this one gives each row exactly once.
     """
     return df.select(F.inline(F.array(F.struct(*columns))))
+
+
+def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
+    """Marks a side for broadcast after counting it; a larger side joins by shuffle.
+
+    The count stops at `max_rows`, and it saves the large side a shuffle that adaptive
+    execution would have begun before it knew the small side's size. Rows of the sides used
+    here are short (a key and a few numbers), so the bound also bounds the bytes.
+    """
+    if df.isStreaming or df.limit(max_rows + 1).count() > max_rows:
+        return df
+    return F.broadcast(df)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from certlake.functions import dns as fd
 from certlake.functions import names as nm
+from certlake.operators.once import broadcast_if_small
 from certlake.operators.ordered import successive
 
 HOUR = 3600
@@ -41,16 +42,18 @@ def latest_answers(answers: DataFrame) -> DataFrame:
 def resolve(targets: DataFrame, answers: DataFrame) -> DataFrame:
     """Each (domain, sha1) with its answer or error, in the shape `record_documents` takes.
 
-    Internal names never meet the answers: they are set apart before the join. An answer
-    without addresses and without an error, or no answer at all, is an `unknown` error.
+    Internal names look up a key that no answer has, spread like the names themselves (a
+    NULL key would send them all to one task). An answer without addresses and without an
+    error, or no answer at all, is an `unknown` error.
     """
     internal = nm.is_internal(F.col("domain"))
-    marked = targets.select("domain", "sha1", F.when(~internal, F.col("domain")).alias("_lookup"))
+    lookup = F.when(internal, F.concat(F.lit("\x00"), "domain")).otherwise(F.col("domain"))
+    marked = targets.select("domain", "sha1", internal.alias("_internal"), lookup.alias("_lookup"))
     newest = latest_answers(answers).withColumnRenamed("domain", "_lookup")
     joined = marked.join(newest, "_lookup", "left")
     found = nm.nonempty(F.col("ips")).isNotNull() & F.col("error_message").isNull()
     error = (
-        F.when(F.col("_lookup").isNull(), F.lit(fd.INTERNAL_ERROR))
+        F.when(F.col("_internal"), F.lit(fd.INTERNAL_ERROR))
         .when(found, F.lit(None))
         .otherwise(F.coalesce(fd.error_class(F.col("error_message")), F.lit(fd.UNKNOWN_ERROR)))
     )
@@ -161,7 +164,7 @@ def range_members(ips: DataFrame, ranges: DataFrame) -> DataFrame:
     blocks = aligned_blocks(ranges)
     sizes = blocks.agg(F.collect_set("bits")).scalar()
     probes = ips.withColumn("bits", F.explode(sizes)).withColumn("prefix", F.expr("shiftright(ip, bits)"))
-    return probes.join(blocks.select("label", "bits", "prefix"), ["bits", "prefix"]).drop("bits", "prefix")
+    return probes.join(broadcast_if_small(blocks.select("label", "bits", "prefix")), ["bits", "prefix"]).drop("bits", "prefix")
 
 
 def certificate_addresses(rows: DataFrame, records: DataFrame) -> DataFrame:

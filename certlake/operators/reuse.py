@@ -7,7 +7,9 @@ served from before therefore depends on the whole chain of fresh answers of its
 A key may be very frequent, so its requests are cut into hours. Inside an hour the chain
 depends only on when the answer at hand expires, and that can be one of at most `ttl` + 1
 useful moments. So each hour is reduced to a small table (expiry on entry, expiry on exit),
-the tables are chained per key, and the hours are then finished independently.
+the tables are chained per key, and the hours are then finished independently. However
+often a key is asked, an hour holds at most 3600 seconds and a table `ttl` + 1 entries, so
+what is brought together grows with the time span and not with the number of requests.
 """
 
 from __future__ import annotations

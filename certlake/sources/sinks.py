@@ -52,7 +52,7 @@ def upsert_records(records: DataFrame, root: str, exists: bool = True) -> None:
     by_day(upserted(merged)).write.partitionBy("day").parquet(staging)
     (
         spark.read.parquet(staging)
-        .transform(by_day)
+        .sortWithinPartitions("day", "d")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("day")

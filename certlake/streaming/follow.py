@@ -74,7 +74,11 @@ def record_batches(root: str) -> Callable[[DataFrame, int], None]:
     """DNS records by day; the upsert gives the same table when a batch is repeated."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        upsert_records(batch, root, exists=batch_id > 0)
+        kept = batch.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            upsert_records(kept, root, exists=batch_id > 0)
+        finally:
+            kept.unpersist()
 
     return write
 

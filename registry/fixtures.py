@@ -21,6 +21,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(df: DataFrame, key: str) -> DataFrame:
+    """All cores for a table of fewer splits than cores; a large table keeps its own splits."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores, key) if df.rdd.getNumPartitions() < cores else df
+
+
 # ---- certificates from orders ---------------------------------------------------------
 
 
@@ -120,7 +126,7 @@ LEAF_STAGES = [
 
 
 def orders_base(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders")
+    orders = spread(table(spark, sf_dir, "orders"), "o_orderkey")
     df = orders.selectExpr(*[f"{e} as {n}" for n, e in ORDER_BASE.items()])
     for stage in CERT_STAGES + LEAF_STAGES:
         df = df.selectExpr("*", *[f"{_spark(e)} as {n}" for n, e in stage.items()])
@@ -211,7 +217,7 @@ def fx_answers_raw(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line items as landed DNS answers with their certificate: `domain, ips, sha1, ttl, error_message, resolver, ts`."""
     day = "cast(floor(cast(cast(l_shipdate as timestamp) as bigint) / 86400) as bigint)"
     columns = dict(DNS, ts=RECORD_TIME.format(day=day))
-    df = table(spark, sf_dir, "lineitem").selectExpr(*[f"{e} as {n}" for n, e in columns.items()])
+    df = spread(table(spark, sf_dir, "lineitem"), "l_orderkey").selectExpr(*[f"{e} as {n}" for n, e in columns.items()])
     ips = "case when failed then null else filter(array(ip1, ip2, ip3), x -> x is not null) end"
     return df.selectExpr(
         "d as domain", f"{ips} as ips", "c as sha1", "ttl", "message as error_message", "resolver", "ts"
