@@ -69,7 +69,7 @@ def health_score(failures: Column, hour_count: Column, last_success: Column, as_
     """0 is good, 1 is bad. Times are epoch microseconds."""
     failing = F.least(F.lit(1.0), failures / 10.0)
     frequent = F.least(F.lit(1.0), hour_count / 20.0)
-    stale = F.coalesce(F.least(F.lit(1.0), (as_of - last_success) / 3.6e9), F.lit(0.5))
+    stale = F.when(last_success.isNull(), 0.5).otherwise(F.least(F.lit(1.0), (as_of - last_success) / 3.6e9))
     return failing * 0.4 + frequent * 0.4 + stale * 0.2
 
 

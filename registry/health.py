@@ -42,7 +42,7 @@ FOLD += """, moment as (select max(micros) as last from fx_events),
       case when not over then exclusion_until end as exclusion_until
     from (select *, is_excluded and status_at > exclusion_until as over from (select *, last + {wait} as status_at from states, moment))),
   scored as (select *, least(1.0, consecutive_failures / 10.0::double) * 0.4::double + least(1.0, hour_count / 20.0::double) * 0.4::double
-      + coalesce(least(1.0, (status_at - last_success) / 3.6e9::double), 0.5) * 0.2::double as score from snap),
+      + case when last_success is null then 0.5 else least(1.0, (status_at - last_success) / 3.6e9::double) end * 0.2::double as score from snap),
   marked as (select *, case when is_excluded then 'excluded' when score < 0.2 then 'healthy' when score < 0.5 then 'warning'
       when score < 0.8 then 'problematic' else 'severe' end as status from scored) """
 
