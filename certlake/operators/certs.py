@@ -140,18 +140,19 @@ def certificate_rows(certificates: DataFrame) -> DataFrame:
 def name_rows(certs: DataFrame, pattern: str | None = None) -> DataFrame:
     """One row per name with its sibling names, in the result shape.
 
-    A pattern drops rows, and the sibling list stays complete. A certificate with no
-    matching name is dropped before its names are multiplied out.
+    A pattern drops rows, and the sibling list stays complete. Only matching names are
+    multiplied out.
     """
+    wanted = F.col("names")
     if pattern is not None:
         regex = nm.java_pattern(pattern)
-        certs = certs.where(F.exists("names", lambda n: n.rlike(regex)))
-    others = F.sort_array(F.array_remove("names", F.col("name")))
-    rows = certs.select("*", F.explode("names").alias("name"))
-    if pattern is not None:
-        rows = rows.where(F.col("name").rlike(regex))
+        wanted = F.filter("names", lambda n: n.rlike(regex))
+    # Sorted once per certificate; removing the own name keeps the order.
+    sorted_names = certs.withColumn("names", F.sort_array("names"))
+    rows = sorted_names.select("*", F.explode(wanted).alias("name"))
     return rows.select(
-        "name", "ts", "cn", "sha1", "email", "ip", nm.nonempty(others).alias("dns"),
+        "name", "ts", "cn", "sha1", "email", "ip",
+        nm.nonempty(F.array_remove("names", F.col("name"))).alias("dns"),
         *[c for c in ("log_url", "entry_index") if c in certs.columns],
     )
 

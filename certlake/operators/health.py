@@ -38,18 +38,27 @@ def outcomes(requests: DataFrame) -> DataFrame:
     )
 
 
-def server_totals(events: DataFrame) -> DataFrame:
-    """What plain aggregation gives: counts, newest times and the server's first URL.
+def plain_totals(events: DataFrame) -> DataFrame:
+    """Numbers only, so that the aggregation can hash instead of sort.
 
-    `hour_count` counts the limits less than an hour before the newest limit.
+    The base interval is that of the server's first URL; time and interval are packed into
+    one number for it, and at the same microsecond the shorter interval counts.
     """
-    limit_time = F.when(F.col("limited"), F.col("micros"))
-    totals = events.groupBy("server_key").agg(
+    first = F.min(F.col("micros") * 1024 + fh.base_poll_interval(F.col("url")))
+    return events.groupBy("server_key").agg(
         F.count_if("limited").alias("rate_limit_count"),
-        F.max(limit_time).alias("last_rate_limit"),
+        F.max(F.when(F.col("limited"), F.col("micros"))).alias("last_rate_limit"),
         F.max(F.when(~F.col("limited"), F.col("micros"))).alias("last_success"),
-        F.min_by("url", F.struct("micros", "seq")).alias("server_url"),
+        (first % 1024).cast("int").alias("base_poll_interval"),
     )
+
+
+def server_totals(events: DataFrame) -> DataFrame:
+    """What plain aggregation gives: counts, newest times and the base poll interval.
+
+    `hour_count` counts the limits less than an hour before the newest limit.
+    """
+    totals = plain_totals(events)
     newest = totals.select("server_key", "last_rate_limit")
     recent = (
         events.where("limited")
@@ -158,9 +167,9 @@ def server_states(
 def state_columns(states: DataFrame) -> DataFrame:
     excluded = F.col("consecutive_failures") >= fh.EXCLUDE_FROM
     return states.select(
-        "server_key", "server_url", "rate_limit_count", "last_rate_limit", "last_success",
+        "server_key", "rate_limit_count", "last_rate_limit", "last_success",
         "consecutive_failures", "batch_size", "poll_interval_multiplier",
-        fh.base_poll_interval(F.col("server_url")).alias("base_poll_interval"),
+        "base_poll_interval",
         excluded.alias("is_excluded"),
         F.when(excluded, F.col("last_rate_limit") + fh.EXCLUSION_MICROS).alias("exclusion_until"),
         "hour_count",

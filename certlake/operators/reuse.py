@@ -22,10 +22,11 @@ HOUR = 3600
 
 
 def _hours(requests: DataFrame) -> DataFrame:
-    """Per key and hour the sorted distinct request seconds (3600 at most)."""
-    seconds = requests.select(*KEY, "ts").distinct()
+    """Per key and hour the sorted request seconds (3600 at most), each with its first `seq`."""
+    firsts = requests.groupBy(*KEY, "ts").agg(F.min("seq").alias("first_seq"))
     hour = F.floor(F.col("ts") / HOUR).alias("hour")
-    return seconds.groupBy(*KEY, hour).agg(F.sort_array(F.collect_list("ts")).alias("seconds"))
+    seconds = F.sort_array(F.collect_list(F.struct("ts", "first_seq"))).alias("seconds")
+    return firsts.groupBy(*KEY, hour).agg(seconds)
 
 
 def _entry_expiries(hours: DataFrame, ttl: int) -> DataFrame:
@@ -34,11 +35,11 @@ def _entry_expiries(hours: DataFrame, ttl: int) -> DataFrame:
     # falls on a second before that or on the first one from there on.
     tables = hours.selectExpr(
         *KEY, "hour", "seconds",
-        f"filter(seconds, s -> s < seconds[0] + {ttl}) as near",
+        f"size(filter(seconds, s -> s.ts < seconds[0].ts + {ttl})) as near",
     ).selectExpr(
         *KEY, "hour",
-        f"""transform(slice(seconds, 1, size(near) + 1), c -> named_struct('first', c, 'exit',
-              aggregate(seconds, c, (x, s) -> if(s >= x, s + {ttl}L, x)))) as moves""",
+        f"""transform(slice(seconds, 1, near + 1), c -> named_struct('first', c.ts, 'exit',
+              aggregate(seconds, c.ts, (x, s) -> if(s.ts >= x, s.ts + {ttl}L, x)))) as moves""",
     )
     chained = tables.groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("hour", "moves"))).alias("h"))
     return chained.selectExpr(
@@ -63,19 +64,17 @@ def reuse_within_ttl(requests: DataFrame, ttl: int = 300) -> DataFrame:
         *KEY, "seconds", "entry",
         f"""aggregate(seconds,
               named_struct('expiry', entry, 'fresh', cast(array() as array<bigint>)),
-              (a, s) -> if(s >= a.expiry,
-                named_struct('expiry', s + {ttl}L, 'fresh', concat(a.fresh, array(s))), a),
+              (a, s) -> if(s.ts >= a.expiry,
+                named_struct('expiry', s.ts + {ttl}L, 'fresh', concat(a.fresh, array(s.ts))), a),
               a -> a.fresh) as fresh""",
     )
     answered = fresh.selectExpr(
         *KEY,
-        f"""inline(transform(seconds, s -> named_struct('ts', s, 'answered_at',
-              coalesce(array_max(filter(fresh, f -> f <= s)), entry - {ttl}L))))""",
+        f"""inline(transform(seconds, s -> named_struct('ts', s.ts, '_first', s.first_seq, 'answered_at',
+              coalesce(array_max(filter(fresh, f -> f <= s.ts)), entry - {ttl}L))))""",
     )
-    firsts = requests.groupBy(*KEY, "ts").agg(F.min("seq").alias("_first"))
-    per_second = answered.join(firsts, [*KEY, "ts"])
     is_fresh = (F.col("ts") == F.col("answered_at")) & (F.col("seq") == F.col("_first"))
-    return requests.join(per_second, [*KEY, "ts"]).withColumn("hit", ~is_fresh).drop("_first")
+    return requests.join(answered, [*KEY, "ts"]).withColumn("hit", ~is_fresh).drop("_first")
 
 
 def hit_rate(outcomes: DataFrame) -> DataFrame:

@@ -27,21 +27,17 @@ def health_batches(root: str, default_batch: int = fh.DEFAULT_BATCH_SIZE) -> Cal
             "server_key", "consecutive_failures", "batch_size", "poll_interval_multiplier", "last_rate_limit"
         )
         ordered = health.fold_requests(events, default_batch, before=carried)
-        totals = events.groupBy("server_key").agg(
-            F.count_if("limited").alias("rate_limit_count"),
-            F.max(F.when(~F.col("limited"), F.col("micros"))).alias("last_success"),
-            F.min_by("url", F.struct("micros", "seq")).alias("server_url"),
-        )
+        totals = health.plain_totals(events).drop("last_rate_limit")
         if before is not None:
             old = before.select(
                 "server_key", F.col("rate_limit_count").alias("_n"), F.col("last_success").alias("_s"),
-                F.col("server_url").alias("_u"),
+                F.col("base_poll_interval").alias("_b"),
             )
             totals = totals.join(old, "server_key", "full_outer").select(
                 "server_key",
                 (F.coalesce("rate_limit_count", F.lit(0)) + F.coalesce("_n", F.lit(0))).alias("rate_limit_count"),
                 F.greatest("last_success", "_s").alias("last_success"),
-                F.coalesce("_u", "server_url").alias("server_url"),
+                F.coalesce("_b", "base_poll_interval").alias("base_poll_interval"),
             )
         states = totals.join(ordered, "server_key")
         states.write.mode("overwrite").parquet(f"{root}/states/batch={batch_id}")
