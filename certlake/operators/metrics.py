@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from certlake.functions import names as nm
@@ -51,14 +51,23 @@ def rates(totals: DataFrame) -> DataFrame:
     )
 
 
-def observed(certificates: DataFrame, name: str = "counters") -> DataFrame:
-    """The same rows; the counters arrive with the query's own metrics, without a second pass."""
-    return certificates.observe(name, *counter_columns())
+def observed(certificates: DataFrame, observation: Observation | str = "counters") -> DataFrame:
+    """The same rows; the counters arrive with the query's own metrics, without a second
+    pass: in the observation for a batch, in the progress events for a stream."""
+    return certificates.observe(observation, *counter_columns())
 
 
-def counters_by_window(certificates: DataFrame, width: str = "30 seconds") -> DataFrame:
-    """Counters per tumbling window of the entries' own time, for batch or stream."""
+def counters_by_window(
+    certificates: DataFrame, width: str = "30 seconds", late: str | None = None
+) -> DataFrame:
+    """Counters per tumbling window of the entries' own time, for batch or stream.
+
+    A stream that appends needs `late`, how long a window waits for older entries; it also
+    bounds the windows kept open.
+    """
     timed = certificates.where("ts is not null").withColumn("at", F.timestamp_millis("ts"))
+    if late is not None:
+        timed = timed.withWatermark("at", late)
     return timed.groupBy(F.window("at", width).alias("w")).agg(*counter_columns()).select(
         F.unix_seconds("w.start").alias("window_start"), "processed", "input", "errors", "output"
     )

@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from certlake.functions.dns import day_of_seconds
 from certlake.operators.certs import RESULT_KEYS, minimal_documents, with_day
-from certlake.operators.passive_dns import upserted
+from certlake.operators.passive_dns import ipv4_table, upserted
 from certlake.session import shared_dir
 
 
@@ -58,3 +59,11 @@ def upsert_records(records: DataFrame, root: str, exists: bool = True) -> None:
         .partitionBy("day")
         .parquet(root)
     )
+
+
+def write_addresses(records: DataFrame, root: str, mode: str = "append") -> None:
+    """The `ip, d, ts` side table by day, sorted by address: a range filter on `ip` is pushed
+    to the files and skips those whose addresses lie elsewhere."""
+    addresses = ipv4_table(records).withColumn("day", day_of_seconds(F.col("ts")))
+    spread = addresses.hint("rebalance", "day").sortWithinPartitions("day", "ip")
+    spread.write.mode(mode).partitionBy("day").parquet(root)

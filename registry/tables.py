@@ -87,3 +87,10 @@ def rejects(spark, sf_dir):
     path = f"{shared_dir(spark)}/rejects"
     sinks.write_rejects(certs.reject_rows(certificates(spark, sf_dir, keep_rejects=True)), path)
     return spark.read.parquet(path)
+
+
+@query("C9_address_table", duck("select ip, d, ts from (select unnest(ii) as ip, d, ts from fx_records) where ip between 167772160 and 167772671", "fx_records"))
+def address_table(spark, sf_dir):
+    root = f"{shared_dir(spark)}/addresses"
+    sinks.write_addresses(fx_records(spark, sf_dir), root)
+    return read_by_day(spark, root).where("ip between 167772160 and 167772671").select("ip", "d", "ts")

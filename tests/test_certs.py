@@ -5,6 +5,7 @@ import json
 import random
 
 import der_writer as dw
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from certlake.operators import certs, der, metrics
@@ -143,3 +144,11 @@ def test_generated_code_compiles_whole(spark, capfd):
     finally:
         spark.sparkContext.setLogLevel("ERROR")
     assert "Failed to compile" not in capfd.readouterr().err
+
+
+def test_observed_counters_need_no_second_pass(spark):
+    frame = entries(spark, [dw.entry(dw.certificate([dw.rdn(dw.CN, "a.example")])), "A", "!"])
+    observation = Observation("counters")
+    decoded = certs.decode_certificates(certs.decode_leaves(frame), keep_rejects=True)
+    certs.reject_rows(metrics.observed(decoded, observation)).write.format("noop").mode("overwrite").save()
+    assert observation.get == {"processed": 3, "input": 1, "errors": 1, "output": 1}

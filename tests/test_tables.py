@@ -81,3 +81,28 @@ def test_bounded_run(spark, tmp_path):
     query.processAllAvailable()
     assert follow.run_for(query, 1) is False and not query.isActive
     assert spark.read.parquet(f"{tmp_path}/rows").count() == 1
+
+
+def test_address_table_pushes_range_filters(spark, tmp_path):
+    root = str(tmp_path / "addresses")
+    sinks.write_addresses(records(spark, [("a", ["0.0.0.9", "::1"], "c", 5), ("b", ["0.0.1.0"], "c", DAY)]), root)
+    found = landed.read_by_day(spark, root).where("ip between 1 and 99")
+    assert [(r.d, r.ip) for r in found.collect()] == [("a", 9)]
+    assert "GreaterThanOrEqual(ip,1), LessThanOrEqual(ip,99)" in found._jdf.queryExecution().toString()
+
+
+def test_windowed_counters_append_with_a_watermark(spark, tmp_path):
+    from certlake.operators import certs, metrics
+    from certlake.operators.entries import page_entries
+
+    start = 1_700_000_010_000
+    for n, at in enumerate((0, 5_000, 40_000, 500_000)):
+        leaf = dw.entry(dw.certificate([dw.rdn(dw.CN, "a.example")]), ts=start + at)
+        frame = spark.createDataFrame([("https://x/", n, [(leaf,)])], "log_url string, start long, entries array<struct<leaf_input: string>>")
+        frame.write.mode("append").json(f"{tmp_path}/landing")
+    entries = page_entries(landed.stream_entry_pages(spark, f"{tmp_path}/landing"))
+    decoded = certs.decode_certificates(certs.decode_leaves(entries), keep_rejects=True)
+    windows = metrics.counters_by_window(decoded, late="1 minute")
+    follow.start(follow.parquet_writer(windows, f"{tmp_path}/windows"), f"{tmp_path}/checkpoint").awaitTermination()
+    rows = spark.read.parquet(f"{tmp_path}/windows").orderBy("window_start").collect()
+    assert [(r.window_start, r.processed, r.output) for r in rows] == [(1_700_000_010, 2, 2), (1_700_000_040, 1, 1)]
