@@ -12,7 +12,6 @@ from pyspark.sql import functions as F
 from certlake.functions import health as fh
 from certlake.operators import fold
 from certlake.operators.ordered import running_sum
-from certlake.session import shuffle_width
 
 # The helpers travel inside the task, so executors need no installed copy of the package.
 cloudpickle.register_pickle_by_value(fold)
@@ -139,13 +138,11 @@ def fold_requests(
     Range partitioning spreads one server over many tasks; only one summary per server and
     partition is brought together. `before` is an earlier result to continue from.
     """
-    width = partitions or shuffle_width(events.sparkSession)
     order = ["server_key", "micros", "seq"]
-    ordered = (
-        events.select("server_key", "micros", "seq", "limited")
-        .repartitionByRange(width, *order)
-        .sortWithinPartitions(*order)
-    )
+    needed = events.select("server_key", "micros", "seq", "limited")
+    # Without a fixed number, adaptive execution merges small neighbouring ranges.
+    ranged = needed.repartitionByRange(partitions, *order) if partitions else needed.repartitionByRange(*order)
+    ordered = ranged.sortWithinPartitions(*order)
     pieces = ordered.mapInPandas(_summaries(default_batch), SUMMARY)
     if before is None:
         carried = [F.lit(None).cast(t).alias(n) for n, t in (f.split(" ") for f in STATE.split(", ")[1:])]

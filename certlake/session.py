@@ -40,8 +40,3 @@ def shared_dir(spark: SparkSession) -> str:
     if not master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     return tempfile.mkdtemp(prefix="certlake-")
-
-
-def shuffle_width(spark: SparkSession) -> int:
-    """Partition count for explicit range partitioning: the session's shuffle width."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))

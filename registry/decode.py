@@ -35,7 +35,7 @@ _LEAF_HEX = (
     "B1_base64_decode",
     duck(
         f"""select k as entry_index,
-              case when k % 20 = 9 then null when k % 20 = 19 then 0 else length({_LEAF_HEX}) >> 1 end as n_bytes,
+              cast(case when k % 20 = 9 then null when k % 20 = 19 then 0 else length({_LEAF_HEX}) >> 1 end as int) as n_bytes,
               case when k % 20 = 9 then null when k % 20 = 19 then sha1('') else sha1(from_hex({_LEAF_HEX})) end as digest
             from fx_orders""",
         "fx_orders",
@@ -66,7 +66,7 @@ def _slices(kind):
     return run
 
 
-_SLICE_SQL = """select k as entry_index, length(payload) >> 1 as n_bytes, sha1(from_hex(payload)) as digest
+_SLICE_SQL = """select k as entry_index, cast(length(payload) >> 1 as int) as n_bytes, sha1(from_hex(payload)) as digest
                 from fx_orders where (reject is null or reject = 'der') and (k % 10 = 6) = """
 query("B3_x509_slice", duck(_SLICE_SQL + "false", "fx_orders"))(_slices(0))
 query("B4_precert_slice", duck(_SLICE_SQL + "true", "fx_orders"))(_slices(1))
@@ -90,7 +90,7 @@ def certificate_decode(spark, sf_dir):
     "B6_certificate_details",
     duck(
         r"""select entry_index, concat(case when cn2 <> '' then concat('CN=', cn2, ',') else '' end, 'CN=', cn1, ',O=Shop\, Ltd') as subject,
-              'CN=Test CA' as issuer, 1704067200 as not_before, 1735689600 as not_after from fx_certs""",
+              'CN=Test CA' as issuer, 1704067200::bigint as not_before, 1735689600::bigint as not_after from fx_certs""",
         "fx_certs",
     ),
 )
@@ -205,12 +205,12 @@ def search_recipes(spark, sf_dir):
     return found.select(F.explode(recipes).alias("recipe"), "name", "sha1")
 
 
-@query("U1_name_union", duck("select entry_index, len(names) as n_names from fx_certs", "fx_certs"))
+@query("U1_name_union", duck("select entry_index, cast(len(names) as int) as n_names from fx_certs", "fx_certs"))
 def name_union(spark, sf_dir):
     return table_of_certs(spark, sf_dir).select("entry_index", F.size("names").alias("n_names"))
 
 
-@query("U2_names_minus_self", duck("select name, entry_index, coalesce(len(dns), 0) as others from fx_rows", "fx_rows"))
+@query("U2_names_minus_self", duck("select name, entry_index, cast(coalesce(len(dns), 0) as int) as others from fx_rows", "fx_rows"))
 def names_minus_self(spark, sf_dir):
     return rows(spark, sf_dir).select("name", "entry_index", F.coalesce(F.array_size("dns"), F.lit(0)).alias("others"))
 

@@ -342,7 +342,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "fx_hosts": ((), _select(HOSTS, "pages")),
     "fx_names": (
         ("fx_hosts",),
-        f"""select page_id, unnest(range(0, {len(NAME_VARIANTS)})) as pos, unnest([{', '.join(NAME_VARIANTS)}]) as name
+        f"""select page_id, cast(unnest(range(0, {len(NAME_VARIANTS)})) as int) as pos, unnest([{', '.join(NAME_VARIANTS)}]) as name
             from fx_hosts""",
     ),
     "fx_raw": (

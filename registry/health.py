@@ -30,7 +30,7 @@ FOLD = """+ ordered as materialized (select *, row_number() over (partition by s
     max(micros) filter (not limited) as last_success, arg_min(url, seq) as server_url from fx_events group by server_key),
   hours as (select e.server_key, count(*) as hour_count from fx_events e join totals t on t.server_key = e.server_key
     where limited and micros > last_rate_limit - 3600000000 group by e.server_key),
-  states as (select t.server_key, server_url, rate_limit_count, last_rate_limit, last_success, s.cf as consecutive_failures, s.batch as batch_size,
+  states as (select t.server_key, server_url, rate_limit_count, last_rate_limit, last_success, s.cf as consecutive_failures, cast(s.batch as int) as batch_size,
       s.mult as poll_interval_multiplier, case when contains(server_url, 'digicert.com') then 180 else 90 end as base_poll_interval,
       s.cf >= 10 as is_excluded, case when s.cf >= 10 then last_rate_limit + 1800000000 end as exclusion_until, coalesce(hour_count, 0) as hour_count
     from totals t join sizes z on z.server_key = t.server_key join steps s on s.server_key = t.server_key and s.rn = z.total

@@ -6,11 +6,11 @@ from registry.decode import certificates
 from registry.fixtures import duck
 
 _TOTALS = """select count(*) as processed, count(*) filter (reject is null) as input, count(*) filter (reject = 'base64') as errors,
-               (select sum(len(names)) from fx_certs {filter}) as output from fx_orders"""
+               (select cast(sum(len(names)) as bigint) from fx_certs) as output from fx_orders"""
 _PATTERN = "^www[.]"
 
 
-@query("E1_entry_counters", duck(_TOTALS.replace("{filter}", ""), "fx_orders", "fx_certs"))
+@query("E1_entry_counters", duck(_TOTALS, "fx_orders", "fx_certs"))
 def entry_counters(spark, sf_dir):
     return metrics.counters(certificates(spark, sf_dir, keep_rejects=True))
 
@@ -21,7 +21,7 @@ def entry_counters(spark, sf_dir):
         f"""select processed, input, errors, output, round(100.0::double * input / greatest(processed, 1), 1) as success_pct,
               round(100.0::double * errors / greatest(processed, 1), 1) as error_pct, round(100.0::double * output / greatest(input, 1), 1) as match_pct,
               round(output::double / greatest(input, 1), 1) as names_per_cert
-            from ({_TOTALS.replace('sum(len(names)) from fx_certs {filter}', "count(*) from fx_rows where starts_with(name, 'www.')")})""",
+            from ({_TOTALS.replace('cast(sum(len(names)) as bigint) from fx_certs', "count(*) from fx_rows where starts_with(name, 'www.')")})""",
         "fx_orders", "fx_rows",
     ),
 )
@@ -33,7 +33,7 @@ def final_rates(spark, sf_dir):
     "E1_counters_by_log",
     duck(
         """select o.log_url, count(*) as processed, count(*) filter (reject is null) as input, count(*) filter (reject = 'base64') as errors,
-             coalesce(sum(len(names)), 0) as output, round(100.0::double * count(*) filter (reject is null) / count(*), 1) as success_pct,
+             cast(coalesce(sum(len(names)), 0) as bigint) as output, round(100.0::double * count(*) filter (reject is null) / count(*), 1) as success_pct,
              round(100.0::double * count(*) filter (reject = 'base64') / count(*), 1) as error_pct
            from fx_orders o left join fx_certs c on c.entry_index = o.k group by o.log_url""",
         "fx_orders", "fx_certs",
@@ -46,8 +46,8 @@ def counters_by_log(spark, sf_dir):
 @query(
     "I8_counters_by_window",
     duck(
-        """select (o.ts // 3600000) * 3600 as window_start, count(*) as processed, count(*) filter (reject is null) as input, 0 as errors,
-             coalesce(sum(len(names)), 0) as output
+        """select (o.ts // 3600000) * 3600 as window_start, count(*) as processed, count(*) filter (reject is null) as input, 0::bigint as errors,
+             cast(coalesce(sum(len(names)), 0) as bigint) as output
            from fx_orders o left join fx_certs c on c.entry_index = o.k where reject is null or reject = 'der' group by 1""",
         "fx_orders", "fx_certs",
     ),
