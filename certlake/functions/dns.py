@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from certlake.functions.names import is_ipv4, nonempty
+from certlake.functions.names import is_ipv4
 
 # ---- fixed values --------------------------------------------------------------------
 RECORD_TYPE = "A"
@@ -52,10 +52,6 @@ def error_class(message: Column) -> Column:
     return F.when(message.isNotNull(), chain.otherwise(F.lit(UNKNOWN_ERROR)))
 
 
-def present(values: Column) -> Column:
-    return nonempty(values)
-
-
 def day_of_seconds(epoch_seconds: Column) -> Column:
     """UTC calendar day, independent of the session's time zone."""
     return F.date_from_unix_date(F.floor(epoch_seconds / 86400).cast("int"))

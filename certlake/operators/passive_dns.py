@@ -71,7 +71,7 @@ def record_documents(resolved: DataFrame) -> DataFrame:
     return resolved.select(
         domain.alias("d"), F.col("ts").cast("bigint").alias("ts"), F.lit(fd.RECORD_TYPE).alias("t"),
         F.coalesce("ttl", F.lit(fd.DEFAULT_TTL)).cast("int").alias("ttl"), F.lit(False).alias("w"),
-        fd.present(ips).alias("i"), fd.ipv4_numbers(ips).alias("ii"),
+        nm.nonempty(ips).alias("i"), fd.ipv4_numbers(ips).alias("ii"),
         F.when(sha1 != "", sha1).alias("c"), F.when(domain != "", nm.root_domain(domain)).alias("r"),
         F.col("error").alias("e"), fd.record_hash(domain, ips, sha1).alias("h"),
     )
@@ -188,22 +188,21 @@ def address_changes(records: DataFrame) -> DataFrame:
     )
 
 
-def _fields_of_interest(records: DataFrame) -> DataFrame:
-    return records.select(
-        F.explode(
-            F.concat(
-                F.array(F.struct(F.lit("d").alias("field"), F.col("d").alias("value")),
-                        F.struct(F.lit("c").alias("field"), F.col("c").alias("value"))),
-                F.transform(F.coalesce("i", F.array().cast("array<string>")),
-                            lambda x: F.struct(F.lit("i").alias("field"), x.alias("value"))),
-            )
-        ).alias("f")
-    ).select("f.field", "f.value")
+def _counted_values(records: DataFrame, *kept: Column) -> DataFrame:
+    """`field, value` rows of what the statistics count: domain, certificate, addresses."""
+    def tagged(field: str, value: Column) -> Column:
+        return F.struct(F.lit(field).alias("field"), value.alias("value"))
+
+    addresses = F.coalesce("i", F.array().cast("array<string>"))
+    values = F.concat(
+        F.array(tagged("d", F.col("d")), tagged("c", F.col("c"))), F.transform(addresses, lambda x: tagged("i", x))
+    )
+    return records.select(*kept, F.inline(values))
 
 
 def record_statistics(records: DataFrame) -> DataFrame:
     """Exact totals from one scan and one shuffle of distinct values."""
-    values = _fields_of_interest(records).groupBy("field", "value").agg(F.count("*").alias("n"))
+    values = _counted_values(records).groupBy("field", "value").agg(F.count("*").alias("n"))
     known = F.col("value").isNotNull()
     return values.agg(
         F.coalesce(F.sum(F.when(F.col("field") == "d", F.col("n"))), F.lit(0)).alias("total_records"),
@@ -215,16 +214,9 @@ def record_statistics(records: DataFrame) -> DataFrame:
 
 def daily_sketches(records: DataFrame) -> DataFrame:
     """Mergeable distinct-count sketches per day and field, to be stored beside the days."""
-    values = records.select(fd.day_of_seconds(F.col("ts")).alias("day"), F.explode(
-        F.concat(
-            F.array(F.struct(F.lit("d").alias("field"), F.col("d").alias("value")),
-                    F.struct(F.lit("c").alias("field"), F.col("c").alias("value"))),
-            F.transform(F.coalesce("i", F.array().cast("array<string>")),
-                        lambda x: F.struct(F.lit("i").alias("field"), x.alias("value"))),
-        )
-    ).alias("f"))
-    return values.groupBy("day", "f.field").agg(
-        F.count("*").alias("n_values"), F.hll_sketch_agg("f.value", 14).alias("sketch")
+    values = _counted_values(records, fd.day_of_seconds(F.col("ts")).alias("day"))
+    return values.groupBy("day", "field").agg(
+        F.count("*").alias("n_values"), F.hll_sketch_agg("value", 14).alias("sketch")
     )
 
 
@@ -243,7 +235,7 @@ def merged_statistics(sketches: DataFrame) -> DataFrame:
 
 
 def approximate_statistics(records: DataFrame) -> DataFrame:
-    values = _fields_of_interest(records)
+    values = _counted_values(records)
 
     def distinct(field: str) -> Column:
         return F.approx_count_distinct(F.when(F.col("field") == field, F.col("value")), 0.02)
