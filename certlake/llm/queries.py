@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from certlake.llm import exact, mixing, packing, simhash, toxicity
+import corpus_pipeline
+from certlake.llm import exact, licenses, mixing, packing, personal, scoring, simhash, suffixes, toxicity, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -88,3 +89,50 @@ def simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op4_toxicity")
 def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query("op10_license_scan", licenses.oracle())
+def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = licenses.labels(table(spark, sf_dir, "documents"))
+    at = F.transform("places", lambda p: p["at"])
+    return found.select(
+        "doc_id",
+        "n_words",
+        F.size("places").cast("long").alias("n_base"),
+        F.array_min(at).alias("first_word"),
+        F.array_max(at).alias("last_word"),
+        "base_labels",
+        "labels",
+        "score",
+    )
+
+
+@query("op6_personal_data")
+def personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = personal.personal_spans(table(spark, sf_dir, "documents"))
+    base = F.filter("spans", lambda s: s["strict"])
+    kinds = F.transform(base, lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, k))).cast("long").alias(f"n_{k}") for k in personal.KINDS]
+    digest = F.sha2(personal.joined(base).cast("binary"), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, digest, personal.joined(F.col("spans")).alias("spans"))
+
+
+@query("op7_language_model")
+def language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.scored(table(spark, sf_dir, "documents"))
+
+
+@query("op2_suffix_array_dedup")
+def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffixes.repeated_passages(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "seen_in", "first")
+
+
+@query("op8_embedding_near_dedup")
+def embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES["pipeline"] = corpus_pipeline.run
+if corpus_pipeline.ORACLE_SQL:
+    ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
