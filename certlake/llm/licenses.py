@@ -193,7 +193,7 @@ with w as (
   from documents),
 p as ({places}), t as ({templates}),
 b as (
-  select r, label, i from (select r, ws, label, phrase, unnest(list_positions(ws, phrase[1])) - 1 as i from w, p)
+  select r, label, i from (select r, ws, label, phrase, unnest([k for k in range(len(ws)) if ws[k + 1] = phrase[1]]) as i from w, p)
   where ws[i + 1 : i + len(phrase)] = phrase),
 pb as (select r, count(*) as n_base, min(i) as first_word, max(i) as last_word, string_agg(distinct label, ',' order by label) as base_labels from b group by r),
 q as (
