@@ -12,6 +12,7 @@ The pieces then find their place by their rank among the pieces of their length.
 
 from __future__ import annotations
 
+import os
 import zlib
 from collections.abc import Iterator
 
@@ -26,7 +27,7 @@ from certlake.llm.common import stored
 
 CAPACITY = 2048
 #: Words remembered with their ids by a Python worker, and the longest word remembered.
-REMEMBERED, LONGEST = 400_000, 64
+REMEMBERED, LONGEST = 700_000, 64
 #: Pieces of one length that are ranked together in one task, about.
 RANKED_TOGETHER = 50_000
 
@@ -34,6 +35,21 @@ _ids: dict[tuple[str, bytes], bytes] = {}
 _tokenizers: dict[str, Tokenizer] = {}
 
 
+def words_of(text: str | None) -> list[bytes]:
+    """What white space parts in a text, lower-cased where the tokenizer would do the same.
+
+    It would not where its names for special ids may stand, which are matched as they are
+    written, nor before combining marks, which it joins to capital letters first.
+    """
+    raw = (text or "").encode()
+    return (raw if b"<|" in raw or b"\xcc" in raw or b"\xcd" in raw else raw.lower()).split()
+
+
+def _stem(word: bytes) -> bytes:
+    """The word without one last punctuation mark after a letter, where a token always ends."""
+    return word[:-1] if len(word) > 1 and word[-1] in b".,;:!?" and 97 <= word[-2] <= 122 else word
+
+
 def _ids_of(words: list[list[bytes]], path: str) -> list[bytes]:
     """Little-endian 32-bit ids of texts, given as their words.
 
@@ -41,21 +57,30 @@ def _ids_of(words: list[list[bytes]], path: str) -> list[bytes]:
     """
     tokenizer = _tokenizers.get(path)
     if tokenizer is None:
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark gives every core a task
         tokenizer = _tokenizers[path] = Tokenizer.from_file(path)
         tokenizer.no_padding()
         tokenizer.no_truncation()
     if len(_ids) > REMEMBERED:
         _ids.clear()
     known = _ids
-    extra: dict[bytes, bytes] = {}
-    new = list({w for text in words for w in text if w not in known})
-    for at in range(0, len(new), 50_000):
-        some = new[at : at + 50_000]
+    found = [list(map(known.get, text)) for text in words]
+    missing = {w for text, got in zip(words, found) if None in got for w, ids in zip(text, got) if ids is None}
+    if not missing:
+        return list(map(b"".join, found))
+    stems = {w: _stem(w) for w in missing}
+    asked = [w for w in {*stems.values(), *(w[-1:] for w, s in stems.items() if s is not w)} if w not in known]
+    new: dict[bytes, bytes] = {}
+    for at in range(0, len(asked), 50_000):
+        some = asked[at : at + 50_000]
         for word, encoded in zip(some, tokenizer.encode_batch_fast([w.decode() for w in some], add_special_tokens=False)):
-            (known if len(word) <= LONGEST else extra)[word] = np.asarray(encoded.ids, "<u4").tobytes()
-    if extra:
-        return [b"".join([known[w] if w in known else extra[w] for w in text]) for text in words]
-    return [b"".join(map(known.__getitem__, text)) for text in words]
+            new[word] = np.asarray(encoded.ids, "<u4").tobytes()
+    for word, stem in stems.items():
+        if stem is not word:
+            new[word] = (new.get(stem) or known[stem]) + (new.get(word[-1:]) or known[word[-1:]])
+    out = [b"".join([new[w] if ids is None else ids for w, ids in zip(text, got)]) if None in got else b"".join(got) for text, got in zip(words, found)]
+    known.update((w, ids) for w, ids in new.items() if len(w) <= LONGEST)
+    return out
 
 
 def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = None, keep_ids: bool = False) -> DataFrame:
@@ -73,7 +98,7 @@ def pieces(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str | None = No
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                words = [(t or "").encode().split() for t in batch.column(1).to_pylist()]
+                words = [words_of(t) for t in batch.column(1).to_pylist()]
                 out = []
                 for doc_id, ids in zip(batch.column(0).to_pylist(), _ids_of(words, path)):
                     ids += b"\0\0\0\0"
@@ -146,7 +171,7 @@ def _two_for(left: np.ndarray, own: dict[int, int], smallest: int, room: int) ->
     partner = np.where(alone, partner - 1, partner)
     total = np.where(partner >= 0, lengths + lengths[np.maximum(partner, 0)], 0)
     total[total > room] = 0
-    best = int(total.argmax())
+    best = len(total) - 1 - int(total[::-1].argmax())
     return (int(lengths[best]), int(lengths[partner[best]])) if total[best] > smallest else None
 
 

@@ -84,6 +84,15 @@ def test_ids_places_and_cuts(spark, tmp_path):
     assert len(bins) <= -(-total // 2048) + 1
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.text(st.sampled_from("aAbBhHzZ'.,;:!?<|> \n\t-09sSéÉßẖ\u0331\u0301\u2003\x1c中'"), max_size=40))
+def test_ids_by_words_are_the_tokenizers(text):
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = [text, text.replace("<", "<|endoftext|>"), text.replace("<", "<|ENDOFTEXT|>"), text.replace("a", "it's don't, ")]
+    ids = packing._ids_of([packing.words_of(t) for t in texts], public_tokenizers.path("word_bpe_49k.json"))
+    assert [np.frombuffer(i, "<u4").tolist() for i in ids] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_packed_keeps_other_columns(spark):
     cut = spark.createDataFrame([(1, 0, 5, "x", 9), (1, 0, 5, "x", 9), (None, 0, 4, None, None)], "doc_id long, piece int, length long, note string, offset int")
     found = packing.packed(cut, capacity=8)
