@@ -1,0 +1,79 @@
+import random
+from collections import Counter
+
+import pytest
+
+import corpus_pipeline
+from certlake.llm import mixing, simhash, toxicity
+from llm.helpers import row, words, written
+
+
+@pytest.fixture(scope="module")
+def folder(spark, tmp_path_factory):
+    rng = random.Random(16)
+    top = tmp_path_factory.mktemp("sf")
+    rows, labels = [], []
+    for k in range(400):
+        bad = k % 8 == 0
+        ws = words(rng, rng.randrange(60, 200), 500).split()
+        for _ in range(4 if bad else 0):
+            ws.insert(rng.randrange(len(ws)), rng.choice(["vile", "scumbag", "moron"]))
+        rows.append(row(k, " ".join(ws), f"s{k % 5 % 3}"))
+        labels.append((k, 1, int(bad)))
+    rows += [row(1000 + k, rows[1][1]) for k in range(30)]
+    rows += [row(2000 + k, rows[2][1] + " \n" * (k + 1)) for k in range(30)]
+    rows += [row(3000, None), row(3001, ""), (None, "no id at all here", None, None, None)]
+    written(spark, top / "documents.parquet", rows)
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(top / "labels.parquet"))
+    return str(top), rows
+
+
+def test_each_stage_on_its_own_input(spark, folder, tmp_path):
+    sf_dir, rows = folder
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    tables = []
+    for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        stage(spark, docs, sf_dir).write.parquet(str(tmp_path / str(k)))
+        tables.append((name, docs.collect(), spark.read.parquet(str(tmp_path / str(k)))))
+        docs = tables[-1][2]
+        if k < 4:
+            assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
+    rows_of = lambda t: Counter(tuple(r) for r in t)
+
+    before, after = tables[0][1], tables[0][2].collect()
+    model = toxicity.fit(spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    assert rows_of(after) == rows_of(r for r in before if model.score(r["text"]) < toxicity.THRESHOLD)
+    assert 20 < len(before) - len(after) < 80
+
+    before, after = tables[1][1], tables[1][2].collect()
+    best = {}
+    for r in before:
+        best[r["text"] or ""] = max(best.get(r["text"] or "", -1), r["doc_id"] if r["doc_id"] is not None else -1)
+    assert {(r["doc_id"] if r["doc_id"] is not None else -1, r["text"] or "") for r in after} == {(d, t) for t, d in best.items()}
+    assert len(after) == len(best)
+
+    before, after = tables[2][1], tables[2][2].collect()
+    prints = [simhash.fingerprint(r["text"]) % 2**64 for r in before]
+    root = list(range(len(prints)))
+    for i in range(len(prints)):
+        for j in range(i):
+            if bin(prints[i] ^ prints[j]).count("1") <= 2:
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    least = {}
+    for r, g in zip(before, root):
+        if r["doc_id"] is not None:
+            least[g] = min(least.get(g, r["doc_id"]), r["doc_id"])
+    assert rows_of(after) == rows_of(r for r, g in zip(before, root) if r["doc_id"] == least.get(g))
+
+    before, after = tables[3][1], tables[3][2].collect()
+    n = lambda t: len((t or "").encode().split())
+    assert abs(sum(n(r["text"]) for r in after) / sum(n(r["text"]) for r in before) - 1.5) < 0.02
+    assert max(Counter(r["doc_id"] for r in after).values()) <= mixing.EPOCHS
+
+    before, after = tables[4][1], tables[4][2].collect()
+    assert Counter(r["doc_id"] for r in after if r["piece"] == 0) == Counter(r["doc_id"] for r in before)
+
+
+def test_run_gives_the_last_stage(spark, folder):
+    assert corpus_pipeline.run(spark, folder[0]).columns[:5] == ["doc_id", "piece", "start", "length", "ids_crc32"]
