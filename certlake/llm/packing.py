@@ -21,6 +21,7 @@ import pyarrow as pa
 import public_tokenizers
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 from tokenizers import Tokenizer
 
 from certlake.llm.common import stored
@@ -200,7 +201,7 @@ def packed(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     ranked = ranked.withColumn("__rank", F.col("__base") + F.col("__inside")).drop("__part", "__of", "__length", "__inside", "__base")
 
     names = [c for c in ranked.columns if c != "__rank"]
-    schema = cut.schema.add("sequence_id", "long").add("offset", "long")
+    schema = StructType([*cut.schema.fields, StructField("sequence_id", LongType()), StructField("offset", LongType())])
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -1,6 +1,6 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-A linear model over the words of a text is trained from confirmed toxic texts and from
+A linear model over the words of a text and their beginnings is trained from confirmed toxic texts and from
 texts of which nothing is known. With `prior` the share of toxic texts, the risk on clean texts
 is what the unlabelled ones show less what the toxic ones among them must add. A
 flexible model can drive that difference below zero; where it would, the step goes the other way.
@@ -11,37 +11,87 @@ single pass over the table that moves nothing but the scores.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from certlake.llm.common import doc_crc, stored
 
 #: Bounds of the sample: toxic texts, unlabelled texts, labelled texts that set the scale.
 TOXIC_ROWS, UNLABELLED_ROWS, SCALE_ROWS = 4_000, 8_000, 4_000
-#: The model's words: the most frequent of the sample, in so many of its texts at least.
-WORDS, LEAST_TEXTS = 30_000, 4
+#: Beginnings of words that are features beside the whole words, in characters.
+STEMS = range(3, 8)
+#: The model's features: those whose frequencies in toxic and unlabelled texts differ most, by
+#: so many standard errors at least, in so many texts of the sample at least.
+FEATURES, STANDARD_ERRORS, LEAST_TEXTS = 5_000, 4.0, 5
+#: Words beyond which a feature counts by its share of the text.
+PER = 50
+#: Words remembered with their features by a Python worker.
+REMEMBERED = 300_000
 #: Full steps of gradient descent, their size, and the weight of the squared weights.
-STEPS, RATE, RIDGE = 150, 0.08, 3e-4
+STEPS, RATE, RIDGE = 300, 0.08, 3e-5
 THRESHOLD = 0.3
 
 
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+
+
+def features_of(word: str) -> list[str]:
+    """The word without marks around it, and how it begins; beginnings end in a hyphen."""
+    bare = word.strip(_MARKS)
+    return [bare, *(bare[:n] + "-" for n in STEMS if n < len(bare))] if bare else []
+
+
+def words_of(text: str | None) -> list[bytes]:
+    return (text or "").encode().lower().split()
+
+
+_known: dict[str, dict[bytes, tuple[int, ...]]] = {}
+
+
 @dataclass
 class Model:
-    """Log-odds of a text: bias plus the weights of its distinct words, then scale and shift."""
+    """Log-odds of a text: bias plus the weights of its distinct features, then scale and shift."""
 
-    weights: dict[bytes, float]
+    number: dict[str, int]
+    weights: np.ndarray
     bias: float
     scale: float
     shift: float
+    key: str = field(default_factory=lambda: uuid.uuid4().hex)
+
+    def found(self, text: str | None) -> tuple[list[int], list[float]]:
+        """Numbers and values of the text's features that the model knows.
+
+        A value is how often a feature comes, per PER words where the text has far more of them.
+        """
+        if self.key not in _known:
+            _known.clear()
+        known = _known.setdefault(self.key, {})
+        if len(known) > REMEMBERED:
+            known.clear()
+        number, out = self.number, {}
+        words = words_of(text)
+        for word in words:
+            own = known.get(word)
+            if own is None:
+                own = tuple(number[f] for f in features_of(word.decode()) if f in number)
+                if len(word) <= 64:
+                    known[word] = own
+            for k in own:
+                out[k] = out.get(k, 0) + 1
+        numbers = sorted(out)
+        return numbers, [out[k] * PER / (len(words) + PER) for k in numbers]
 
     def score(self, text: str | None) -> float:
-        weights = self.weights
-        total = self.bias + sum(sorted(weights[w] for w in set((text or "").encode().lower().split()) if w in weights))
+        numbers, values = self.found(text)
+        total = self.bias + float(self.weights[numbers] @ np.array(values)) if numbers else self.bias
         return float(1 / (1 + np.exp(-np.clip(self.scale * total + self.shift, -40, 40))))
 
 
@@ -75,60 +125,78 @@ def sample(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]:
     return stored(own.select("text", "part", "toxic", "any")), toxic / max(n, 1)
 
 
-def _vocabulary(rows: DataFrame) -> list[bytes]:
-    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                own = [w for t in whole.slice(at, 256).column(0).to_pylist() for w in set((t or "").encode().lower().split())]
-                yield pa.RecordBatch.from_arrays([pa.array(own, pa.binary())], ["word"])
+def _vocabulary(rows: DataFrame) -> list[str]:
+    """Features whose share of the toxic texts is far from that of the unlabelled ones."""
 
-    counts = rows.select("text").mapInArrow(words, "word binary").groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    return [bytes(r["word"]) for r in counts.where(F.col("n") >= LEAST_TEXTS).orderBy(F.desc("n"), "word").limit(WORDS).collect()]
+    def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 128):
+                batch = whole.slice(at, 128)
+                toxic, any_, out = [], [], []
+                for text, part, unlabelled in zip(*(c.to_pylist() for c in batch.columns)):
+                    own = {f for w in set(words_of(text)) for f in features_of(w.decode())}
+                    out += own
+                    toxic += [int(part == "toxic")] * len(own)
+                    any_ += [int(unlabelled)] * len(own)
+                yield pa.RecordBatch.from_arrays([pa.array(out, pa.string()), pa.array(toxic, pa.int32()), pa.array(any_, pa.int32())], ["feature", "toxic", "any"])
+
+    used = rows.where("part = 'toxic' or any").select("text", "part", "any")
+    n_toxic, n_any = used.agg(F.count_if(F.col("part") == "toxic"), F.count_if("any")).first()
+    if not n_toxic or not n_any:
+        return []
+    counts = used.mapInArrow(features, "feature string, toxic int, any int").groupBy("feature").agg(F.sum("toxic").alias("t"), F.sum("any").alias("u"))
+    both = (F.col("t") + F.col("u")) / float(n_toxic + n_any)
+    error = F.sqrt(both * (1 - both) * (1.0 / n_toxic + 1.0 / n_any))
+    apart = F.abs(F.col("t") / n_toxic - F.col("u") / n_any) / (error + 1e-12)
+    chosen = counts.where(F.col("t") + F.col("u") >= LEAST_TEXTS).withColumn("apart", apart).where(F.col("apart") >= STANDARD_ERRORS)
+    return [r["feature"] for r in chosen.orderBy(F.desc("apart"), "feature").limit(FEATURES).collect()]
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
     """The model, or none where no confirmed toxic text can be learned from."""
     rows, prior = sample(docs, labels)
-    number = {w: k for k, w in enumerate(_vocabulary(rows))}
+    number = {f: k for k, f in enumerate(_vocabulary(rows))}
+    blank = Model(number, np.zeros(len(number)), 0.0, 1.0, 0.0)
 
     def numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [sorted({number[w] for w in (t or "").encode().lower().split() if w in number}) for t in batch.column(0).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(own, pa.list_(pa.int32()))], ["part", "toxic", "any", "words"])
+            numbers, values = zip(*[blank.found(t) for t in batch.column(0).to_pylist()]) if batch.num_rows else ([], [])
+            lists = [pa.array(numbers, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float64()))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *lists], ["part", "toxic", "any", "numbers", "values"])
 
-    got = rows.select("text", "part", "toxic", "any").mapInArrow(numbers, "part string, toxic int, any boolean, words array<int>").toArrow()
+    got = rows.select("text", "part", "toxic", "any").mapInArrow(numbers, "part string, toxic int, any boolean, numbers array<int>, values array<double>").toArrow()
     parts, every = np.array(got["part"].to_pylist(), object), np.array(got["any"].to_pylist(), bool)
     toxic = np.array([t or 0 for t in got["toxic"].to_pylist()], np.int64)
-    words = got["words"].combine_chunks() if got.num_rows else None
-    if words is None or not (parts == "toxic").any():
+    if not (parts == "toxic").any() or not every.any():
         return None
-    sizes = np.diff(words.offsets.to_numpy())
-    row, column = np.repeat(np.arange(len(parts)), sizes), words.values.to_numpy()
-    order = np.lexsort((np.arange(len(row)), row))
-    weights, bias = train(row[order], column[order], len(number), parts == "toxic", every, prior)
-    logits = bias + np.bincount(row, weights[column], len(parts))
+    lists = got["numbers"].to_pylist()
+    row = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    column = np.array([k for x in lists for k in x], np.int64)
+    value = np.array([v for x in got["values"].to_pylist() for v in x], np.float64)
+    weights, bias = train(row, column, value, len(number), parts == "toxic", every, prior)
+    logits = bias + np.bincount(row, weights[column] * value, len(parts))
     scaled = parts == "scale"
     scale, shift = _scaled(logits[scaled], toxic[scaled])
-    return Model({w: float(weights[k]) for w, k in number.items() if weights[k]}, bias, scale, shift)
+    return Model(number, weights, bias, scale, shift)
 
 
-def train(row: np.ndarray, column: np.ndarray, n_words: int, toxic: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
+def train(row: np.ndarray, column: np.ndarray, value: np.ndarray, n_words: int, toxic: np.ndarray, unlabelled: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
     """Weights and bias by non-negative risk with the logistic loss (Adam, full batches)."""
     n = len(toxic)
     weights, bias = np.zeros(n_words + 1), 0.0
     use = (toxic | unlabelled)[row]
-    row, column = row[use], column[use]
+    row, column, value = row[use], column[use], value[use]
     p, u = toxic / max(toxic.sum(), 1), unlabelled / max(unlabelled.sum(), 1)
     weights[-1] = np.log(max(prior, 1e-3) / max(1 - prior, 1e-3))
     first, second = np.zeros_like(weights), np.zeros_like(weights)
     for step in range(1, STEPS + 1):
-        g = weights[-1] + np.bincount(row, weights[column], n)
+        g = weights[-1] + np.bincount(row, weights[column] * value, n)
         wrong = 1 / (1 + np.exp(np.clip(g, -40, 40)))  # slope of the loss on toxic, 1 - wrong on clean
         loss_clean = np.logaddexp(0, g)
         clean_risk = u @ loss_clean - prior * (p @ loss_clean)
         slope_clean = (u - prior * p) * (1 - wrong)
         slope = -prior * p * wrong + slope_clean if clean_risk >= 0 else -slope_clean
-        gradient = np.append(np.bincount(column, slope[row], n_words), slope.sum())
+        gradient = np.append(np.bincount(column, slope[row] * value, n_words), slope.sum())
         gradient[:-1] += RIDGE * weights[:-1]
         first = 0.9 * first + 0.1 * gradient
         second = 0.999 * second + 0.001 * gradient**2
@@ -167,7 +235,7 @@ def scored(docs: DataFrame, model: Model | None) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())], [*names, "score"])
 
     own = docs.select(*[f"`{c}`" for c in names])
-    return own.mapInArrow(score, own.schema.add("score", "double"))
+    return own.mapInArrow(score, StructType([*own.schema.fields, StructField("score", DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -65,7 +65,7 @@ def test_correction_never_goes_below_zero():
     toxic = np.arange(200) < 40
     row_, column = np.repeat(np.arange(200), 5), rng.integers(0, 50, 1000)
     column[:200] = rng.integers(40, 50, 200)
-    weights, bias = toxicity.train(row_, column, 50, toxic, ~toxic, 0.2)
+    weights, bias = toxicity.train(row_, column, np.ones(1000), 50, toxic, ~toxic, 0.2)
     g = bias + np.bincount(row_, weights[column], 200)
     assert auc(g, toxic) > 0.9 and np.isfinite(g).all()
 
