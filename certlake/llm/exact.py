@@ -24,8 +24,13 @@ SPREAD = 16
 
 DIGESTS = "doc_id long, digest string, file string, row long"
 
-_PROVIDER = "spark.sql.streaming.stateStore.providerClass"
-_ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+_STATE = "spark.sql.streaming.stateStore."
+#: State on disk; each batch adds its changes to a log, and no file takes space in advance.
+_ON_DISK = {
+    f"{_STATE}providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    f"{_STATE}rocksdb.changelogCheckpointing.enabled": "true",
+    f"{_STATE}rocksdb.allowFAllocate": "false",
+}
 
 
 def sha256(text: Column) -> Column:
@@ -44,12 +49,17 @@ def located(docs: DataFrame, digest: Callable[[Column], Column] = sha256) -> Dat
 
 @contextmanager
 def _disk_backed(spark: SparkSession) -> Iterator[None]:
-    before = spark.conf.get(_PROVIDER)
-    spark.conf.set(_PROVIDER, _ROCKSDB)
+    before = {name: spark.conf.get(name, None) for name in _ON_DISK}
+    for name, value in _ON_DISK.items():
+        spark.conf.set(name, value)
     try:
         yield
     finally:
-        spark.conf.set(_PROVIDER, before)
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
 def follow(digests: DataFrame, checkpoint: str, out: str) -> None:
