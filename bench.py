@@ -50,7 +50,7 @@ def main() -> None:
     asked = landed("asked", fx.fx_reuse(spark, sf_dir))
     rows = landed("rows", search_names(entries))
     loaded = landed("records", fx.fx_records(spark, sf_dir))
-    sinks.upsert_records(loaded, f"{base}/stored", exists=False)
+    sinks.upsert_records(loaded, f"{base}/stored")
     stored = spark.read.parquet(f"{base}/stored")
     sinks.append_documents(rows, f"{base}/documents")
     n_entries, n_names = entries.count(), rows.count()

@@ -177,6 +177,13 @@ def extension_names(data: bytes, at: int, end: int):
     return found
 
 
+def shown(data: bytes, parts):
+    try:
+        return rfc4514(data, parts)
+    except (ValueError, LookupError):
+        return None
+
+
 def read_tbs(data: bytes, at: int, end: int, details: bool):
     parts = children(data, at, end)
     if parts[0][0] == 0xA0:
@@ -188,19 +195,19 @@ def read_tbs(data: bytes, at: int, end: int, details: bool):
     if (serial[0], algorithm[0], issuer[0], validity[0], subject[0], key[0]) != TBS_TAGS:
         raise ValueError("fields")
     start, stop = children(data, validity[1], validity[2])
-    not_before, not_after = time_text(data, start), time_text(data, stop)
+    not_before, not_after = moment(time_text(data, start)), moment(time_text(data, stop))
     issuer_parts = attributes(data, issuer[1], issuer[2])
     subject_parts = attributes(data, subject[1], subject[2])
 
-    subject_text = issuer_text = None
     try:
         # One undecodable part hides the whole subject, as lazy name decoding does.
         values = [(oid, text(data, value)) for pairs in subject_parts for oid, value in pairs]
         cns = [value for oid, value in values if oid == COMMON_NAME]
-        if details:
-            subject_text, issuer_text = rfc4514(data, subject_parts), rfc4514(data, issuer_parts)
     except (ValueError, LookupError):
         cns = []
+    if details:
+        # Texts for display only: one that can't be written leaves the rest as it is.
+        subject_text, issuer_text = shown(data, subject_parts), shown(data, issuer_parts)
     dns, emails, ips = [], [], []
     for tag, a, b in rest:
         if tag == 0xA3:
@@ -212,7 +219,7 @@ def read_tbs(data: bytes, at: int, end: int, details: bool):
             raise ValueError("trailing fields")
     if not details:
         return cns, dns, emails, ips, None, None, None, None
-    return cns, dns, emails, ips, subject_text, issuer_text, moment(not_before), moment(not_after)
+    return cns, dns, emails, ips, subject_text, issuer_text, not_before, not_after
 
 
 def read_certificate(data: bytes, details: bool = False):

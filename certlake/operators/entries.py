@@ -29,12 +29,13 @@ def latest_tree_heads(heads: DataFrame) -> DataFrame:
 
 
 def page_entries(pages: DataFrame) -> DataFrame:
-    """One row per entry of the pages that carry no error."""
+    """One row per entry of the pages that carry no error, with the page's arrival where it has one."""
+    arrival = [c for c in ("observed_at",) if c in pages.columns]
     good = pages.where("error_message is null").select(
-        "log_url", "start", F.posexplode("entries").alias("_pos", "_entry")
+        "log_url", "start", *arrival, F.posexplode("entries").alias("_pos", "_entry")
     )
     return good.select(
-        "log_url", (F.col("start") + F.col("_pos")).alias("entry_index"), F.col("_entry.leaf_input").alias("leaf_input")
+        "log_url", (F.col("start") + F.col("_pos")).alias("entry_index"), F.col("_entry.leaf_input").alias("leaf_input"), *arrival
     )
 
 
@@ -66,11 +67,19 @@ def plan_ranges(heads: DataFrame, tail: int | None = None, batch: int = DEFAULT_
 
 
 def missing_ranges(planned: DataFrame, pages: DataFrame) -> DataFrame:
-    """Planned ranges of which no page arrived."""
+    """Planned ranges of which no page arrived. A page may be shorter than asked for: what it
+    leaves out is a gap (`index_gaps`), and `replan_gaps` asks for it again."""
     arrived = pages.where("error_message is null").select("log_url", F.col("start").alias("range_start"))
     return planned.join(arrived, ["log_url", "range_start"], "left_anti")
 
 
+def replan_gaps(gaps: DataFrame, batch: int = DEFAULT_BATCH) -> DataFrame:
+    """`log_url, range_start, range_end` (inclusive) of at most `batch` indices that fill the gaps."""
+    ranges = explode_steps(gaps, F.col("gap_start"), F.col("gap_end") + 1, batch, "range_start")
+    end = F.least(F.col("range_start") + (batch - 1), F.col("gap_end"))
+    return ranges.select("log_url", "range_start", end.alias("range_end"))
+
+
 def index_gaps(entries: DataFrame, heads: DataFrame) -> DataFrame:
     """`log_url, gap_start, gap_end` (inclusive): maximal runs of indices below the tree
     size that were not received.

@@ -58,14 +58,15 @@ def observed(certificates: DataFrame, observation: Observation | str = "counters
 
 
 def counters_by_window(
-    certificates: DataFrame, width: str = "30 seconds", late: str | None = None
+    certificates: DataFrame, width: str = "30 seconds", late: str | None = None, at: str = "observed_at"
 ) -> DataFrame:
-    """Counters per tumbling window of the entries' own time, for batch or stream.
+    """Counters per tumbling window of the entries' arrival, for batch or stream.
 
-    A stream that appends needs `late`, how long a window waits for older entries; it also
-    bounds the windows kept open.
+    Rejected entries have no time of their own but they did arrive, so all are counted. Those
+    without an arrival time fall into the window of the epoch. A stream that appends needs
+    `late`, how long a window waits for older entries; it also bounds the windows kept open.
     """
-    timed = certificates.where("ts is not null").withColumn("at", F.timestamp_millis("ts"))
+    timed = certificates.withColumn("at", F.coalesce(at, F.timestamp_seconds(F.lit(0))))
     if late is not None:
         timed = timed.withWatermark("at", late)
     return timed.groupBy(F.window("at", width).alias("w")).agg(*counter_columns()).select(

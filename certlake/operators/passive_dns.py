@@ -9,6 +9,7 @@ from certlake.functions import dns as fd
 from certlake.functions import names as nm
 from certlake.operators.once import broadcast_if_small
 from certlake.operators.ordered import successive
+from certlake.session import written
 
 HOUR = 3600
 RECORD_KEYS = ("d", "ts", "t", "ttl", "w", "i", "ii", "c", "r", "e", "h")
@@ -39,9 +40,15 @@ def latest_answers(answers: DataFrame) -> DataFrame:
     return answers.groupBy("domain").agg(newest.alias("_a")).select("domain", "_a.*")
 
 
-def resolve(targets: DataFrame, answers: DataFrame) -> DataFrame:
+def resolve(targets: DataFrame, answers: DataFrame, attempted_at: Column | int | None = None) -> DataFrame:
     """Each (domain, sha1) with its answer or error, in the shape `record_documents` takes.
 
+    Every record has a time: the answer's, or that of the attempt (epoch seconds, now by
+    default), at which internal names are turned away and missing answers are found missing.
+
+    One name may stand on a third of all certificates. The newest answers are written as a
+    table, so the join has plain shuffles on both sides and adaptive execution splits that name.
+
     Internal names look up a key that no answer has, spread like the names themselves (a
     NULL key would send them all to one task). An answer without addresses and without an
     error, or no answer at all, is an `unknown` error.
@@ -49,7 +56,8 @@ def resolve(targets: DataFrame, answers: DataFrame) -> DataFrame:
     internal = nm.is_internal(F.col("domain"))
     lookup = F.when(internal, F.concat(F.lit("\x00"), "domain")).otherwise(F.col("domain"))
     marked = targets.select("domain", "sha1", internal.alias("_internal"), lookup.alias("_lookup"))
-    newest = latest_answers(answers).withColumnRenamed("domain", "_lookup")
+    newest = written(latest_answers(answers).withColumnRenamed("domain", "_lookup"))
+    attempt = F.unix_timestamp() if attempted_at is None else attempted_at if isinstance(attempted_at, Column) else F.lit(attempted_at)
     joined = marked.join(newest, "_lookup", "left")
     found = nm.nonempty(F.col("ips")).isNotNull() & F.col("error_message").isNull()
     error = (
@@ -61,7 +69,7 @@ def resolve(targets: DataFrame, answers: DataFrame) -> DataFrame:
         "domain", "sha1",
         F.when(found, F.col("ips")).alias("ips"),
         F.when(found, F.col("ttl")).otherwise(F.lit(fd.DEFAULT_TTL)).alias("ttl"),
-        error.alias("error"), "resolver", "ts",
+        error.alias("error"), "resolver", F.coalesce("ts", attempt.cast("bigint")).alias("ts"),
     )
 
 
@@ -93,7 +101,7 @@ def upserted(records: DataFrame) -> DataFrame:
 
 def _newest(records: DataFrame, keys: list[str]) -> DataFrame:
     fields = [c for c in records.columns if c not in keys]
-    ties = [c for c in ("h", "ttl", "e") if c in fields]
+    ties = [c for c in ("_written", "h", "ttl", "e") if c in fields]
     newest = F.max_by(F.struct(*fields), F.struct("ts", *ties))
     return records.groupBy(*keys).agg(newest.alias("_r")).select(*keys, "_r.*")
 

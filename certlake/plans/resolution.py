@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 from certlake.operators import passive_dns as pd
+from certlake.operators import reuse
+from certlake.session import written
 
 
 def targets(rows: DataFrame, limit: int = 3) -> DataFrame:
@@ -12,5 +15,16 @@ def targets(rows: DataFrame, limit: int = 3) -> DataFrame:
     return pd.expand_wildcards(pd.distinct_targets(pd.names_to_resolve(rows)), limit)
 
 
-def dns_records(rows: DataFrame, answers: DataFrame, limit: int = 3) -> DataFrame:
-    return pd.record_documents(pd.resolve(targets(rows, limit), answers))
+def dns_records(rows: DataFrame, answers: DataFrame, limit: int = 3, attempted_at: Column | int | None = None) -> DataFrame:
+    return pd.record_documents(pd.resolve(targets(rows, limit), answers, attempted_at))
+
+
+def answered_requests(requests: DataFrame, answers: DataFrame, ttl: int = 300) -> DataFrame:
+    """Requests `domain, sha1, ts, seq` as they end: `hit` where an answer is reused, else the
+    error (or none) that resolving the name at that time gives."""
+    served = reuse.reuse_within_ttl(requests, ttl)
+    names = requests.select("domain", "sha1").distinct()
+    found = pd.resolve(names, answers).select(F.col("domain").alias("_d"), F.col("sha1").alias("_s"), "error")
+    same = served["domain"].eqNullSafe(F.col("_d")) & served["sha1"].eqNullSafe(F.col("_s"))
+    joined = served.join(written(found), same, "left").drop("_d", "_s")
+    return joined.withColumn("error", F.when(~F.col("hit"), F.col("error")))

@@ -7,7 +7,7 @@ TREE_HEADS = "log_url string, tree_size bigint, timestamp bigint, observed_at ti
 # `extra_data` exists in landed pages and is left out: nothing reads it, so it is never parsed.
 ENTRY_PAGES = (
     "log_url string, start bigint, "
-    "entries array<struct<leaf_input: string>>, error_message string"
+    "entries array<struct<leaf_input: string>>, error_message string, observed_at timestamp"
 )
 
 RAW_ENTRIES = "log_url string, entry_index bigint, leaf_input string"

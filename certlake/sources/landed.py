@@ -28,6 +28,8 @@ def stream_entry_pages(spark: SparkSession, path: str, max_files: int | None = N
     return reader.json(path)
 
 
-def read_by_day(spark: SparkSession, root: str) -> DataFrame:
-    """A stored table of all days; filters on `day` prune whole folders."""
-    return spark.read.parquet(root)
+def read_by_day(spark: SparkSession, root: str, columns: str | None = None) -> DataFrame:
+    """A stored table of all days; filters on `day` prune whole folders. With `columns` given, no
+    file is opened to infer them, and a table without rows can be read too."""
+    reader = spark.read if columns is None else spark.read.schema(f"{columns}, day date")
+    return reader.parquet(root)

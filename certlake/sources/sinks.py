@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from certlake.functions.dns import day_of_seconds
 from certlake.operators.certs import RESULT_KEYS, minimal_documents, with_day
 from certlake.operators.passive_dns import ipv4_table, upserted
-from certlake.session import shared_dir
-
-
+from certlake.schemas import DNS_RECORDS
+from certlake.sources.landed import read_by_day
 
 def write_json(rows: DataFrame, path: str, mode: str = "append") -> None:
     """JSON lines; keys without a value are left out."""
@@ -36,29 +37,67 @@ def append_documents(rows: DataFrame, root: str) -> None:
     by_day(documents).write.mode("append").partitionBy("day").parquet(root)
 
 
-def upsert_records(records: DataFrame, root: str, exists: bool = True) -> None:
-    """DNS records by day, one per (day, `h`): the newest replaces the stored one.
+_PENDING = "_pending-"
+
+
+def finish_pending(spark: SparkSession, root: str) -> None:
+    """Ends upserts that were stopped while they published, and drops those that never staged all.
+
+    Publishing moves one day after the other from the staged folder, so a stopped one has
+    every row either in its place or still staged.
+    """
+    fs, path = _file_system(spark, root)
+    if not fs.exists(path):
+        return
+    for status in fs.listStatus(path):
+        staged = status.getPath()
+        if staged.getName().startswith(_PENDING):
+            if fs.exists(_child(spark, staged, "_SUCCESS")):
+                _publish(spark, fs, staged, path)
+            else:
+                fs.delete(staged, True)
+
+
+def _file_system(spark: SparkSession, root: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(root)
+    return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), path
+
+
+def _child(spark: SparkSession, path, name: str):
+    return spark._jvm.org.apache.hadoop.fs.Path(path, name)
+
+
+def _publish(spark: SparkSession, fs, staged, path) -> None:
+    for day in fs.listStatus(staged):
+        name = day.getPath().getName()
+        if name.startswith("day="):
+            fs.delete(_child(spark, path, name), True)
+            fs.rename(day.getPath(), _child(spark, path, name))
+    fs.delete(staged, True)
+
+
+def upsert_records(records: DataFrame, root: str) -> None:
+    """DNS records by day, one per (day, `h`): the newest replaces the stored one, and of equally
+    new ones the one written last. A record without a time is an error: it has no day.
 
-    Only days with new records are rewritten. The merged days go to a staging folder first,
-    so no plan reads files that it replaces; repeating a failed call gives the same table.
+    Only days with new records are read and rewritten. They are staged whole inside the table's
+    folder and then take their places day by day; if that is stopped, the next call (or
+    `finish_pending`) ends it first. A repeated call gives the same table.
     """
     spark = records.sparkSession
-    merged = records.drop("day")
-    if exists:
-        stored = spark.read.parquet(root)
-        touched = records.select(day_of_seconds(records["ts"]).alias("day")).distinct()
-        kept = stored.join(touched, "day", "left_semi").drop("day")
-        merged = kept.unionByName(merged)
-    staging = f"{shared_dir(spark)}/staged"
-    by_day(upserted(merged)).write.partitionBy("day").parquet(staging)
-    (
-        spark.read.parquet(staging)
-        .sortWithinPartitions("day", "d")
-        .write.mode("overwrite")
-        .option("partitionOverwriteMode", "dynamic")
-        .partitionBy("day")
-        .parquet(root)
-    )
+    finish_pending(spark, root)
+    timed = F.coalesce("ts", F.raise_error(F.lit("a record without a time has no day")).cast("bigint"))
+    merged = records.drop("day").withColumn("ts", timed).withColumn("_written", F.lit(1))
+    touched = [r["day"] for r in merged.select(day_of_seconds(F.col("ts")).alias("day")).distinct().collect()]
+    if not touched:
+        return
+    fs, path = _file_system(spark, root)
+    if fs.exists(path):
+        kept = read_by_day(spark, root, DNS_RECORDS).where(F.col("day").isin(touched)).drop("day")
+        merged = kept.withColumn("_written", F.lit(0)).unionByName(merged, allowMissingColumns=True)
+    staging = f"{root.rstrip('/')}/{_PENDING}{uuid.uuid4().hex}"
+    by_day(upserted(merged).drop("_written")).write.partitionBy("day").parquet(staging)
+    _publish(spark, fs, spark._jvm.org.apache.hadoop.fs.Path(staging), path)
 
 
 def write_addresses(records: DataFrame, root: str, mode: str = "append") -> None:

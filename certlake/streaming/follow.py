@@ -12,6 +12,7 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from certlake.functions import names as nm
 from certlake.operators.certs import RESULT_KEYS, minimal_documents, with_day
 from certlake.operators.entries import page_entries
+from certlake.operators.reuse import reuse_within_ttl
 from certlake.plans.search import search_names
 from certlake.sources.landed import stream_entry_pages
 from certlake.sources.sinks import by_day, upsert_records, write_json
@@ -50,9 +51,39 @@ def parquet_writer(rows: DataFrame, path: str) -> DataStreamWriter:
     return rows.writeStream.format("parquet").option("path", path)
 
 
-def distinct_within(requests: DataFrame, time_column: str, ttl: str = "5 minutes") -> DataFrame:
-    """First request of each (domain, sha1) within a time to live, with bounded state."""
-    return requests.withWatermark(time_column, ttl).dropDuplicatesWithinWatermark(["domain", "sha1"])
+def fresh_batches(root: str, ttl: int = 300) -> Callable[[DataFrame, int], None]:
+    """Requests `domain, sha1, ts, seq` that no answer younger than `ttl` seconds serves.
+
+    What is carried from batch to batch is the last fresh request of each key, and only while
+    it can still serve one: a key that is silent for `ttl` seconds leaves the state. Requests
+    should come in batches by time; one that comes late is judged by what its batch and the
+    state know. Batches write folders of their own number, so a repeated one replaces itself.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        columns = ("domain", "sha1", "ts", "seq")
+        kept = batch.select(*columns).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            known = kept.withColumn("carried", F.lit(False))
+            if batch_id:
+                state = spark.read.schema("domain string, sha1 string, ts bigint").parquet(f"{root}/state/batch={batch_id - 1}")
+                carried = state.withColumn("seq", F.lit(-1).cast("bigint")).withColumn("carried", F.lit(True))
+                known = known.unionByName(carried)
+            served = reuse_within_ttl(known, ttl).persist(StorageLevel.MEMORY_AND_DISK)
+            try:
+                fresh = served.where("not hit and not carried").select(*columns)
+                fresh.write.mode("overwrite").parquet(f"{root}/fresh/batch={batch_id}")
+                newest = served.agg(F.max("ts")).first()[0]
+                last = served.where("not hit and ts is not null").groupBy("domain", "sha1").agg(F.max("ts").cast("bigint").alias("ts"))
+                alive = last.where(F.col("ts") + ttl > (newest or 0))
+                alive.write.mode("overwrite").parquet(f"{root}/state/batch={batch_id}")
+            finally:
+                served.unpersist()
+        finally:
+            kept.unpersist()
+
+    return write
 
 
 def batch_writer(rows: DataFrame, write: Callable[[DataFrame, int], None]) -> DataStreamWriter:
@@ -76,7 +107,7 @@ def record_batches(root: str) -> Callable[[DataFrame, int], None]:
     def write(batch: DataFrame, batch_id: int) -> None:
         kept = batch.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            upsert_records(kept, root, exists=batch_id > 0)
+            upsert_records(kept, root)
         finally:
             kept.unpersist()
 

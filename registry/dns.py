@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 from certlake.functions import dns as fd
 from certlake.operators import passive_dns as pd
 from certlake.operators import reuse
-from certlake.plans.resolution import dns_records, targets
+from certlake.plans.resolution import answered_requests, dns_records, targets
 from registry.catalog import query
 from registry.decode import rows
-from registry.fixtures import duck, fx_answers, fx_answers_raw, fx_records, fx_reuse, table
+from registry.fixtures import BASE_S, duck, fx_answers, fx_answers_raw, fx_records, fx_reuse, table
 
 DOMAIN, ADDRESS, CERT = "www.shop3.example.com", "104.16.0.3", sha1(b"cert3-1").hexdigest()
 
@@ -89,15 +89,17 @@ def distinct_targets(spark, sf_dir):
 
 _EXPANDED = f"""select unnest(case when starts_with(domain, '*.') then [substr(domain, 3), concat('www.', substr(domain, 3)), concat('mail.', substr(domain, 3))]
                  else [domain] end) as domain, sha1 from ({_TARGETS})"""
+#: When the names were asked for, as epoch seconds.
+ATTEMPT = BASE_S + 40 * 86400
 _RESOLVED = f"""select t.domain, t.sha1, case when a.error_message is null then a.ips end as ips, case when a.error_message is null and a.ips is not null then a.ttl else 3600 end as ttl,
     case when regexp_matches(t.domain, '[.](local|internal|lan|home|corp|private)$') then 'internal_domain' when a.domain is null then 'unknown'
-      when a.error_message is null then null when lower(a.error_message) = 'nxdomain' then 'nxdomain' when lower(a.error_message) = 'timeout' then 'timeout' else 'unknown' end as error, a.ts
+      when a.error_message is null then null when lower(a.error_message) = 'nxdomain' then 'nxdomain' when lower(a.error_message) = 'timeout' then 'timeout' else 'unknown' end as error, coalesce(a.ts, {ATTEMPT}) as ts
     from ({_EXPANDED}) t left join (select domain, unnest(arg_max({{'ips': ips, 'ttl': ttl, 'error_message': error_message, 'ts': ts}}, ts)) from fx_answers group by domain) a on a.domain = t.domain"""
 
 
 @query("F1_name_enrichment", duck(_RESOLVED, "fx_rows", "fx_answers"))
 def name_enrichment(spark, sf_dir):
-    resolved = pd.resolve(targets(rows(spark, sf_dir)), fx_answers(spark, sf_dir))
+    resolved = pd.resolve(targets(rows(spark, sf_dir)), fx_answers(spark, sf_dir), ATTEMPT)
     return resolved.select("domain", "sha1", "ips", "ttl", "error", "ts")
 
 
@@ -110,11 +112,11 @@ def name_enrichment(spark, sf_dir):
     ),
 )
 def name_records(spark, sf_dir):
-    return dns_records(rows(spark, sf_dir), fx_answers(spark, sf_dir)).select("d", "ts", "i", "ttl", "e", "c", "h")
+    return dns_records(rows(spark, sf_dir), fx_answers(spark, sf_dir), attempted_at=ATTEMPT).select("d", "ts", "i", "ttl", "e", "c", "h")
 
 
 # Fresh answers: from each one, the first request at least 300 s later, found by an as-of join.
-_FRESH = """+ seconds as materialized (select domain, sha1, ts, min(seq) as first_seq from fx_reuse group by all),
+FRESH = """+ seconds as materialized (select domain, sha1, ts, min(seq) as first_seq from fx_reuse group by all),
   following as materialized (select s.domain, s.sha1, s.ts, n.ts as next from seconds s asof join seconds n
     on s.domain = n.domain and s.sha1 = n.sha1 and s.ts + 300 <= n.ts),
   fresh(domain, sha1, ts) as (select domain, sha1, min(ts) from seconds group by domain, sha1
@@ -124,14 +126,14 @@ _FRESH = """+ seconds as materialized (select domain, sha1, ts, min(seq) as firs
     asof join fresh m on r.domain = m.domain and r.sha1 = m.sha1 and r.ts >= m.ts) """
 
 
-@query("F2_reuse_within_ttl", duck(_FRESH + "select seq, domain, sha1, ts, answered_at, hit from outcome", "fx_reuse", recursive=True))
+@query("F2_reuse_within_ttl", duck(FRESH + "select seq, domain, sha1, ts, answered_at, hit from outcome", "fx_reuse", recursive=True))
 def reuse_within_ttl(spark, sf_dir):
     return reuse.reuse_within_ttl(fx_reuse(spark, sf_dir)).select("seq", "domain", "sha1", "ts", "answered_at", "hit")
 
 
 @query(
     "E7_hit_rate",
-    duck(_FRESH + """select count(*) filter (hit) as hits, count(*) filter (not hit) as misses,
+    duck(FRESH + """select count(*) filter (hit) as hits, count(*) filter (not hit) as misses,
                        round(100.0::double * count(*) filter (hit) / count(*), 4) as hit_rate from outcome""", "fx_reuse", recursive=True),
 )
 def hit_rate(spark, sf_dir):
@@ -169,7 +171,7 @@ def range_join(spark, sf_dir):
 )
 def certificate_addresses(spark, sf_dir):
     found = rows(spark, sf_dir)
-    records = dns_records(found, fx_answers(spark, sf_dir))
+    records = dns_records(found, fx_answers(spark, sf_dir), attempted_at=ATTEMPT)
     return pd.certificate_addresses(found, records).select("sha1", "name", "cn", "i", "resolved_at")
 
 
@@ -185,14 +187,27 @@ def record_statistics(spark, sf_dir):
     return pd.record_statistics(fx_records(spark, sf_dir))
 
 
-@query("E4_approximate_statistics")
+# Estimates are compared with the exact totals in the query itself; SQL states that all are near.
+_NEAR = "select true as total_records, true as unique_domains, true as unique_ips, true as unique_certificates"
+
+
+def near(estimated, exact):
+    names = ("total_records", "unique_domains", "unique_ips", "unique_certificates")
+    one = F.lit(1).alias("one")
+    both = estimated.select("*", one).join(exact.select(one, *[F.col(n).alias(f"_{n}") for n in names]), "one")
+    return both.select(*[(F.abs(F.col(n) - F.col(f"_{n}")) <= 0.05 * F.col(f"_{n}")).alias(n) for n in names])
+
+
+@query("E4_approximate_statistics", _NEAR)
 def approximate_statistics(spark, sf_dir):
-    return pd.approximate_statistics(fx_records(spark, sf_dir))
+    records = fx_records(spark, sf_dir)
+    return near(pd.approximate_statistics(records), pd.record_statistics(records))
 
 
-@query("E4_daily_sketches")
+@query("E4_daily_sketches", _NEAR)
 def merged_sketches(spark, sf_dir):
-    return pd.merged_statistics(pd.daily_sketches(fx_records(spark, sf_dir)))
+    records = fx_records(spark, sf_dir)
+    return near(pd.merged_statistics(pd.daily_sketches(records)), pd.record_statistics(records))
 
 
 _BY_IP = f"""select d, count(*) as records, max(ts) as ts from fx_records where list_contains(i, '{ADDRESS}') group by d"""
@@ -208,18 +223,37 @@ def lookup_ip(spark, sf_dir):
     return pd.lookup_ip(fx_records(spark, sf_dir), ADDRESS).select("d", "records", "ts")
 
 
+def app_answers(spark, sf_dir):
+    """The failed and good answers of the customers, under the names that the requests ask for."""
+    landed = fx_answers(spark, sf_dir).where("domain like 'shop%'")
+    number = F.regexp_extract("domain", "[0-9]+", 0).cast("int")
+    return landed.withColumn("domain", F.concat(F.lit("app"), number % 4, F.when(number % 4 == 3, ".corp").otherwise(".example.com")))
+
+
+def asked(spark, sf_dir):
+    """Requests whose fourth name is internal."""
+    return fx_reuse(spark, sf_dir).withColumn("domain", F.regexp_replace("domain", "^app3[.].*", "app3.corp"))
+
+
 @query(
     "E6_resolution_outcomes",
     duck(
-        _FRESH + """select count(*) filter (not hit) as total_queries, count(*) filter (not hit and seq % 5 <> 0 and seq % 7 <> 0) as successful,
-                      count(*) filter (not hit and seq % 5 = 0) as failed, count(*) filter (hit) as cached from outcome""",
-        "fx_reuse", recursive=True,
+        FRESH + """, newest as (select concat('app', cast(regexp_extract(domain, '[0-9]+') as int) % 4, '.example.com') as domain,
+                        (arg_max({'m': error_message}, ts)).m as message from fx_answers where domain like 'shop%' group by 1),
+                    ended as (select o.hit, case when o.domain = 'app3.example.com' then 'internal_domain' else n.message end as error
+                        from outcome o left join newest n on n.domain = o.domain)
+                    select count(*) filter (not hit) as total_queries, count(*) filter (not hit and error is null) as successful,
+                      count(*) filter (not hit and error is not null and error <> 'internal_domain') as failed, count(*) filter (hit) as cached from ended""",
+        "fx_reuse", "fx_answers", recursive=True,
     ),
 )
 def resolution_outcomes(spark, sf_dir):
-    served = reuse.reuse_within_ttl(fx_reuse(spark, sf_dir))
-    outcome = served.withColumn("error", F.expr("case when seq % 5 = 0 then 'timeout' when seq % 7 = 0 then 'internal_domain' end"))
-    return pd.resolution_outcomes(outcome)
+    return pd.resolution_outcomes(answered_requests(asked(spark, sf_dir), app_answers(spark, sf_dir)))
+
+
+@query("F2_reuse_for_a_day", duck(FRESH.replace("300", "86400") + "select seq, domain, sha1, ts, answered_at, hit from outcome", "fx_reuse", recursive=True))
+def reuse_for_a_day(spark, sf_dir):
+    return reuse.reuse_within_ttl(fx_reuse(spark, sf_dir), 86400).select("seq", "domain", "sha1", "ts", "answered_at", "hit")
 
 
 @query("E6_wildcards_expanded", duck(f"select count(*) as wildcards_expanded from ({_TARGETS}) where starts_with(domain, '*.')", "fx_rows"))

@@ -1,9 +1,11 @@
 """Counters and rates of the decode job."""
 
-from certlake.operators import metrics
+from pyspark.sql import functions as F
+
+from certlake.operators import certs, metrics
 from registry.catalog import query
 from registry.decode import certificates
-from registry.fixtures import duck
+from registry.fixtures import BASE_S, duck, fx_entries
 
 _TOTALS = """select count(*) as processed, count(*) filter (reject is null) as input, count(*) filter (reject = 'base64') as errors,
                (select cast(sum(len(names)) as bigint) from fx_certs) as output from fx_orders"""
@@ -43,14 +45,24 @@ def counters_by_log(spark, sf_dir):
     return metrics.counters_by_log(certificates(spark, sf_dir, keep_rejects=True))
 
 
+# When an entry's page arrived, in both engines.
+_ARRIVED = f"{BASE_S} + {{k}} * 60"
+
+
+def arrival():
+    return F.timestamp_seconds(F.expr(_ARRIVED.format(k="entry_index")))
+
+
 @query(
     "I8_counters_by_window",
     duck(
-        """select (o.ts // 3600000) * 3600 as window_start, count(*) as processed, count(*) filter (reject is null) as input, 0::bigint as errors,
-             cast(coalesce(sum(len(names)), 0) as bigint) as output
-           from fx_orders o left join fx_certs c on c.entry_index = o.k where reject is null or reject = 'der' group by 1""",
+        f"""select (({_ARRIVED.format(k='o.k')}) // 3600) * 3600 as window_start, count(*) as processed, count(*) filter (reject is null) as input,
+             count(*) filter (reject = 'base64') as errors, cast(coalesce(sum(len(names)), 0) as bigint) as output
+           from fx_orders o left join fx_certs c on c.entry_index = o.k group by 1""",
         "fx_orders", "fx_certs",
     ),
 )
 def counters_by_window(spark, sf_dir):
-    return metrics.counters_by_window(certificates(spark, sf_dir, keep_rejects=True), "1 hour")
+    entries = fx_entries(spark, sf_dir).withColumn("observed_at", arrival())
+    decoded = certs.decode_certificates(certs.decode_leaves(entries), keep_rejects=True)
+    return metrics.counters_by_window(decoded, "1 hour")

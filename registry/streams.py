@@ -13,8 +13,10 @@ from certlake.streaming import follow
 from certlake.streaming import health as stream_health
 from registry.catalog import ORACLE, query
 from registry.decode import MINIMAL_SQL
+from registry.dns import FRESH
 from registry.fixtures import duck, fx_entries, fx_records, fx_requests, fx_reuse
 from registry.health import STATE_COLUMNS
+from registry.metrics import arrival
 
 NAME_COLUMNS = ("name", "sha1", "dns", "log_url", "entry_index")
 _ROWS = duck("select name, sha1, dns, log_url, entry_index from fx_rows", "fx_rows")
@@ -23,19 +25,20 @@ _ROWS = duck("select name, sha1, dns, log_url, entry_index from fx_rows", "fx_ro
 def pages(spark, sf_dir):
     """Every log entry as a landed page of one entry."""
     entry = F.array(F.struct("leaf_input")).alias("entries")
-    return fx_entries(spark, sf_dir).select("log_url", F.col("entry_index").alias("start"), entry)
+    columns = fx_entries(spark, sf_dir).withColumn("start", F.col("entry_index"))
+    return columns.withColumn("entries", entry).select("log_url", "start", "entries", "entry_index")
 
 
 def landing(spark, sf_dir):
     base = shared_dir(spark)
-    pages(spark, sf_dir).write.json(f"{base}/landing")
+    pages(spark, sf_dir).drop("entry_index").write.json(f"{base}/landing")
     return base
 
 
 @query("I1_follow", _ROWS)
 def follow_mode(spark, sf_dir):
     """Pages land in two steps while the stream runs."""
-    base, landed = shared_dir(spark), pages(spark, sf_dir)
+    base, landed = shared_dir(spark), pages(spark, sf_dir).drop("entry_index")
     half = F.col("log_url").contains("google")
     landed.where(half).write.json(f"{base}/landing")
     found = follow.follow_names(spark, f"{base}/landing").select(*NAME_COLUMNS)
@@ -68,16 +71,17 @@ def bounded_polling(spark, sf_dir):
     return written.groupBy("log_url").agg(F.count("*").alias("names"))
 
 
-@query("I5_distinct_within_ttl", duck("select distinct domain, sha1 from fx_reuse", "fx_reuse"))
+@query("I5_distinct_within_ttl", duck(FRESH + "select seq, domain, sha1, ts from outcome where not hit", "fx_reuse", recursive=True))
 def distinct_within_ttl(spark, sf_dir):
-    """All requests arrive in one micro-batch, within which a pair passes once."""
-    base = shared_dir(spark)
-    requests = fx_reuse(spark, sf_dir).withColumn("at", F.timestamp_seconds("ts"))
-    requests.write.parquet(f"{base}/requests")
-    stream = spark.readStream.schema(requests.schema).parquet(f"{base}/requests")
-    first = follow.distinct_within(stream, "at")
-    follow.start(follow.parquet_writer(first, f"{base}/first"), f"{base}/checkpoint").awaitTermination()
-    return spark.read.schema(requests.schema).parquet(f"{base}/first").select("domain", "sha1")
+    """Requests arrive in four micro-batches by time; a pair passes again once its answer is old."""
+    base, requests = shared_dir(spark), fx_reuse(spark, sf_dir).select("seq", "domain", "sha1", "ts")
+    low, high = requests.agg(F.min("ts"), F.max("ts")).first()
+    quarter = F.least(F.floor((F.col("ts") - low) * 4 / (high - low + 1)), F.lit(3))
+    for k in range(4):
+        requests.where(quarter == k).write.mode("append").parquet(f"{base}/requests")
+        stream = spark.readStream.schema(requests.schema).parquet(f"{base}/requests")
+        follow.start(follow.batch_writer(stream, follow.fresh_batches(f"{base}/answers")), f"{base}/checkpoint").awaitTermination()
+    return spark.read.schema(requests.schema).parquet(f"{base}/answers/fresh").select("seq", "domain", "sha1", "ts")
 
 
 @query("I6_server_state_stream", ORACLE["I6_server_state"])
@@ -96,12 +100,15 @@ def server_state_stream(spark, sf_dir):
 
 @query("I8_rolling_counters_stream", ORACLE["I8_counters_by_window"])
 def rolling_counters(spark, sf_dir):
-    base = landing(spark, sf_dir)
+    """Windows are appended once they are closed; an entry that arrives days later closes the last."""
+    base = shared_dir(spark)
+    landed = pages(spark, sf_dir).withColumn("observed_at", arrival()).drop("entry_index")
+    landed.write.json(f"{base}/landing")
+    closing = landed.orderBy(F.desc("observed_at")).limit(1).withColumn("observed_at", F.timestamp_add("DAY", F.lit(9), "observed_at"))
+    closing.write.mode("append").json(f"{base}/landing")
     entries = page_entries(stream_entry_pages(spark, f"{base}/landing"))
     decoded = certs.decode_certificates(certs.decode_leaves(entries), keep_rejects=True)
-    windows = counters_by_window(decoded, "1 hour").writeStream.outputMode("complete").foreachBatch(
-        lambda batch, _: batch.write.mode("overwrite").parquet(f"{base}/windows")
-    )
+    windows = follow.parquet_writer(counters_by_window(decoded, "1 hour", late="1 hour"), f"{base}/windows")
     follow.start(windows, f"{base}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{base}/windows")
 

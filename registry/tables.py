@@ -26,7 +26,7 @@ def stored_records(spark, sf_dir):
     """The daily table after two loads: first the failed answers, then all of them."""
     root = f"{shared_dir(spark)}/records"
     records = fx_records(spark, sf_dir)
-    sinks.upsert_records(records.where("e is not null"), root, exists=False)
+    sinks.upsert_records(records.where("e is not null"), root)
     sinks.upsert_records(records, root)
     return read_by_day(spark, root)
 

@@ -28,13 +28,13 @@ def san(dns=(), emails=(), ips=(), raw=()):
     return element(0x30, element(0x06, b"\x55\x1d\x11"), element(0x04, element(0x30, *names)))
 
 
-def tbs(subject=(), extensions=None, version=2):
+def tbs(subject=(), extensions=None, version=2, issuer=None, start=b"240101000000Z"):
     parts = [
         element(0xA0, element(0x02, bytes([version]))),
         element(0x02, b"\x05"),
         ALGORITHM,
-        element(0x30, rdn(CN, "Test CA")),
-        element(0x30, element(0x17, b"240101000000Z"), element(0x18, b"20510101000000Z")),
+        element(0x30, issuer or rdn(CN, "Test CA")),
+        element(0x30, element(0x17, start), element(0x18, b"20510101000000Z")),
         element(0x30, *subject),
         element(0x30, ALGORITHM, element(0x03, b"\x00" + b"\x5a" * 64)),
     ]

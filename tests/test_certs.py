@@ -152,3 +152,20 @@ def test_observed_counters_need_no_second_pass(spark):
     decoded = certs.decode_certificates(certs.decode_leaves(frame), keep_rejects=True)
     certs.reject_rows(metrics.observed(decoded, observation)).write.format("noop").mode("overwrite").save()
     assert observation.get == {"processed": 3, "input": 1, "errors": 1, "output": 1}
+
+
+def test_details_change_no_names_and_no_acceptance(spark):
+    subject, names = [dw.rdn(dw.CN, "a.example")], [dw.san(["b.example"])]
+    leaves = [
+        dw.entry(dw.certificate(subject, names)),
+        dw.entry(dw.certificate(subject, names, issuer=dw.rdn(dw.CN, b"\xff\xfe bad"))),
+        dw.entry(dw.certificate(subject, names, start=b"240231000000Z")),
+    ]
+    seen = []
+    for details in (False, True):
+        decoded = certs.decode_certificates(certs.decode_leaves(entries(spark, leaves)), details=details, keep_rejects=True)
+        seen.append([(r.entry_index, r.decoded, r.cns, r.san_dns, r.reject_reason) for r in decoded.orderBy("entry_index").collect()])
+        shown = {r.entry_index: (r.subject, r.issuer) for r in decoded.collect()}
+    assert seen[0] == seen[1]
+    assert [d for _, d, *_ in seen[0]] == [True, True, False] and seen[0][1][2] == ["a.example"]
+    assert shown[1][0] is not None and shown[1][1] is None

@@ -86,6 +86,68 @@ def test_reuse_follows_the_chain_of_fresh_answers(spark):
     assert rate.hits == sum(h for h, _ in want.values()) and rate.hits + rate.misses == len(rows)
 
 
+def chain(rows, ttl):
+    want, fresh = {}, {}
+    for domain, sha1, at, seq in sorted(rows, key=lambda r: (r[2] or 0, r[3])):
+        if at is None:
+            want[seq] = (False, None)
+            continue
+        key = domain, sha1
+        hit = key in fresh and at < fresh[key] + ttl
+        if not hit:
+            fresh[key] = at
+        want[seq] = (hit, fresh[key])
+    return want
+
+
+def test_reuse_for_any_ttl_span_and_key(spark, monkeypatch):
+    rng = random.Random(9)
+    rows = [("year", "s", 1_700_000_000 + n * 40_000 + rng.randrange(30_000), n) for n in range(1500)]
+    rows += [(rng.choice([None, "", "x"]), rng.choice([None, "", "y"]), 1_700_000_000 + rng.randrange(400_000), 2000 + n) for n in range(1500)]
+    rows += [("none", "s", None, 9000), ("none", None, None, 9001)]
+    frame = spark.createDataFrame(rows, "domain string, sha1 string, ts long, seq long")
+    for entries in (reuse.NODE_ENTRIES, 1000):  # a small fan-in, so that the tree is deep
+        monkeypatch.setattr(reuse, "NODE_ENTRIES", entries)
+        for ttl in (1, 300, 7000, 86_400):
+            got = reuse.reuse_within_ttl(frame, ttl).collect()
+            assert {r.seq: (r.hit, r.answered_at) for r in got} == chain(rows, ttl)
+            assert {r.seq: (r.domain, r.sha1) for r in got} == {r[3]: r[:2] for r in rows}
+
+
+def test_a_hot_name_is_resolved_by_several_tasks(spark):
+    names = spark.range(400_000).selectExpr("case when id % 5 < 4 then 'hot.example' else concat('n', id, '.example') end as domain", "sha1(string(id)) as sha1")
+    landed = spark.range(2000).selectExpr(
+        "case when id = 0 then 'hot.example' else concat('n', id, '.example') end as domain", "array('1.1.1.1') as ips", "60 as ttl",
+        "string(null) as error_message", "'r' as resolver", "id as ts",
+    )
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "1m", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "2m",
+        "spark.sql.shuffle.partitions": "8",
+    }
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        got = pd.resolve(names, landed, 77)
+        found = got.select("domain", "sha1", "ts", "error")
+        found.collect()
+        assert "skew=true" in found._jdf.queryExecution().executedPlan().toString()
+        assert found.where("ts is null").isEmpty() and found.where("domain = 'n1.example'").count() <= 1
+        assert {r.ts for r in found.where("error = 'unknown'").select("ts").distinct().collect()} == {77}
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_gaps_are_asked_for_again(spark):
+    from certlake.operators.entries import replan_gaps
+
+    gaps = spark.createDataFrame([("a", 0, 2), ("a", 10, 34), ("b", 7, 7)], "log_url string, gap_start long, gap_end long")
+    got = sorted(tuple(r) for r in replan_gaps(gaps, 10).collect())
+    assert got == [("a", 0, 2), ("a", 10, 19), ("a", 20, 29), ("a", 30, 34), ("b", 7, 7)]
+
+
 def test_ranges_find_every_member(spark):
     rng = random.Random(6)
     ranges = [("all", 0, 2**32 - 1), ("one", 5, 5), ("top", 2**32 - 3, 2**32 - 1)]

@@ -1,10 +1,13 @@
 import json
+from datetime import date, datetime, timezone
 from pathlib import Path
 
 import der_writer as dw
+import pytest
 
 from certlake.operators.passive_dns import between_days, record_documents
 from certlake.plans.search import search_names
+from certlake.schemas import DNS_RECORDS
 from certlake.sources import landed, sinks
 from certlake.streaming import follow
 from pyspark.sql import functions as F
@@ -19,7 +22,7 @@ def records(spark, rows):
 
 def test_upsert_keeps_one_record_per_day_and_fact(spark, tmp_path):
     root = str(tmp_path / "dns")
-    sinks.upsert_records(records(spark, [("a", ["1.1.1.1"], "c", 5), ("a", ["1.1.1.1"], "c", DAY + 5), ("b", ["2.2.2.2"], "c", 7)]), root, exists=False)
+    sinks.upsert_records(records(spark, [("a", ["1.1.1.1"], "c", 5), ("a", ["1.1.1.1"], "c", DAY + 5), ("b", ["2.2.2.2"], "c", 7)]), root)
     untouched = {p: p.stat().st_mtime_ns for p in Path(root, "day=1970-01-02").glob("*.parquet")}
     update = records(spark, [("a", ["1.1.1.1"], "c", 50), ("a", ["1.1.1.1"], "c", 3), ("a", ["9.9.9.9"], "c", 60)])
     for _ in range(2):
@@ -33,6 +36,59 @@ def test_upsert_keeps_one_record_per_day_and_fact(spark, tmp_path):
     assert pruned.count() == 1 and "PartitionFilters: [isnotnull(day" in pruned._jdf.queryExecution().toString()
 
 
+def test_upsert_reads_only_touched_days_and_keeps_ties_of_the_last_write(spark, tmp_path):
+    root = str(tmp_path / "dns")
+    sinks.upsert_records(records(spark, [("a", ["1.1.1.1"], "c", 5), ("b", ["1.1.1.1"], "c", 40 * DAY)]), root)
+    longer = records(spark, [("a", ["1.1.1.1"], "c", 5)]).withColumn("ttl", F.lit(7))
+    sinks.upsert_records(longer, root)
+    assert landed.read_by_day(spark, root, DNS_RECORDS).where("d = 'a'").first().ttl == 7
+    kept = landed.read_by_day(spark, root, DNS_RECORDS).where(F.col("day").isin([date(1970, 1, 1)]))
+    assert "PartitionFilters: [isnotnull(day" in kept._jdf.queryExecution().toString() and kept.count() == 1
+    with pytest.raises(Exception, match="without a time"):
+        sinks.upsert_records(records(spark, [("x", ["1.1.1.1"], "c", None)]), root)
+    sinks.upsert_records(records(spark, []), root)
+    assert landed.read_by_day(spark, root).count() == 2
+    assert not [p for p in Path(root).iterdir() if p.name.startswith("_pending")]
+
+
+def test_stopped_publish_is_ended_by_the_next_call(spark, tmp_path, monkeypatch):
+    root = str(tmp_path / "dns")
+    sinks.upsert_records(records(spark, [("a", ["1.1.1.1"], "c", 5), ("b", ["2.2.2.2"], "c", DAY + 7)]), root)
+    publish = sinks._publish
+    moved = []
+
+    def stopped(spark_, fs, staged, path):
+        for day in fs.listStatus(staged):
+            if day.getPath().getName().startswith("day="):
+                fs.delete(sinks._child(spark_, path, day.getPath().getName()), True)
+                moved.append(day)
+                raise RuntimeError("the driver was lost")
+
+    monkeypatch.setattr(sinks, "_publish", stopped)
+    with pytest.raises(RuntimeError):
+        sinks.upsert_records(records(spark, [("c", ["3.3.3.3"], "c", 9), ("d", ["3.3.3.3"], "c", DAY + 9)]), root)
+    monkeypatch.setattr(sinks, "_publish", publish)
+    assert moved
+    sinks.upsert_records(records(spark, [("e", ["4.4.4.4"], "c", 3 * DAY)]), root)
+    assert sorted(r.d for r in landed.read_by_day(spark, root).collect()) == ["a", "b", "c", "d", "e"]
+    Path(root, "_pending-half").mkdir()
+    sinks.finish_pending(spark, root)
+    assert not Path(root, "_pending-half").exists()
+
+
+def test_record_batches_over_a_stored_table(spark, tmp_path):
+    root = str(tmp_path / "dns")
+    sinks.upsert_records(records(spark, [("old", ["1.1.1.1"], "c", 5)]), root)
+    write = follow.record_batches(root)
+    for batch_id, rows in ((0, []), (0, [("new", ["1.1.1.1"], "c", 6)]), (1, [("more", ["1.1.1.1"], "c", 7)]), (1, [("more", ["1.1.1.1"], "c", 7)])):
+        write(records(spark, rows), batch_id)
+    assert sorted(r.d for r in landed.read_by_day(spark, root).collect()) == ["more", "new", "old"]
+    fresh = follow.record_batches(str(tmp_path / "fresh"))
+    fresh(records(spark, []), 0)
+    fresh(records(spark, [("a", ["1.1.1.1"], "c", 5)]), 1)
+    assert landed.read_by_day(spark, str(tmp_path / "fresh")).count() == 1
+
+
 def pages(spark, names):
     rows = [("https://ct.googleapis.com/", n, [(dw.entry(dw.certificate([dw.rdn(dw.CN, name)])),)], None) for n, name in enumerate(names)]
     rows.append(("https://ct.googleapis.com/", 99, None, "too many"))
@@ -95,14 +151,31 @@ def test_windowed_counters_append_with_a_watermark(spark, tmp_path):
     from certlake.operators import certs, metrics
     from certlake.operators.entries import page_entries
 
-    start = 1_700_000_010_000
-    for n, at in enumerate((0, 5_000, 40_000, 500_000)):
-        leaf = dw.entry(dw.certificate([dw.rdn(dw.CN, "a.example")]), ts=start + at)
-        frame = spark.createDataFrame([("https://x/", n, [(leaf,)])], "log_url string, start long, entries array<struct<leaf_input: string>>")
+    start = 1_700_000_010
+    good = dw.entry(dw.certificate([dw.rdn(dw.CN, "a.example")]))
+    schema = "log_url string, start long, entries array<struct<leaf_input: string>>, observed_at timestamp"
+    for n, (at, leaf) in enumerate(((0, good), (5, "A"), (40, good), (500, good))):
+        frame = spark.createDataFrame([("https://x/", n, [(leaf,)], datetime.fromtimestamp(start + at, timezone.utc))], schema)
         frame.write.mode("append").json(f"{tmp_path}/landing")
     entries = page_entries(landed.stream_entry_pages(spark, f"{tmp_path}/landing"))
     decoded = certs.decode_certificates(certs.decode_leaves(entries), keep_rejects=True)
     windows = metrics.counters_by_window(decoded, late="1 minute")
     follow.start(follow.parquet_writer(windows, f"{tmp_path}/windows"), f"{tmp_path}/checkpoint").awaitTermination()
     rows = spark.read.parquet(f"{tmp_path}/windows").orderBy("window_start").collect()
-    assert [(r.window_start, r.processed, r.output) for r in rows] == [(1_700_000_010, 2, 2), (1_700_000_040, 1, 1)]
+    assert [(r.window_start, r.processed, r.output, r.errors) for r in rows] == [(start, 2, 1, 1), (start + 30, 1, 1, 0)]
+
+
+def test_fresh_batches_let_a_name_through_again(spark, tmp_path):
+    from certlake.operators.reuse import reuse_within_ttl
+
+    rows = [("a", "s", t, k) for k, t in enumerate(range(1000, 4000, 70))] + [("b", None, 1000, 900), ("b", None, 1299, 901), ("b", None, 1300, 902)]
+    schema = "domain string, sha1 string, ts long, seq long"
+    write = follow.fresh_batches(str(tmp_path))
+    parts = [[r for r in rows if low <= r[2] < low + 1000] for low in (1000, 2000, 3000)]
+    for k, part in enumerate(parts):
+        for _ in range(2):  # a repeated batch replaces itself
+            write(spark.createDataFrame(part, schema), k)
+    got = spark.read.schema(schema).parquet(f"{tmp_path}/fresh").select("domain", "sha1", "ts", "seq")
+    whole = reuse_within_ttl(spark.createDataFrame(rows, schema)).where("not hit").select("domain", "sha1", "ts", "seq")
+    assert sorted(map(str, got.collect())) == sorted(map(str, whole.collect()))
+    assert spark.read.parquet(f"{tmp_path}/state/batch=1").count() == 1  # b has been silent
