@@ -2,7 +2,8 @@
 
 A template with m words is compared with the blocks of 2m words that begin at every m-th word of
 a text, so that any passage of its length lies in one of them. A block meets a template when it has
-at least THRESHOLD of the template's distinct words. Words are ordered by their frequency in
+at least THRESHOLD of the template's distinct words, and where the template says so the words that name
+its license, side by side. Words are ordered by their frequency in
 all texts, rarest first:
 
 * length: a block with fewer words than must be shared is passed over;
@@ -35,40 +36,45 @@ PHRASES = (
     ("cc-by-nc", "cc by nc"),
 )
 
-#: Common wordings of license notices, lower-cased and without punctuation.
+#: Label, the words that name the license (they must stand consecutively in the block)
+#: and a common wording of its notice, lower-cased and without punctuation.
 TEMPLATES = (
-    ("mit", "released under the mit license"),
-    ("mit", "licensed under the mit license"),
+    ("mit", "mit license", "released under the mit license"),
+    ("mit", "mit license", "licensed under the mit license"),
     (
         "mit",
+        "",
         "permission is hereby granted free of charge to any person obtaining a copy of this software and associated "
         "documentation files the software to deal in the software without restriction including without limitation the "
         "rights to use copy modify merge publish distribute sublicense and or sell copies of the software",
     ),
-    ("apache-2", "licensed under the apache license version 2 0"),
+    ("apache-2", "apache license", "licensed under the apache license version 2 0"),
     (
         "apache-2",
+        "",
         "licensed under the apache license version 2 0 the license you may not use this file except in compliance with "
         "the license you may obtain a copy of the license at",
     ),
-    ("cc-by-nc", "licensed under cc by nc 4 0"),
-    ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
-    ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license"),
-    ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
-    ("gpl-3", "this work is licensed under the gnu general public license version 3"),
+    ("cc-by-nc", "by nc", "licensed under cc by nc 4 0"),
+    ("cc-by-nc", "attribution noncommercial", "this work is licensed under a creative commons attribution noncommercial 4 0 international license"),
+    ("cc-by", "attribution 4", "this work is licensed under a creative commons attribution 4 0 international license"),
+    ("cc-by-sa", "attribution sharealike", "this work is licensed under a creative commons attribution sharealike 4 0 international license"),
+    ("gpl-3", "gnu general public", "this work is licensed under the gnu general public license version 3"),
     (
         "gpl-3",
+        "gnu general public",
         "this program is free software you can redistribute it and or modify it under the terms of the gnu general public "
         "license as published by the free software foundation either version 3 of the license or at your option any later version",
     ),
-    ("lgpl-3", "licensed under the gnu lesser general public license version 3"),
-    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("lgpl-3", "lesser general public", "licensed under the gnu lesser general public license version 3"),
+    ("mpl-2", "mozilla public", "this source code form is subject to the terms of the mozilla public license v 2 0"),
     (
         "bsd",
+        "",
         "redistribution and use in source and binary forms with or without modification are permitted provided that the "
         "following conditions are met",
     ),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
+    ("unlicense", "", "this is free and unencumbered software released into the public domain"),
 )
 
 
@@ -85,7 +91,7 @@ def needed(template: str) -> int:
 
 def word_order(docs: DataFrame) -> dict[str, int]:
     """Texts that have each template word. The result has a row per template word at most."""
-    wanted = sorted({w for _, t in TEMPLATES for w in t.split()})
+    wanted = sorted({w for _, _, t in TEMPLATES for w in t.split()})
     own = docs.select(F.explode(F.array_intersect(words_of(text_of()), F.array(*[F.lit(w) for w in wanted]))).alias("word"))
     counts = {r["word"]: r["n"] for r in own.groupBy("word").agg(F.count(F.lit(1)).alias("n")).collect()}
     return {w: counts.get(w, 0) for w in wanted}
@@ -93,7 +99,7 @@ def word_order(docs: DataFrame) -> dict[str, int]:
 
 def _matches(template: int, order: dict[str, int]) -> Column:
     """Blocks of the row's `hits` (word, at) that meet one template."""
-    label, wording = TEMPLATES[template]
+    label, name, wording = TEMPLATES[template]
     step = len(wording.split())
     ranked = sorted(set(wording.split()), key=lambda w: (order[w], w))
     need = needed(wording)
@@ -104,10 +110,25 @@ def _matches(template: int, order: dict[str, int]) -> Column:
     blocks = F.transform(starts, lambda h: F.array(F.floor(h["at"] / step) - 1, F.floor(h["at"] / step)))
     blocks = F.array_distinct(F.filter(F.flatten(blocks), lambda b: (b >= 0) & (F.col("n_words") - b * step >= need)))
 
+    def named(block: Column) -> Column:
+        parts = name.split()
+        at = F.transform(F.filter(hits, lambda h: h["word"] == parts[0]), lambda h: h["at"])
+
+        def here(start: Column) -> Column:
+            rest = [F.exists(hits, _is(part, start + k)) for k, part in enumerate(parts) if k]
+            inside = (start >= block * step) & (start + len(parts) <= (block + 2) * step)
+            for one in rest:
+                inside = inside & one
+            return inside
+
+        return F.exists(at, here)
+
     def met(block: Column) -> Column:
         inside = F.array_distinct(F.transform(F.filter(hits, lambda h: (h["at"] >= block * step) & (h["at"] < (block + 2) * step)), lambda h: h["word"]))
         first = F.array_min(F.transform(inside, lambda w: F.array_position(own, w)))
         enough = F.least(F.lit(len(ranked)) - first + 1, F.size(inside)) >= need
+        if name:
+            enough = enough & named(block)
         shared = F.when(enough, F.size(inside)).otherwise(0)
         return F.struct(
             F.lit(label).alias("label"),
@@ -119,6 +140,10 @@ def _matches(template: int, order: dict[str, int]) -> Column:
     return F.filter(F.transform(blocks, met), lambda m: m["containment"] >= need / len(ranked) - 1e-9)
 
 
+def _is(word: str, at: Column):
+    return lambda h: (h["word"] == word) & (h["at"] == at)
+
+
 def _places(phrase: str) -> Column:
     """Starts of a phrase in `words`, where the row's text has it at all."""
     parts = phrase.split()
@@ -147,7 +172,7 @@ def scan(docs: DataFrame) -> DataFrame:
     """
     order = word_order(docs)
     wanted = sorted(order)
-    rare = sorted({w for _, t in TEMPLATES for w in sorted(set(t.split()), key=lambda w: (order[w], w))[: len(set(t.split())) - needed(t) + 1]})
+    rare = sorted({w for _, _, t in TEMPLATES for w in sorted(set(t.split()), key=lambda w: (order[w], w))[: len(set(t.split())) - needed(t) + 1]})
     own = computed_once(docs.select("doc_id", "text"), F.col("doc_id"), words_of(text_of()).alias("words"))
     numbered = F.filter(
         F.transform("words", lambda w, i: F.when(w.isin(wanted), F.struct(w.alias("word"), i.cast("long").alias("at")))),
@@ -185,7 +210,7 @@ def oracle() -> str:
     places = " union all ".join(
         f"select '{label}' as label, string_split('{phrase}', ' ') as phrase" for label, phrase in PHRASES
     )
-    templates = " union all ".join(f"select '{label}' as label, {len(t.split())} as step, {needed(t)} as need, list_distinct(string_split('{t}', ' ')) as ws" for label, t in TEMPLATES)
+    templates = " union all ".join(f"select '{label}' as label, {len(t.split())} as step, {needed(t)} as need, '{name}' as name, list_distinct(string_split('{t}', ' ')) as ws" for label, name, t in TEMPLATES)
     return rf"""
 with w as (
   select row_number() over () as r, doc_id,
@@ -197,8 +222,9 @@ b as (
   where ws[i + 1 : i + len(phrase)] = phrase),
 pb as (select r, count(*) as n_base, min(i) as first_word, max(i) as last_word, string_agg(distinct label, ',' order by label) as base_labels from b group by r),
 q as (
-  select r, label, need, len(tws) as m, len(list_intersect(tws, ws[k * step + 1 : (k + 2) * step])) as shared
-  from (select r, w.ws, label, step, need, t.ws as tws, unnest(range(ceil(len(w.ws) / step)::bigint)) as k from w, t)),
+  select r, label, need, len(tws) as m, case when name = '' or contains(concat(' ', array_to_string(ws[k * step + 1 : (k + 2) * step], ' '), ' '), concat(' ', name, ' '))
+    then len(list_intersect(tws, ws[k * step + 1 : (k + 2) * step])) else 0 end as shared
+  from (select r, w.ws, label, step, need, name, t.ws as tws, unnest(range(ceil(len(w.ws) / step)::bigint)) as k from w, t)),
 m as (select r, label, max(shared / m) as c from q where shared >= need group by r, label),
 l as (select r, string_agg(distinct label, ',' order by label) as labels from (select r, label from m union select r, label from b) group by r),
 s as (select r, max(c) as c from m group by r)
