@@ -29,7 +29,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from certlake.llm.common import doc_crc, stored
+from certlake.llm.common import doc_crc, largest, stored
 
 SMOOTH = 0.1
 #: Symbols: frequent words, classes of other words, the end, and the start (only before a text).
@@ -241,7 +241,8 @@ def log_probabilities(parameters: dict[str, np.ndarray]) -> np.ndarray:
 
 def fit(docs: DataFrame, counts: DataFrame) -> Model:
     """The model; `counts` is the stored result of `word_counts`."""
-    frequent = {bytes(r["word"]): r["n"] for r in counts.orderBy(F.desc("n"), "word").limit(KNOWN).collect()}
+    rows = largest(counts, "n", KNOWN).collect()
+    frequent = {bytes(r["word"]): r["n"] for r in sorted(rows, key=lambda r: (-r["n"], bytes(r["word"])))}
     end = counts.where(F.col("word") == F.lit(b"")).first()
     frequent[b""] = end["n"] if end else 0
     symbol = {w: k for k, w in enumerate([w for w in frequent if w][:FREQUENT_SYMBOLS])}

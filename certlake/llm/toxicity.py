@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from certlake.llm.common import doc_crc, stored
+from certlake.llm.common import doc_crc, largest, stored
 
 #: Bounds of the sample: toxic texts, unlabelled texts, labelled texts that set the scale.
 TOXIC_ROWS, UNLABELLED_ROWS, SCALE_ROWS = 4_000, 8_000, 4_000
@@ -148,8 +148,8 @@ def _vocabulary(rows: DataFrame) -> list[str]:
     both = (F.col("t") + F.col("u")) / float(n_toxic + n_any)
     error = F.sqrt(both * (1 - both) * (1.0 / n_toxic + 1.0 / n_any))
     apart = F.abs(F.col("t") / n_toxic - F.col("u") / n_any) / (error + 1e-12)
-    chosen = counts.where(F.col("t") + F.col("u") >= LEAST_TEXTS).withColumn("apart", apart).where(F.col("apart") >= STANDARD_ERRORS)
-    return [r["feature"] for r in chosen.orderBy(F.desc("apart"), "feature").limit(FEATURES).collect()]
+    chosen = stored(counts.where(F.col("t") + F.col("u") >= LEAST_TEXTS).withColumn("apart", apart).where(F.col("apart") >= STANDARD_ERRORS))
+    return sorted(r["feature"] for r in largest(chosen, "apart", FEATURES).select("feature").collect())
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
