@@ -53,6 +53,18 @@ def main() -> None:
     sinks.upsert_records(loaded, f"{base}/stored")
     stored = spark.read.parquet(f"{base}/stored")
     sinks.append_documents(rows, f"{base}/documents")
+    sinks.write_addresses(stored, f"{base}/addresses")
+    addresses = spark.read.parquet(f"{base}/addresses")
+    newer = landed("newer", loaded.where(F.col("ts") % 3 == 0))
+    upserts = iter(range(10))
+
+    def upsert():
+        """A third of the records over a copy of the stored table; reads back nothing."""
+        root = f"{base}/upserted-{next(upserts)}"
+        sinks.upsert_records(loaded, root)
+        sinks.upsert_records(newer, root)
+        return spark.read.parquet(root).where("d = ''")
+
     n_entries, n_names = entries.count(), rows.count()
     events = health.outcomes(requests)
 
@@ -67,9 +79,10 @@ def main() -> None:
         "resolve_names": lambda: dns_records(rows, answers),
         "reuse_within_ttl": lambda: reuse.reuse_within_ttl(asked),
         "lookup_domain": lambda: pd.lookup_domain(stored, DOMAIN),
-        "lookup_ip": lambda: pd.lookup_ip(stored, ADDRESS),
+        "lookup_ip": lambda: pd.lookup_ip(addresses, ADDRESS),
         "lookup_certificate": lambda: pd.lookup_certificate(stored, CERT),
         "record_statistics": lambda: pd.record_statistics(stored),
+        "upsert": upsert,
         "latest_per_domain": lambda: pd.latest_per_domain(stored),
         "last_write_wins": lambda: pd.upserted(loaded),
         "range_join": lambda: pd.range_members(pd.ipv4_table(stored), ranges(spark, sf_dir)),
@@ -104,7 +117,7 @@ def main() -> None:
                 "names": n_names,
                 "names_per_sec": decode and round(n_names / decode),
                 "bytes_per_name": round(folder_bytes(f"{base}/documents") / n_names, 1),
-                "bytes_per_dns_record": round(folder_bytes(f"{base}/stored") / stored.agg(F.count("*")).first()[0], 1),
+                "bytes_per_dns_record": round(folder_bytes(f"{base}/stored") / stored.count(), 1),
             }
         )
     )

@@ -116,24 +116,36 @@ def between_days(records: DataFrame, first: str | None = None, last: str | None
 
 
 def lookup_domain(records: DataFrame, domain: str, limit: int = 10) -> DataFrame:
+    """The newest records of a domain. Stored files are sorted by it, so most are skipped; bounds
+    set before by `between_days` skip whole days. The same holds for the lookups below."""
     return records.where(F.col("d") == domain).orderBy(F.desc("ts"), "h").limit(limit)
 
 
 def lookup_certificate(records: DataFrame, sha1: str, limit: int = 100) -> DataFrame:
+    """The newest records of a certificate; stored row groups without it are skipped by their filter."""
     return records.where(F.col("c") == sha1).orderBy(F.desc("ts"), "h").limit(limit)
 
 
-def domains_of_ip(records: DataFrame, ip: str) -> DataFrame:
-    """Domains seen on an address, with the number of records and the newest one's fields."""
-    hits = records.where(F.array_contains("i", ip))
+def address_table(records: DataFrame) -> DataFrame:
+    """`address, ip, d, ts, h, c, ttl`: one row per different address of a record; `ip` is the IPv4 number."""
+    own = records.select(F.explode(F.array_distinct("i")).alias("address"), "d", "ts", "h", "c", "ttl")
+    return own.select("address", fd.ipv4_number(F.col("address")).alias("ip"), "d", "ts", "h", "c", "ttl")
+
+
+def domains_of_ip(addresses: DataFrame, ip: str) -> DataFrame:
+    """Domains seen on an address, with the number of records and the newest one's fields.
+
+    `addresses` is an `address_table`, best the stored one, which is sorted by address.
+    """
+    hits = addresses.where(F.col("address") == ip)
     return hits.groupBy("d").agg(
         F.count("*").alias("records"),
         F.max_by(F.struct("ts", "h", "c", "ttl"), F.struct("ts", "h")).alias("latest"),
     )
 
 
-def lookup_ip(records: DataFrame, ip: str, limit: int = 100) -> DataFrame:
-    ranked = domains_of_ip(records, ip).orderBy(F.desc("records"), "d").limit(limit)
+def lookup_ip(addresses: DataFrame, ip: str, limit: int = 100) -> DataFrame:
+    ranked = domains_of_ip(addresses, ip).orderBy(F.desc("records"), "d").limit(limit)
     return ranked.select("d", "records", "latest.ts", "latest.h", "latest.c", "latest.ttl")
 
 
@@ -146,33 +158,29 @@ def ipv4_table(records: DataFrame) -> DataFrame:
     return records.select(F.explode("ii").alias("ip"), "d", "ts")
 
 
-def aligned_blocks(ranges: DataFrame) -> DataFrame:
-    """`low, high` ranges as power-of-two blocks: `bits` free low bits and the `prefix` above.
+#: Free low bits of the blocks by which an address finds its ranges: 65,536 addresses.
+PROBE_BITS = 16
 
-    A range needs at most 62 blocks, so the loop bound is exact.
-    """
-    step = F.expr(
-        """aggregate(sequence(1, 62), named_struct('at', low, 'blocks', cast(array() as array<struct<prefix:bigint,bits:int>>)),
-          (s, n) -> if(s.at > high, s, named_struct(
-            'at', s.at + shiftleft(1L, least(if(s.at = 0, 32, length(bin(s.at & -s.at)) - 1), length(bin(high - s.at + 1)) - 1)),
-            'blocks', concat(s.blocks, array(named_struct(
-                'prefix', shiftright(s.at, least(if(s.at = 0, 32, length(bin(s.at & -s.at)) - 1), length(bin(high - s.at + 1)) - 1)),
-                'bits', least(if(s.at = 0, 32, length(bin(s.at & -s.at)) - 1), length(bin(high - s.at + 1)) - 1)))))),
-          s -> s.blocks)"""
-    )
-    return ranges.select("label", "low", "high", F.inline(step))
+
+def range_pieces(ranges: DataFrame) -> DataFrame:
+    """`label, low, high` ranges cut where a block ends, with the `prefix` of the block. A range
+    over very many blocks has one piece for each, made in two steps so that arrays stay short."""
+    first, last = F.shiftright("low", PROBE_BITS), F.shiftright("high", PROBE_BITS)
+    outer = ranges.where("low <= high").withColumn("_outer", F.explode(F.sequence(F.shiftright(first, 8), F.shiftright(last, 8))))
+    from_, to = F.greatest(first, F.col("_outer") * 256), F.least(last, F.col("_outer") * 256 + 255)
+    return outer.withColumn("prefix", F.explode(F.sequence(from_, to))).select("label", "low", "high", "prefix")
 
 
 def range_members(ips: DataFrame, ranges: DataFrame) -> DataFrame:
     """Rows of `ips` (with a bigint `ip`) joined to every range `label, low, high` that holds it.
 
-    An inequality join would compare all pairs. Ranges are cut into aligned blocks instead,
-    and an address is looked up by equality under each block size in use (at most 33).
+    An inequality join would compare all pairs. Each address is looked up once, by the block
+    it lies in, among the ranges that reach into the block; wide ones stand in many blocks.
     """
-    blocks = aligned_blocks(ranges)
-    sizes = blocks.agg(F.collect_set("bits")).scalar()
-    probes = ips.withColumn("bits", F.explode(sizes)).withColumn("prefix", F.expr("shiftright(ip, bits)"))
-    return probes.join(broadcast_if_small(blocks.select("label", "bits", "prefix")), ["bits", "prefix"]).drop("bits", "prefix")
+    pieces = range_pieces(ranges)
+    probes = ips.withColumn("prefix", F.shiftright("ip", PROBE_BITS))
+    met = probes.join(broadcast_if_small(pieces), "prefix")
+    return met.where(F.col("ip").between(F.col("low"), F.col("high"))).drop("prefix", "low", "high")
 
 
 def certificate_addresses(rows: DataFrame, records: DataFrame) -> DataFrame:

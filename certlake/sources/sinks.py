@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from certlake.functions.dns import day_of_seconds
 from certlake.operators.certs import RESULT_KEYS, minimal_documents, with_day
-from certlake.operators.passive_dns import ipv4_table, upserted
+from certlake.operators.passive_dns import address_table, between_days, upserted
 from certlake.schemas import DNS_RECORDS
 from certlake.sources.landed import read_by_day
 
@@ -38,6 +38,8 @@ def append_documents(rows: DataFrame, root: str) -> None:
 
 
 _PENDING = "_pending-"
+#: Files are sorted by domain; a certificate may stand anywhere, so row groups say which they lack.
+_BLOOM = {"parquet.bloom.filter.enabled#c": "true", "parquet.bloom.filter.adaptive.enabled#c": "true"}
 
 
 def finish_pending(spark: SparkSession, root: str) -> None:
@@ -96,13 +98,19 @@ def upsert_records(records: DataFrame, root: str) -> None:
         kept = read_by_day(spark, root, DNS_RECORDS).where(F.col("day").isin(touched)).drop("day")
         merged = kept.withColumn("_written", F.lit(0)).unionByName(merged, allowMissingColumns=True)
     staging = f"{root.rstrip('/')}/{_PENDING}{uuid.uuid4().hex}"
-    by_day(upserted(merged).drop("_written")).write.partitionBy("day").parquet(staging)
+    by_day(upserted(merged).drop("_written")).write.options(**_BLOOM).partitionBy("day").parquet(staging)
     _publish(spark, fs, spark._jvm.org.apache.hadoop.fs.Path(staging), path)
 
 
 def write_addresses(records: DataFrame, root: str, mode: str = "append") -> None:
-    """The `ip, d, ts` side table by day, sorted by address: a range filter on `ip` is pushed
-    to the files and skips those whose addresses lie elsewhere."""
-    addresses = ipv4_table(records).withColumn("day", day_of_seconds(F.col("ts")))
-    spread = addresses.hint("rebalance", "day").sortWithinPartitions("day", "ip")
-    spread.write.mode(mode).partitionBy("day").parquet(root)
+    """The side table of addresses by day, both IP versions, sorted by address: filters on
+    `address` and ranges of `ip` are pushed to the files and skip those that lie elsewhere."""
+    addresses = address_table(records).withColumn("day", day_of_seconds(F.col("ts")))
+    spread = addresses.hint("rebalance", "day").sortWithinPartitions("day", "address")
+    spread.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(root)
+
+
+def refresh_addresses(spark: SparkSession, root: str, side_root: str, first: str | None = None, last: str | None = None) -> None:
+    """Builds the side table's days anew from the stored records of those days."""
+    stored = between_days(read_by_day(spark, root, DNS_RECORDS), first, last)
+    write_addresses(stored, side_root, "overwrite")

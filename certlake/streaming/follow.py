@@ -11,7 +11,7 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from certlake.functions import names as nm
 from certlake.operators.certs import RESULT_KEYS, minimal_documents, with_day
-from certlake.operators.entries import page_entries
+from certlake.operators.entries import page_entries, page_errors
 from certlake.operators.reuse import reuse_within_ttl
 from certlake.plans.search import search_names
 from certlake.sources.landed import stream_entry_pages
@@ -25,6 +25,11 @@ def follow_names(
     return search_names(page_entries(stream_entry_pages(spark, landing, max_files)), pattern)
 
 
+def follow_errors(spark: SparkSession, landing: str, max_files: int | None = None) -> DataFrame:
+    """Pages that came with an error instead of entries, now and later, for a sink of their own."""
+    return page_errors(stream_entry_pages(spark, landing, max_files))
+
+
 def start(
     writer: DataStreamWriter, checkpoint: str, once: bool = True, poll: str | None = None
 ) -> StreamingQuery:

@@ -3,12 +3,15 @@
 Each micro-batch is reduced with the batch operators (so one busy server is still spread over
 tasks) and continues from the state the previous batch wrote. States are stored per batch id:
 a batch that is repeated after a failure starts from the same state and writes the same one.
+Requests of a server should come in batches by time. Those of a later batch are applied after the
+stored state whatever their own time; inside a batch, and in the batch operators, time and `seq` order them.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +21,13 @@ from certlake.operators import health
 
 def health_batches(root: str, default_batch: int = fh.DEFAULT_BATCH_SIZE) -> Callable[[DataFrame, int], None]:
     def write(batch: DataFrame, batch_id: int) -> None:
+        kept = batch.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            carry(kept, batch_id)
+        finally:
+            kept.unpersist()
+
+    def carry(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         events = health.outcomes(batch)
         before = spark.read.parquet(f"{root}/states/batch={batch_id - 1}") if batch_id else None

@@ -8,9 +8,13 @@ from certlake.functions import dns as fd
 from certlake.operators import passive_dns as pd
 from certlake.operators import reuse
 from certlake.plans.resolution import answered_requests, dns_records, targets
+from certlake.session import shared_dir
+from certlake.sources import sinks
+from certlake.sources.landed import read_by_day
 from registry.catalog import query
 from registry.decode import rows
 from registry.fixtures import BASE_S, duck, fx_answers, fx_answers_raw, fx_records, fx_reuse, table
+from registry.tables import UPSERTED, stored_records
 
 DOMAIN, ADDRESS, CERT = "www.shop3.example.com", "104.16.0.3", sha1(b"cert3-1").hexdigest()
 
@@ -65,6 +69,7 @@ def ipv4_range(spark, sf_dir):
     ),
 )
 def term_match(spark, sf_dir):
+    """Over all records as they arrive, stored or not."""
     by_domain, by_ip, by_cert = F.col("d") == DOMAIN, F.array_contains("i", ADDRESS), F.col("c") == CERT
     hits = fx_records(spark, sf_dir).where(by_domain | by_ip | by_cert)
     return hits.groupBy(
@@ -210,17 +215,30 @@ def merged_sketches(spark, sf_dir):
     return near(pd.merged_statistics(pd.daily_sketches(records)), pd.record_statistics(records))
 
 
-_BY_IP = f"""select d, count(*) as records, max(ts) as ts from fx_records where list_contains(i, '{ADDRESS}') group by d"""
+# Lookups read the tables that the upsert and its side table have written, within day bounds.
+DAYS = ("2024-01-03", "2024-01-25")
+_STORED = f"(select * from ({UPSERTED}) where day between '{DAYS[0]}' and '{DAYS[1]}')"
+_BY_IP = f"""select d, count(*) as records, max(ts) as ts from {_STORED} where list_contains(i, '{ADDRESS}') group by d"""
+
+
+def stored(spark, sf_dir):
+    return pd.between_days(stored_records(spark, sf_dir), *DAYS)
+
+
+def stored_addresses(spark, sf_dir):
+    root = f"{shared_dir(spark)}/addresses"
+    sinks.write_addresses(stored_records(spark, sf_dir), root)
+    return pd.between_days(read_by_day(spark, root), *DAYS)
 
 
 @query("E5_domains_per_ip", duck(_BY_IP, "fx_records"))
 def domains_per_ip(spark, sf_dir):
-    return pd.domains_of_ip(fx_records(spark, sf_dir), ADDRESS).select("d", "records", F.col("latest.ts").alias("ts"))
+    return pd.domains_of_ip(stored_addresses(spark, sf_dir), ADDRESS).select("d", "records", F.col("latest.ts").alias("ts"))
 
 
 @query("K3_lookup_ip", duck(f"select * from ({_BY_IP}) order by records desc, d limit 100", "fx_records"))
 def lookup_ip(spark, sf_dir):
-    return pd.lookup_ip(fx_records(spark, sf_dir), ADDRESS).select("d", "records", "ts")
+    return pd.lookup_ip(stored_addresses(spark, sf_dir), ADDRESS).select("d", "records", "ts")
 
 
 def app_answers(spark, sf_dir):
@@ -274,14 +292,14 @@ def error_breakdown(spark, sf_dir):
     return pd.error_breakdown(fx_records(spark, sf_dir))
 
 
-@query("K1_lookup_domain", duck(f"select d, ts, h, i from fx_records where d = '{DOMAIN}' order by ts desc, h limit 10", "fx_records"))
+@query("K1_lookup_domain", duck(f"select d, ts, h, i from {_STORED} where d = '{DOMAIN}' order by ts desc, h limit 10", "fx_records"))
 def lookup_domain(spark, sf_dir):
-    return pd.lookup_domain(fx_records(spark, sf_dir), DOMAIN).select("d", "ts", "h", "i")
+    return pd.lookup_domain(stored(spark, sf_dir), DOMAIN).select("d", "ts", "h", "i")
 
 
-@query("K2_lookup_certificate", duck(f"select d, ts, h, i, c from fx_records where c = '{CERT}' order by ts desc, h limit 100", "fx_records"))
+@query("K2_lookup_certificate", duck(f"select d, ts, h, i, c from {_STORED} where c = '{CERT}' order by ts desc, h limit 100", "fx_records"))
 def lookup_certificate(spark, sf_dir):
-    return pd.lookup_certificate(fx_records(spark, sf_dir), CERT).select("d", "ts", "h", "i", "c")
+    return pd.lookup_certificate(stored(spark, sf_dir), CERT).select("d", "ts", "h", "i", "c")
 
 
 @query("W1_latest_per_domain", duck("select d, ts, h from (select *, row_number() over (partition by d order by ts desc, h desc) as n from fx_records) where n = 1", "fx_records"))

@@ -3,6 +3,8 @@
 from pyspark.sql import functions as F
 
 from certlake.operators import entries as en
+from certlake.session import shared_dir
+from certlake.sources.landed import read_entry_pages, read_tree_heads
 from registry.catalog import query
 from registry.fixtures import duck, fx_heads, fx_pages, table
 
@@ -27,19 +29,26 @@ def log_list(spark, sf_dir):
     return en.flatten_log_list(log_lists(spark, sf_dir))
 
 
+def landed(df, read):
+    """The rows as JSON lines in the landing folder, and what the reader makes of them."""
+    path = f"{shared_dir(df.sparkSession)}/landed"
+    df.write.json(path)
+    return read(df.sparkSession, path)
+
+
 @query("A2_tree_heads", duck("select log_url, tree_size from fx_heads", "fx_heads"))
 def tree_heads(spark, sf_dir):
-    return en.latest_tree_heads(fx_heads(spark, sf_dir))
+    return en.latest_tree_heads(landed(fx_heads(spark, sf_dir), read_tree_heads))
 
 
 @query("A3_page_entries", duck("select * from fx_page_entries", "fx_page_entries"))
 def page_entries(spark, sf_dir):
-    return en.page_entries(fx_pages(spark, sf_dir))
+    return en.page_entries(landed(fx_pages(spark, sf_dir), read_entry_pages)).drop("observed_at")
 
 
 @query("A3_page_errors", duck("select log_url, start, concat('rejected ', n) as error_message from fx_pages where failed", "fx_pages"))
 def page_errors(spark, sf_dir):
-    return en.page_errors(fx_pages(spark, sf_dir))
+    return en.page_errors(landed(fx_pages(spark, sf_dir), read_entry_pages))
 
 
 _TAIL = duck(
@@ -145,3 +154,21 @@ def log_progress(spark, sf_dir):
 def all_logs(spark, sf_dir):
     entries = en.select_log(en.page_entries(fx_pages(spark, sf_dir)))
     return entries.groupBy("log_url").agg(F.count("*").alias("entries"))
+
+
+@query(
+    "A6_replanned_gaps",
+    duck(
+        """select log_url, r as range_start, least(r + 999, gap_end) as range_end from (
+             select log_url, gap_start, gap_end, unnest(range(gap_start, gap_end + 1, 1000)) as r from (
+               select log_url, prev + 1 as gap_start, i - 1 as gap_end from (
+                 select log_url, i, lag(i) over (partition by log_url order by i) as prev from (
+                   select distinct e.log_url, entry_index as i from fx_page_entries e join fx_heads h on h.log_url = e.log_url where entry_index < tree_size
+                   union select log_url, -1 from fx_heads union select log_url, tree_size from fx_heads))
+               where i - prev > 1))""",
+        "fx_page_entries", "fx_heads",
+    ),
+)
+def replanned_gaps(spark, sf_dir):
+    heads = en.latest_tree_heads(fx_heads(spark, sf_dir))
+    return en.replan_gaps(en.index_gaps(en.page_entries(fx_pages(spark, sf_dir)), heads))

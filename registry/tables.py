@@ -18,7 +18,7 @@ def day():
     return F.date_format("day", "yyyy-MM-dd").alias("day")
 
 
-_UPSERTED = """select strftime(make_timestamp(ts * 1000000), '%Y-%m-%d') as day, h, d, ts, i, c from (
+UPSERTED = """select strftime(make_timestamp(ts * 1000000), '%Y-%m-%d') as day, h, d, ts, i, c from (
                  select *, row_number() over (partition by ts // 86400, h order by ts desc) as n from fx_records) where n = 1"""
 
 
@@ -31,13 +31,13 @@ def stored_records(spark, sf_dir):
     return read_by_day(spark, root)
 
 
-@query("A8_record_scan", duck(f"select * from ({_UPSERTED}) where day between '2024-01-05' and '2024-01-14'", "fx_records"))
+@query("A8_record_scan", duck(f"select * from ({UPSERTED}) where day between '2024-01-05' and '2024-01-14'", "fx_records"))
 def record_scan(spark, sf_dir):
     kept = pd.between_days(stored_records(spark, sf_dir), "2024-01-05", "2024-01-14")
     return kept.select(day(), "h", "d", "ts", "i", "c")
 
 
-@query("O4_daily_upsert", duck(_UPSERTED, "fx_records"))
+@query("O4_daily_upsert", duck(UPSERTED, "fx_records"))
 def daily_upsert(spark, sf_dir):
     return stored_records(spark, sf_dir).select(day(), "h", "d", "ts", "i", "c")
 

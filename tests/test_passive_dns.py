@@ -38,7 +38,7 @@ def test_documents(spark):
 def test_lookups(spark):
     records = pd.record_documents(answers(spark, EXAMPLES + [("test1.example.com", ["192.168.1.1"], "abc123", None, 5000)]))
     assert [r.ts for r in pd.lookup_domain(records, "test1.example.com").collect()] == [5000, 1000]
-    assert [(r.d, r.records, r.ts) for r in pd.lookup_ip(records, "192.168.1.1").collect()] == [("test1.example.com", 2, 5000)]
+    assert [(r.d, r.records, r.ts) for r in pd.lookup_ip(pd.address_table(records), "192.168.1.1").collect()] == [("test1.example.com", 2, 5000)]
     assert [r.d for r in pd.lookup_certificate(records, "def456").collect()] == ["test2.example.com"]
     assert tuple(pd.record_statistics(records).first()) == (5, 4, 4, 3)
     approximate = pd.approximate_statistics(records).first()

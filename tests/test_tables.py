@@ -76,6 +76,27 @@ def test_stopped_publish_is_ended_by_the_next_call(spark, tmp_path, monkeypatch)
     assert not Path(root, "_pending-half").exists()
 
 
+def test_lookups_push_their_filters(spark, tmp_path):
+    from certlake.operators import passive_dns as pd
+
+    root, side = str(tmp_path / "dns"), str(tmp_path / "addresses")
+    rows = [(f"d{n}", [f"10.0.0.{n % 50}", "2001:db8::1"], f"c{n % 9}", n * 700) for n in range(600)]
+    sinks.upsert_records(records(spark, rows), root)
+    sinks.refresh_addresses(spark, root, side)
+    sinks.refresh_addresses(spark, root, side, "1970-01-02", "1970-01-03")
+    stored, addresses = (between_days(landed.read_by_day(spark, p), "1970-01-01", "1970-01-03") for p in (root, side))
+    plan = lambda df: df._jdf.queryExecution().toString()
+    found = pd.lookup_certificate(stored, "c3", 5)
+    assert "EqualTo(c,c3)" in plan(found) and "PartitionFilters: [isnotnull(day" in plan(found)
+    assert [r.c for r in found.collect()] == ["c3"] * 5
+    assert "EqualTo(d,d7)" in plan(pd.lookup_domain(stored, "d7"))
+    for ip in ("10.0.0.4", "2001:db8::1"):
+        found = pd.lookup_ip(addresses, ip)
+        assert f"EqualTo(address,{ip})" in plan(found)
+        assert found.count() == min(100, sum(ip in r[1] and r[3] < 3 * DAY for r in rows))
+    assert landed.read_by_day(spark, side).count() == 1200
+
+
 def test_record_batches_over_a_stored_table(spark, tmp_path):
     root = str(tmp_path / "dns")
     sinks.upsert_records(records(spark, [("old", ["1.1.1.1"], "c", 5)]), root)
