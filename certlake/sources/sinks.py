@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from certlake.functions.dns import day_of_seconds
 from certlake.operators.certs import RESULT_KEYS, minimal_documents, with_day
 from certlake.operators.passive_dns import address_table, between_days, upserted
-from certlake.schemas import DNS_RECORDS
+from certlake.schemas import CT_DOMAINS, DNS_RECORDS
 from certlake.sources.landed import read_by_day
 
 def write_json(rows: DataFrame, path: str, mode: str = "append") -> None:
@@ -31,10 +31,26 @@ def by_day(df: DataFrame) -> DataFrame:
     return df.hint("rebalance", "day").sortWithinPartitions("day", "d")
 
 
-def append_documents(rows: DataFrame, root: str) -> None:
-    """Certificate documents by day. There is no key: duplicates stay."""
+def append_documents(rows: DataFrame, root: str, batch: str | None = None) -> None:
+    """Certificate documents by day and batch. There is no key: duplicates stay.
+
+    A batch of a given name replaces what it wrote before, so one that is repeated after a
+    failure adds nothing twice; without a name it gets a new one.
+    """
     documents = with_day(minimal_documents(rows))
-    by_day(documents).write.mode("append").partitionBy("day").parquet(root)
+    named = by_day(documents).withColumn("batch", F.lit(batch or uuid.uuid4().hex))
+    named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(root)
+
+
+def compact_documents(spark: SparkSession, root: str, first: str, last: str) -> None:
+    """Writes the batches of each day from `first` to `last` as one, in files of a good size."""
+    finish_pending(spark, root)
+    fs, path = _file_system(spark, root)
+    days = between_days(read_by_day(spark, root, CT_DOMAINS), first, last)
+    staging = f"{root.rstrip('/')}/{_PENDING}{uuid.uuid4().hex}"
+    named = by_day(days).withColumn("batch", F.lit(uuid.uuid4().hex))
+    named.write.partitionBy("day", "batch").parquet(staging)
+    _publish(spark, fs, spark._jvm.org.apache.hadoop.fs.Path(staging), path)
 
 
 _PENDING = "_pending-"

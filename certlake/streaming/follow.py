@@ -10,12 +10,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 
 from certlake.functions import names as nm
-from certlake.operators.certs import RESULT_KEYS, minimal_documents, with_day
+from certlake.operators.certs import RESULT_KEYS
 from certlake.operators.entries import page_entries, page_errors
 from certlake.operators.reuse import reuse_within_ttl
 from certlake.plans.search import search_names
 from certlake.sources.landed import stream_entry_pages
-from certlake.sources.sinks import by_day, upsert_records, write_json
+from certlake.sources.sinks import append_documents, upsert_records, write_json
 
 
 def follow_names(
@@ -95,13 +95,15 @@ def batch_writer(rows: DataFrame, write: Callable[[DataFrame, int], None]) -> Da
     return rows.writeStream.foreachBatch(write)
 
 
-def document_batches(root: str) -> Callable[[DataFrame, int], None]:
-    """Certificate documents by day. A repeated batch replaces its own folder, so a replay
-    after a failure adds nothing twice."""
+def document_batches(root: str, run: str) -> Callable[[DataFrame, int], None]:
+    """Certificate documents in the table that `append_documents` writes.
+
+    `run` names the stream: the same name for as long as its checkpoint is kept, another one
+    for a new checkpoint. A repeated batch replaces its own folders and no other's.
+    """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        documents = with_day(minimal_documents(batch))
-        by_day(documents).write.mode("overwrite").partitionBy("day").parquet(f"{root}/batch={batch_id}")
+        append_documents(batch, root, f"{run}-{batch_id}")
 
     return write
 
@@ -119,15 +121,16 @@ def record_batches(root: str) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def alert_batches(pattern: str, rows_path: str, alerts_path: str) -> Callable[[DataFrame, int], None]:
-    """All rows to one place and the rows that match a pattern to another, decoded once."""
+def alert_batches(pattern: str, rows_path: str, alerts_path: str, run: str) -> Callable[[DataFrame, int], None]:
+    """All rows to one place and the rows that match a pattern to another, decoded once; for
+    `run` see `document_batches`."""
     regex = nm.java_pattern(pattern)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         kept = batch.persist(StorageLevel.MEMORY_AND_DISK)
         try:
-            write_json(kept, f"{rows_path}/batch={batch_id}", "overwrite")
-            write_json(kept.where(F.col("name").rlike(regex)), f"{alerts_path}/batch={batch_id}", "overwrite")
+            write_json(kept, f"{rows_path}/batch={run}-{batch_id}", "overwrite")
+            write_json(kept.where(F.col("name").rlike(regex)), f"{alerts_path}/batch={run}-{batch_id}", "overwrite")
         finally:
             kept.unpersist()
 

@@ -117,7 +117,7 @@ def rolling_counters(spark, sf_dir):
 def micro_batches(spark, sf_dir):
     base = landing(spark, sf_dir)
     found = follow.follow_names(spark, f"{base}/landing", max_files=4)
-    writer = follow.batch_writer(found, follow.document_batches(f"{base}/documents"))
+    writer = follow.batch_writer(found, follow.document_batches(f"{base}/documents", "first"))
     follow.start(writer, f"{base}/checkpoint").awaitTermination()
     return spark.read.parquet(f"{base}/documents").select("d", "t", "h", "l", "s")
 
@@ -126,7 +126,7 @@ def micro_batches(spark, sf_dir):
 def match_alerts(spark, sf_dir):
     base = landing(spark, sf_dir)
     found = follow.follow_names(spark, f"{base}/landing")
-    writer = follow.batch_writer(found, follow.alert_batches(r"^www\.shop1", f"{base}/rows", f"{base}/alerts"))
+    writer = follow.batch_writer(found, follow.alert_batches(r"^www\.shop1", f"{base}/rows", f"{base}/alerts", "first"))
     follow.start(writer, f"{base}/checkpoint").awaitTermination()
     return spark.read.schema("name string, sha1 string").json(f"{base}/alerts").select("name", "sha1")
 

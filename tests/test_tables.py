@@ -145,7 +145,7 @@ def test_stream_resumes_and_alerts(spark, tmp_path):
     for n, names in enumerate((["a.example", "b.example"], ["bad.example"])):
         pages(spark, names).write.mode("append").json(f"{base}/landing")
         rows = follow.follow_names(spark, f"{base}/landing")
-        writer = follow.batch_writer(rows, follow.alert_batches("^b", f"{base}/rows", f"{base}/alerts"))
+        writer = follow.batch_writer(rows, follow.alert_batches("^b", f"{base}/rows", f"{base}/alerts", "r"))
         follow.start(writer, f"{base}/checkpoint").awaitTermination()
     assert sorted(r.name for r in spark.read.json(f"{base}/rows").collect()) == ["a.example", "b.example", "bad.example"]
     assert sorted(r.name for r in spark.read.json(f"{base}/alerts").collect()) == ["b.example", "bad.example"]
@@ -186,6 +186,22 @@ def test_windowed_counters_append_with_a_watermark(spark, tmp_path):
     assert [(r.window_start, r.processed, r.output, r.errors) for r in rows] == [(start, 2, 1, 1), (start + 30, 1, 1, 0)]
 
 
+def test_batches_of_several_runs_share_a_table(spark, tmp_path):
+    from certlake.operators.entries import page_entries
+
+    root = str(tmp_path / "documents")
+    rows = search_names(page_entries(pages(spark, ["a.example", "b.example"])))
+    for run in ("one", "one", "two"):  # a repeated batch of a run replaces itself, a new run adds
+        follow.document_batches(root, run)(rows, 0)
+    sinks.append_documents(rows, root)
+    stored = landed.read_by_day(spark, root)
+    assert stored.count() == 6 and stored.select("batch").distinct().count() == 3
+    day = str(stored.first().day)
+    sinks.compact_documents(spark, root, day, day)
+    stored = landed.read_by_day(spark, root)
+    assert stored.count() == 6 and stored.select("batch").distinct().count() == 1
+
+
 def test_fresh_batches_let_a_name_through_again(spark, tmp_path):
     from certlake.operators.reuse import reuse_within_ttl
 
