@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 
 from certlake.functions import health as fh
 from certlake.operators import fold
+from certlake.operators.once import broadcast_if_small
 from certlake.operators.ordered import running_sum
+from certlake.session import written
 
 # The helpers travel inside the task, so executors need no installed copy of the package.
 cloudpickle.register_pickle_by_value(fold)
@@ -55,10 +57,12 @@ def plain_totals(events: DataFrame) -> DataFrame:
 def server_totals(events: DataFrame) -> DataFrame:
     """What plain aggregation gives: counts, newest times and the base poll interval.
 
-    `hour_count` counts the limits less than an hour before the newest limit.
+    `hour_count` counts the limits less than an hour before the newest limit. The totals are
+    written first: they are used twice, and with a row per server the newest limits are sent to
+    the tasks instead of shuffling all limits of a busy server into one.
     """
-    totals = plain_totals(events)
-    newest = totals.select("server_key", "last_rate_limit")
+    totals = written(plain_totals(events))
+    newest = broadcast_if_small(totals.select("server_key", "last_rate_limit"))
     recent = (
         events.where("limited")
         .select("server_key", "micros")
