@@ -241,8 +241,8 @@ def log_probabilities(parameters: dict[str, np.ndarray]) -> np.ndarray:
 
 def fit(docs: DataFrame, counts: DataFrame) -> Model:
     """The model; `counts` is the stored result of `word_counts`."""
-    rows = largest(counts, "n", KNOWN).collect()
-    frequent = {bytes(r["word"]): r["n"] for r in sorted(rows, key=lambda r: (-r["n"], bytes(r["word"])))}
+    rows = largest(counts, "n", KNOWN).select("word", "n").toArrow()
+    frequent = dict(sorted(zip(rows["word"].to_pylist(), rows["n"].to_pylist()), key=lambda x: (-x[1], x[0])))
     end = counts.where(F.col("word") == F.lit(b"")).first()
     frequent[b""] = end["n"] if end else 0
     symbol = {w: k for k, w in enumerate([w for w in frequent if w][:FREQUENT_SYMBOLS])}
