@@ -12,14 +12,25 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 BLANKS = r"[\x20\x09-\x0D]+"
 
 
-def stored(df: DataFrame) -> DataFrame:
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(df: DataFrame, free_shuffles: bool = False) -> DataFrame:
     """Writes `df` below the cluster's shared folder and reads it back.
 
-    The plan is cut there, and a lost executor repeats only what comes after.
+    The plan is cut there, and a lost executor repeats only what comes after. With
+    `free_shuffles` the files of the shuffles that made the table go as soon as it is written; else
+    they stay until the driver happens to collect its garbage.
     """
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    spark, path = df.sparkSession, shared_dir(df.sparkSession)
+    before = spark.conf.get(_CLEANUP)
+    if free_shuffles:
+        spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def lower_ascii(text: Column) -> Column:

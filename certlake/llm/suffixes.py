@@ -3,8 +3,9 @@
 A text is its words, as they are written. A suffix begins at each minimiser: of every WINDOW
 successive GRAM-word hashes, the smallest one marks its place. Equal passages have the same minimisers, so
 only suffixes whose first GRAM words come again elsewhere can take part. Those are sorted twice,
-by the words that follow and by the words that go before (last first), and each is compared
-with its neighbours in both orders; a match is extended to the left and to the right.
+by the words from its start on and by the words back from the end of its GRAM words, and each is
+compared with its neighbours in both orders: the first extends a match to the right, the second
+to the left.
 
 A passage of MIN_WORDS or more that stands elsewhere too is always found whole: in the first
 order a neighbour shares all that follows its early minimisers, in the second one all that goes before
@@ -30,8 +31,8 @@ from pyspark.sql import functions as F
 from certlake.llm.common import stored, text_of
 
 MIN_WORDS, GRAM, WINDOW, PART = 50, 8, 24, 25
-#: Words kept of what follows and of what goes before a suffix's start.
-AFTER, BEFORE = 48, 40
+#: Words kept from a suffix's start on, and back from the end of its GRAM words.
+REACH = 48
 
 _PLACE = ["doc_id", "content", "at"]
 _MATCHES = "doc_id long, content long, start int, stop int, other_doc_id long, later boolean"
@@ -66,9 +67,21 @@ def minimisers(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.nda
         chosen[at + np.arange(len(some)) + some.argmin(axis=1)] = True
     chosen &= inside
     at = np.flatnonzero(chosen)
+    at = at[_thinned(at, grams[at])]
     return np.array(long_ones)[text[at]], place[at], grams[at].view(np.int64)
 
 
+def _thinned(at: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """Which minimisers to keep where one word repeats, and every place is one: of such a run the
+    first, the last and each half window, which reach over all of it."""
+    if not len(at):
+        return np.zeros(0, bool)
+    again = np.concatenate([[False], (at[1:] == at[:-1] + 1) & (grams[1:] == grams[:-1])])
+    begin = np.maximum.accumulate(np.where(again, 0, np.arange(len(at))))
+    last = np.concatenate([~again[1:], [True]])
+    return ((np.arange(len(at)) - begin) % (WINDOW // 2) == 0) | last
+
+
 def anchors(docs: DataFrame) -> DataFrame:
     """(gram, doc_id, content, at) of all minimisers; `content` is a hash of the text."""
 
@@ -88,7 +101,8 @@ def anchors(docs: DataFrame) -> DataFrame:
 
 
 def _contexts(docs: DataFrame, repeated: DataFrame) -> DataFrame:
-    """(doc_id, content, at, after, before): the words around the suffix starts in `repeated`."""
+    """(doc_id, content, at, after, before): the words around the suffix starts in `repeated`,
+    REACH words from the start on, and REACH words back from the GRAM words' end."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -99,9 +113,9 @@ def _contexts(docs: DataFrame, repeated: DataFrame) -> DataFrame:
                     words = text.encode().split()
                     turned = words[::-1]
                     for at in places:
-                        after = b" ".join(words[at : at + AFTER]) + b" "
-                        back = len(words) - at
-                        before = b" ".join(turned[back : back + BEFORE]) + b" "
+                        after = b" ".join(words[at : at + REACH]) + b" "
+                        back = len(words) - at - GRAM
+                        before = b" ".join(turned[back : back + REACH]) + b" "
                         out.append((doc_id, content, at, after, before))
                 types = [pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()]
                 columns = zip(*out) if out else [[]] * 5
@@ -128,20 +142,18 @@ def shared_words(a: bytes, b: bytes) -> int:
     return a.count(b" ", 0, low)
 
 
-def _pair(a: tuple, b: tuple) -> list[tuple]:
-    """The match of two neighbours, told of each of them."""
-    right = shared_words(a[3], b[3])
-    if right < GRAM:
-        return []
-    left = min(shared_words(a[4], b[4]), a[2], b[2])
-    if left + right < PART:
+def _pair(a: tuple, b: tuple, by: str) -> list[tuple]:
+    """The match of two neighbours (doc_id, content, at, words), told of each of them."""
+    shared = shared_words(a[3], b[3])
+    if shared < PART:
         return []
+    low, high = (0, shared) if by == "after" else (GRAM - shared, GRAM)
 
     def key(x: tuple) -> tuple:
-        return (x[0] is None, x[0] or 0, x[1], x[2] - left)
+        return (x[0] is None, x[0] or 0, x[1], x[2])
 
     later = key(a) > key(b)
-    return [(x[0], x[1], x[2] - left, x[2] + right, y[0], after) for x, y, after in ((a, b, later), (b, a, not later))]
+    return [(x[0], x[1], x[2] + low, x[2] + high, y[0], after) for x, y, after in ((a, b, later), (b, a, not later))]
 
 
 def _match_batch(found: list[tuple]) -> list[pa.Array]:
@@ -152,7 +164,8 @@ def _match_batch(found: list[tuple]) -> list[pa.Array]:
 
 def _neighbours(contexts: DataFrame, by: str) -> DataFrame:
     """Matches between suffixes that are neighbours in the order of `by`."""
-    names = [*_PLACE, "after", "before"]
+    names = [*_PLACE, by]
+    out = ["doc_id", "content", "start", "stop", "other_doc_id", "later", "task", "side", "at", "words"]
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task, last, edge = TaskContext.get().partitionId(), None, []
@@ -165,31 +178,30 @@ def _neighbours(contexts: DataFrame, by: str) -> DataFrame:
                     elif row[:3] == last[:3]:
                         continue
                     else:
-                        found += _pair(last, row)
+                        found += _pair(last, row, by)
                     last = row
-                nothing = [pa.nulls(len(found), t) for t in (pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary())]
+                nothing = [pa.nulls(len(found), t) for t in (pa.int32(), pa.int32(), pa.int32(), pa.binary())]
                 yield pa.RecordBatch.from_arrays([*_match_batch(found), *nothing], out)
         if last is not None:
             edge.append((task, 1, last))
-            rows = [(r[0], r[1], None, None, None, None, t, side, r[2], r[3], r[4]) for t, side, r in edge]
-            types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary()]
+            rows = [(r[0], r[1], None, None, None, None, t, side, r[2], r[3]) for t, side, r in edge]
+            types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int32(), pa.binary()]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], out)
 
-    out = ["doc_id", "content", "start", "stop", "other_doc_id", "later", "task", "side", "at", "after", "before"]
     order = [by, "doc_id", "content", "at"]
     dealt = contexts.select(*names).repartitionByRange(*order).sortWithinPartitions(*order)
-    both = stored(dealt.mapInArrow(compare, f"{_MATCHES}, task int, side int, at int, after binary, before binary"))
+    both = stored(dealt.mapInArrow(compare, f"{_MATCHES}, task int, side int, at int, words binary"), free_shuffles=True)
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found = []
             for a, b in zip(*(c.to_pylist() for c in batch.columns)):
-                one, two = (tuple(x[n] for n in names) for x in (a, b))
+                one, two = (tuple(x[n] for n in (*_PLACE, "words")) for x in (a, b))
                 if one[:3] != two[:3]:
-                    found += _pair(one, two)
+                    found += _pair(one, two, by)
             yield pa.RecordBatch.from_arrays(_match_batch(found), out[:6])
 
-    row = F.struct(*names)
+    row = F.struct(*_PLACE, "words")
     following = Window.partitionBy(F.lit(0)).orderBy("task", "side")
     edges = both.where("side is not null").select(row.alias("a"), "task", "side").withColumn("b", F.lead("a").over(following))  # two rows per task
     crossing = edges.where("side = 1 and b is not null").select("a", "b").mapInArrow(across, _MATCHES)
@@ -230,9 +242,10 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     documents of their own. An empty table gives an empty result.
     """
     every = stored(anchors(docs))
-    grams = stored(every.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("gram"))
+    counts = every.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    grams = stored(counts.where("n > 1").select("gram"), free_shuffles=True)
     repeated = every.join(grams, "gram", "left_semi").select("doc_id", "content", "at")
-    contexts = stored(_contexts(docs, repeated))
+    contexts = stored(_contexts(docs, repeated), free_shuffles=True)
     matches = _neighbours(contexts, "after").union(_neighbours(contexts, "before"))
     own = matches.groupBy("doc_id", "content").agg(F.collect_list(F.struct("start", "stop", "other_doc_id", "later")).alias("matches"))
     return own.mapInArrow(_runs, "doc_id long, content long, start_word int, end_word int, seen_in array<long>, first boolean")
