@@ -26,7 +26,7 @@ POINTS = 2147483648
 SHARE_NUMERATOR, SHARE_DENOMINATOR, EPOCHS = 3, 2, 2
 WEIGHTS = (3, 1, 2)
 #: Slots and documents numbered together in one task.
-PIECE = 65_536
+PIECE = 8_192
 #: Cells of the unit interval by which a point finds its source.
 CELLS = 4096
 
