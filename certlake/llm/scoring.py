@@ -3,14 +3,16 @@
 Two models read the same tokens, the words of a text and one end. The base is an add-0.1 unigram
 model. The other is a log-bilinear neural model: the vectors of the two symbols before are each
 turned by a matrix and added, and their product with a symbol's own vector, plus its
-bias, is that symbol's score. It is trained with noise-contrastive estimation on the counts of
-all symbol triples of the training texts: in each round every task takes steps on the triples
-it has, and the tasks' parameters are averaged. For scoring, batched matrix products give the scores
-of all symbols in all contexts, which are normalised.
+bias, is that symbol's score. It is trained with noise-contrastive estimation on the symbol triples
+of the training texts: in each round every task goes through all triples of the texts dealt to
+it, and the tasks' parameters are averaged. All rounds together see every token of a large corpus
+once, and of a small one more often. For scoring, batched matrix products give the scores of all
+symbols in the contexts that occur, which are normalised.
 
 The symbols are the most frequent words, the end, and classes of all other words by shape; within
 a class a word has its add-0.1 share of the class's tokens. So every word has a probability, and the
-probabilities of all words sum to 1.
+probabilities of all words sum to 1. The frequent words grow as the square root of the training
+vocabulary.
 
 Counts cover all training texts and stay distributed. A bounded list of frequent words is
 sent to the tasks; the counts of the other words are joined.
@@ -18,10 +20,10 @@ sent to the tasks; the counts of the other words are joined.
 
 from __future__ import annotations
 
-import hashlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -29,18 +31,22 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from certlake.llm.common import doc_crc, largest, stored
+from certlake.llm.common import doc_crc, largest, stored, text_of
 
 SMOOTH = 0.1
-#: Symbols: frequent words, classes of other words, the end, and the start (only before a text).
+#: Symbols: frequent words (at least), classes of other words, the end, and the start (only before a text).
 FREQUENT_SYMBOLS, LENGTHS = 220, (2, 4, 6, 8, 10, 13, 18)
 CLASSES = 2 * (len(LENGTHS) + 1)
 END, START = FREQUENT_SYMBOLS + CLASSES, FREQUENT_SYMBOLS + CLASSES + 1
 SYMBOLS = START + 1
 #: Frequent words whose counts every task knows.
 KNOWN = 100_000
-#: Size of the vectors, rounds of averaging, steps of a task in a round, triples and noise per step.
+#: Size of the vectors, rounds of averaging, least steps of a task in a round, triples per step.
 WIDTH, ROUNDS, STEPS, BATCH, NOISE, RATE = 24, 3, 150, 2048, 16, 0.01
+#: Noise symbols of a step, shared by its triples; triples a training task holds.
+SHARED, DEALT = 4 * NOISE, 1 << 20
+#: Contexts whose normalisers a scoring task keeps.
+KEPT = 1 << 21
 #: Distinct words a counting task holds before it passes them on.
 HELD = 200_000
 
@@ -92,16 +98,24 @@ class Model:
     counts: dict[bytes, int]
     symbol: dict[bytes, int]
     class_total: np.ndarray
+    frequent: int = FREQUENT_SYMBOLS
     parameters: dict[str, np.ndarray] = field(default_factory=dict)
-    key: str = ""
+
+    @property
+    def end(self) -> int:
+        return self.frequent + CLASSES
+
+    @property
+    def n_symbols(self) -> int:
+        return self.end + 2
 
     def symbols(self, words: list[bytes]) -> np.ndarray:
-        known = self.symbol
-        return np.fromiter((known[w] if w in known else FREQUENT_SYMBOLS + shape(w) for w in words), np.int64, len(words))
+        known, frequent = self.symbol, self.frequent
+        return np.fromiter((known[w] if w in known else frequent + shape(w) for w in words), np.int64, len(words))
 
 
-def _class_totals(counts: DataFrame, frequent: set[bytes]) -> np.ndarray:
-    """Of each class the denominator of its words' shares."""
+def _class_totals(counts: DataFrame, frequent: set[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Of each class the denominator of its words' shares, and its tokens."""
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -113,24 +127,11 @@ def _class_totals(counts: DataFrame, frequent: set[bytes]) -> np.ndarray:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES)), pa.array(sums), pa.array(kinds)], ["class", "n", "kinds"])
 
     sums = counts.mapInArrow(total, "class long, n long, kinds long").groupBy("class").agg(F.sum("n").alias("n"), F.sum("kinds").alias("kinds"))
-    out = np.full(CLASSES, SMOOTH)
+    out, n = np.full(CLASSES, SMOOTH), np.zeros(CLASSES)
     for r in sums.collect():  # CLASSES rows
         out[r["class"]] += r["n"] + SMOOTH * r["kinds"]
-    return out
-
-
-def triples(docs: DataFrame, model: Model) -> DataFrame:
-    """(code, n): counts of a symbol with the two before it, over the training texts."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 2048):
-                texts = [[b"\0", b"\0", *tokens(t)] for t in whole.slice(at, 2048).column(0).to_pylist()]
-                codes, n = np.unique(_codes(texts, model)[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(codes), pa.array(n)], ["code", "n"])
-
-    own = docs.where(~held_out(F.col("doc_id"))).select("text")
-    return own.mapInArrow(count, "code long, n long").groupBy("code").agg(F.sum("n").alias("n"))
+        n[r["class"]] = r["n"]
+    return out, n
 
 
 def _codes(texts: list[list[bytes]], model: Model) -> tuple[np.ndarray, np.ndarray]:
@@ -138,84 +139,128 @@ def _codes(texts: list[list[bytes]], model: Model) -> tuple[np.ndarray, np.ndarr
     sizes = np.array([len(t) for t in texts], np.int64)
     symbols = model.symbols([w for t in texts for w in t])
     first = np.cumsum(sizes) - sizes
-    symbols[first] = symbols[first + 1] = START
+    symbols[first] = symbols[first + 1] = model.end + 1
     inner = np.ones(len(symbols), bool)
     inner[first] = inner[first + 1] = False
     at = np.flatnonzero(inner)
-    return (symbols[at - 2] * SYMBOLS + symbols[at - 1]) * SYMBOLS + symbols[at], sizes - 2
+    return (symbols[at - 2] * model.n_symbols + symbols[at - 1]) * model.n_symbols + symbols[at], sizes - 2
 
 
 def initial(unigram: np.ndarray) -> dict[str, np.ndarray]:
     """Small random vectors; biases that alone give the symbols' own frequencies."""
     rng = np.random.default_rng(7)
     return {
-        "r": rng.normal(0, 0.1, (SYMBOLS, WIDTH)),
-        "q": rng.normal(0, 0.1, (SYMBOLS, WIDTH)),
+        "r": rng.normal(0, 0.1, (len(unigram), WIDTH)),
+        "q": rng.normal(0, 0.1, (len(unigram), WIDTH)),
         "c1": np.eye(WIDTH) + rng.normal(0, 0.05, (WIDTH, WIDTH)),
         "c2": np.eye(WIDTH) * 0.5 + rng.normal(0, 0.05, (WIDTH, WIDTH)),
         "b": np.log(unigram),
     }
 
 
-def nce_steps(parameters: dict[str, np.ndarray], codes: np.ndarray, n: np.ndarray, noise: np.ndarray, steps: int, seed: int) -> dict[str, np.ndarray]:
-    """Steps of noise-contrastive estimation (Adam) on triples drawn by their counts."""
-    rng = np.random.default_rng(seed)
-    p = {k: v.copy() for k, v in parameters.items()}
-    first, second = ({k: np.zeros_like(v) for k, v in p.items()} for _ in range(2))
-    drawn_by, noise_by = np.cumsum(n / n.sum()), np.cumsum(noise)
-    log_noise = np.log(NOISE * noise)
-    for step in range(1, steps + 1):
-        code = codes[np.minimum(np.searchsorted(drawn_by, rng.random(BATCH)), len(codes) - 1)]
-        h2, h1, w = code // SYMBOLS**2, code // SYMBOLS % SYMBOLS, code % SYMBOLS
-        wrong = np.minimum(np.searchsorted(noise_by, rng.random((BATCH, NOISE))), SYMBOLS - 1)
-        every = np.column_stack([w, wrong])
+class Trainer:
+    """Noise-contrastive estimation (Adam), a batch of triples a step."""
+
+    def __init__(self, parameters: dict[str, np.ndarray], noise: np.ndarray, seed: int):
+        self.rng = np.random.default_rng(seed)
+        self.p = {k: v.copy() for k, v in parameters.items()}
+        self.first, self.second = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
+        self.noise_by, self.log_noise = np.cumsum(noise), np.log(SHARED * noise)
+        self.steps = 0
+
+    def step(self, code: np.ndarray) -> None:
+        p, size = self.p, len(self.log_noise)
+        self.steps += 1
+        h2, h1, w = code // size**2, code // size % size, code % size
+        wrong = np.minimum(np.searchsorted(self.noise_by, self.rng.random(SHARED)), size - 1)
         context = p["r"][h1] @ p["c1"] + p["r"][h2] @ p["c2"]
-        own = p["q"][every]
-        score = np.einsum("bd,bkd->bk", context, own) + p["b"][every] - log_noise[every]
-        slope = 1 / (1 + np.exp(-np.clip(score, -40, 40)))
-        slope[:, 0] -= 1
-        slope /= BATCH
-        to_context = np.einsum("bk,bkd->bd", slope, own)
-        g = {k: np.zeros_like(v) for k, v in p.items()}
-        flat = every.ravel()
-        g["b"] = np.bincount(flat, slope.ravel(), SYMBOLS)
-        to_q = (slope[:, :, None] * context[:, None, :]).reshape(-1, WIDTH)
+        right, other = p["q"][w], p["q"][wrong]
+        score = np.einsum("bd,bd->b", context, right) + p["b"][w] - self.log_noise[w]
+        up = (1 / (1 + np.exp(-np.clip(score, -40, 40))) - 1) / len(code)
+        score = context @ other.T + (p["b"][wrong] - self.log_noise[wrong])
+        down = 1 / (1 + np.exp(-np.clip(score, -40, 40))) / len(code)
+        to_context = up[:, None] * right + down @ other
         back1, back2 = to_context @ p["c1"].T, to_context @ p["c2"].T
+        flat, before = np.concatenate([w, wrong]), np.concatenate([h1, h2])
+        to_q = np.concatenate([up[:, None] * context, down.T @ context])
+        to_r = np.concatenate([back1, back2])
+        g = {k: np.zeros_like(v) for k, v in p.items()}
+        g["b"] = np.bincount(flat, np.concatenate([up, down.sum(axis=0)]), size)
         for d in range(WIDTH):
-            g["q"][:, d] = np.bincount(flat, to_q[:, d], SYMBOLS)
-            g["r"][:, d] = np.bincount(h1, back1[:, d], SYMBOLS) + np.bincount(h2, back2[:, d], SYMBOLS)
+            g["q"][:, d] = np.bincount(flat, to_q[:, d], size)
+            g["r"][:, d] = np.bincount(before, to_r[:, d], size)
         g["c1"], g["c2"] = p["r"][h1].T @ to_context, p["r"][h2].T @ to_context
         for k in p:
-            first[k] = 0.9 * first[k] + 0.1 * g[k]
-            second[k] = 0.999 * second[k] + 0.001 * g[k] ** 2
-            p[k] -= RATE * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.999**step)) + 1e-8)
-    return p
+            first, second = self.first[k], self.second[k]
+            first *= 0.9
+            first += 0.1 * g[k]
+            second *= 0.999
+            second += 0.001 * g[k] ** 2
+            p[k] -= RATE * (first / (1 - 0.9**self.steps)) / (np.sqrt(second / (1 - 0.999**self.steps)) + 1e-8)
+
+    def epoch(self, codes: np.ndarray) -> None:
+        """Steps over all triples in a random order, each of them once."""
+        codes = self.rng.permutation(codes)
+        for at in range(0, len(codes), BATCH):
+            self.step(codes[at : at + BATCH])
 
 
-def train(counted: DataFrame, unigram: np.ndarray) -> dict[str, np.ndarray]:
-    """Parameters after ROUNDS of averaging, weighted by the tokens that each task has."""
+def nce_steps(parameters: dict[str, np.ndarray], codes: np.ndarray, n: np.ndarray, noise: np.ndarray, steps: int, seed: int) -> dict[str, np.ndarray]:
+    """Steps of noise-contrastive estimation on triples drawn by their counts."""
+    trainer, drawn_by = Trainer(parameters, noise, seed), np.cumsum(n / n.sum())
+    for _ in range(steps):
+        trainer.step(codes[np.minimum(np.searchsorted(drawn_by, trainer.rng.random(BATCH)), len(codes) - 1)])
+    return trainer.p
+
+
+def train(docs: DataFrame, model: Model, unigram: np.ndarray, total: int) -> dict[str, np.ndarray]:
+    """Parameters after ROUNDS of averaging, weighted by the tokens that each task has.
+
+    The training texts are dealt to the rounds, and a task steps through all triples of its texts. Where
+    that gives it less than STEPS, it goes through them again. So few tokens (`total`) that each
+    round could go through them are not dealt.
+    """
     parameters = initial(unigram)
     names = list(parameters)
+    own = docs.where(~held_out(F.col("doc_id"))).select("text")
+    spread = total > ROUNDS * STEPS * BATCH
 
     def flat(p: dict[str, np.ndarray]) -> np.ndarray:
         return np.concatenate([p[k].ravel() for k in names])
 
     for turn in range(ROUNDS):
         start = parameters
+        sent = docs.sparkSession.sparkContext.broadcast((model, start))
 
         def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
-            if got:
-                codes, n = (np.concatenate(x) for x in zip(*got))
-                task = TaskContext.get()
-                own = flat(nce_steps(start, codes, n, unigram, STEPS, turn * 1_000_003 + task.partitionId()))
-                weight = float(n.sum())
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(own))), pa.array(own * weight), pa.array(np.full(len(own), weight))], ["at", "value", "weight"])
-
-        sums = counted.mapInArrow(steps, "at long, value double, weight double").groupBy("at").agg((F.sum("value") / F.sum("weight")).alias("value"))
+            model, start = sent.value
+            trainer = Trainer(start, unigram, turn * 1_000_003 + TaskContext.get().partitionId())
+            held: list[np.ndarray] = []
+            size = seen = 0
+            for whole in batches:
+                for at in range(0, whole.num_rows, 256):
+                    texts = [[b"\0", b"\0", *tokens(t)] for t in whole.slice(at, 256).column(0).to_pylist()]
+                    held.append(_codes(texts, model)[0])
+                    size += len(held[-1])
+                    if size >= DEALT:
+                        trainer.epoch(np.concatenate(held))
+                        seen, size = seen + size, 0
+                        held.clear()
+            if size:
+                trainer.epoch(np.concatenate(held))
+                while trainer.steps < STEPS:  # then `held` has all triples of the task
+                    trainer.epoch(np.concatenate(held))
+            weight = float(seen + size)
+            if weight:
+                values = flat(trainer.p)
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values))), pa.array(values * weight), pa.array(np.full(len(values), weight))], ["at", "value", "weight"])
+
+        dealt = own.where(F.pmod(F.xxhash64(text_of()), F.lit(ROUNDS)) == turn) if spread else own
+        sums = dealt.mapInArrow(steps, "at long, value double, weight double").groupBy("at").agg((F.sum("value") / F.sum("weight")).alias("value"))
         rows = sums.toArrow().sort_by("at")  # one row per parameter
+        sent.destroy()
         if rows.num_rows == 0:
-            break
+            continue
         values, at = rows["value"].to_numpy(), 0
         parameters = {}
         for k in names:
@@ -225,55 +270,77 @@ def train(counted: DataFrame, unigram: np.ndarray) -> dict[str, np.ndarray]:
     return parameters
 
 
+class Normalised:
+    """log10 probabilities of symbols after the two before them."""
+
+    def __init__(self, parameters: dict[str, np.ndarray]):
+        p = {k: v.astype(np.float32) for k, v in parameters.items()}
+        self.one, self.two, self.q, self.bias = p["r"] @ p["c1"], p["r"] @ p["c2"], p["q"], p["b"].copy()
+        self.bias[-1] = -np.inf  # the start
+        self.contexts, self.norms = np.empty(0, np.int64), np.empty(0, np.float32)
+
+    def _norms(self, contexts: np.ndarray) -> np.ndarray:
+        """Logarithms of the sums over all symbols."""
+        size, out = len(self.bias), np.empty(len(contexts), np.float32)
+        some = max(1, (1 << 21) // size)
+        for at in range(0, len(contexts), some):
+            part = contexts[at : at + some]
+            score = (self.one[part % size] + self.two[part // size]) @ self.q.T + self.bias
+            top = score.max(axis=1)
+            score -= top[:, None]
+            out[at : at + some] = top + np.log(np.exp(score, out=score).sum(axis=1))
+        return out
+
+    def scores(self, codes: np.ndarray) -> np.ndarray:
+        size = len(self.bias)
+        contexts, of = np.unique(codes // size, return_inverse=True)
+        at = np.searchsorted(self.contexts, contexts)
+        new = np.ones(len(contexts), bool)
+        inside = at < len(self.contexts)
+        new[inside] = self.contexts[at[inside]] != contexts[inside]
+        norms = np.empty(len(contexts), np.float32)
+        norms[~new] = self.norms[at[~new]]
+        norms[new] = self._norms(contexts[new])
+        if len(self.contexts) + new.sum() > KEPT:
+            self.contexts, self.norms = contexts, norms
+        else:
+            self.contexts, self.norms = np.insert(self.contexts, at[new], contexts[new]), np.insert(self.norms, at[new], norms[new])
+        w = codes % size
+        context = (self.one[contexts % size] + self.two[contexts // size])[of]
+        return (np.einsum("nd,nd->n", context, self.q[w]) + self.bias[w] - norms[of]) / np.log(10)
+
+
 def log_probabilities(parameters: dict[str, np.ndarray]) -> np.ndarray:
     """log10 of every symbol's probability in every context (two before, one before, symbol)."""
-    p = {k: v.astype(np.float32) for k, v in parameters.items()}
-    one, two = p["r"] @ p["c1"], p["r"] @ p["c2"]
-    bias = p["b"].copy()
-    bias[START] = -np.inf
-    out = np.empty((SYMBOLS, SYMBOLS, SYMBOLS), np.float32)
-    for h2 in range(SYMBOLS):
-        score = (one + two[h2]) @ p["q"].T + bias
-        top = score.max(axis=1, keepdims=True)
-        out[h2] = (score - top - np.log(np.exp(score - top).sum(axis=1, keepdims=True))) / np.log(10)
-    return out.reshape(-1)
-
-
-def fit(docs: DataFrame, counts: DataFrame) -> Model:
-    """The model; `counts` is the stored result of `word_counts`."""
+    return Normalised(parameters).scores(np.arange(len(parameters["b"]) ** 3))
+
+
+def fit(docs: DataFrame, counts: DataFrame, total: int, distinct: int) -> Model:
+    """The model; `counts` is the stored result of `word_counts`, with its tokens and words."""
     rows = largest(counts, "n", KNOWN).select("word", "n").toArrow()
     frequent = dict(sorted(zip(rows["word"].to_pylist(), rows["n"].to_pylist()), key=lambda x: (-x[1], x[0])))
     end = counts.where(F.col("word") == F.lit(b"")).first()
     frequent[b""] = end["n"] if end else 0
-    symbol = {w: k for k, w in enumerate([w for w in frequent if w][:FREQUENT_SYMBOLS])}
-    symbol[b""] = END
-    model = Model(frequent, symbol, _class_totals(counts, set(symbol)))
-    counted = stored(triples(docs, model))
-    unigram = np.full(SYMBOLS, 1.0)
-    for r in counted.groupBy((F.col("code") % SYMBOLS).alias("symbol")).agg(F.sum("n").alias("n")).collect():  # SYMBOLS rows
-        unigram[r["symbol"]] += r["n"]
-    model.parameters = train(counted, unigram / unigram.sum())
-    model.key = hashlib.md5(b"".join(v.tobytes() for v in model.parameters.values())).hexdigest()
+    most = max(FREQUENT_SYMBOLS, isqrt(distinct))
+    symbol = {w: k for k, w in enumerate([w for w in frequent if w][:most])}
+    symbol[b""] = most + CLASSES
+    class_total, class_tokens = _class_totals(counts, set(symbol))
+    model = Model(frequent, symbol, class_total, most)
+    unigram = np.full(model.n_symbols, 1.0)
+    for word, k in symbol.items():
+        unigram[k] += frequent[word]
+    unigram[most : model.end] += class_tokens
+    model.parameters = train(docs, model, unigram / unigram.sum(), total)
     return model
 
 
-_tables: dict[str, np.ndarray] = {}
-
-
-def _table(model: Model) -> np.ndarray:
-    if model.key not in _tables:
-        _tables.clear()
-        _tables[model.key] = log_probabilities(model.parameters)
-    return _tables[model.key]
-
-
 def _partial(docs: DataFrame, model: Model) -> DataFrame:
     """Scores but for the words that `model` doesn't know, and these words with the row's key."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        table, counts = _table(model), model.counts
+        neural_of, counts = Normalised(model.parameters), model.counts
         task, row = TaskContext.get().partitionId() << 40, 0
         share = np.log10(model.class_total)
         for whole in batches:
@@ -282,12 +349,12 @@ def _partial(docs: DataFrame, model: Model) -> DataFrame:
                 words = [tokens(t) for t in batch.column(1).to_pylist()]
                 codes, sizes = _codes([[b"\0", b"\0", *w] for w in words], model)
                 n = np.fromiter((counts.get(w, -1) for t in words for w in t), np.int64, len(codes))
-                symbols = codes % SYMBOLS
-                of_class = (symbols >= FREQUENT_SYMBOLS) & (symbols < END)
+                symbols = codes % model.n_symbols
+                of_class = (symbols >= model.frequent) & (symbols < model.end)
                 known = n >= 0
                 log_count = np.where(known, np.log10(np.maximum(n, 0) + SMOOTH), 0.0)
-                neural = table[codes].astype(np.float64)
-                neural[of_class] -= share[symbols[of_class] - FREQUENT_SYMBOLS]
+                neural = neural_of.scores(codes).astype(np.float64)
+                neural[of_class] -= share[symbols[of_class] - model.frequent]
                 neural += np.where(of_class, log_count, 0.0)
                 begin = np.cumsum(sizes) - sizes
                 sums = [np.add.reduceat(x, begin) for x in (log_count, neural, (n > 0).astype(np.int64))]
@@ -313,7 +380,7 @@ def scored(docs: DataFrame) -> DataFrame:
     """
     counts = stored(word_counts(docs).where("word is not null"))
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    partial = stored(_partial(docs, fit(docs, counts)))
+    partial = stored(_partial(docs, fit(docs, counts, total, distinct)))
     asked = partial.select("row", F.explode("others").alias("word"))
     found = asked.join(counts, "word", "left")
     rest = found.groupBy("row").agg(

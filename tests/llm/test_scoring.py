@@ -69,3 +69,25 @@ def test_edge_tables(spark, tmp_path):
     close(scoring.scored(written(spark, tmp_path / "h", rows)).collect(), rows)
     clash = written(spark, tmp_path / "c", [(1, "a", "w", 3, 4), (2, None, None, None, None)], "doc_id long, text string, word string, n long, row long")
     assert scoring.scored(clash).count() == 2
+
+
+def test_training_sees_every_token_and_the_symbols_grow(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(scoring, "STEPS", 1)
+    monkeypatch.setattr(scoring, "BATCH", 64)  # here; the tasks take theirs from the module
+    rng = random.Random(21)
+    rows = [row(k, words(rng, 300, 300_000)) for k in range(400)]
+    docs = written(spark, tmp_path / "d", rows)
+    counts = docs.transform(scoring.word_counts)
+    total, distinct = counts.selectExpr("sum(n)", "count(*)").first()
+    sizes = spark.sparkContext.accumulator(0)
+    base = scoring.Trainer
+
+    class Counting(base):
+        def step(self, code):
+            sizes.add(len(code))
+            base.step(self, code)
+
+    monkeypatch.setattr(scoring, "Trainer", Counting)
+    model = scoring.fit(docs, counts, total, distinct)
+    assert sizes.value == total > scoring.ROUNDS * scoring.STEPS * scoring.BATCH
+    assert model.frequent == math.isqrt(distinct) > scoring.FREQUENT_SYMBOLS
