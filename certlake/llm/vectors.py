@@ -5,7 +5,8 @@ vector is linked to near ones, but not to one that lies nearer to a neighbour al
 chosen (robust pruning). A vector's lists from all its shards are united. Each vector is then searched
 in its nearest shard: greedily from the medoids, and from there through everything within range.
 What is found is verified by its cosine in double precision. The links of a sample of
-vectors are compared with a search of all rows; if too few were found, shards overlap more.
+vectors are compared with a search of all rows, over all links, per vector, and for those with few links;
+if too few were found, shards overlap more, and after the third try all pairs are compared by blocks.
 
 Equal vectors are one node with a count. A shard with more than MOST vectors is dealt into parts at
 random, and its searches run in all of them, so no task holds more. Links leave a task as
@@ -33,6 +34,8 @@ DEGREE, POOL, ALPHA = 24, 64, 1.2
 MEDOIDS, EXPANSIONS, SLACK = 16, 24, 0.15
 #: Vectors whose links are audited, and the share that must be found.
 AUDITED, RECALL = 256, 0.97
+#: Vectors of a block where all pairs are compared.
+BLOCK = 4_000
 
 
 def _vectors(column: list[bytes], width: int) -> np.ndarray:
@@ -312,7 +315,8 @@ def searched(placed: DataFrame, lists: DataFrame, width: int) -> DataFrame:
 
 
 def audit(table: DataFrame, found: DataFrame, width: int) -> float:
-    """Share of the links of AUDITED nodes, compared with all rows, that were found."""
+    """The least of three shares of AUDITED nodes' links, compared with all rows, that were found: over
+    all links, per node, and per node over those with the fewest links."""
     n = table.count()
     share = min(1.0, AUDITED / max(n, 1))
     chosen = table.where(F.pmod(F.xxhash64(F.col("node"), F.lit("audit")), F.lit(1 << 20)) < int(share * (1 << 20)) + 1).limit(4 * AUDITED)
@@ -332,9 +336,50 @@ def audit(table: DataFrame, found: DataFrame, width: int) -> float:
         yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(total)], ["node", "linked"])
 
     true = table.select("node", "count", "vector").mapInArrow(compare, "node long, linked long").groupBy("node").agg(F.sum("linked").alias("due"))
-    met = true.join(found.groupBy("node").agg(F.sum("linked").alias("got")), "node", "left")
-    due, got = met.agg(F.sum("due"), F.sum(F.least("due", F.coalesce("got", F.lit(0))))).first()
-    return got / due if due else 1.0
+    met = true.where("due > 0").join(found.groupBy("node").agg(F.sum("linked").alias("got")), "node", "left")
+    rows = met.select("due", F.least("due", F.coalesce("got", F.lit(0))).alias("got")).toArrow()  # 4 * AUDITED rows at most
+    if not rows.num_rows:
+        return 1.0
+    due, got = rows["due"].to_numpy(), rows["got"].to_numpy()
+    few = due <= np.median(due)
+    return float(min(got.sum() / due.sum(), (got / due).mean(), (got[few] / due[few]).mean()))
+
+
+def _all_in_range(table: DataFrame, width: int) -> DataFrame:
+    """(node, linked, root) like `searched`, by comparing every pair of blocks of nodes."""
+    blocks = max(1, -(-table.count() // BLOCK))
+    own = stored(table.select("node", "count", "vector", F.pmod(F.xxhash64("node"), F.lit(blocks)).cast("int").alias("block")))
+    every = F.sequence(F.lit(0), F.lit(blocks - 1))
+    asks = own.select("node", "count", "vector", F.lit(True).alias("asks"), F.col("block").alias("of"), F.explode(every).alias("to"))
+    held = own.select("node", "count", "vector", F.lit(False).alias("asks"), F.explode(every).alias("of"), F.col("block").alias("to"))
+
+    def compare(got: pa.Table) -> pa.Table:
+        asks = got["asks"].to_numpy()
+        node, count = got["node"].to_numpy(), got["count"].to_numpy()
+        x = _unit(_vectors(got["vector"].to_pylist(), width))
+        q, to = np.flatnonzero(asks), np.flatnonzero(~asks)
+        linked, stars = np.zeros(len(q), np.int64), set()
+        for at in range(0, len(q) if len(to) else 0, 256):
+            some = q[at : at + 256]
+            near = (x[some] @ x[to].T >= THRESHOLD) & (node[some][:, None] != node[to][None, :])
+            linked[at : at + 256] = near @ count[to]
+            i, j = np.nonzero(near)
+            i, j = some[i], to[j]
+            root = np.arange(len(node))
+            while True:
+                low = root.copy()
+                np.minimum.at(low, i, root[j])
+                np.minimum.at(low, j, root[i])
+                low = low[low]
+                if np.array_equal(low, root):
+                    break
+                root = low
+            led = np.flatnonzero(root != np.arange(len(node)))
+            stars.update(zip(node[led].tolist(), node[root[led]].tolist()))
+        a, b = (np.array([s[k] for s in stars], np.int64) for k in (0, 1))
+        return pa.table({"node": np.concatenate([node[q], a]), "linked": np.concatenate([linked, np.zeros(len(a), np.int64)]), "root": np.concatenate([node[q], b])})
+
+    return asks.union(held).groupBy("of", "to").applyInArrow(compare, "node long, linked long, root long")
 
 
 def near_duplicates(rows: DataFrame, overlap: int = 3) -> DataFrame:
@@ -355,6 +400,8 @@ def near_duplicates(rows: DataFrame, overlap: int = 3) -> DataFrame:
             if audit(table, found, width) >= RECALL:
                 break
             overlap *= 2
+        else:
+            found = stored(_all_in_range(table, width))
         stars = found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b"))
         roots = stored(components(stars)).withColumnRenamed("node", "of")
         counts = found.groupBy("node").agg(F.sum("linked").alias("linked"))

@@ -100,3 +100,24 @@ def test_edge_tables(spark, tmp_path):
     assert sorted(tuple(r) for r in nothing) == [(5, 0, 5, True), (6, 0, 6, True)]
     clash = table(spark, tmp_path / "c", [(1, [1.0, 0.0], 2, 3), (2, [1.0, 0.1], 2, 3)], "vec_id long, embedding array<double>, node long, root long")
     assert sorted(tuple(r) for r in vectors.near_duplicates(clash).collect()) == [(1, 1, 1, True), (2, 1, 1, False)]
+
+
+def test_audit_is_not_hidden_by_a_dense_cluster(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    one = rng.normal(size=16)
+    rows = [(k, [float(v) for v in (one + rng.normal(size=16) * 0.01).astype(np.float32)], 0) for k in range(200)]
+    for k in range(0, 100, 2):
+        x = rng.normal(size=16)
+        rows += [(1000 + k + j, [float(v) for v in (x + rng.normal(size=16) * 0.01).astype(np.float32)], 0) for j in (0, 1)]
+    nodes, width = vectors.nodes(table(spark, tmp_path / "d", rows))
+    dense = nodes.selectExpr("node", "if(vec_id < 1000, 199L, 0L) as linked")
+    assert vectors.audit(nodes, dense, width) < vectors.RECALL
+
+
+def test_failed_audits_end_in_a_whole_search(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK", 200)
+    monkeypatch.setattr(vectors, "audit", lambda *_: 0.0)
+    monkeypatch.setattr(vectors, "searched", lambda placed, lists, width: placed.selectExpr("node", "0L as linked", "node as root"))
+    rows = clusters(6, 600, 50)
+    found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.near_duplicates(table(spark, tmp_path / "d", rows)).collect()}
+    assert [found[r[0]] for r in rows] == brute(rows)
