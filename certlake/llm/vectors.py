@@ -8,9 +8,9 @@ What is found is verified by its cosine in double precision. The links of a samp
 vectors are compared with a search of all rows, over all links, per vector, and for those with few links;
 if too few were found, shards overlap more, and after the third try all pairs are compared by blocks.
 
-Equal vectors are one node with a count. A shard with more than MOST vectors is dealt into parts at
-random, and its searches run in all of them, so no task holds more. Links leave a task as
-counts and as stars of what they connect, never as pairs.
+Vectors of equal direction are one node with a count. A shard with more than MOST vectors is dealt into parts at
+random, and its searches into as large blocks, each of which runs in all parts, so a task holds
+about MOST of either. Links leave a task as counts and as stars of what they connect, never as pairs.
 """
 
 from __future__ import annotations
@@ -34,6 +34,8 @@ DEGREE, POOL, ALPHA = 24, 64, 1.2
 MEDOIDS, EXPANSIONS, SLACK = 16, 24, 0.15
 #: Vectors whose links are audited, and the share that must be found.
 AUDITED, RECALL = 256, 0.97
+#: Decimals of a direction.
+DIGITS = 12
 #: Vectors of a block where all pairs are compared.
 BLOCK = 4_000
 
@@ -43,9 +45,9 @@ def _vectors(column: list[bytes], width: int) -> np.ndarray:
 
 
 def nodes(rows: DataFrame) -> tuple[DataFrame, int]:
-    """(node, vec_id, count, vector): one row per distinct usable vector, and the vectors' width.
+    """(node, vec_id, count, vector): one row per distinct usable direction, and the vectors' width.
 
-    `vector` has the components as doubles, scaled to length 1. `vec_id` is the smallest one.
+    `vector` is a `direction`. `vec_id` is the smallest one.
     """
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -54,11 +56,10 @@ def nodes(rows: DataFrame) -> tuple[DataFrame, int]:
             for vec_id, values in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if vec_id is None or not values or None in values:
                     continue
-                x = np.array(values, np.float64)
-                largest = np.abs(x).max()
-                if np.isfinite(largest) and largest > 0:
+                key = direction(values)
+                if key is not None:
                     ids.append(vec_id)
-                    kept.append((x + 0.0).tobytes())
+                    kept.append(key)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(kept, pa.binary())], ["vec_id", "vector"])
 
     own = rows.select(F.col("vec_id").cast("long"), F.col("embedding").cast("array<double>"))
@@ -75,6 +76,16 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def direction(values: list[float]) -> bytes | None:
+    """Components as doubles, scaled to length 1 and rounded, so that a vector and its multiples agree;
+    None where they are not finite or all zero."""
+    x = np.array([values], np.float64)
+    largest = np.abs(x).max()
+    if not np.isfinite(largest) or largest == 0:
+        return None
+    return (np.round(_unit(x)[0], DIGITS) + 0.0).tobytes()
+
+
 def centroids(table: DataFrame, width: int, n: int) -> np.ndarray:
     """k-means on the sphere, from a bounded sample of the nodes."""
     k = int(min(CENTROIDS, max(1, -(-n // SHARD))))
@@ -95,7 +106,9 @@ def centroids(table: DataFrame, width: int, n: int) -> np.ndarray:
 
 
 def dealt(table: DataFrame, centers: np.ndarray, width: int, overlap: int) -> DataFrame:
-    """(shard, part, node, count, vector, member, home): nodes in their shards, searches in all parts."""
+    """(shard, part, query, node, count, vector, member, home): nodes in their shards, searches in all parts.
+
+    A part comes once for each block of the shard's searches."""
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -114,12 +127,19 @@ def dealt(table: DataFrame, centers: np.ndarray, width: int, overlap: int) -> Da
 
     schema = "shard int, node long, count long, vector binary, home boolean"
     placed = stored(table.select("node", "count", "vector").mapInArrow(assign, schema))
-    sizes = placed.groupBy("shard").agg(F.ceil(F.count(F.lit(1)) / MOST).cast("int").alias("parts"))
+    sizes = placed.groupBy("shard").agg(
+        F.ceil(F.count(F.lit(1)) / MOST).cast("int").alias("parts"),
+        F.greatest(F.lit(1), F.ceil(F.count_if("home") / MOST)).cast("int").alias("queries"),
+    )
     sizes = F.broadcast(sizes)  # CENTROIDS rows at most
     own = placed.join(sizes, "shard").withColumn("own", F.pmod(F.xxhash64("node"), F.col("parts")).cast("int"))
-    everywhere = F.when(F.col("home"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array("own"))
-    own = own.withColumn("part", F.explode(everywhere)).withColumn("member", F.col("part") == F.col("own"))
-    return own.select("shard", "part", "node", "count", "vector", "member", "home")
+    own = own.withColumn("asks", F.pmod(F.xxhash64("node", F.lit("query")), F.col("queries")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("queries") - 1), lambda q: F.struct(F.col("own").alias("part"), q.alias("query")))
+    everywhere = F.transform(F.sequence(F.lit(0), F.col("parts") - 1), lambda p: F.struct(p.alias("part"), F.col("asks").alias("query")))
+    own = own.withColumn("at", F.explode(F.when(F.col("home"), F.array_union(pairs, everywhere)).otherwise(pairs)))
+    own = own.select("*", F.col("at.part").alias("part"), F.col("at.query").alias("query"))
+    member, home = F.col("part") == F.col("own"), F.col("home") & (F.col("query") == F.col("asks"))
+    return own.select("shard", "part", "query", "node", "count", "vector", member.alias("member"), home.alias("home"))
 
 
 def robust_graph(x: np.ndarray) -> np.ndarray:
@@ -244,7 +264,7 @@ def adjacency(placed: DataFrame, width: int) -> DataFrame:
         named = [node[row[row >= 0]] for row in lists]
         yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(named, pa.list_(pa.int64()))], ["node", "neighbours"])
 
-    members = placed.where("member").select("shard", "part", "node", "vector")
+    members = placed.where("member and query = 0").select("shard", "part", "node", "vector")
     lists = members.groupBy("shard", "part").applyInArrow(_whole(build), "node long, neighbours array<long>")
     return lists.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("neighbours"))).alias("neighbours"))
 
@@ -257,7 +277,7 @@ def _whole(function):
 
 
 def searched(placed: DataFrame, lists: DataFrame, width: int) -> DataFrame:
-    """(node, linked, root): per shard part, each searched node's linked vectors, and a node to which
+    """(node, linked, root): per shard part and block of searches, each searched node's linked vectors, and a node to which
     links lead from it (itself, where there are none). Other linked nodes come with linked = 0."""
 
     def search(table: pa.Table) -> pa.Table:
@@ -311,7 +331,7 @@ def searched(placed: DataFrame, lists: DataFrame, width: int) -> DataFrame:
         return pa.table({"node": ids[keep], "linked": values[keep], "root": roots[keep]})
 
     rows = placed.join(lists, "node")
-    return rows.groupBy("shard", "part").applyInArrow(search, "node long, linked long, root long")
+    return rows.groupBy("shard", "part", "query").applyInArrow(search, "node long, linked long, root long")
 
 
 def audit(table: DataFrame, found: DataFrame, width: int) -> float:
@@ -417,7 +437,7 @@ def near_duplicates(rows: DataFrame, overlap: int = 3) -> DataFrame:
             keys = []
             for vec_id, values in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 usable = vec_id is not None and values and None not in values
-                keys.append((np.array(values, np.float64) + 0.0).tobytes() if usable else None)
+                keys.append(direction(values) if usable else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary())], ["vec_id", "key"])
 
     keys = own.mapInArrow(keyed, "vec_id long, key binary")

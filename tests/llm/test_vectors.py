@@ -121,3 +121,18 @@ def test_failed_audits_end_in_a_whole_search(spark, tmp_path, monkeypatch):
     rows = clusters(6, 600, 50)
     found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in vectors.near_duplicates(table(spark, tmp_path / "d", rows)).collect()}
     assert [found[r[0]] for r in rows] == brute(rows)
+
+
+def test_no_group_grows_with_a_dense_shard(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(vectors, "MOST", 100)
+    rng = np.random.default_rng(7)
+    one = rng.normal(size=16)
+    rows = [(k, [float(v) for v in one + rng.normal(size=16) * 0.01], 0) for k in range(1000)]
+    rows += [(2000 + k, [float(v) * (k + 2) for v in rows[0][1]], 0) for k in range(500)]
+    nodes, width = vectors.nodes(table(spark, tmp_path / "d", rows, "vec_id long, embedding array<double>, label int"))
+    assert nodes.count() == 1000  # multiples are one node
+    placed = vectors.dealt(nodes, vectors.centroids(nodes, width, 1), width, 3)
+    sizes = [r["count"] for r in placed.groupBy("shard", "part", "query").count().collect()]
+    assert len(sizes) == 100 and max(sizes) < 3 * vectors.MOST
+    asked = placed.where("home").groupBy("node").count().where("count <> 10")
+    assert asked.isEmpty()  # each once in every part
