@@ -125,7 +125,7 @@ def language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op2_suffix_array_dedup")
 def suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = suffixes.repeated_passages(table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "seen_in", "first")
+    return found.select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "seen_in", "first", "spans")
 
 
 @query("op8_embedding_near_dedup")

@@ -218,24 +218,42 @@ def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if m and run and m["start"] <= run[1]:
                     run[1] = max(run[1], m["stop"])
                     run[2].add(m["other_doc_id"])
-                    run[3] |= m["later"]
+                    run[3].append(m)
                     continue
                 if run and run[1] - run[0] >= MIN_WORDS:
                     others = sorted(x for x in run[2] if x is not None)
-                    out.append((doc_id, content, run[0], run[1], others, not run[3]))
-                run = [m["start"], m["stop"], {m["other_doc_id"]}, m["later"]] if m else None
-        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.bool_()]
-        columns = zip(*out) if out else [[]] * 6
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["doc_id", "content", "start_word", "end_word", "seen_in", "first"])
+                    spans = _spans(run[0], run[1], [(x["start"], x["stop"]) for x in run[3] if x["later"]])
+                    out.append((doc_id, content, run[0], run[1], others, all(x["first"] for x in spans), spans))
+                run = [m["start"], m["stop"], {m["other_doc_id"]}, [m]] if m else None
+        span = pa.struct([("start_word", pa.int32()), ("end_word", pa.int32()), ("first", pa.bool_())])
+        types = [pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.list_(pa.int64()), pa.bool_(), pa.list_(span)]
+        columns = zip(*out) if out else [[]] * 7
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], ["doc_id", "content", "start_word", "end_word", "seen_in", "first", "spans"])
+
+
+def _spans(start: int, stop: int, later: list[tuple[int, int]]) -> list[dict]:
+    """A run cut where it enters or leaves `later`, the parts (sorted by start) that stand before too."""
+    out, at = [], start
+    for low, high in [*later, (stop, stop)]:
+        if low > at:
+            out.append({"start_word": at, "end_word": low, "first": True})
+        if high > max(low, at):
+            if out and not out[-1]["first"] and out[-1]["end_word"] == max(low, at):
+                out[-1]["end_word"] = high
+            else:
+                out.append({"start_word": max(low, at), "end_word": high, "first": False})
+        at = max(at, high)
+    return out
 
 
 def repeated_passages(docs: DataFrame) -> DataFrame:
-    """(doc_id, content, start_word, end_word, seen_in, first): passages that stand elsewhere too.
+    """(doc_id, content, start_word, end_word, seen_in, first, spans): passages that stand elsewhere too.
 
     Words are numbered from 0, ends are exclusive. `seen_in` has the documents of the neighbours
-    that a passage was found in, itself where it repeats there, not all of its group. `first` is true
-    where no neighbour comes earlier by doc_id (null last) and place: without all other
-    passages, one copy of each is left. `content` is a hash of the whole text.
+    that a passage was found in, itself where it repeats there, not all of its group. `spans` cuts
+    a passage into parts (start_word, end_word, first); a part is first where no neighbour that has its words
+    comes earlier by doc_id (null last) and place: without all other parts, at least one copy of each
+    is left. `first` is true where all parts are. `content` is a hash of the whole text.
 
     `docs` has doc_id and text; other columns are ignored. Null texts are empty. Rows that agree in
     doc_id and text are one document; rows with one doc_id and different texts, or with none, are
@@ -248,4 +266,4 @@ def repeated_passages(docs: DataFrame) -> DataFrame:
     contexts = stored(_contexts(docs, repeated), free_shuffles=True)
     matches = _neighbours(contexts, "after").union(_neighbours(contexts, "before"))
     own = matches.groupBy("doc_id", "content").agg(F.collect_list(F.struct("start", "stop", "other_doc_id", "later")).alias("matches"))
-    return own.mapInArrow(_runs, "doc_id long, content long, start_word int, end_word int, seen_in array<long>, first boolean")
+    return own.mapInArrow(_runs, "doc_id long, content long, start_word int, end_word int, seen_in array<long>, first boolean, spans array<struct<start_word:int,end_word:int,first:boolean>>")

@@ -66,3 +66,11 @@ def test_awkward_rows(spark, tmp_path):
     assert suffixes.repeated_passages(written(spark, tmp_path / "e", [], SCHEMA)).count() == 0
     clash = written(spark, tmp_path / "c", [(k, rows[6][1], 1, "x", 2) for k in (1, 2)], "doc_id long, text string, at int, content string, start int")
     assert suffixes.repeated_passages(clash).count() == 2
+
+
+def test_each_of_two_adjacent_passages_has_a_first_copy(spark, tmp_path):
+    rng = random.Random(6)
+    p, q = words(rng, 60), words(rng, 70)
+    docs = written(spark, tmp_path / "d", [row(1, p), row(2, f"{p} {q}"), row(3, q)])
+    found = {r["doc_id"]: [tuple(s) for s in r["spans"]] for r in suffixes.repeated_passages(docs).collect()}
+    assert found == {1: [(0, 60, True)], 2: [(0, 60, False), (60, 130, True)], 3: [(0, 70, False)]}
