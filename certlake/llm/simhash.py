@@ -233,12 +233,24 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 def one_of_each(docs: DataFrame) -> DataFrame:
     """The document with the smallest doc_id of each component, all columns as they came.
 
-    Rows of components in which no row has an id stay, as do all rows with the id that stays.
+    Rows of components in which no row has an id stay, as do all rows with the id that stays. Rows
+    that share an id but not a fingerprint stay or go each by its own component.
     """
-    found = near_duplicates(docs.select("doc_id", "text"))
+    found = stored(near_duplicates(docs.select("doc_id", "text")))
     gone = found.where("doc_id <> component_id or (doc_id is null and component_id is not null)")
     gone = gone.select(F.col("doc_id").alias("__id"), F.col("fingerprint").alias("__print")).distinct()
-    with_ids = docs.join(gone.where("__id is not null"), F.col("doc_id") == F.col("__id"), "left_anti")
+    # Ids of rows with different fingerprints, of which only some may go.
+    mixed = found.where("doc_id is not null").groupBy(F.col("doc_id").alias("__of")).agg(F.min("fingerprint").alias("a"), F.max("fingerprint").alias("b")).where("a <> b").select("__of")
+    some = stored(gone.join(mixed, F.col("__id") == F.col("__of"), "left_semi"))
+    whole = gone.where("__id is not null").join(mixed, F.col("__id") == F.col("__of"), "left_anti")
+    with_ids = docs.join(whole, F.col("doc_id") == F.col("__id"), "left_anti")
+    if not some.isEmpty():
+        text_key = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
+        own = docs.join(some, F.col("doc_id") == F.col("__id"), "left_semi").select(text_key.alias("__text"), F.col("doc_id").alias("__own"), "text")
+        prints = fingerprints(own.select(F.col("__text").alias("doc_id"), "text")).distinct()
+        met = own.select("__text", "__own").distinct().join(prints, F.col("__text") == F.col("doc_id"))
+        out = stored(met.join(some, (F.col("__own") == F.col("__id")) & (F.col("fingerprint") == F.col("__print")), "left_semi").select("__text"))
+        with_ids = with_ids.join(out, text_key == F.col("__text"), "left_anti")
     if gone.where("__id is null").isEmpty():
         return with_ids
     nameless = stored(gone.where("__id is null").select("__print"))

@@ -106,3 +106,9 @@ def test_empty_table(spark, tmp_path):
     docs = written(spark, tmp_path / "d", [], SCHEMA)
     assert simhash.near_duplicates(docs).count() == 0
     assert simhash.one_of_each(docs.withColumn("of", F.lit(1))).count() == 0
+
+
+def test_rows_that_share_an_id_go_one_by_one(spark, tmp_path):
+    rows = [row(3, "a b c d"), row(5, "a b c d"), row(5, "quite other words stand here"), row(7, None)]
+    kept = simhash.one_of_each(written(spark, tmp_path / "d", rows)).collect()
+    assert sorted((r["doc_id"], r["text"]) for r in kept) == [(3, "a b c d"), (5, "quite other words stand here"), (7, None)]
