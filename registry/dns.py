@@ -241,6 +241,36 @@ def lookup_ip(spark, sf_dir):
     return pd.lookup_ip(stored_addresses(spark, sf_dir), ADDRESS).select("d", "records", "ts")
 
 
+# The same lookups over all stored days.
+_BY_IP_ALL = f"""select d, count(*) as records, max(ts) as ts from ({UPSERTED}) where list_contains(i, '{ADDRESS}') group by d"""
+
+
+def all_addresses(spark, sf_dir):
+    root = f"{shared_dir(spark)}/addresses"
+    sinks.write_addresses(stored_records(spark, sf_dir), root)
+    return read_by_day(spark, root)
+
+
+@query("E5_domains_per_ip_all_days", duck(_BY_IP_ALL, "fx_records"))
+def domains_per_ip_all_days(spark, sf_dir):
+    return pd.domains_of_ip(all_addresses(spark, sf_dir), ADDRESS).select("d", "records", F.col("latest.ts").alias("ts"))
+
+
+@query("K3_lookup_ip_all_days", duck(f"select * from ({_BY_IP_ALL}) order by records desc, d limit 100", "fx_records"))
+def lookup_ip_all_days(spark, sf_dir):
+    return pd.lookup_ip(all_addresses(spark, sf_dir), ADDRESS).select("d", "records", "ts")
+
+
+@query("K1_lookup_domain_all_days", duck(f"select d, ts, h, i from ({UPSERTED}) where d = '{DOMAIN}' order by ts desc, h limit 10", "fx_records"))
+def lookup_domain_all_days(spark, sf_dir):
+    return pd.lookup_domain(stored_records(spark, sf_dir), DOMAIN).select("d", "ts", "h", "i")
+
+
+@query("K2_lookup_certificate_all_days", duck(f"select d, ts, h, i, c from ({UPSERTED}) where c = '{CERT}' order by ts desc, h limit 100", "fx_records"))
+def lookup_certificate_all_days(spark, sf_dir):
+    return pd.lookup_certificate(stored_records(spark, sf_dir), CERT).select("d", "ts", "h", "i", "c")
+
+
 def app_answers(spark, sf_dir):
     """The failed and good answers of the customers, under the names that the requests ask for."""
     landed = fx_answers(spark, sf_dir).where("domain like 'shop%'")
