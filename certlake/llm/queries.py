@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from certlake.llm import exact, licenses, mixing, packing, personal, scoring, simhash, suffixes, toxicity, vectors
+from certlake.llm import exact, fim, licenses, mixing, packing, personal, pivots, scoring, simhash, suffixes, toxicity, urls, vectors
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -133,6 +133,65 @@ def embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+@query("op11_url_filter")
+def url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judged(table(spark, sf_dir, "pages"), urls.fit(urls.labelled(spark)), urls.RULES)
+
+
+_FIM_SQL = r"""
+with d as (select doc_id, coalesce(text, '') as t, sha256(concat('42:', doc_id::varchar)) as k from documents),
+u as (select *, regexp_extract_all(t, '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') as units,
+        [('0x' || substr(k, 8 * i + 1, 8))::bigint for i in range(4)] as h from d),
+c as (select *, len(units)::bigint as n, least(h[1] % (len(units) + 1), h[2] % (len(units) + 1)) as low,
+        greatest(h[1] % (len(units) + 1), h[2] % (len(units) + 1)) as high from u),
+p as (select *, array_to_string(units[1:low], '') as prefix, array_to_string(units[low + 1:high], '') as middle,
+        array_to_string(units[high + 1:], '') as suffix,
+        case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h[3] % 100 >= 50 then 'plain'
+             when h[4] % 100 < 80 then 'spm' else 'psm' end as form from c)
+select doc_id, n, form, case when form <> 'plain' then length(prefix) end as prefix_chars,
+  case when form <> 'plain' then length(middle) end as middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+         else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256, sha256(t) as restored_sha256 from p"""
+
+
+@query("op12_fill_in_middle", _FIM_SQL)
+def fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.transformed(table(spark, sf_dir, "documents"))
+
+
+def _code_sql() -> str:
+    """The codes by comparing every part with every entry."""
+    gap = "list_sum([(p.x[j] - b.x[j]) * (p.x[j] - b.x[j]) for j in range(1, len(p.x) + 1)])::bigint"
+    sql = """
+with kept as (
+  select vec_id, label, [floor(256 * v::double)::bigint for v in embedding] as e from embeddings
+  where embedding is not null and len(list_filter(embedding, lambda v: v is null or not isfinite(v))) = 0),
+p as materialized (select vec_id, label, part, e[len(e) // 16 * part + 1:len(e) // 16 * (part + 1)] as x from kept, range(16) as r(part)),
+b0 as materialized (select part, row_number() over (partition by part order by vec_id) - 1 as entry, x from p
+       where vec_id in (select vec_id from kept order by vec_id limit 64))"""
+    for k in range(pivots.ROUNDS + 1):
+        sql += f""",
+a{k} as materialized (select vec_id, label, part, min(struct_pack(error := {gap}, entry := entry)) as best from p join b{k} as b using (part) group by all)"""
+        if k < pivots.ROUNDS:
+            sql += f""",
+m{k} as (select part, best.entry as entry, j, sum(x[j])::bigint as total, count(*) as n
+        from a{k} join p using (vec_id, part), range(1, (select max(len(x)) + 1 from p)) as r(j) group by all),
+n{k} as (select part, entry, list(((total - ((total % n) + n) % n) // n)::bigint order by j) as x from m{k} group by all),
+b{k + 1} as materialized (select part, entry, coalesce(n{k}.x, b{k}.x) as x from b{k} left join n{k} using (part, entry))"""
+    last = pivots.ROUNDS
+    return sql + f""",
+c as (select vec_id, label, string_agg(lpad(lower(to_hex(best.entry)), 2, '0'), '' order by part) as code, sum(best.error)::bigint as error from a{last} group by vec_id, label),
+h as (select sha256(string_agg(array_to_string(x, ','), ',' order by part, entry)) as codebooks_sha256 from b{last})
+select vec_id, code, error, sum(error) over (partition by label)::bigint as label_error, codebooks_sha256 from c, h"""
+
+
+@query("op13_vector_codes", _code_sql())
+def vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    coded, books = pivots.compressed(table(spark, sf_dir, "embeddings"))
+    found = pivots.with_label_errors(coded).withColumn("codebooks_sha256", F.lit(pivots.codebooks_sha256(books)))
+    return found.select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL:
     ORACLE["pipeline"] = corpus_pipeline.ORACLE_SQL
