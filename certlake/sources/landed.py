@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from certlake import schemas
+from certlake.sources.daystore import DayStore
 
 
 def read_log_list(spark: SparkSession, path: str) -> DataFrame:
@@ -30,6 +31,10 @@ def stream_entry_pages(spark: SparkSession, path: str, max_files: int | None = N
 
 def read_by_day(spark: SparkSession, root: str, columns: str | None = None) -> DataFrame:
     """A stored table of all days; filters on `day` prune whole folders. With `columns` given, no
-    file is opened to infer them, and a table without rows can be read too."""
+    file is opened to infer them, and a table without rows can be read too. Tables with manifests are
+    read as the newest one says (see `daystore`)."""
+    store = DayStore(spark, root)
+    if store.exists():
+        return store.read(columns)
     reader = spark.read if columns is None else spark.read.schema(f"{columns}, day date")
     return reader.parquet(root)

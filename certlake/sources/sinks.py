@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-import uuid
+from datetime import date
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from certlake.functions.dns import day_of_seconds
 from certlake.operators.certs import RESULT_KEYS, minimal_documents, with_day
-from certlake.operators.passive_dns import address_table, between_days, upserted
-from certlake.schemas import CT_DOMAINS, DNS_RECORDS
-from certlake.sources.landed import read_by_day
+from certlake.operators.passive_dns import address_table, upserted
+from certlake.schemas import DNS_RECORDS
+from certlake.session import written
+from certlake.sources.daystore import DayStore
+from certlake.sources.daystore import child as _child  # noqa: F401
+from certlake.sources.daystore import move_and_publish as _publish
 
 def write_json(rows: DataFrame, path: str, mode: str = "append") -> None:
     """JSON lines; keys without a value are left out."""
@@ -35,98 +38,64 @@ def append_documents(rows: DataFrame, root: str, batch: str | None = None) -> No
     """Certificate documents by day and batch. There is no key: duplicates stay.
 
     A batch of a given name replaces what it wrote before, so one that is repeated after a
-    failure adds nothing twice; without a name it gets a new one.
+    failure adds nothing twice, also after it was compacted; without a name it gets a new one.
     """
     documents = with_day(minimal_documents(rows))
-    named = by_day(documents).withColumn("batch", F.lit(batch or uuid.uuid4().hex))
-    named.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("day", "batch").parquet(root)
+    DayStore(rows.sparkSession, root).append(by_day(documents), batch)
 
 
 def compact_documents(spark: SparkSession, root: str, first: str, last: str) -> None:
     """Writes the batches of each day from `first` to `last` as one, in files of a good size."""
-    finish_pending(spark, root)
-    fs, path = _file_system(spark, root)
-    days = between_days(read_by_day(spark, root, CT_DOMAINS), first, last)
-    staging = f"{root.rstrip('/')}/{_PENDING}{uuid.uuid4().hex}"
-    named = by_day(days).withColumn("batch", F.lit(uuid.uuid4().hex))
-    named.write.partitionBy("day", "batch").parquet(staging)
-    _publish(spark, fs, spark._jvm.org.apache.hadoop.fs.Path(staging), path)
+    DayStore(spark, root).fold(first, last, by_day)
 
 
-_PENDING = "_pending-"
 #: Files are sorted by domain; a certificate may stand anywhere, so row groups say which they lack.
 _BLOOM = {"parquet.bloom.filter.enabled#c": "true", "parquet.bloom.filter.adaptive.enabled#c": "true"}
 
 
 def finish_pending(spark: SparkSession, root: str) -> None:
-    """Ends upserts that were stopped while they published, and drops those that never staged all.
-
-    Publishing moves one day after the other from the staged folder, so a stopped one has
-    every row either in its place or still staged.
-    """
-    fs, path = _file_system(spark, root)
-    if not fs.exists(path):
-        return
-    for status in fs.listStatus(path):
-        staged = status.getPath()
-        if staged.getName().startswith(_PENDING):
-            if fs.exists(_child(spark, staged, "_SUCCESS")):
-                _publish(spark, fs, staged, path)
-            else:
-                fs.delete(staged, True)
-
-
-def _file_system(spark: SparkSession, root: str):
-    path = spark._jvm.org.apache.hadoop.fs.Path(root)
-    return path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), path
-
-
-def _child(spark: SparkSession, path, name: str):
-    return spark._jvm.org.apache.hadoop.fs.Path(path, name)
-
-
-def _publish(spark: SparkSession, fs, staged, path) -> None:
-    for day in fs.listStatus(staged):
-        name = day.getPath().getName()
-        if name.startswith("day="):
-            fs.delete(_child(spark, path, name), True)
-            fs.rename(day.getPath(), _child(spark, path, name))
-    fs.delete(staged, True)
+    """Ends commits that were stopped while they published, and drops those that never wrote all."""
+    DayStore(spark, root).finish()
 
 
 def upsert_records(records: DataFrame, root: str) -> None:
     """DNS records by day, one per (day, `h`): the newest replaces the stored one, and of equally
     new ones the one written last. A record without a time is an error: it has no day.
 
-    Only days with new records are read and rewritten. They are staged whole inside the table's
-    folder and then take their places day by day; if that is stopped, the next call (or
-    `finish_pending`) ends it first. A repeated call gives the same table.
+    The new records are evaluated once and written aside; their days are then the only ones that are
+    read and rewritten, and all of them change in one commit (see `daystore`). A repeated call gives the same table.
     """
-    spark = records.sparkSession
-    finish_pending(spark, root)
+    store = DayStore(records.sparkSession, root, lambda *args: _publish(*args))
+    store.finish()
     timed = F.coalesce("ts", F.raise_error(F.lit("a record without a time has no day")).cast("bigint"))
-    merged = records.drop("day").withColumn("ts", timed).withColumn("_written", F.lit(1))
-    touched = [r["day"] for r in merged.select(day_of_seconds(F.col("ts")).alias("day")).distinct().collect()]
+    new = written(upserted(records.drop("day").withColumn("ts", timed)))
+    touched = [str(r["day"]) for r in new.select("day").distinct().collect()]
     if not touched:
         return
-    fs, path = _file_system(spark, root)
-    if fs.exists(path):
-        kept = read_by_day(spark, root, DNS_RECORDS).where(F.col("day").isin(touched)).drop("day")
-        merged = kept.withColumn("_written", F.lit(0)).unionByName(merged, allowMissingColumns=True)
-    staging = f"{root.rstrip('/')}/{_PENDING}{uuid.uuid4().hex}"
-    by_day(upserted(merged).drop("_written")).write.options(**_BLOOM).partitionBy("day").parquet(staging)
-    _publish(spark, fs, spark._jvm.org.apache.hadoop.fs.Path(staging), path)
+    kept = store.read(DNS_RECORDS, min(touched), max(touched)).where(F.col("day").isin([date.fromisoformat(d) for d in touched]))
+    both = kept.drop("day").withColumn("_written", F.lit(0)).unionByName(new.drop("day").withColumn("_written", F.lit(1)), allowMissingColumns=True)
+    store.replace(by_day(upserted(both).drop("_written")), **_BLOOM)
 
 
-def write_addresses(records: DataFrame, root: str, mode: str = "append") -> None:
-    """The side table of addresses by day, both IP versions, sorted by address: filters on
+def by_address(records: DataFrame) -> DataFrame:
+    """The address table of records with their day, both IP versions, sorted by address: filters on
     `address` and ranges of `ip` are pushed to the files and skip those that lie elsewhere."""
     addresses = address_table(records).withColumn("day", day_of_seconds(F.col("ts")))
-    spread = addresses.hint("rebalance", "day").sortWithinPartitions("day", "address")
-    spread.write.mode(mode).option("partitionOverwriteMode", "dynamic").partitionBy("day").parquet(root)
+    return addresses.hint("rebalance", "day").sortWithinPartitions("day", "address")
+
+
+def write_addresses(records: DataFrame, root: str, mode: str = "append") -> None:
+    """The side table of addresses by day. `append` adds to days, `overwrite` replaces the days that have addresses."""
+    store = DayStore(records.sparkSession, root)
+    if mode == "append":
+        store.append(by_address(records))
+    else:
+        store.replace(by_address(records))
 
 
 def refresh_addresses(spark: SparkSession, root: str, side_root: str, first: str | None = None, last: str | None = None) -> None:
-    """Builds the side table's days anew from the stored records of those days."""
-    stored = between_days(read_by_day(spark, root, DNS_RECORDS), first, last)
-    write_addresses(stored, side_root, "overwrite")
+    """Builds the side table's days anew from the stored records of those days. A day whose records have
+    lost their last address has no rows afterwards."""
+    store, side = DayStore(spark, root), DayStore(spark, side_root)
+    days = [d for d in {*store.days(), *side.days()} if (first is None or d >= first) and (last is None or d <= last)]
+    side.replace(by_address(store.read(DNS_RECORDS, first, last)), days)

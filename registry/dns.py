@@ -215,62 +215,44 @@ def merged_sketches(spark, sf_dir):
     return near(pd.merged_statistics(pd.daily_sketches(records)), pd.record_statistics(records))
 
 
-# Lookups read the tables that the upsert and its side table have written, within day bounds.
-DAYS = ("2024-01-03", "2024-01-25")
-_STORED = f"(select * from ({UPSERTED}) where day between '{DAYS[0]}' and '{DAYS[1]}')"
-_BY_IP = f"""select d, count(*) as records, max(ts) as ts from {_STORED} where list_contains(i, '{ADDRESS}') group by d"""
-
-
-def stored(spark, sf_dir):
-    return pd.between_days(stored_records(spark, sf_dir), *DAYS)
+# Lookups read all days of the tables that the upsert and its side table have written.
+_BY_IP = f"""select d, count(*) as records, max(ts) as ts from ({UPSERTED}) where list_contains(i, '{ADDRESS}') group by d"""
+_E5 = duck(_BY_IP, "fx_records")
+_K1 = duck(f"select d, ts, h, i from ({UPSERTED}) where d = '{DOMAIN}' order by ts desc, h limit 10", "fx_records")
+_K2 = duck(f"select d, ts, h, i, c from ({UPSERTED}) where c = '{CERT}' order by ts desc, h limit 100", "fx_records")
+_K3 = duck(f"select * from ({_BY_IP}) order by records desc, d limit 100", "fx_records")
 
 
 def stored_addresses(spark, sf_dir):
     root = f"{shared_dir(spark)}/addresses"
     sinks.write_addresses(stored_records(spark, sf_dir), root)
-    return pd.between_days(read_by_day(spark, root), *DAYS)
+    return read_by_day(spark, root)
 
 
-@query("E5_domains_per_ip", duck(_BY_IP, "fx_records"))
+@query("E5_domains_per_ip", _E5)
+@query("E5_domains_per_ip_all_days", _E5)
 def domains_per_ip(spark, sf_dir):
     return pd.domains_of_ip(stored_addresses(spark, sf_dir), ADDRESS).select("d", "records", F.col("latest.ts").alias("ts"))
 
 
-@query("K3_lookup_ip", duck(f"select * from ({_BY_IP}) order by records desc, d limit 100", "fx_records"))
-def lookup_ip(spark, sf_dir):
-    return pd.lookup_ip(stored_addresses(spark, sf_dir), ADDRESS).select("d", "records", "ts")
-
-
-# The same lookups over all stored days.
-_BY_IP_ALL = f"""select d, count(*) as records, max(ts) as ts from ({UPSERTED}) where list_contains(i, '{ADDRESS}') group by d"""
-
-
-def all_addresses(spark, sf_dir):
-    root = f"{shared_dir(spark)}/addresses"
-    sinks.write_addresses(stored_records(spark, sf_dir), root)
-    return read_by_day(spark, root)
-
-
-@query("E5_domains_per_ip_all_days", duck(_BY_IP_ALL, "fx_records"))
-def domains_per_ip_all_days(spark, sf_dir):
-    return pd.domains_of_ip(all_addresses(spark, sf_dir), ADDRESS).select("d", "records", F.col("latest.ts").alias("ts"))
-
-
-@query("K3_lookup_ip_all_days", duck(f"select * from ({_BY_IP_ALL}) order by records desc, d limit 100", "fx_records"))
-def lookup_ip_all_days(spark, sf_dir):
-    return pd.lookup_ip(all_addresses(spark, sf_dir), ADDRESS).select("d", "records", "ts")
-
-
-@query("K1_lookup_domain_all_days", duck(f"select d, ts, h, i from ({UPSERTED}) where d = '{DOMAIN}' order by ts desc, h limit 10", "fx_records"))
-def lookup_domain_all_days(spark, sf_dir):
+@query("K1_lookup_domain", _K1)
+@query("K1_lookup_domain_all_days", _K1)
+def lookup_domain(spark, sf_dir):
     return pd.lookup_domain(stored_records(spark, sf_dir), DOMAIN).select("d", "ts", "h", "i")
 
 
-@query("K2_lookup_certificate_all_days", duck(f"select d, ts, h, i, c from ({UPSERTED}) where c = '{CERT}' order by ts desc, h limit 100", "fx_records"))
-def lookup_certificate_all_days(spark, sf_dir):
+@query("K2_lookup_certificate", _K2)
+@query("K2_lookup_certificate_all_days", _K2)
+def lookup_certificate(spark, sf_dir):
     return pd.lookup_certificate(stored_records(spark, sf_dir), CERT).select("d", "ts", "h", "i", "c")
 
 
+@query("K3_lookup_ip", _K3)
+@query("K3_lookup_ip_all_days", _K3)
+def lookup_ip(spark, sf_dir):
+    return pd.lookup_ip(stored_addresses(spark, sf_dir), ADDRESS).select("d", "records", "ts")
+
+
 def app_answers(spark, sf_dir):
     """The failed and good answers of the customers, under the names that the requests ask for."""
     landed = fx_answers(spark, sf_dir).where("domain like 'shop%'")
@@ -322,16 +304,6 @@ def error_breakdown(spark, sf_dir):
     return pd.error_breakdown(fx_records(spark, sf_dir))
 
 
-@query("K1_lookup_domain", duck(f"select d, ts, h, i from {_STORED} where d = '{DOMAIN}' order by ts desc, h limit 10", "fx_records"))
-def lookup_domain(spark, sf_dir):
-    return pd.lookup_domain(stored(spark, sf_dir), DOMAIN).select("d", "ts", "h", "i")
-
-
-@query("K2_lookup_certificate", duck(f"select d, ts, h, i, c from {_STORED} where c = '{CERT}' order by ts desc, h limit 100", "fx_records"))
-def lookup_certificate(spark, sf_dir):
-    return pd.lookup_certificate(stored(spark, sf_dir), CERT).select("d", "ts", "h", "i", "c")
-
-
 @query("W1_latest_per_domain", duck("select d, ts, h from (select *, row_number() over (partition by d order by ts desc, h desc) as n from fx_records) where n = 1", "fx_records"))
 def latest_per_domain(spark, sf_dir):
     return pd.latest_per_domain(fx_records(spark, sf_dir)).select("d", "ts", "h")

@@ -8,7 +8,7 @@ from certlake.operators.entries import page_entries
 from certlake.operators.metrics import counters_by_window
 from certlake.operators import certs
 from certlake.session import shared_dir
-from certlake.sources.landed import stream_entry_pages
+from certlake.sources.landed import read_by_day, stream_entry_pages
 from certlake.streaming import follow
 from certlake.streaming import health as stream_health
 from registry.catalog import ORACLE, query
@@ -119,7 +119,7 @@ def micro_batches(spark, sf_dir):
     found = follow.follow_names(spark, f"{base}/landing", max_files=4)
     writer = follow.batch_writer(found, follow.document_batches(f"{base}/documents", "first"))
     follow.start(writer, f"{base}/checkpoint").awaitTermination()
-    return spark.read.parquet(f"{base}/documents").select("d", "t", "h", "l", "s")
+    return read_by_day(spark, f"{base}/documents").select("d", "t", "h", "l", "s")
 
 
 @query("I10_match_alerts", duck("select name, sha1 from fx_rows where starts_with(name, 'www.shop1')", "fx_rows"))
@@ -138,5 +138,5 @@ def repeated_batches(spark, sf_dir):
     write, records = follow.record_batches(root), fx_records(spark, sf_dir)
     for batch_id in (0, 1, 1):
         write(records, batch_id)
-    stored = spark.read.parquet(root)
+    stored = read_by_day(spark, root)
     return stored.groupBy(F.date_format("day", "yyyy-MM-dd").alias("day")).agg(F.count("*").alias("records"))
