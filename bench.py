@@ -24,6 +24,7 @@ from certlake.plans.resolution import dns_records  # noqa: E402
 from certlake.plans.search import search_names  # noqa: E402
 from certlake.session import build_session  # noqa: E402
 from certlake.sources import sinks  # noqa: E402
+from certlake.sources.landed import read_by_day  # noqa: E402
 from registry import fixtures as fx  # noqa: E402
 from registry.dns import ADDRESS, CERT, DOMAIN, ranges  # noqa: E402
 
@@ -51,10 +52,10 @@ def main() -> None:
     rows = landed("rows", search_names(entries))
     loaded = landed("records", fx.fx_records(spark, sf_dir))
     sinks.upsert_records(loaded, f"{base}/stored")
-    stored = spark.read.parquet(f"{base}/stored")
+    stored = read_by_day(spark, f"{base}/stored")
     sinks.append_documents(rows, f"{base}/documents")
     sinks.write_addresses(stored, f"{base}/addresses")
-    addresses = spark.read.parquet(f"{base}/addresses")
+    addresses = read_by_day(spark, f"{base}/addresses")
     newer = landed("newer", loaded.where(F.col("ts") % 3 == 0))
     upserts = iter(range(10))
 
@@ -63,7 +64,7 @@ def main() -> None:
         root = f"{base}/upserted-{next(upserts)}"
         sinks.upsert_records(loaded, root)
         sinks.upsert_records(newer, root)
-        return spark.read.parquet(root).where("d = ''")
+        return read_by_day(spark, root).where("d = ''")
 
     n_entries, n_names = entries.count(), rows.count()
     events = health.outcomes(requests)

@@ -7,11 +7,14 @@ from pyspark.sql import functions as F
 
 from certlake.functions import dns as fd
 from certlake.functions import names as nm
+from certlake.operators.asof import as_of_join
 from certlake.operators.once import broadcast_if_small
 from certlake.operators.ordered import successive
 from certlake.session import written
 
 HOUR = 3600
+#: A second after every answer.
+AFTER_ALL = 1 << 40
 RECORD_KEYS = ("d", "ts", "t", "ttl", "w", "i", "ii", "c", "r", "e", "h")
 
 
@@ -58,18 +61,39 @@ def resolve(targets: DataFrame, answers: DataFrame, attempted_at: Column | int |
     marked = targets.select("domain", "sha1", internal.alias("_internal"), lookup.alias("_lookup"))
     newest = written(latest_answers(answers).withColumnRenamed("domain", "_lookup"))
     attempt = F.unix_timestamp() if attempted_at is None else attempted_at if isinstance(attempted_at, Column) else F.lit(attempted_at)
-    joined = marked.join(newest, "_lookup", "left")
+    return _outcomes(marked.join(newest, "_lookup", "left"), "domain", "sha1", at=F.coalesce("ts", attempt.cast("bigint")))
+
+
+def resolve_at(requests: DataFrame, answers: DataFrame) -> DataFrame:
+    """Requests `domain, sha1, ts` (and other columns) with the answer or error that each one gets: that of the newest
+    answer not later than the request. `answered` is the answer's time, or the request's own where there is none.
+
+    A request from before the first answer of its name has an `unknown` error, as in `resolve`; one without
+    a time is asked after all answers. Answers and requests of a name are joined in buckets of time, so
+    a frequent name is spread over tasks.
+    """
+    internal = nm.is_internal(F.col("domain"))
+    lookup = F.when(internal, F.concat(F.lit("\x00"), "domain")).otherwise(F.col("domain"))
+    asked = requests.withColumns({"_lookup": lookup, "_internal": internal, "_at": F.coalesce(F.col("ts").cast("bigint"), F.lit(AFTER_ALL))})
+    facts = answers.withColumnsRenamed({"domain": "_lookup", "ts": "_at"})
+    met = as_of_join(asked, facts, ["_lookup"], "_at", ["ips", "ttl", "error_message", "resolver"])
+    own = [c for c in requests.columns if c not in ("ips", "ttl", "error", "resolver", "answered")]
+    return _outcomes(met, *own, at=F.coalesce("as_of", F.col("ts").cast("bigint")), name="answered")
+
+
+def _outcomes(met: DataFrame, *kept: str, at: Column, name: str = "ts") -> DataFrame:
+    """What a looked up answer, or none, means: addresses or an error."""
     found = nm.nonempty(F.col("ips")).isNotNull() & F.col("error_message").isNull()
     error = (
         F.when(F.col("_internal"), F.lit(fd.INTERNAL_ERROR))
         .when(found, F.lit(None))
         .otherwise(F.coalesce(fd.error_class(F.col("error_message")), F.lit(fd.UNKNOWN_ERROR)))
     )
-    return joined.select(
-        "domain", "sha1",
+    return met.select(
+        *kept,
         F.when(found, F.col("ips")).alias("ips"),
         F.when(found, F.col("ttl")).otherwise(F.lit(fd.DEFAULT_TTL)).alias("ttl"),
-        error.alias("error"), "resolver", F.coalesce("ts", attempt.cast("bigint")).alias("ts"),
+        error.alias("error"), "resolver", at.alias(name),
     )
 
 

@@ -21,10 +21,9 @@ def dns_records(rows: DataFrame, answers: DataFrame, limit: int = 3, attempted_a
 
 def answered_requests(requests: DataFrame, answers: DataFrame, ttl: int = 300) -> DataFrame:
     """Requests `domain, sha1, ts, seq` as they end: `hit` where an answer is reused, else the
-    error (or none) that resolving the name at that time gives."""
-    served = reuse.reuse_within_ttl(requests, ttl)
-    names = requests.select("domain", "sha1").distinct()
-    found = pd.resolve(names, answers).select(F.col("domain").alias("_d"), F.col("sha1").alias("_s"), "error")
-    same = served["domain"].eqNullSafe(F.col("_d")) & served["sha1"].eqNullSafe(F.col("_s"))
-    joined = served.join(written(found), same, "left").drop("_d", "_s")
-    return joined.withColumn("error", F.when(~F.col("hit"), F.col("error")))
+    error (or none) of the newest answer that was there when the name was asked for.
+
+    What is reused is written to the shared folder first, so calling this runs jobs."""
+    served = written(reuse.reuse_within_ttl(requests, ttl))
+    fresh = pd.resolve_at(served.where("not hit"), answers).select(*served.columns, "error")
+    return fresh.unionByName(served.where("hit").withColumn("error", F.lit(None).cast("string")))

@@ -253,11 +253,20 @@ def lookup_ip(spark, sf_dir):
     return pd.lookup_ip(stored_addresses(spark, sf_dir), ADDRESS).select("d", "records", "ts")
 
 
+#: The answers are this many times as far apart as the landed ones, so that they come while the requests go on.
+APART = 40
+
+
 def app_answers(spark, sf_dir):
-    """The failed and good answers of the customers, under the names that the requests ask for."""
+    """The failed and good answers of the customers, under the names that the requests ask for, as time goes on."""
     landed = fx_answers(spark, sf_dir).where("domain like 'shop%'")
     number = F.regexp_extract("domain", "[0-9]+", 0).cast("int")
-    return landed.withColumn("domain", F.concat(F.lit("app"), number % 4, F.when(number % 4 == 3, ".corp").otherwise(".example.com")))
+    named = landed.withColumn("domain", F.concat(F.lit("app"), number % 4, F.when(number % 4 == 3, ".corp").otherwise(".example.com")))
+    return named.withColumn("ts", (F.col("ts") - BASE_S) * APART + BASE_S)
+
+
+_APP_ANSWERS = f"""select concat('app', cast(regexp_extract(domain, '[0-9]+') as int) % 4, '.example.com') as domain,
+    (ts - {BASE_S}) * {APART} + {BASE_S} as ts, ips, ttl, error_message as message from fx_answers where domain like 'shop%'"""
 
 
 def asked(spark, sf_dir):
@@ -268,10 +277,9 @@ def asked(spark, sf_dir):
 @query(
     "E6_resolution_outcomes",
     duck(
-        FRESH + """, newest as (select concat('app', cast(regexp_extract(domain, '[0-9]+') as int) % 4, '.example.com') as domain,
-                        (arg_max({'m': error_message}, ts)).m as message from fx_answers where domain like 'shop%' group by 1),
-                    ended as (select o.hit, case when o.domain = 'app3.example.com' then 'internal_domain' else n.message end as error
-                        from outcome o left join newest n on n.domain = o.domain)
+        FRESH + f""", landed as ({_APP_ANSWERS}),
+                    ended as (select o.hit, case when o.domain = 'app3.example.com' then 'internal_domain' when a.ts is null then 'unknown' else a.message end as error
+                        from outcome o asof left join landed a on a.domain = o.domain and a.ts <= o.ts)
                     select count(*) filter (not hit) as total_queries, count(*) filter (not hit and error is null) as successful,
                       count(*) filter (not hit and error is not null and error <> 'internal_domain') as failed, count(*) filter (hit) as cached from ended""",
         "fx_reuse", "fx_answers", recursive=True,
@@ -281,6 +289,23 @@ def resolution_outcomes(spark, sf_dir):
     return pd.resolution_outcomes(answered_requests(asked(spark, sf_dir), app_answers(spark, sf_dir)))
 
 
+@query(
+    "F1_answer_at_request",
+    duck(
+        f"""select seq, case when r.domain = 'app3.example.com' then 'app3.corp' else r.domain end as domain,
+              case when r.domain <> 'app3.example.com' and message is null then ips end as ips,
+              case when r.domain <> 'app3.example.com' and message is null and a.ts is not null then ttl else 3600 end as ttl,
+              case when r.domain = 'app3.example.com' then 'internal_domain' when a.ts is null then 'unknown' else lower(message) end as error,
+              case when r.domain = 'app3.example.com' then r.ts else coalesce(a.ts, r.ts) end as answered
+            from fx_reuse r asof left join ({_APP_ANSWERS}) a on a.domain = r.domain and a.ts <= r.ts""",
+        "fx_reuse", "fx_answers",
+    ),
+)
+def answer_at_request(spark, sf_dir):
+    found = pd.resolve_at(asked(spark, sf_dir), app_answers(spark, sf_dir))
+    return found.select("seq", "domain", "ips", "ttl", "error", "answered")
+
+
 @query("F2_reuse_for_a_day", duck(FRESH.replace("300", "86400") + "select seq, domain, sha1, ts, answered_at, hit from outcome", "fx_reuse", recursive=True))
 def reuse_for_a_day(spark, sf_dir):
     return reuse.reuse_within_ttl(fx_reuse(spark, sf_dir), 86400).select("seq", "domain", "sha1", "ts", "answered_at", "hit")

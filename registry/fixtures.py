@@ -269,6 +269,19 @@ def fx_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.selectExpr("seq", "timestamp_micros(micros) as ts", "url", "status")
 
 
+# The same requests thirty times as far apart, to servers that limit nearly all of every other user's.
+STRAINED = dict(
+    REQUESTS,
+    micros=f"{BASE_US} + event_id * 210000000 + (event_id * 7919) % 5000000",
+    status=f"cast(case when user_id % 2 = 0 and event_id % 40 <> 0 then 429 else {REQUESTS['status']} end as int)",
+)
+
+
+def fx_strained(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = table(spark, sf_dir, "events").selectExpr(*[f"{e} as {n}" for n, e in STRAINED.items()])
+    return df.selectExpr("seq", "timestamp_micros(micros) as ts", "url", "status")
+
+
 REUSE = {
     "seq": "event_id",
     "domain": "concat('app', user_id % 4, '.example.com')",
@@ -377,6 +390,7 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
              url, micros, seq, status in (429, 503, 504) as limited
            from fx_requests where status in (429, 503, 504) or status between 200 and 299""",
     ),
+    "fx_strained": ((), _select(STRAINED, "events")),
     "fx_reuse": ((), _select(REUSE, "events")),
     "fx_pages": ((), _select(PAGES, "events")),
     "fx_page_entries": (
@@ -392,6 +406,8 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     ),
 }
 
+CTES["fx_strained_events"] = (("fx_strained",), CTES["fx_events"][1].replace("fx_requests", "fx_strained"))
+
 
 def duck(query: str, *needs: str, recursive: bool = False) -> str:
     """The query behind the CTEs it needs, each preceded by its own."""

@@ -72,6 +72,18 @@ def server_state(spark, sf_dir):
     return states(spark, sf_dir).select(*STATE_COLUMNS.split(", "))
 
 
+# Limits of an excluded server after which nothing came for 30 minutes.
+ENDED_SQL = duck(
+    FOLD.replace("{wait}", "0").replace("fx_events", "fx_strained_events")
+    + """select o.server_key, o.micros + 1800000000 as ended_at, 250 as batch_size, 2.0::double as poll_interval_multiplier
+       from (select *, lead(micros) over (partition by server_key order by rn) as next from ordered) o
+       join steps s on s.server_key = o.server_key and s.rn = o.rn
+       where o.limited and s.cf >= 10 and (o.next is null or o.next > o.micros + 1800000000)""",
+    "fx_strained_events",
+    recursive=True,
+)
+
+
 @query("W4_consecutive_failures", fold_sql("select server_key, consecutive_failures from states"))
 def consecutive_failures(spark, sf_dir):
     return health.fold_requests(health.outcomes(fx_requests(spark, sf_dir))).select("server_key", "consecutive_failures")

@@ -9,13 +9,13 @@ from certlake.operators.metrics import counters_by_window
 from certlake.operators import certs
 from certlake.session import shared_dir
 from certlake.sources.landed import read_by_day, stream_entry_pages
-from certlake.streaming import follow
+from certlake.streaming import follow, server_state
 from certlake.streaming import health as stream_health
 from registry.catalog import ORACLE, query
 from registry.decode import MINIMAL_SQL
 from registry.dns import FRESH
-from registry.fixtures import duck, fx_entries, fx_records, fx_requests, fx_reuse
-from registry.health import STATE_COLUMNS
+from registry.fixtures import duck, fx_entries, fx_records, fx_requests, fx_reuse, fx_strained
+from registry.health import ENDED_SQL, STATE_COLUMNS
 from registry.metrics import arrival
 
 NAME_COLUMNS = ("name", "sha1", "dns", "log_url", "entry_index")
@@ -98,6 +98,38 @@ def server_state_stream(spark, sf_dir):
     return stream_health.read_states(spark, f"{base}/health", 1).select(*STATE_COLUMNS.split(", "))
 
 
+def processed(spark, requests):
+    """Rows of the keyed health stream over all requests, which land mixed up within minutes of their time. Two
+    requests of another server, much later, let the watermark pass all of them and the timers."""
+    base = shared_dir(spark)
+    mixed = requests.withColumn("part", F.pmod(F.xxhash64("seq"), F.lit(3)))
+    low, high = requests.agg(F.unix_micros(F.min("ts")), F.unix_micros(F.max("ts"))).first()
+    step = F.floor((F.unix_micros("ts") + F.col("part") * 100_000_000 - low) * 2 / (high - low + 300_000_000))
+    stamp = lambda days: F.timestamp_micros(F.lit(high + days * 86_400_000_000))
+    for k in range(4):
+        if k < 2:
+            landed = mixed.where(step == k).drop("part")
+        else:
+            landed = spark.range(1).select(F.col("id").alias("seq"), stamp(30 * k).alias("ts"), F.lit("closing").alias("url"), F.lit(200).alias("status"))
+        landed.write.mode("append").parquet(f"{base}/requests")
+        stream = spark.readStream.schema(requests.schema).parquet(f"{base}/requests")
+        with server_state.state_on_disk(spark):
+            writer = follow.parquet_writer(server_state.server_rows(stream), f"{base}/rows")
+            follow.start(writer, f"{base}/checkpoint").awaitTermination()
+    return spark.read.schema(server_state.ROWS).parquet(f"{base}/rows").where("server_key <> 'closing'")
+
+
+@query("I6_server_state_processor", ORACLE["I6_server_state"])
+def server_state_processor(spark, sf_dir):
+    return server_state.newest_states(processed(spark, fx_requests(spark, sf_dir))).select(*STATE_COLUMNS.split(", "))
+
+
+@query("I7_exclusions_ended", ENDED_SQL)
+def exclusions_ended(spark, sf_dir):
+    """Exclusions that ran out, told by timers."""
+    return server_state.ended_exclusions(processed(spark, fx_strained(spark, sf_dir))).select("server_key", F.col("at").alias("ended_at"), "batch_size", "poll_interval_multiplier")
+
+
 @query("I8_rolling_counters_stream", ORACLE["I8_counters_by_window"])
 def rolling_counters(spark, sf_dir):
     """Windows are appended once they are closed; an entry that arrives days later closes the last."""
