@@ -12,10 +12,12 @@ from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
 from certlake.functions import names as nm
 from certlake.operators.certs import RESULT_KEYS
 from certlake.operators.entries import page_entries, page_errors
+from certlake.operators.intervals import COLUMNS, merged_intervals, page_intervals
 from certlake.operators.reuse import reuse_within_ttl
 from certlake.plans.search import search_names
 from certlake.sources.landed import stream_entry_pages
 from certlake.sources.sinks import append_documents, upsert_records, write_json
+from certlake.streaming.carried import Carried, batch_name
 
 
 def follow_names(
@@ -56,33 +58,35 @@ def parquet_writer(rows: DataFrame, path: str) -> DataStreamWriter:
     return rows.writeStream.format("parquet").option("path", path)
 
 
-def fresh_batches(root: str, ttl: int = 300) -> Callable[[DataFrame, int], None]:
+def fresh_batches(root: str, ttl: int = 300, run: str = "") -> Callable[[DataFrame, int], None]:
     """Requests `domain, sha1, ts, seq` that no answer younger than `ttl` seconds serves.
 
     What is carried from batch to batch is the last fresh request of each key, and only while
     it can still serve one: a key that is silent for `ttl` seconds leaves the state. Requests
     should come in batches by time; one that comes late is judged by what its batch and the
-    state know. Batches write folders of their own number, so a repeated one replaces itself.
+    state know. Batches write folders of their own name, so a repeated one replaces itself. `run` names the
+    stream, as in `document_batches`: a new one goes on from the last state (see `carried`).
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
+        spark, name = batch.sparkSession, batch_name(run, batch_id)
+        states = Carried(spark, f"{root}/state")
+        before = states.previous(name)
         columns = ("domain", "sha1", "ts", "seq")
         kept = batch.select(*columns).persist(StorageLevel.MEMORY_AND_DISK)
         try:
             known = kept.withColumn("carried", F.lit(False))
-            if batch_id:
-                state = spark.read.schema("domain string, sha1 string, ts bigint").parquet(f"{root}/state/batch={batch_id - 1}")
+            if before is not None:
+                state = states.read(before, "domain string, sha1 string, ts bigint")
                 carried = state.withColumn("seq", F.lit(-1).cast("bigint")).withColumn("carried", F.lit(True))
                 known = known.unionByName(carried)
             served = reuse_within_ttl(known, ttl).persist(StorageLevel.MEMORY_AND_DISK)
             try:
                 fresh = served.where("not hit and not carried").select(*columns)
-                fresh.write.mode("overwrite").parquet(f"{root}/fresh/batch={batch_id}")
+                fresh.write.mode("overwrite").parquet(f"{root}/fresh/batch={name}")
                 newest = served.agg(F.max("ts")).first()[0]
                 last = served.where("not hit and ts is not null").groupBy("domain", "sha1").agg(F.max("ts").cast("bigint").alias("ts"))
-                alive = last.where(F.col("ts") + ttl > (newest or 0))
-                alive.write.mode("overwrite").parquet(f"{root}/state/batch={batch_id}")
+                states.write(last.where(F.col("ts") + ttl > (newest or 0)), name)
             finally:
                 served.unpersist()
         finally:
@@ -91,6 +95,28 @@ def fresh_batches(root: str, ttl: int = 300) -> Callable[[DataFrame, int], None]
     return write
 
 
+def interval_batches(root: str, run: str = "") -> Callable[[DataFrame, int], None]:
+    """The indices received so far, as merged intervals per log, from batches of pages in any order. Pages that
+    come again change nothing; for `run` see `fresh_batches`."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        states, name = Carried(batch.sparkSession, root), batch_name(run, batch_id)
+        before = states.previous(name)
+        known = page_intervals(batch)
+        if before is not None:
+            known = known.unionByName(states.read(before, COLUMNS))
+        states.write(merged_intervals(known).coalesce(1 + batch.sparkSession.sparkContext.defaultParallelism // 8), name)
+
+    return write
+
+
+def received_intervals(spark: SparkSession, root: str) -> DataFrame:
+    """The newest state of `interval_batches`."""
+    states = Carried(spark, root)
+    newest = states.newest()
+    return spark.createDataFrame([], COLUMNS) if newest is None else states.read(newest, COLUMNS)
+
+
 def batch_writer(rows: DataFrame, write: Callable[[DataFrame, int], None]) -> DataStreamWriter:
     return rows.writeStream.foreachBatch(write)
 

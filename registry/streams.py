@@ -3,18 +3,19 @@ over them to its end and returns what the stream wrote."""
 
 from pyspark.sql import functions as F
 
-from certlake.operators import health
-from certlake.operators.entries import page_entries
+from certlake.operators import health, intervals
+from certlake.operators.entries import latest_tree_heads, page_entries
 from certlake.operators.metrics import counters_by_window
 from certlake.operators import certs
 from certlake.session import shared_dir
 from certlake.sources.landed import read_by_day, stream_entry_pages
 from certlake.streaming import follow, server_state
 from certlake.streaming import health as stream_health
+import registry.entries  # noqa: F401
 from registry.catalog import ORACLE, query
 from registry.decode import MINIMAL_SQL
 from registry.dns import FRESH
-from registry.fixtures import duck, fx_entries, fx_records, fx_requests, fx_reuse, fx_strained
+from registry.fixtures import duck, fx_entries, fx_heads, fx_pages, fx_records, fx_requests, fx_reuse, fx_strained
 from registry.health import ENDED_SQL, STATE_COLUMNS
 from registry.metrics import arrival
 
@@ -71,6 +72,25 @@ def bounded_polling(spark, sf_dir):
     return written.groupBy("log_url").agg(F.count("*").alias("names"))
 
 
+def received(spark, sf_dir):
+    """The indices of all pages as intervals, from batches that come out of order and overlap; one comes twice."""
+    root, landed = shared_dir(spark), fx_pages(spark, sf_dir)
+    write, part = follow.interval_batches(root, "run"), F.pmod(F.xxhash64("log_url", "start"), F.lit(9))
+    for batch_id, parts in ((0, (6, 7, 8, 0)), (1, (3, 4, 5, 6)), (1, (3, 4, 5, 6)), (2, (0, 1, 2, 3))):
+        write(landed.where(part.isin(*parts)), batch_id)
+    return follow.received_intervals(spark, root)
+
+
+@query("A6_gaps_of_intervals", ORACLE["A6_index_gaps"])
+def gaps_of_intervals(spark, sf_dir):
+    return intervals.interval_gaps(received(spark, sf_dir), latest_tree_heads(fx_heads(spark, sf_dir)))
+
+
+@query("E3_progress_of_intervals", ORACLE["E3_log_progress"])
+def progress_of_intervals(spark, sf_dir):
+    return intervals.interval_progress(received(spark, sf_dir), latest_tree_heads(fx_heads(spark, sf_dir)))
+
+
 @query("I5_distinct_within_ttl", duck(FRESH + "select seq, domain, sha1, ts from outcome where not hit", "fx_reuse", recursive=True))
 def distinct_within_ttl(spark, sf_dir):
     """Requests arrive in four micro-batches by time; a pair passes again once its answer is old."""
