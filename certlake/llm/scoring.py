@@ -23,6 +23,7 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import chain, repeat
 from math import isqrt
 
 import numpy as np
@@ -45,8 +46,8 @@ KNOWN = 100_000
 WIDTH, ROUNDS, STEPS, BATCH, NOISE, RATE = 24, 3, 150, 2048, 16, 0.01
 #: Noise symbols of a step, shared by its triples; triples a training task holds.
 SHARED, DEALT = 4 * NOISE, 1 << 20
-#: Contexts whose normalisers a scoring task keeps.
-KEPT = 1 << 21
+#: Contexts whose normalisers a scoring task keeps; symbols up to which it keeps all products, and all contexts.
+KEPT, TABLE = 1 << 21, 4096
 #: Distinct words a counting task holds before it passes them on.
 HELD = 200_000
 
@@ -101,6 +102,10 @@ class Model:
     frequent: int = FREQUENT_SYMBOLS
     parameters: dict[str, np.ndarray] = field(default_factory=dict)
 
+    def blank(self) -> Model:
+        """The same symbols without words and parameters: all that training on codes needs."""
+        return Model({}, {}, self.class_total, self.frequent)
+
     @property
     def end(self) -> int:
         return self.frequent + CLASSES
@@ -109,9 +114,10 @@ class Model:
     def n_symbols(self) -> int:
         return self.end + 2
 
-    def symbols(self, words: list[bytes]) -> np.ndarray:
-        known, frequent = self.symbol, self.frequent
-        return np.fromiter((known[w] if w in known else frequent + shape(w) for w in words), np.int64, len(words))
+    @property
+    def dtype(self) -> str:
+        """How symbols are stored."""
+        return "<u2" if self.n_symbols <= 1 << 16 else "<i4"
 
 
 def _class_totals(counts: DataFrame, frequent: set[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -134,16 +140,69 @@ def _class_totals(counts: DataFrame, frequent: set[bytes]) -> tuple[np.ndarray,
     return out, n
 
 
-def _codes(texts: list[list[bytes]], model: Model) -> tuple[np.ndarray, np.ndarray]:
-    """Triples of texts that begin with two start marks, and the sizes of the texts without them."""
-    sizes = np.array([len(t) for t in texts], np.int64)
-    symbols = model.symbols([w for t in texts for w in t])
-    first = np.cumsum(sizes) - sizes
-    symbols[first] = symbols[first + 1] = model.end + 1
-    inner = np.ones(len(symbols), bool)
-    inner[first] = inner[first + 1] = False
-    at = np.flatnonzero(inner)
-    return (symbols[at - 2] * model.n_symbols + symbols[at - 1]) * model.n_symbols + symbols[at], sizes - 2
+def encoded(docs: DataFrame, model: Model) -> DataFrame:
+    """Every row of `docs` as symbols, with the sums that need its words: (row, doc_id, turn, n_tokens, log_counts,
+    shares, n_known, codes, others).
+
+    `turn` is the round whose training the text is dealt to, or -1 where it is held out. `shares` are the logarithms
+    of the words' shares of their classes, `others` the words that tasks do not know. Both are complete but for
+    the counts of the others.
+    """
+    words = list(model.counts)
+    counts = np.array([model.counts[w] for w in words], np.int64)
+    symbols = np.array([model.symbol[w] if w in model.symbol else model.frequent + shape(w) for w in words], np.int64)
+    log_counts, share = np.log10(counts + SMOOTH), np.log10(model.class_total)
+    of_class = (symbols >= model.frequent) & (symbols < model.end)
+    shares = np.where(of_class, log_counts - share[np.where(of_class, symbols - model.frequent, 0)], 0.0)
+    # The last entry stands for words that are not known.
+    tables = np.append(symbols, 0), np.append(log_counts, 0.0), np.append(shares, 0.0), np.append(counts > 0, False)
+    sent = docs.sparkSession.sparkContext.broadcast(({w: k for k, w in enumerate(words)}, tables))
+    kind, first = model.dtype, model.frequent
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at_of, (symbols, log_counts, shares, is_known) = sent.value
+        task, row = TaskContext.get().partitionId() << 40, 0
+        for whole in batches:
+            for at in range(0, whole.num_rows, 256):
+                batch = whole.slice(at, 256)
+                texts = [tokens(t) for t in batch.column(2).to_pylist()]
+                sizes = np.array([len(t) for t in texts], np.int64)
+                begin = np.cumsum(sizes) - sizes
+                flat = list(chain.from_iterable(texts))
+                k = np.fromiter(map(at_of.get, flat, repeat(-1)), np.int64, len(flat))
+                codes, added = symbols[k], shares[k]
+                missing = np.flatnonzero(k < 0)
+                others = [flat[i] for i in missing]
+                shapes = np.fromiter(map(shape, others), np.int64, len(others))
+                codes[missing], added[missing] = first + shapes, -share[shapes]
+                ends = np.searchsorted(missing, [*begin, len(flat)])
+                sums = [np.add.reduceat(x, begin) for x in (log_counts[k], added, is_known[k].astype(np.int64))]
+                data = codes.astype(kind)
+                bounds = np.append(begin, len(flat)) * data.itemsize
+                packed = pa.Array.from_buffers(pa.large_binary(), len(texts), [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(data.tobytes())]).cast(pa.binary())
+                listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(others, pa.binary()))
+                keys = task + row + np.arange(len(texts))
+                row += len(texts)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(keys), batch.column(0), batch.column(1), pa.array(sizes), *map(pa.array, sums), packed, listed],
+                    ["row", "doc_id", "turn", "n_tokens", "log_counts", "shares", "n_known", "codes", "others"],
+                )
+
+    turn = F.when(held_out(F.col("doc_id")), -1).otherwise(F.pmod(F.xxhash64(text_of()), F.lit(ROUNDS))).cast("int")
+    schema = "row long, doc_id long, turn int, n_tokens long, log_counts double, shares double, n_known long, codes binary, others array<binary>"
+    return docs.select(F.col("doc_id").cast("long"), turn.alias("turn"), "text").mapInArrow(encode, schema)
+
+
+def triples(column: pa.Array, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Every token with the two symbols before it, as one number, and where the texts begin."""
+    texts = column.to_pylist()
+    w = np.frombuffer(b"".join(texts), model.dtype).astype(np.int64)
+    sizes = np.array([len(t) for t in texts], np.int64) // np.dtype(model.dtype).itemsize
+    begin = np.cumsum(sizes) - sizes
+    one, two = np.empty_like(w), np.empty_like(w)
+    one[1:], two[2:] = w[:-1], w[:-2]
+    one[begin] = two[begin] = two[begin[sizes > 1] + 1] = model.end + 1
+    return (two * model.n_symbols + one) * model.n_symbols + w, begin
 
 
 def initial(unigram: np.ndarray) -> dict[str, np.ndarray]:
@@ -158,45 +217,63 @@ def initial(unigram: np.ndarray) -> dict[str, np.ndarray]:
     }
 
 
+def _summed(values: np.ndarray, of: np.ndarray, size: int) -> np.ndarray:
+    """Rows of `values` summed by their number in `of`."""
+    order = np.argsort(of.astype(np.uint16) if size <= 1 << 16 else of, kind="stable")
+    own = of[order]
+    starts = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+    out = np.zeros((size, values.shape[1]), values.dtype)
+    out[own[starts]] = np.add.reduceat(values[order], starts, axis=0)
+    return out
+
+
 class Trainer:
-    """Noise-contrastive estimation (Adam), a batch of triples a step."""
+    """Noise-contrastive estimation (Adam), a batch of triples a step.
+
+    The turned vectors of all symbols are computed once a step, so a triple costs sums and not products of matrices.
+    """
 
     def __init__(self, parameters: dict[str, np.ndarray], noise: np.ndarray, seed: int):
         self.rng = np.random.default_rng(seed)
-        self.p = {k: v.copy() for k, v in parameters.items()}
+        self.p = {k: v.astype(np.float32) for k, v in parameters.items()}
         self.first, self.second = ({k: np.zeros_like(v) for k, v in self.p.items()} for _ in range(2))
-        self.noise_by, self.log_noise = np.cumsum(noise), np.log(SHARED * noise)
+        self.noise_by, self.log_noise = np.cumsum(noise), np.log(SHARED * noise).astype(np.float32)
         self.steps = 0
 
     def step(self, code: np.ndarray) -> None:
         p, size = self.p, len(self.log_noise)
         self.steps += 1
-        h2, h1, w = code // size**2, code // size % size, code % size
+        before, w = np.divmod(code, size)
+        h2, h1 = np.divmod(before, size)
         wrong = np.minimum(np.searchsorted(self.noise_by, self.rng.random(SHARED)), size - 1)
-        context = p["r"][h1] @ p["c1"] + p["r"][h2] @ p["c2"]
+        context = (p["r"] @ p["c1"])[h1]
+        context += (p["r"] @ p["c2"])[h2]
         right, other = p["q"][w], p["q"][wrong]
-        score = np.einsum("bd,bd->b", context, right) + p["b"][w] - self.log_noise[w]
-        up = (1 / (1 + np.exp(-np.clip(score, -40, 40))) - 1) / len(code)
-        score = context @ other.T + (p["b"][wrong] - self.log_noise[wrong])
-        down = 1 / (1 + np.exp(-np.clip(score, -40, 40))) / len(code)
-        to_context = up[:, None] * right + down @ other
-        back1, back2 = to_context @ p["c1"].T, to_context @ p["c2"].T
-        flat, before = np.concatenate([w, wrong]), np.concatenate([h1, h2])
-        to_q = np.concatenate([up[:, None] * context, down.T @ context])
-        to_r = np.concatenate([back1, back2])
-        g = {k: np.zeros_like(v) for k, v in p.items()}
-        g["b"] = np.bincount(flat, np.concatenate([up, down.sum(axis=0)]), size)
-        for d in range(WIDTH):
-            g["q"][:, d] = np.bincount(flat, to_q[:, d], size)
-            g["r"][:, d] = np.bincount(before, to_r[:, d], size)
-        g["c1"], g["c2"] = p["r"][h1].T @ to_context, p["r"][h2].T @ to_context
+        score = np.einsum("bd,bd->b", context, right) + (p["b"] - self.log_noise)[w]
+        up = (1 / (1 + np.exp(-np.clip(score, -40, 40))) - 1) / np.float32(len(code))
+        score = context @ other.T
+        score += p["b"][wrong] - self.log_noise[wrong]
+        down = np.exp(-np.clip(score, -40, 40, out=score), out=score)
+        down += 1
+        np.divide(np.float32(1 / len(code)), down, out=down)
+        to_context = down @ other
+        right *= up[:, None]
+        to_context += right
+        to_one, to_two = _summed(to_context, h1, size), _summed(to_context, h2, size)
+        g = {"r": to_one @ p["c1"].T + to_two @ p["c2"].T, "c1": p["r"].T @ to_one, "c2": p["r"].T @ to_two}
+        g["b"] = np.bincount(w, up, size) + np.bincount(wrong, down.sum(axis=0), size)
+        noise = down.T @ context
+        context *= up[:, None]
+        g["q"] = _summed(context, w, size)
+        np.add.at(g["q"], wrong, noise)
         for k in p:
-            first, second = self.first[k], self.second[k]
-            first *= 0.9
-            first += 0.1 * g[k]
-            second *= 0.999
-            second += 0.001 * g[k] ** 2
-            p[k] -= RATE * (first / (1 - 0.9**self.steps)) / (np.sqrt(second / (1 - 0.999**self.steps)) + 1e-8)
+            first, second, slope = self.first[k], self.second[k], g[k].astype(np.float32)
+            first *= np.float32(0.9)
+            first += np.float32(0.1) * slope
+            second *= np.float32(0.999)
+            second += np.float32(0.001) * slope**2
+            rate = np.float32(RATE / (1 - 0.9**self.steps))
+            p[k] -= rate * first / (np.sqrt(second / np.float32(1 - 0.999**self.steps)) + np.float32(1e-8))
 
     def epoch(self, codes: np.ndarray) -> None:
         """Steps over all triples in a random order, each of them once."""
@@ -213,8 +290,8 @@ def nce_steps(parameters: dict[str, np.ndarray], codes: np.ndarray, n: np.ndarra
     return trainer.p
 
 
-def train(docs: DataFrame, model: Model, unigram: np.ndarray, total: int) -> dict[str, np.ndarray]:
-    """Parameters after ROUNDS of averaging, weighted by the tokens that each task has.
+def train(codes: DataFrame, model: Model, unigram: np.ndarray, total: int) -> dict[str, np.ndarray]:
+    """Parameters after ROUNDS of averaging, weighted by the tokens that each task has. `codes` is `encoded`, stored.
 
     The training texts are dealt to the rounds, and a task steps through all triples of its texts. Where
     that gives it less than STEPS, it goes through them again. So few tokens (`total`) that each
@@ -222,7 +299,7 @@ def train(docs: DataFrame, model: Model, unigram: np.ndarray, total: int) -> dic
     """
     parameters = initial(unigram)
     names = list(parameters)
-    own = docs.where(~held_out(F.col("doc_id"))).select("text")
+    own = codes.where("turn >= 0")
     spread = total > ROUNDS * STEPS * BATCH
 
     def flat(p: dict[str, np.ndarray]) -> np.ndarray:
@@ -230,7 +307,7 @@ def train(docs: DataFrame, model: Model, unigram: np.ndarray, total: int) -> dic
 
     for turn in range(ROUNDS):
         start = parameters
-        sent = docs.sparkSession.sparkContext.broadcast((model, start))
+        sent = codes.sparkSession.sparkContext.broadcast((model.blank(), start))
 
         def steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             model, start = sent.value
@@ -239,8 +316,7 @@ def train(docs: DataFrame, model: Model, unigram: np.ndarray, total: int) -> dic
             size = seen = 0
             for whole in batches:
                 for at in range(0, whole.num_rows, 256):
-                    texts = [[b"\0", b"\0", *tokens(t)] for t in whole.slice(at, 256).column(0).to_pylist()]
-                    held.append(_codes(texts, model)[0])
+                    held.append(triples(whole.column(0).slice(at, 256), model)[0])
                     size += len(held[-1])
                     if size >= DEALT:
                         trainer.epoch(np.concatenate(held))
@@ -253,10 +329,10 @@ def train(docs: DataFrame, model: Model, unigram: np.ndarray, total: int) -> dic
             weight = float(seen + size)
             if weight:
                 values = flat(trainer.p)
-                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values))), pa.array(values * weight), pa.array(np.full(len(values), weight))], ["at", "value", "weight"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(values))), pa.array(values.astype(np.float64) * weight), pa.array(np.full(len(values), weight))], ["at", "value", "weight"])
 
-        dealt = own.where(F.pmod(F.xxhash64(text_of()), F.lit(ROUNDS)) == turn) if spread else own
-        sums = dealt.mapInArrow(steps, "at long, value double, weight double").groupBy("at").agg((F.sum("value") / F.sum("weight")).alias("value"))
+        dealt = own.where(F.col("turn") == turn) if spread else own
+        sums = dealt.select("codes").mapInArrow(steps, "at long, value double, weight double").groupBy("at").agg((F.sum("value") / F.sum("weight")).alias("value"))
         rows = sums.toArrow().sort_by("at")  # one row per parameter
         sent.destroy()
         if rows.num_rows == 0:
@@ -271,29 +347,48 @@ def train(docs: DataFrame, model: Model, unigram: np.ndarray, total: int) -> dic
 
 
 class Normalised:
-    """log10 probabilities of symbols after the two before them."""
+    """log10 probabilities of symbols after the two before them.
+
+    A score is a sum of two products, each of a symbol before and the symbol itself. While tables of all
+    products are small they are computed once; so are, in either case, the normalisers of the contexts that come.
+    """
 
     def __init__(self, parameters: dict[str, np.ndarray]):
         p = {k: v.astype(np.float32) for k, v in parameters.items()}
         self.one, self.two, self.q, self.bias = p["r"] @ p["c1"], p["r"] @ p["c2"], p["q"], p["b"].copy()
         self.bias[-1] = -np.inf  # the start
-        self.contexts, self.norms = np.empty(0, np.int64), np.empty(0, np.float32)
+        self.size = len(self.bias)
+        self.small = self.size <= TABLE
+        if self.small:
+            self.one, self.two = self.one @ self.q.T, self.two @ self.q.T + self.bias
+            self.norms = np.full(self.size**2, np.nan, np.float32)
+        else:
+            self.contexts, self.norms = np.empty(0, np.int64), np.empty(0, np.float32)
 
     def _norms(self, contexts: np.ndarray) -> np.ndarray:
         """Logarithms of the sums over all symbols."""
-        size, out = len(self.bias), np.empty(len(contexts), np.float32)
-        some = max(1, (1 << 21) // size)
+        out, some = np.empty(len(contexts), np.float32), max(1, (1 << 19) // self.size)
         for at in range(0, len(contexts), some):
             part = contexts[at : at + some]
-            score = (self.one[part % size] + self.two[part // size]) @ self.q.T + self.bias
+            score = self.one[part % self.size]
+            score += self.two[part // self.size]
+            if not self.small:
+                score = score @ self.q.T + self.bias
             top = score.max(axis=1)
             score -= top[:, None]
             out[at : at + some] = top + np.log(np.exp(score, out=score).sum(axis=1))
         return out
 
-    def scores(self, codes: np.ndarray) -> np.ndarray:
-        size = len(self.bias)
-        contexts, of = np.unique(codes // size, return_inverse=True)
+    def _known(self, before: np.ndarray) -> np.ndarray:
+        """Normalisers of contexts, of which many are equal."""
+        if self.small:
+            found = self.norms[before]
+            if np.isnan(found).any():
+                new = np.unique(before[np.isnan(found)])
+                self.norms[new] = self._norms(new)
+                found = self.norms[before]
+            return found
+        contexts, of = np.unique(before, return_inverse=True)
         at = np.searchsorted(self.contexts, contexts)
         new = np.ones(len(contexts), bool)
         inside = at < len(self.contexts)
@@ -305,9 +400,16 @@ class Normalised:
             self.contexts, self.norms = contexts, norms
         else:
             self.contexts, self.norms = np.insert(self.contexts, at[new], contexts[new]), np.insert(self.norms, at[new], norms[new])
-        w = codes % size
-        context = (self.one[contexts % size] + self.two[contexts // size])[of]
-        return (np.einsum("nd,nd->n", context, self.q[w]) + self.bias[w] - norms[of]) / np.log(10)
+        return norms[of]
+
+    def scores(self, codes: np.ndarray) -> np.ndarray:
+        before, w = np.divmod(codes, self.size)
+        h2, h1 = np.divmod(before, self.size)
+        if self.small:
+            score = self.one[h1, w] + self.two[h2, w]
+        else:
+            score = np.einsum("nd,nd->n", self.one[h1] + self.two[h2], self.q[w]) + self.bias[w]
+        return (score - self._known(before)) / np.log(10)
 
 
 def log_probabilities(parameters: dict[str, np.ndarray]) -> np.ndarray:
@@ -315,8 +417,8 @@ def log_probabilities(parameters: dict[str, np.ndarray]) -> np.ndarray:
     return Normalised(parameters).scores(np.arange(len(parameters["b"]) ** 3))
 
 
-def fit(docs: DataFrame, counts: DataFrame, total: int, distinct: int) -> Model:
-    """The model; `counts` is the stored result of `word_counts`, with its tokens and words."""
+def vocabulary(counts: DataFrame, distinct: int) -> tuple[Model, np.ndarray]:
+    """The model but for its parameters, and its symbols' shares of all training tokens."""
     rows = largest(counts, "n", KNOWN).select("word", "n").toArrow()
     frequent = dict(sorted(zip(rows["word"].to_pylist(), rows["n"].to_pylist()), key=lambda x: (-x[1], x[0])))
     end = counts.where(F.col("word") == F.lit(b"")).first()
@@ -330,44 +432,41 @@ def fit(docs: DataFrame, counts: DataFrame, total: int, distinct: int) -> Model:
     for word, k in symbol.items():
         unigram[k] += frequent[word]
     unigram[most : model.end] += class_tokens
-    model.parameters = train(docs, model, unigram / unigram.sum(), total)
-    return model
+    return model, unigram / unigram.sum()
+
 
+def learned(docs: DataFrame, counts: DataFrame, total: int, distinct: int) -> tuple[Model, DataFrame]:
+    """The model and all texts in its symbols. They are read as words only here; training and scoring take the symbols."""
+    model, unigram = vocabulary(counts, distinct)
+    codes = stored(encoded(docs, model))
+    model.parameters = train(codes, model, unigram, total)
+    return model, codes
 
-def _partial(docs: DataFrame, model: Model) -> DataFrame:
-    """Scores but for the words that `model` doesn't know, and these words with the row's key."""
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+
+def fit(docs: DataFrame, counts: DataFrame, total: int, distinct: int) -> Model:
+    """The model; `counts` is the stored result of `word_counts`, with its tokens and words."""
+    return learned(docs, counts, total, distinct)[0]
+
+
+def _neural(codes: DataFrame, model: Model) -> DataFrame:
+    """(row, neural): log10 of the probabilities of each text's symbols."""
+    blank = model.blank()
+    blank.parameters = model.parameters
+    sent = codes.sparkSession.sparkContext.broadcast(blank)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value
-        neural_of, counts = Normalised(model.parameters), model.counts
-        task, row = TaskContext.get().partitionId() << 40, 0
-        share = np.log10(model.class_total)
+        neural_of = Normalised(model.parameters)
         for whole in batches:
             for at in range(0, whole.num_rows, 256):
                 batch = whole.slice(at, 256)
-                words = [tokens(t) for t in batch.column(1).to_pylist()]
-                codes, sizes = _codes([[b"\0", b"\0", *w] for w in words], model)
-                n = np.fromiter((counts.get(w, -1) for t in words for w in t), np.int64, len(codes))
-                symbols = codes % model.n_symbols
-                of_class = (symbols >= model.frequent) & (symbols < model.end)
-                known = n >= 0
-                log_count = np.where(known, np.log10(np.maximum(n, 0) + SMOOTH), 0.0)
-                neural = neural_of.scores(codes).astype(np.float64)
-                neural[of_class] -= share[symbols[of_class] - model.frequent]
-                neural += np.where(of_class, log_count, 0.0)
-                begin = np.cumsum(sizes) - sizes
-                sums = [np.add.reduceat(x, begin) for x in (log_count, neural, (n > 0).astype(np.int64))]
-                others = [[w for w in t if w not in counts] for t in words]
-                keys = task + row + np.arange(len(words))
-                row += len(words)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(keys), batch.column(0), pa.array(sizes), *map(pa.array, sums), pa.array(others, pa.list_(pa.binary()))],
-                    ["row", "doc_id", "n_tokens", "log_counts", "neural", "n_known", "others"],
-                )
+                own, begin = triples(batch.column(0), model)
+                sums = np.add.reduceat(neural_of.scores(own).astype(np.float64), begin)
+                columns = [*batch.columns[1:], pa.array(sums)]
+                yield pa.RecordBatch.from_arrays(columns, ["row", "doc_id", "held_out", "n_tokens", "log_counts", "shares", "n_known", "neural"])
 
-    schema = "row long, doc_id long, n_tokens long, log_counts double, neural double, n_known long, others array<binary>"
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(score, schema)
+    kept = codes.select("codes", "row", "doc_id", (F.col("turn") < 0).alias("held_out"), "n_tokens", "log_counts", "shares", "n_known")
+    return kept.mapInArrow(score, "row long, doc_id long, held_out boolean, n_tokens long, log_counts double, shares double, n_known long, neural double")
 
 
 def scored(docs: DataFrame) -> DataFrame:
@@ -380,21 +479,21 @@ def scored(docs: DataFrame) -> DataFrame:
     """
     counts = stored(word_counts(docs).where("word is not null"))
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    partial = stored(_partial(docs, fit(docs, counts, total, distinct)))
-    asked = partial.select("row", F.explode("others").alias("word"))
+    model, codes = learned(docs, counts, total, distinct)
+    asked = codes.select("row", F.explode("others").alias("word"))
     found = asked.join(counts, "word", "left")
     rest = found.groupBy("row").agg(
         F.sum(F.log10(F.coalesce("n", F.lit(0)) + SMOOTH)).alias("more"),
         F.count("n").alias("more_known"),
     )
-    every = partial.drop("others").join(rest, "row", "left").na.fill(0, ["more", "more_known"])
+    every = _neural(codes, model).join(rest, "row", "left").na.fill(0, ["more", "more_known"])
     norm = float(np.log10(total + SMOOTH * (distinct + 1)))
     return every.select(
         "doc_id",
-        held_out(F.col("doc_id")).alias("held_out"),
+        "held_out",
         "n_tokens",
         (F.col("n_known") + F.col("more_known")).alias("n_known"),
         F.lit(total).cast("long").alias("train_tokens"),
         (F.col("log_counts") + F.col("more") - F.col("n_tokens") * norm).alias("base_score"),
-        (F.col("neural") + F.col("more")).alias("score"),
+        (F.col("neural") + F.col("shares") + F.col("more")).alias("score"),
     )
