@@ -104,6 +104,8 @@ def license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         "base_labels",
         "labels",
         "score",
+        "met",
+        "containment",
     )
 
 
