@@ -14,6 +14,7 @@ from certlake.operators.certs import RESULT_KEYS
 from certlake.operators.entries import page_entries, page_errors
 from certlake.operators.intervals import COLUMNS, merged_intervals, page_intervals
 from certlake.operators.reuse import reuse_within_ttl
+from certlake.operators.watch import watched_rows
 from certlake.plans.search import search_names
 from certlake.sources.landed import stream_entry_pages
 from certlake.sources.sinks import append_documents, upsert_records, write_json
@@ -162,3 +163,18 @@ def alert_batches(pattern: str, rows_path: str, alerts_path: str, run: str) -> C
 
     return write
 
+
+def watch_batches(terms_path: str, alerts_path: str, run: str) -> Callable[[DataFrame, int], None]:
+    """Rows whose name meets a term of the table at `terms_path` (term, kind), which is read again for each
+    batch, so terms can be added while the stream goes on; for `run` see `document_batches`."""
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        terms = batch.sparkSession.read.schema("term string, kind string").parquet(terms_path)
+        kept = batch.persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            found = watched_rows(kept, terms).select(*RESULT_KEYS, "term", "kind")
+            found.write.mode("overwrite").json(f"{alerts_path}/batch={run}-{batch_id}")
+        finally:
+            kept.unpersist()
+
+    return write
