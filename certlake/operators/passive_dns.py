@@ -253,7 +253,7 @@ def record_statistics(records: DataFrame) -> DataFrame:
 
 
 def daily_sketches(records: DataFrame) -> DataFrame:
-    """Mergeable distinct-count sketches per day and field, to be stored beside the days."""
+    """Mergeable distinct-count sketches per day and field; `sinks.refresh_sketches` stores them beside the days."""
     values = _counted_values(records, fd.day_of_seconds(F.col("ts")).alias("day"))
     return values.groupBy("day", "field").agg(
         F.count("*").alias("n_values"), F.hll_sketch_agg("value", 14).alias("sketch")

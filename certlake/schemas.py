@@ -34,3 +34,5 @@ DNS_RECORDS = (
 )
 
 REQUEST_LOG = "ts timestamp, seq bigint, url string, status int"
+
+SKETCHES = "field string, n_values bigint, sketch binary"

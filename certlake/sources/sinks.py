@@ -9,8 +9,8 @@ from pyspark.sql import functions as F
 
 from certlake.functions.dns import day_of_seconds
 from certlake.operators.certs import RESULT_KEYS, minimal_documents, with_day
-from certlake.operators.passive_dns import address_table, upserted
-from certlake.schemas import DNS_RECORDS
+from certlake.operators.passive_dns import address_table, daily_sketches, merged_statistics, upserted
+from certlake.schemas import DNS_RECORDS, SKETCHES
 from certlake.session import written
 from certlake.sources.daystore import DayStore
 from certlake.sources.daystore import child as _child  # noqa: F401
@@ -99,3 +99,27 @@ def refresh_addresses(spark: SparkSession, root: str, side_root: str, first: str
     store, side = DayStore(spark, root), DayStore(spark, side_root)
     days = [d for d in {*store.days(), *side.days()} if (first is None or d >= first) and (last is None or d <= last)]
     side.replace(by_address(store.read(DNS_RECORDS, first, last)), days)
+
+
+def refresh_sketches(spark: SparkSession, root: str, sketch_root: str) -> list[str]:
+    """Brings the daily sketches beside a record table up to date; tells the days that were sketched anew.
+
+    Each day's sketches are kept with a note of the folders they were made from, so only days that an
+    upsert has changed since are read, and days without records any more lose their sketches.
+    """
+    store, sketches = DayStore(spark, root), DayStore(spark, sketch_root)
+    sketches.finish()
+    made = sketches.state()["notes"]
+    now = {day: ",".join(batches) for day, batches in store.state()["days"].items()}
+    touched = sorted(day for day in now if made.get(day) != now[day])
+    gone = sorted(set(made) - set(now))
+    if touched or gone:
+        rows = store.read(DNS_RECORDS, min(touched), max(touched)) if touched else store.read(DNS_RECORDS).limit(0)
+        rows = rows.where(F.col("day").isin([date.fromisoformat(d) for d in touched])) if touched else rows
+        sketches.replace(daily_sketches(rows.drop("day")).coalesce(1), [*touched, *gone], {d: now[d] for d in touched})
+    return touched
+
+
+def stored_statistics(spark: SparkSession, sketch_root: str, first: str | None = None, last: str | None = None) -> DataFrame:
+    """Approximate totals of the stored days, or of those between the bounds, from their sketches alone."""
+    return merged_statistics(DayStore(spark, sketch_root).read(SKETCHES, first, last))

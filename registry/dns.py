@@ -215,6 +215,16 @@ def merged_sketches(spark, sf_dir):
     return near(pd.merged_statistics(pd.daily_sketches(records)), pd.record_statistics(records))
 
 
+@query("E4_stored_sketches", _NEAR)
+def stored_sketches(spark, sf_dir):
+    """Totals from sketches that were kept up to date over two loads."""
+    root, records = shared_dir(spark), fx_records(spark, sf_dir)
+    for load in (records.where("ts % 3 = 0"), records):
+        sinks.upsert_records(load, f"{root}/records")
+        sinks.refresh_sketches(spark, f"{root}/records", f"{root}/sketches")
+    return near(sinks.stored_statistics(spark, f"{root}/sketches"), pd.record_statistics(read_by_day(spark, f"{root}/records")))
+
+
 # Lookups read all days of the tables that the upsert and its side table have written.
 _BY_IP = f"""select d, count(*) as records, max(ts) as ts from ({UPSERTED}) where list_contains(i, '{ADDRESS}') group by d"""
 _E5 = duck(_BY_IP, "fx_records")
