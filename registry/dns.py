@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from certlake.functions import dns as fd
 from certlake.operators import passive_dns as pd
-from certlake.operators import reuse
+from certlake.operators import reuse, validity
 from certlake.plans.resolution import answered_requests, dns_records, targets
 from certlake.session import shared_dir
 from certlake.sources import sinks
@@ -369,3 +369,29 @@ def last_write_wins(spark, sf_dir):
 )
 def address_changes(spark, sf_dir):
     return pd.address_changes(fx_records(spark, sf_dir))
+
+
+_INTERVALS = """+ facts as (select distinct c, d, ts, h, list_sort(i) as i from fx_records where c is not null),
+  marked as (select *, lag(i) over (partition by c, d order by ts, h) as p, row_number() over (partition by c, d order by ts, h) as n from facts),
+  starts as (select * from marked where n = 1 or i is distinct from p),
+  intervals as (select * from (select c, d, i, ts as from_ts, lead(ts) over (partition by c, d order by ts, h) as to_ts from starts) where to_ts is null or from_ts < to_ts) """
+
+
+@query("W5_validity_intervals", duck(_INTERVALS + "select * from intervals", "fx_records"))
+def validity_intervals(spark, sf_dir):
+    return validity.validity_intervals(fx_records(spark, sf_dir))
+
+
+@query(
+    "F7_addresses_at",
+    duck(
+        _INTERVALS + """select q.d, q.c, q.at, q.t, v.i, v.from_ts as since from (select d, c, ts - 40000 as at, ttl as t from fx_records where c is not null) q
+             asof left join intervals v on v.c = q.c and v.d = q.d and v.from_ts <= q.at""",
+        "fx_records",
+    ),
+)
+def addresses_at(spark, sf_dir):
+    """Every record's certificate and domain, asked eleven hours before the record."""
+    records = fx_records(spark, sf_dir)
+    asked = records.where("c is not null").select("d", "c", (F.col("ts") - 40000).alias("at"), F.col("ttl").alias("t"))
+    return validity.addresses_at(asked, validity.validity_intervals(records))
