@@ -5,13 +5,15 @@ from pyspark.sql import functions as F
 
 from certlake.operators import health, intervals
 from certlake.operators.entries import latest_tree_heads, page_entries
+from certlake.operators import metrics
 from certlake.operators.metrics import counters_by_window
 from certlake.operators import certs
 from certlake.session import shared_dir
 from certlake.sources.landed import read_by_day, stream_entry_pages
-from certlake.streaming import follow, server_state
+from certlake.streaming import counters, follow, server_state
 from certlake.streaming import health as stream_health
 import registry.entries  # noqa: F401
+import registry.metrics  # noqa: F401
 from registry.catalog import ORACLE, query
 from registry.decode import MINIMAL_SQL
 from registry.dns import FRESH
@@ -150,6 +152,22 @@ def exclusions_ended(spark, sf_dir):
     return server_state.ended_exclusions(processed(spark, fx_strained(spark, sf_dir))).select("server_key", F.col("at").alias("ended_at"), "batch_size", "poll_interval_multiplier")
 
 
+@query("I8_landed_counters", ORACLE["E1_entry_counters"])
+def landed_counters(spark, sf_dir):
+    """The counters that a stream observes batch by batch, landed by a listener and summed."""
+    base = landing(spark, sf_dir)
+    decoded = certs.decode_certificates(certs.decode_leaves(page_entries(stream_entry_pages(spark, f"{base}/landing", 4))), keep_rejects=True)
+    listener = counters.LandedCounters(spark, f"{base}/metrics")
+    spark.streams.addListener(listener)
+    try:
+        rows = metrics.observed(decoded).select("log_url", "entry_index")
+        follow.start(follow.parquet_writer(rows, f"{base}/rows"), f"{base}/checkpoint").awaitTermination()
+        landed = counters.settled(spark, f"{base}/metrics", f"{base}/checkpoint")
+    finally:
+        spark.streams.removeListener(listener)
+    return landed.agg(*[F.sum(c).alias(c) for c in ("processed", "input", "errors", "output")])
+
+
 @query("I8_rolling_counters_stream", ORACLE["I8_counters_by_window"])
 def rolling_counters(spark, sf_dir):
     """Windows are appended once they are closed; an entry that arrives days later closes the last."""

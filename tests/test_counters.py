@@ -1,0 +1,28 @@
+"""Landed counters of a stream that stops and goes on."""
+
+from test_tables import pages
+
+from certlake.operators import certs, metrics
+from certlake.operators.entries import page_entries
+from certlake.sources import landed
+from certlake.streaming import counters, follow
+
+
+def test_counters_of_all_batches_sum_to_those_of_all_entries(spark, tmp_path):
+    base = str(tmp_path)
+    listener = counters.LandedCounters(spark, f"{base}/metrics")
+    spark.streams.addListener(listener)
+    try:
+        for names in (["a.example", "b.example"], ["c.example"], []):
+            pages(spark, names).write.mode("append").json(f"{base}/landing")
+            decoded = certs.decode_certificates(certs.decode_leaves(page_entries(landed.stream_entry_pages(spark, f"{base}/landing", 1))), keep_rejects=True)
+            rows = metrics.observed(decoded).select("entry_index")
+            follow.start(follow.parquet_writer(rows, f"{base}/rows"), f"{base}/checkpoint").awaitTermination()
+            got = counters.settled(spark, f"{base}/metrics", f"{base}/checkpoint")
+    finally:
+        spark.streams.removeListener(listener)
+    entries = page_entries(landed.read_entry_pages(spark, f"{base}/landing"))
+    whole = metrics.counters(certs.decode_certificates(certs.decode_leaves(entries), keep_rejects=True)).first()
+    sums = got.selectExpr("sum(processed)", "sum(input)", "sum(errors)", "sum(output)").first()
+    assert tuple(sums) == tuple(whole) == (3, 3, 0, 3)
+    assert got.count() == got.select("query", "batch").distinct().count() > 2 and got.select("query").distinct().count() == 1
