@@ -5,6 +5,10 @@ sequence, and the source whose interval of the cumulative target weights holds t
 fills it. The r-th slot of a source takes the r-th block of the source's documents, laid end to
 end in an order shuffled by a hash; past the last document the source begins again.
 
+Blocks are equal among sources of like targets. A source whose target is under FINE blocks would be met by no slot or
+by far too many, so such sources have schedules of their own: one for each power of two of the target, with
+blocks of a 64th to a 128th of it (one word at least). All schedules run side by side over the length of the mix.
+
 Only built-in functions run on the data. No group of rows has to fit one task: documents and
 slots are numbered in pieces, and one row per piece carries what comes before it.
 """
@@ -12,6 +16,7 @@ slots are numbered in pieces, and one row per piece carries what comes before it
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -27,12 +32,16 @@ SHARE_NUMERATOR, SHARE_DENOMINATOR, EPOCHS = 3, 2, 2
 WEIGHTS = (3, 1, 2)
 #: Slots and documents numbered together in one task.
 PIECE = 8_192
-#: Cells of the unit interval by which a point finds its source.
+#: Least cells of the unit interval by which a point finds its source; there are never fewer than sources.
 CELLS = 4096
+#: Places of the mix by which slots of several tiers are ordered.
+PLACES = 1 << 40
+#: Blocks that a target should have at least, and the binary digits that a small target keeps as blocks.
+FINE, DIGITS = 16, 7
 
 
 def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS) -> DataFrame:
-    """Adds weight, target and the interval [low, high) of the rounded targets, laid end to end.
+    """Adds weight, target and the rounded target.
 
     `sizes` has one row per source: source, source_size. Sources are in order of code points,
     null last. A source gets its share by weight, at most EPOCHS times its size; what is cut
@@ -58,9 +67,20 @@ def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS) -> DataFr
     stopped = F.struct(F.col("cap") / F.col("weight"), F.col("number")) < F.struct(F.col("first.col1"), F.col("first.number"))
     target = F.when(F.col("first").isNull() | stopped, F.col("cap").cast("double")).otherwise(F.col("first.level") * F.col("weight"))
     out = out.withColumn("target", target).withColumn("rounded", F.floor(F.col("target") + 0.5))
-    high = F.sum("rounded").over(Window.partitionBy(F.lit(0)).orderBy("number"))
-    out = out.withColumn("high", high).withColumn("low", F.col("high") - F.col("rounded"))
-    return out.select("source", "source_size", "number", "weight", "target", "rounded", "low", "high")
+    return out.select("source", "source_size", "number", "weight", "target", "rounded")
+
+
+def tiers(targets: DataFrame, block: int) -> DataFrame:
+    """Adds tier, block and the interval [low, high) of the rounded targets of a tier, laid end to end.
+
+    Tier 0 has the sources of FINE blocks of `block` words or more; each other one those whose target has as many
+    binary digits (DIGITS of them, or fewer, together)."""
+    digits = F.greatest(F.lit(DIGITS), F.length(F.bin("rounded")))
+    small = F.col("rounded") < FINE * block
+    out = targets.withColumn("tier", F.when(small, digits).otherwise(0))
+    out = out.withColumn("block", F.when(small, F.expr(f"shiftleft(1L, tier - {DIGITS})")).otherwise(F.lit(block).cast("long")))
+    high = F.sum("rounded").over(Window.partitionBy("tier").orderBy("number"))
+    return out.withColumn("high", high).withColumn("low", F.col("high") - F.col("rounded"))
 
 
 def _numbered(rows: DataFrame, piece: str, order: list[str], amount: str) -> DataFrame:
@@ -73,31 +93,44 @@ def _numbered(rows: DataFrame, piece: str, order: list[str], amount: str) -> Dat
     return own.join(per_piece, ["number", piece]).withColumn("before", F.col("base") + F.col("inside")).drop("base", "inside")
 
 
-def schedule(targets: DataFrame, block: int) -> DataFrame:
+def schedule(targets: DataFrame) -> DataFrame:
     """(slot, number, rank, from_word, to_word): the words of its source's stream a slot takes.
 
-    The ends count words over all epochs. A source's last block is cut at EPOCHS times its size.
+    `targets` is a table of `tiers`. The ends count words over all epochs. A source's last block is cut at EPOCHS times
+    its size. Slots of several tiers are numbered by their place in the mix; numbers have gaps.
     """
-    spark = targets.sparkSession
-    total = targets.agg(F.max("high")).first()[0] or 0
-    slots = spark.range((total + block - 1) // block).select(F.col("id").alias("slot"))
-    point = F.pmod(F.pmod(F.col("slot"), F.lit(POINTS)) * GOLDEN, F.lit(POINTS)) / F.lit(float(POINTS))
+    own = targets.where("rounded > 0")
+    # One row per binary digit of a word count at most.
+    runs = own.groupBy("tier").agg(F.max("high").alias("total"), F.max("block").alias("block"), F.count(F.lit(1)).alias("n")).orderBy("tier").collect()
+    owned = [_slots(own.where(F.col("tier") == r["tier"]), r["tier"], r["total"], r["block"], max(CELLS, r["n"])) for r in runs]
+    if not owned:
+        owned = [_slots(own, 0, 0, 1, CELLS)]
+    ranked = _numbered(reduce(DataFrame.unionByName, owned), "piece", ["slot"], "one")
+    start = F.col("before") * F.col("block")
+    end = F.least(start + F.col("block"), F.col("source_size") * EPOCHS)
+    return ranked.select("slot", "number", F.col("before").alias("rank"), start.alias("from_word"), end.alias("to_word")).where("from_word < to_word")
+
+
+def _slots(targets: DataFrame, tier: int, total: int, block: int, n_cells: int) -> DataFrame:
+    """(slot, number, source_size, block, one, piece): the slots of a tier with the source that fills each."""
+    count = (total + block - 1) // block
+    slots = targets.sparkSession.range(count).select(F.col("id").alias("k"))
+    point = F.pmod(F.pmod(F.col("k"), F.lit(POINTS)) * GOLDEN, F.lit(POINTS)) / F.lit(float(POINTS))
     slots = slots.withColumn("at", point * F.lit(float(total)))
-    width = float(total) / CELLS if total else 1.0
+    width = float(total) / n_cells if total else 1.0
     slots = slots.withColumn("cell", F.floor(F.col("at") / width))
-    cells = targets.where("rounded > 0").select(
+    cells = targets.select(
         "number",
         "source_size",
+        "block",
         "low",
         "high",
         F.explode(F.sequence(F.floor(F.col("low") / width), F.floor(F.col("high") / width))).alias("cell"),
     )
     owned = slots.join(cells, "cell").where("at >= low and at < high")
-    owned = owned.select("slot", "number", "source_size", F.lit(1).alias("one"), F.floor(F.col("slot") / PIECE).alias("piece"))
-    ranked = _numbered(owned, "piece", ["slot"], "one")
-    start = F.col("before") * block
-    end = F.least(start + block, F.col("source_size") * EPOCHS)
-    return ranked.select("slot", "number", F.col("before").alias("rank"), start.alias("from_word"), end.alias("to_word")).where("from_word < to_word")
+    place = F.floor(F.col("k") * F.lit(PLACES / max(count, 1))) if count < PLACES else F.col("k")
+    slot = place * 64 + tier
+    return owned.select(slot.alias("slot"), "number", "source_size", "block", F.lit(1).alias("one"), F.floor(F.col("k") / PIECE).alias("piece"))
 
 
 def block_size(total: int, block: int) -> int:
@@ -105,21 +138,21 @@ def block_size(total: int, block: int) -> int:
     return max(1, min(block, total // 1000))
 
 
-def _laid_out(docs: DataFrame, weights: Sequence[int], seed: str) -> tuple[DataFrame, DataFrame, int]:
-    """Documents with their place in their source's shuffled stream; the targets; all words."""
+def _laid_out(docs: DataFrame, weights: Sequence[int], seed: str, block: int) -> tuple[DataFrame, DataFrame]:
+    """Documents with their place in their source's shuffled stream; the targets and tiers."""
     content = F.xxhash64(text_of()).alias("content")
     key = F.md5(F.concat(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))).alias("order")
     own = stored(docs.select("doc_id", "source", word_count(text_of()).alias("size"), content, key))
     totals = own.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     totals = stored(totals)
-    targets = stored(source_targets(totals.select("source", "source_size"), weights))
     facts = totals.agg(F.sum("source_size"), F.max("n_docs")).first()
+    targets = stored(tiers(source_targets(totals.select("source", "source_size"), weights), block_size(facts[0] or 0, block)))
     pieces = 1 + (facts[1] or 0) // PIECE * 4
-    plan = targets.select(F.col("source").alias("of"), "source_size", "number", "target")
+    plan = targets.select(F.col("source").alias("of"), "source_size", "number", "target", "block")
     placed = own.join(F.broadcast(plan) if _small(plan) else plan, F.col("source").eqNullSafe(F.col("of")))
     part = F.floor(F.conv(F.substring("order", 1, 8), 16, 10).cast("long") * pieces / F.lit(4294967296))
-    placed = placed.select("doc_id", "content", "number", part.alias("part"), "order", "size", "source_size", "target")
-    return _numbered(placed, "part", ["order", "doc_id", "content"], "size"), targets, facts[0] or 0
+    placed = placed.select("doc_id", "content", "number", part.alias("part"), "order", "size", "source_size", "target", "block")
+    return _numbered(placed, "part", ["order", "doc_id", "content"], "size"), targets
 
 
 def mix(docs: DataFrame, block: int = 2048, weights: Sequence[int] = WEIGHTS, seed: str = "mix") -> tuple[DataFrame, DataFrame]:
@@ -134,15 +167,14 @@ def mix(docs: DataFrame, block: int = 2048, weights: Sequence[int] = WEIGHTS, se
     null source is a source of its own, the last. Repeated rows are documents of their own. An
     empty table, or one without words, gives an empty mix.
     """
-    lying, targets, total = _laid_out(docs, weights, seed)
+    lying, targets = _laid_out(docs, weights, seed, block)
     lying = stored(lying)
-    block = block_size(total, block)
-    slots = schedule(targets, block)
+    slots = schedule(targets)
     epochs = F.explode(F.sequence(F.lit(0), F.lit(EPOCHS - 1)))
     spans = lying.where("size > 0").withColumn("epoch", epochs)
     spans = spans.withColumn("start", F.col("before") + F.col("epoch") * F.col("source_size"))
     spans = spans.withColumn("end", F.col("start") + F.col("size"))
-    blocks = F.sequence(F.floor(F.col("start") / block), F.floor((F.col("end") - 1) / block))
+    blocks = F.sequence(F.floor(F.col("start") / F.col("block")), F.floor((F.col("end") - 1) / F.col("block")))
     spans = spans.withColumn("rank", F.explode(blocks))
     met = spans.join(slots, ["number", "rank"])
     begin, stop = F.greatest("start", "from_word"), F.least("end", "to_word")
@@ -157,7 +189,7 @@ def mix(docs: DataFrame, block: int = 2048, weights: Sequence[int] = WEIGHTS, se
         "number",
         "before",
     )
-    return met, lying.drop("part", "order")
+    return met, lying.drop("part", "order", "block")
 
 
 def taken(docs: DataFrame, **options) -> DataFrame:

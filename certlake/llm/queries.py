@@ -58,15 +58,18 @@ l as (select *, (total - coalesce(sum(cap) over (order by ratio, number rows bet
          / sum(weight) over (order by ratio, number rows between current row and unbounded following)::bigint as level from c),
 o as (select min((ratio, number, level)) as f from l where level * weight <= cap),
 t as (select source, source_size, number, case when f is null or (ratio, number) < (f[1], f[2]) then cap::double else f[3] * weight end as target from l, o),
-r as (select *, floor(target + 0.5)::bigint as rounded from t),
-i as (select *, sum(rounded) over (order by number)::bigint as high from r),
-b as (select max(high) as total, greatest(1, least(2048, (select sum(size)::bigint from d) // 1000)) as block from i),
+r as (select *, floor(target + 0.5)::bigint as rounded, greatest(1, least(2048, (select sum(size)::bigint from d) // 1000)) as whole from t),
+f as (select *, case when rounded >= 16 * whole then 0 else greatest(7, length(bin(rounded))) end as tier from r),
+i as (select *, case when tier = 0 then whole else 2 ** (tier - 7) end::bigint as block,
+             sum(rounded) over (partition by tier order by number)::bigint as high from f),
+b as (select tier, max(high) as total, max(block) as block from i group by tier),
 slots as (select number, count(*) as n from (
-    select ((x % 2147483648) * 1327217885 % 2147483648) / 2147483648.0::double * total::double as place
-    from (select unnest(range((total + block - 1) // block)) as x, total from b)) as p join i on place >= high - rounded and place < high
+    select tier, ((x % 2147483648) * 1327217885 % 2147483648) / 2147483648.0::double * total::double as place
+    from (select unnest(range((total + block - 1) // block)) as x, total, tier from b)) as p
+    join i on p.tier = i.tier and place >= high - rounded and place < high
   group by number),
-u as (select i.source, i.source_size, i.target, coalesce(least(slots.n * block, 2 * i.source_size), 0) as used
-      from i left join slots using (number), b),
+u as (select i.source, i.source_size, i.target, coalesce(least(slots.n * i.block, 2 * i.source_size), 0) as used
+      from i left join slots using (number)),
 p as (select d.doc_id, d.size, u.source_size, u.target, u.used,
         coalesce(sum(size) over (partition by d.source order by k, doc_id rows between unbounded preceding and 1 preceding), 0) as before
       from d join u on d.source is not distinct from u.source)

@@ -86,3 +86,36 @@ def test_clashing_columns_and_empty_tables(spark, tmp_path):
         docs = written(spark, tmp_path / f"e{len(rows)}", rows, SCHEMA)
         assert [(r["taken"], r["target"]) for r in mixing.taken(docs).collect()] == [(0, 0.0)] * len(rows)
         assert mixing.mixed(docs).count() == 0
+
+
+def test_every_small_source_comes_near_its_target(spark, tmp_path):
+    """Thousands of sources of ten words, some of a few hundred, one of a third of all words."""
+    rng = random.Random(4)
+    rows = [row(k, words(rng, 10), f"host{k:05d}") for k in range(3000)]
+    rows += [row(10_000 + k, words(rng, 50), f"site{k // 8:03d}") for k in range(400)]
+    rows += [row(20_000 + k, words(rng, 100), "hot") for k in range(250)]
+    found = mixing.taken(written(spark, tmp_path / "d", rows)).collect()
+    source_of = {r[0]: r[3] for r in rows}
+    taken, target = defaultdict(int), {}
+    for r in found:
+        taken[source_of[r["doc_id"]]] += r["taken"]
+        target[source_of[r["doc_id"]]] = r["target"]
+    assert len(target) == 3051
+    for source, due in target.items():
+        assert abs(taken[source] - due) <= max(3, 0.1 * due), (source, due, taken[source])
+    assert abs(sum(taken.values()) - sum(target.values())) <= 0.02 * sum(target.values())
+
+
+def test_slots_of_all_tiers_take_each_word_once_an_epoch(spark, tmp_path):
+    rng = random.Random(5)
+    rows = [row(k, words(rng, rng.randrange(1, 40)), f"s{k % 90}") for k in range(500)] + [row(900 + k, words(rng, 200), "big") for k in range(60)]
+    pieces, _ = mixing.mix(written(spark, tmp_path / "d", rows))
+    spans = defaultdict(list)
+    slots = set()
+    for r in pieces.collect():
+        spans[r["doc_id"], r["epoch"]].append((r["from_word"], r["to_word"]))
+        slots.add((r["slot"], r["number"]))
+    assert len({s for s, _ in slots}) == len(slots)
+    for parts in spans.values():
+        parts.sort()
+        assert parts[0][0] == 0 and all(a[1] == b[0] for a, b in zip(parts, parts[1:]))
