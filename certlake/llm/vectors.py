@@ -10,7 +10,9 @@ if too few were found, shards overlap more, and after the third try all pairs ar
 
 Vectors of equal direction are one node with a count. A shard with more than MOST vectors is dealt into parts at
 random, and its searches into as large blocks, each of which runs in all parts, so a task holds
-about MOST of either. Links leave a task as counts and as stars of what they connect, never as pairs.
+about MOST of either. Links leave a task as counts and as stars of what they connect. Only links between vectors that are
+searched in different tasks leave it as pairs, of distinct directions and each direction once, because the other
+task may have missed them: a link that either side found counts for both.
 """
 
 from __future__ import annotations
@@ -276,9 +278,12 @@ def _whole(function):
     return of
 
 
-def searched(placed: DataFrame, lists: DataFrame, width: int) -> DataFrame:
-    """(node, linked, root): per shard part and block of searches, each searched node's linked vectors, and a node to which
-    links lead from it (itself, where there are none). Other linked nodes come with linked = 0."""
+def _searches(placed: DataFrame, lists: DataFrame, width: int) -> DataFrame:
+    """(node, linked, root, other, back): per shard part and block of searches, each searched node's linked vectors, and a
+    node to which links lead from it (itself, where there are none). Other linked nodes come with linked = 0.
+
+    Links to nodes that are not searched in the same task are not in these counts. They come as rows of their own with
+    the larger node in `other`, and in `linked` and `back` how many vectors each node gains by the link."""
 
     def search(table: pa.Table) -> pa.Table:
         member, home = table["member"].to_numpy(), table["home"].to_numpy()
@@ -287,7 +292,7 @@ def searched(placed: DataFrame, lists: DataFrame, width: int) -> DataFrame:
         inside = np.flatnonzero(member)
         if not len(inside):
             ask = np.flatnonzero(home)
-            return pa.table({"node": node[ask], "linked": np.zeros(len(ask), np.int64), "root": node[ask]})
+            return _links(node[ask], np.zeros(len(ask), np.int64), node[ask])
         x, ids = vectors[inside], node[inside]
         order = np.argsort(ids)
         named = table["neighbours"].combine_chunks().take(pa.array(inside))
@@ -309,7 +314,16 @@ def searched(placed: DataFrame, lists: DataFrame, width: int) -> DataFrame:
         found[both, own[both]] = False
         square = found[np.ix_(both, own[both])]
         found[np.ix_(both, own[both])] = square | square.T
-        linked = found.astype(np.float64) @ count[inside].astype(np.float64)
+        here = np.zeros(len(inside), bool)
+        here[own[both]] = True
+        linked = np.zeros(len(ask), np.int64)
+        linked[both] = found[np.ix_(both, own[both])] @ count[ask[both]]
+        pairs = []
+        for at in range(0, len(ask), 256):
+            i, j = np.nonzero(found[at : at + 256] & ~(here[None, :] & (own[at : at + 256] >= 0)[:, None]))
+            i, j = ask[at + i], inside[j]
+            low, high = np.where(node[i] < node[j], i, j), np.where(node[i] < node[j], j, i)
+            pairs.append((node[low], count[high], node[high], count[low]))
         # Stars: the smallest node that each linked row leads to.
         root = np.arange(len(node))
         while True:
@@ -328,10 +342,29 @@ def searched(placed: DataFrame, lists: DataFrame, width: int) -> DataFrame:
         roots = np.concatenate([node[root[ask]], node[root]])
         keep = np.ones(len(ids), bool)
         keep[len(ask) :] = root != np.arange(len(node))
-        return pa.table({"node": ids[keep], "linked": values[keep], "root": roots[keep]})
+        return pa.concat_tables([_links(ids[keep], values[keep], roots[keep]), *[_links(a, n, a, b, back) for a, n, b, back in pairs]])
 
     rows = placed.join(lists, "node")
-    return rows.groupBy("shard", "part", "query").applyInArrow(search, "node long, linked long, root long")
+    return rows.groupBy("shard", "part", "query").applyInArrow(search, LINKS)
+
+
+LINKS = "node long, linked long, root long, other long, back long"
+
+
+def _links(node: np.ndarray, linked: np.ndarray, root: np.ndarray, other: np.ndarray | None = None, back: np.ndarray | None = None) -> pa.Table:
+    none = pa.nulls(len(node), pa.int64())
+    columns = [node, linked, root, none if other is None else other, none if back is None else back]
+    return pa.Table.from_arrays([pa.array(c, pa.int64()) for c in columns], ["node", "linked", "root", "other", "back"])
+
+
+def searched(placed: DataFrame, lists: DataFrame, width: int) -> DataFrame:
+    """(node, linked, root): linked vectors of nodes, to be summed, and a node to which links lead (itself, where there
+    are none). Each link counts once for both of its ends, whichever side found it."""
+    found = stored(_searches(placed, lists, width))
+    inside = found.where("other is null").select("node", "linked", "root")
+    pairs = found.where("other is not null").groupBy("node", "other").agg(F.max("linked").alias("linked"), F.max("back").alias("back"))
+    end = lambda node, linked: F.struct(F.col(node).alias("node"), F.col(linked).alias("linked"), F.col(node).alias("root"))
+    return inside.unionByName(pairs.select(F.inline(F.array(end("node", "linked"), end("other", "back")))))
 
 
 def audit(table: DataFrame, found: DataFrame, width: int) -> float:

@@ -136,3 +136,28 @@ def test_no_group_grows_with_a_dense_shard(spark, tmp_path, monkeypatch):
     assert len(sizes) == 100 and max(sizes) < 3 * vectors.MOST
     asked = placed.where("home").groupBy("node").count().where("count <> 10")
     assert asked.isEmpty()  # each once in every part
+
+
+@pytest.mark.parametrize("most", [vectors.MOST, 300])
+def test_links_count_on_both_sides(spark, tmp_path, monkeypatch, most):
+    """Every vector that stands with others has links; with all pairs found, all links of both sides."""
+    monkeypatch.setattr(vectors, "MOST", most)
+    monkeypatch.setattr(vectors, "SHARD", 150)
+    rows = clusters(11, 2500)
+    found = {r["vec_id"]: r for r in vectors.near_duplicates(table(spark, tmp_path / "d", rows)).collect()}
+    want = brute(rows)
+    sizes = {}
+    for r in found.values():
+        sizes[r["component_id"]] = sizes.get(r["component_id"], 0) + 1
+    assert all((r["n_links"] > 0) == (sizes[r["component_id"]] > 1) for r in found.values())
+    assert sum(r["n_links"] for r in found.values()) % 2 == 0
+    assert all(found[r[0]]["n_links"] <= n for r, (n, _) in zip(rows, want))
+    exact = sum(found[r[0]]["n_links"] == n for r, (n, _) in zip(rows, want))
+    assert exact >= 0.98 * len(rows), exact / len(rows)
+
+
+def test_a_link_found_from_one_side_counts_for_both(spark, monkeypatch):
+    raw = [(1, 5, 1, None, None), (2, 0, 1, None, None), (1, 3, 1, 2, 4), (1, 3, 1, 2, 4), (2, 1, 2, 7, 3)]
+    monkeypatch.setattr(vectors, "_searches", lambda *_: spark.createDataFrame(raw, vectors.LINKS))
+    got = vectors.searched(None, None, 16).groupBy("node").sum("linked").collect()
+    assert {r[0]: r[1] for r in got} == {1: 8, 2: 5, 7: 3}
