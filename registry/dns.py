@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from certlake.functions import dns as fd
 from certlake.operators import passive_dns as pd
-from certlake.operators import reuse, validity
+from certlake.operators import reuse, topk, validity
 from certlake.plans.resolution import answered_requests, dns_records, targets
 from certlake.session import shared_dir
 from certlake.sources import sinks
@@ -263,6 +263,23 @@ def lookup_ip(spark, sf_dir):
     return pd.lookup_ip(stored_addresses(spark, sf_dir), ADDRESS).select("d", "records", "ts")
 
 
+def _every_ip(k: int) -> str:
+    seen = f"""select address, d, count(*) as records, max(ts) as ts
+        from (select unnest(list_distinct(i)) as address, d, ts from ({UPSERTED})) group by address, d"""
+    placed = f"select *, row_number() over (partition by address order by records desc, d) as place from ({seen})"
+    return duck(f"select address, place, d, records, ts from ({placed}) where place <= {k}", "fx_records")
+
+
+@query("E5_domains_of_every_ip", _every_ip(100))
+def domains_of_every_ip(spark, sf_dir):
+    return topk.domains_of_every_ip(stored_addresses(spark, sf_dir), 100)
+
+
+@query("K3_busiest_domains_of_every_ip", _every_ip(2))
+def busiest_domains_of_every_ip(spark, sf_dir):
+    return topk.domains_of_every_ip(stored_addresses(spark, sf_dir), 2)
+
+
 #: The answers are this many times as far apart as the landed ones, so that they come while the requests go on.
 APART = 40
 
