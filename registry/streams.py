@@ -8,7 +8,9 @@ from certlake.operators.entries import latest_tree_heads, page_entries
 from certlake.operators import metrics
 from certlake.operators.metrics import counters_by_window
 from certlake.operators import certs
+from certlake.schemas import RAW_ENTRIES
 from certlake.session import shared_dir
+from certlake.sources import spans
 from certlake.sources.landed import read_by_day, stream_entry_pages
 from certlake.streaming import counters, follow, server_state
 from certlake.streaming import health as stream_health
@@ -55,6 +57,39 @@ def follow_mode(spark, sf_dir):
     return spark.read.parquet(f"{base}/rows")
 
 
+#: Entries that a fetched page was asked for.
+ASKED = 3000
+
+_WHOLE_LOGS = duck(
+    """select log_url, start + pos as entry_index, concat(case when failed then 'again' else kind end, '-', n, '-', pos) as leaf_input
+    from (select *, unnest([0, 1, 2]) as pos from fx_pages)""",
+    "fx_pages",
+)
+
+
+def fetched(spark, sf_dir):
+    """Pages of ASKED entries at most: each stops at what failed, and what was left out comes again as a page of its own."""
+    number = F.regexp_extract("error_message", "[0-9]+", 0)
+    again = F.array(*[F.struct(F.concat(F.lit("again-"), number, F.lit(f"-{k}")).alias("leaf_input")) for k in range(3)])
+    every = fx_pages(spark, sf_dir).select("log_url", "start", F.col("entries").isNull().alias("failed"), F.posexplode(F.coalesce("entries", again)).alias("pos", "entry"))
+    every = every.select("log_url", (F.col("start") + F.col("pos")).alias("at"), "failed", "entry").withColumn("page", F.floor(F.col("at") / ASKED))
+    stops = every.where("failed").groupBy("log_url", "page").agg(F.min("at").alias("stop"))
+    every = every.join(stops, ["log_url", "page"], "left").withColumn("late", F.coalesce(F.col("at") >= F.col("stop"), F.lit(False)))
+    pages = every.groupBy("log_url", "page", "late").agg(F.min("at").alias("start"), F.array_sort(F.collect_list(F.struct("at", "entry"))).alias("found"))
+    return pages.select("late", "log_url", "start", F.transform("found", lambda e: e["entry"]).alias("entries"), F.lit(None).cast("string").alias("error_message"))
+
+
+@query("I1_offset_per_log", _WHOLE_LOGS)
+def offset_per_log(spark, sf_dir):
+    """Short pages land; the stream stops before each log's first gap. What was left out lands and it goes on."""
+    base, landed = shared_dir(spark), fetched(spark, sf_dir)
+    for late in (False, True):
+        spans.write_spans(landed.where(F.col("late") == late), f"{base}/landing")
+        rows = spans.stream_spans(spark, f"{base}/landing")
+        follow.start(follow.parquet_writer(rows, f"{base}/rows"), f"{base}/checkpoint").awaitTermination()
+    return spark.read.schema(RAW_ENTRIES).parquet(f"{base}/rows").select("log_url", "entry_index", "leaf_input")
+
+
 @query("I2_one_pass", _ROWS)
 def one_pass(spark, sf_dir):
     base = landing(spark, sf_dir)
