@@ -4,6 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
+from certlake.operators.asof import as_of_join, as_of_join_in_one
 from certlake.operators.validity import addresses_at, validity_intervals
 
 RECORDS = "c string, d string, ts long, h string, i array<string>"
@@ -40,6 +41,30 @@ def test_intervals_and_questions(spark):
         assert got[n] == (held[0] if held else (None, None)) and len(held) <= 1
 
 
+def test_pairs_of_both_kinds(spark):
+    """A pair above the limit goes another way than the others; both find what a walk finds."""
+    rng = random.Random(5)
+    sets = [["1"], ["2", "1"], None]
+    rows = [(rng.choice("xxxxxy"), rng.choice("aaab"), rng.randrange(20_000), f"h{k}", rng.choice(sets)) for k in range(300)]
+    rows += rows[:40]
+    frame = spark.createDataFrame(rows, RECORDS)
+    want = sorted(map(repr, by_hand(rows)))
+    for limit in (0, 60, 1000):
+        found = validity_intervals(frame, limit)
+        assert sorted(repr(tuple(r)) for r in found.collect()) == want
+        asked = frame.selectExpr("c", "d", "ts - 700 as at", "h as n").unionByName(spark.sql("select 'x' as c, cast(null as string) as d, 9L as at, 'none' as n"))
+        facts = found.selectExpr("c", "d", "from_ts as at", "i")
+        one, other = (join(asked, facts, ["c", "d"], "at", ["i"]) for join in (lambda *a: as_of_join_in_one(*a, limit), as_of_join))
+        assert sorted(map(repr, one.collect())) == sorted(map(repr, other.collect()))
+
+
+def test_the_records_of_a_few_pairs_move_once(spark):
+    """Apart from the count of pairs, intervals come from one exchange, however often their steps name the records."""
+    frame = spark.createDataFrame([("x", "a", 5, "h", ["1"])], RECORDS)
+    plan = validity_intervals(frame)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
 def test_a_certificate_with_a_third_of_all_records_is_spread(spark):
     spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
     spark.conf.set("spark.sql.shuffle.partitions", "16")
