@@ -115,19 +115,20 @@ def with_record_time(records: DataFrame) -> DataFrame:
 
 def latest_per_domain(records: DataFrame) -> DataFrame:
     """The newest record per domain by partial aggregation: no key is sorted in one task."""
-    return _newest(records, ["d"])
+    return newest(records, ["d"])
 
 
 def upserted(records: DataFrame) -> DataFrame:
     """Last write per (UTC day, h): the content a store keyed by `h` holds for each day."""
-    return _newest(records.withColumn("day", fd.day_of_seconds(F.col("ts"))), ["day", "h"])
+    return newest(records.withColumn("day", fd.day_of_seconds(F.col("ts"))), ["day", "h"])
 
 
-def _newest(records: DataFrame, keys: list[str]) -> DataFrame:
+def newest(records: DataFrame, keys: list[str]) -> DataFrame:
+    """The record of each key that counts: the one with the largest time, and of these the one written last."""
     fields = [c for c in records.columns if c not in keys]
     ties = [c for c in ("_written", "h", "ttl", "e") if c in fields]
-    newest = F.max_by(F.struct(*fields), F.struct("ts", *ties))
-    return records.groupBy(*keys).agg(newest.alias("_r")).select(*keys, "_r.*")
+    last = F.max_by(F.struct(*fields), F.struct("ts", *ties))
+    return records.groupBy(*keys).agg(last.alias("_r")).select(*keys, "_r.*")
 
 
 def between_days(records: DataFrame, first: str | None = None, last: str | None = None) -> DataFrame:

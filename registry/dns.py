@@ -14,7 +14,7 @@ from certlake.sources.landed import read_by_day
 from registry.catalog import query
 from registry.decode import rows
 from registry.fixtures import BASE_S, duck, fx_answers, fx_answers_raw, fx_records, fx_reuse, table
-from registry.tables import UPSERTED, stored_records
+from registry.tables import UPSERTED, loaded, stored_records
 
 DOMAIN, ADDRESS, CERT = "www.shop3.example.com", "104.16.0.3", sha1(b"cert3-1").hexdigest()
 
@@ -235,7 +235,7 @@ _K3 = duck(f"select * from ({_BY_IP}) order by records desc, d limit 100", "fx_r
 
 def stored_addresses(spark, sf_dir):
     root = f"{shared_dir(spark)}/addresses"
-    sinks.write_addresses(stored_records(spark, sf_dir), root)
+    sinks.refresh_addresses(spark, loaded(spark, sf_dir), root)
     return read_by_day(spark, root)
 
 

@@ -22,13 +22,17 @@ UPSERTED = """select strftime(make_timestamp(ts * 1000000), '%Y-%m-%d') as day,
                  select *, row_number() over (partition by ts // 86400, h order by ts desc) as n from fx_records) where n = 1"""
 
 
-def stored_records(spark, sf_dir):
-    """The daily table after two loads: first the failed answers, then all of them."""
+def loaded(spark, sf_dir):
+    """Where the daily table is after two loads: first the failed answers, then all of them."""
     root = f"{shared_dir(spark)}/records"
     records = fx_records(spark, sf_dir)
     sinks.upsert_records(records.where("e is not null"), root)
     sinks.upsert_records(records, root)
-    return read_by_day(spark, root)
+    return root
+
+
+def stored_records(spark, sf_dir):
+    return read_by_day(spark, loaded(spark, sf_dir))
 
 
 @query("A8_record_scan", duck(f"select * from ({UPSERTED}) where day between '2024-01-05' and '2024-01-14'", "fx_records"))

@@ -110,6 +110,46 @@ def test_record_batches_over_a_stored_table(spark, tmp_path):
     assert landed.read_by_day(spark, str(tmp_path / "fresh")).count() == 1
 
 
+def test_a_repeated_batch_leaves_the_days_as_they_are(spark, tmp_path):
+    root = str(tmp_path / "dns")
+    write, own = follow.record_batches(root), [("a", ["1.1.1.1"], "c", 5), ("b", ["1.1.1.1"], "c", DAY + 5)]
+    files = lambda: {p: p.stat().st_mtime_ns for p in Path(root).glob("batch=*/day=*/*.parquet")}
+    write(records(spark, own), 0)
+    first = files()
+    write(records(spark, own[::-1]), 1)
+    assert files() == first
+    write(records(spark, [("a", ["1.1.1.1"], "c", 9), own[1]]), 2)  # one day is given something else
+    assert sorted((r.d, r.ts) for r in landed.read_by_day(spark, root, DNS_RECORDS).collect()) == [("a", 9), ("b", DAY + 5)]
+    assert {p for p in first if "1970-01-02" in str(p)} < set(files())
+    sinks.upsert_records(records(spark, [("a", ["1.1.1.1"], "c", 11)]), root)  # and another load forgets what was given
+    longer = records(spark, [("a", ["1.1.1.1"], "c", 11)]).withColumn("ttl", F.lit(7))
+    for batch in (records(spark, [("a", ["1.1.1.1"], "c", 9), own[1]]), longer, longer):
+        write(batch, 3)
+    assert sorted((r.d, r.ts, r.ttl) for r in landed.read_by_day(spark, root, DNS_RECORDS).collect()) == [("a", 11, 7), ("b", DAY + 5, 60)]
+
+
+def test_old_and_new_records_move_once_and_fill_files_of_a_day(spark, tmp_path, monkeypatch):
+    root, commits = str(tmp_path / "dns"), []
+    monkeypatch.setattr(sinks, "FILE_ROWS", 20)
+    replace = sinks.DayStore.replace
+    monkeypatch.setattr(sinks.DayStore, "replace", lambda self, rows, *a, **k: (commits.append(rows._jdf.queryExecution().executedPlan().toString()), replace(self, rows, *a, **k)))
+    rows = [(f"d{n % 70}", ["1.1.1.1"], "c", n % 97 + (DAY if n % 9 == 0 else 0)) for n in range(200)] + [("hot", ["1.1.1.1"], "c", 50)] * 300
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # which would merge files as small as these
+    try:
+        for part in (rows[:90], rows[60:]):
+            sinks.upsert_records(records(spark, part), root)
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    want = {}
+    for d, _, _, ts in rows:
+        want[ts // DAY, d] = max(ts, want.get((ts // DAY, d), 0))
+    stored = landed.read_by_day(spark, root, DNS_RECORDS)
+    assert sorted((r.d, r.ts) for r in stored.collect()) == sorted((d, ts) for (_, d), ts in want.items())
+    assert commits[0].count("Exchange") == 1
+    newest_folder = json.loads(sorted(Path(root, "_manifests").glob("[0-9]*.json"))[-1].read_text())["days"]["1970-01-01"][-1]
+    assert len(list(Path(root, f"batch={newest_folder}", "day=1970-01-01").glob("*.parquet"))) > 1
+
+
 def pages(spark, names):
     rows = [("https://ct.googleapis.com/", n, [(dw.entry(dw.certificate([dw.rdn(dw.CN, name)])),)], None) for n, name in enumerate(names)]
     rows.append(("https://ct.googleapis.com/", 99, None, "too many"))
