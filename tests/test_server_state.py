@@ -5,7 +5,7 @@ from datetime import datetime, timedelta, timezone
 
 import pytest
 
-from certlake.operators import health
+from certlake.operators import fold, health
 from certlake.streaming import follow, server_state
 
 START = datetime(2024, 1, 1, tzinfo=timezone.utc)
@@ -74,6 +74,32 @@ def test_late_and_unordered_requests_give_the_batch_states(spark, tmp_path, seed
     assert ends(found) == ends_by_hand(rows, spark)
 
 
+def test_requests_one_by_one_are_what_their_summaries_say():
+    rng = random.Random(4)
+    batches, steps = fold.reachable_batches(1000), fold.recovery_steps(1000)
+    for _ in range(200):
+        state, at = fold.initial_state(1000), 0
+        for _ in range(12):
+            own = []
+            for _ in range(rng.randrange(1, 30)):
+                at += rng.choice([1, 20_000_000, 60_000_001])
+                own.append((at, rng.random() < 0.7))
+            piece = fold.Piece(None, own[0][0], 0, 1000, batches, steps)
+            for micros, limited in own:
+                piece.limited(micros) if limited else piece.succeeded(micros)
+            after = fold.apply_requests(state, own, 1000)
+            assert after == fold.apply_summary(state, piece.summary(), 1000)
+            state = after
+
+
+def test_a_minute_of_few_requests_has_no_summary(spark):
+    rows = [request("a", k, 429 if k % 3 else 200, k) for k in range(50)] + [request("b", k % 60, 429, k) for k in range(server_state.FEW + 1)]
+    found = {r.server_key.split("/")[2][0]: r for r in server_state.minutes(spark.createDataFrame(rows, SCHEMA), "1 minute").collect()}
+    base = int(START.timestamp()) * 1_000_000
+    assert found["a"].summary is None and found["a"].requests == [2 * (base + k * 1_000_000) + (k % 3 > 0) for k in range(50)]
+    assert found["b"].requests is None and found["b"].summary
+
+
 def test_a_timer_fires_without_any_request(spark, tmp_path):
     limits = [request("a", k, 429, k) for k in range(10)] + [request("b", k, 429, k) for k in range(10)] + [request("b", 1000, 200, 11)]
     found = run(spark, str(tmp_path), [limits])
