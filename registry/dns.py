@@ -8,7 +8,7 @@ from certlake.functions import dns as fd
 from certlake.operators import passive_dns as pd
 from certlake.operators import reuse, topk, validity
 from certlake.plans.resolution import answered_requests, dns_records, targets
-from certlake.session import shared_dir
+from certlake.session import shared_dir, written
 from certlake.sources import sinks
 from certlake.sources.landed import read_by_day
 from registry.catalog import query
@@ -175,7 +175,7 @@ def range_join(spark, sf_dir):
     ),
 )
 def certificate_addresses(spark, sf_dir):
-    found = rows(spark, sf_dir)
+    found = written(rows(spark, sf_dir).select("name", "cn", "sha1", "dns"))  # decoded once, read twice
     records = dns_records(found, fx_answers(spark, sf_dir), attempted_at=ATTEMPT)
     return pd.certificate_addresses(found, records).select("sha1", "name", "cn", "i", "resolved_at")
 
