@@ -16,6 +16,7 @@ from certlake.operators.intervals import COLUMNS, merged_intervals, page_interva
 from certlake.operators.reuse import reuse_within_ttl
 from certlake.operators.watch import watched_rows
 from certlake.plans.search import search_names
+from certlake.session import written
 from certlake.sources.landed import stream_entry_pages
 from certlake.sources.sinks import append_documents, upsert_batch, write_json
 from certlake.streaming.carried import Carried, batch_name
@@ -74,24 +75,18 @@ def fresh_batches(root: str, ttl: int = 300, run: str = "") -> Callable[[DataFra
         states = Carried(spark, f"{root}/state")
         before = states.previous(name)
         columns = ("domain", "sha1", "ts", "seq")
-        kept = batch.select(*columns).persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            known = kept.withColumn("carried", F.lit(False))
-            if before is not None:
-                state = states.read(before, "domain string, sha1 string, ts bigint")
-                carried = state.withColumn("seq", F.lit(-1).cast("bigint")).withColumn("carried", F.lit(True))
-                known = known.unionByName(carried)
-            served = reuse_within_ttl(known, ttl).persist(StorageLevel.MEMORY_AND_DISK)
-            try:
-                fresh = served.where("not hit and not carried").select(*columns)
-                fresh.write.mode("overwrite").parquet(f"{root}/fresh/batch={name}")
-                newest = served.agg(F.max("ts")).first()[0]
-                last = served.where("not hit and ts is not null").groupBy("domain", "sha1").agg(F.max("ts").cast("bigint").alias("ts"))
-                states.write(last.where(F.col("ts") + ttl > (newest or 0)), name)
-            finally:
-                served.unpersist()
-        finally:
-            kept.unpersist()
+        kept = written(batch.select(*columns))
+        known = kept.withColumn("carried", F.lit(False))
+        if before is not None:
+            state = states.read(before, "domain string, sha1 string, ts bigint")
+            carried = state.withColumn("seq", F.lit(-1).cast("bigint")).withColumn("carried", F.lit(True))
+            known = known.unionByName(carried)
+        served = written(reuse_within_ttl(known, ttl))
+        fresh = served.where("not hit and not carried").select(*columns)
+        fresh.write.mode("overwrite").parquet(f"{root}/fresh/batch={name}")
+        newest = served.agg(F.max("ts")).first()[0]
+        last = served.where("not hit and ts is not null").groupBy("domain", "sha1").agg(F.max("ts").cast("bigint").alias("ts"))
+        states.write(last.where(F.col("ts") + ttl > (newest or 0)), name)
 
     return write
 

@@ -256,3 +256,14 @@ def test_fresh_batches_let_a_name_through_again(spark, tmp_path):
     whole = reuse_within_ttl(spark.createDataFrame(rows, schema)).where("not hit").select("domain", "sha1", "ts", "seq")
     assert sorted(map(str, got.collect())) == sorted(map(str, whole.collect()))
     assert spark.read.parquet(f"{tmp_path}/state/batch=1").count() == 1  # b has been silent
+
+
+def test_a_batch_over_a_long_time_finds_every_fresh_request(spark, tmp_path):
+    rows = [(f"app{k * 7919 % 4}", "s", k * 40 + (k // 10_000) * 10_000_000_000, k) for k in range(20_000)]
+    follow.fresh_batches(str(tmp_path))(spark.createDataFrame(rows, "domain string, sha1 string, ts long, seq long").repartition(8), 0)
+    until, want = {}, []
+    for domain, _, ts, seq in rows:
+        if ts >= until.get(domain, 0):
+            until[domain] = ts + 300
+            want.append(seq)
+    assert sorted(r.seq for r in spark.read.parquet(f"{tmp_path}/fresh").select("seq").collect()) == want
