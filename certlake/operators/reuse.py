@@ -11,6 +11,10 @@ tables are composed in a tree of bounded fan-in, the expiries are handed down th
 tree, and the pieces are then finished independently. No step brings together
 more than the seconds of one piece or the tables of one tree node, however often and however
 long a key is asked.
+
+An expiry from above comes as the first row of its run, by a union. A join on the run's columns would let Spark
+leave out the exchange behind it, and adaptive execution, which turns a join into a broadcast or splits its
+partitions, would then cut runs apart.
 """
 
 from __future__ import annotations
@@ -105,8 +109,11 @@ def _composed(ttl: int):
 
 def _handed_down(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for run in _runs(batches):
-        expiry, out = run[0][5], []
-        for key, _, node, times, ends, _ in run:
+        expiry, out = NEVER, []  # the top of the tree has no row from above
+        for key, _, node, times, ends, handed in run:
+            if node is None:
+                expiry = handed
+                continue
             out.append((key, node, expiry))
             expiry = passed(times, ends, expiry)
         yield _batch(out, [pa.string(), pa.int64(), pa.int64()], ["key", "node", "expiry"])
@@ -117,7 +124,7 @@ def _answered(ttl: int):
         out = []
         for run in _runs(batches):
             expiry = run[0][4]
-            for key, _, ts, first, _ in run:
+            for key, _, ts, first, _ in run[1:]:
                 if ts >= expiry:
                     expiry = ts + ttl
                 out.append((key, ts, first, expiry - ttl))
@@ -129,6 +136,11 @@ def _answered(ttl: int):
     return finish
 
 
+def _below(rows: DataFrame, expiries: DataFrame) -> DataFrame:
+    """`rows` and the expiries that are handed to them, which come first as they have no place of their own."""
+    return rows.unionByName(expiries, allowMissingColumns=True)
+
+
 def _sorted_by(df: DataFrame, *columns: str) -> DataFrame:
     return df.repartition(*columns[:2]).sortWithinPartitions(*columns)
 
@@ -160,15 +172,15 @@ def reuse_within_ttl(requests: DataFrame, ttl: int = 300) -> DataFrame:
         levels.append(_sorted_by(below, "key", "parent", "node").mapInArrow(_composed(ttl), _TABLE))
         span = -(-span // fan_in)
 
-    top = levels.pop().select("key", F.lit(0).cast("bigint").alias("parent"), "node", "times", "ends", F.lit(NEVER).alias("expiry"))
+    top = levels.pop().select("key", F.lit(0).cast("bigint").alias("parent"), "node", "times", "ends", F.lit(None).cast("bigint").alias("expiry"))
     schema = "key string, node bigint, expiry bigint"
     expiries = _sorted_by(top, "key", "parent", "node").mapInArrow(_handed_down, schema)
     while levels:
         above = expiries.withColumnRenamed("node", "parent")
-        own = levels.pop().select("key", parent, "node", "times", "ends").join(above, ["key", "parent"])
+        own = _below(levels.pop().select("key", parent, "node", "times", "ends"), above)
         expiries = _sorted_by(own, "key", "parent", "node").mapInArrow(_handed_down, schema)
 
-    seconds = firsts.join(expiries, ["key", "node"]).select("key", "node", "ts", "first", "expiry")
+    seconds = _below(firsts, expiries)
     answered = _sorted_by(seconds, "key", "node", "ts").mapInArrow(
         _answered(ttl), "_key string, _at bigint, _first bigint, answered_at bigint"
     )

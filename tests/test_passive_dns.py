@@ -195,3 +195,23 @@ def test_address_changes(spark):
     )
     got = pd.address_changes(records).collect()
     assert sorted((r.c, r.ts, r.before, r.after) for r in got) == [("c", 7300, ["1", "2"], ["3"]), ("c", 9999999, ["3"], None)]
+
+
+def test_reuse_when_adaptive_execution_turns_joins_into_broadcasts(spark):
+    """Joins are planned as sorted ones, and found small enough to broadcast only as they run."""
+    rng = random.Random(10)
+    rows = [(rng.choice("ab"), "s", 1_700_000_000 + rng.randrange(40 * 86_400), n) for n in range(20_000)]
+    frame = spark.createDataFrame(rows, "domain string, sha1 string, ts long, seq long")
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "300k",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false",
+    }
+    before = {name: spark.conf.get(name, None) for name in settings}
+    try:
+        for name, value in settings.items():
+            spark.conf.set(name, value)
+        got = reuse.reuse_within_ttl(frame, 300).collect()
+        assert {r.seq: (r.hit, r.answered_at) for r in got} == chain(rows, 300)
+    finally:
+        for name, value in before.items():
+            spark.conf.unset(name) if value is None else spark.conf.set(name, value)
