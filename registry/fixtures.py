@@ -10,6 +10,9 @@ the expected certificate *content* is stated directly and never decoded.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from certlake.operators.once import computed_once
 
 BASE_MS = 1_704_067_200_000
 BASE_S = 1_704_067_200
@@ -138,15 +141,18 @@ LEAF_STAGES = [
 
 
 def orders_base(spark: SparkSession, sf_dir: str, deal=spread_rows) -> DataFrame:
+    """Each stage becomes a method of its own in the generated code. All in one would be too long for Java to compile."""
     orders = deal(table(spark, sf_dir, "orders"), "o_orderkey")
     df = orders.selectExpr(*[f"{e} as {n}" for n, e in ORDER_BASE.items()])
     for stage in CERT_STAGES + LEAF_STAGES:
-        df = df.selectExpr("*", *[f"{_spark(e)} as {n}" for n, e in stage.items()])
+        df = computed_once(df, "*", *[F.expr(_spark(e)).alias(n) for n, e in stage.items()])
     return df
 
 
 def _spark(expression: str) -> str:
-    """`encode` takes a character set in Spark only."""
+    """`encode` takes a character set in Spark only. Lengths are of hex text, whose characters Spark would count one
+    by one for each mention; its bytes are as many, and known."""
+    expression = expression.replace("octet_length(", "length(").replace("length(", "octet_length(")
     out, at = [], 0
     while (start := expression.find("encode(", at)) >= 0:
         depth, end = 1, start + len("encode(")
@@ -160,7 +166,8 @@ def _spark(expression: str) -> str:
 
 def fx_entries(spark: SparkSession, sf_dir: str, deal=spread_rows) -> DataFrame:
     """`log_url, entry_index, leaf_input`: one log entry per order."""
-    text = "translate(base64(unhex(leaf)), '\\r\\n', '')"
+    # Line ends are taken out whole: `translate` looks up each character.
+    text = "replace(base64(unhex(leaf)), '\\r\\n', '')"
     broken = "case when k % 20 = 9 then 'A' when k % 20 = 19 then '!' else"
     return orders_base(spark, sf_dir, deal).selectExpr(
         "inline(array(named_struct('log_url', log_url, 'entry_index', k, "

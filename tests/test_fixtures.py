@@ -12,3 +12,16 @@ def test_orders_are_dealt_by_rows(spark, monkeypatch):
     assert len(sizes) == 3 * cores and sum(sizes) == 300 * cores and max(sizes) < 200
     split = spark.range(0, 10, 1, 5 * cores)
     assert fixtures.spread_rows(split, "id").rdd.getNumPartitions() == 5 * cores
+
+
+def test_certificates_are_built_by_methods_that_java_compiles(spark):
+    """Java leaves methods of more than 8,000 bytes to its interpreter."""
+    from registry.fixtures import fx_entries
+
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # the plan shows its code before it runs
+    try:
+        stages = fx_entries(spark, "/root/testdata/sf0.001")._jdf.queryExecution().debug().codegenToSeq()
+        sizes = [stages.apply(i)._3().maxMethodCodeSize() for i in range(stages.size())]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert sizes and 0 < max(sizes) < 8000
