@@ -26,3 +26,16 @@ def test_counters_of_all_batches_sum_to_those_of_all_entries(spark, tmp_path):
     sums = got.selectExpr("sum(processed)", "sum(input)", "sum(errors)", "sum(output)").first()
     assert tuple(sums) == tuple(whole) == (3, 3, 0, 3)
     assert got.count() == got.select("query", "batch").distinct().count() > 2 and got.select("query").distinct().count() == 1
+
+
+def test_the_rolling_counters_build_each_entry_once(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from registry import streams
+
+    built, pages = spark.sparkContext.accumulator(0), streams.pages
+    tick = F.udf(lambda start: (built.add(1), start)[1], "long").asNondeterministic()
+    monkeypatch.setattr(streams, "pages", lambda *given: pages(*given).withColumn("start", tick("start")))
+    got = streams.rolling_counters(spark, "/root/testdata/sf0.001").agg(F.sum("processed")).first()[0]
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet").count()
+    assert (got, built.value) == (orders, orders)
