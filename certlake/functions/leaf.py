@@ -43,10 +43,12 @@ def checked_base64(text: Column, decoded: Column) -> Column:
 
     Only well-formed text gives exactly three bytes for four characters and is taken as it
     is. Anything else takes the slow way. `decoded` should be a computed column: it is
-    mentioned twice.
+    mentioned twice. Such text has one byte for each character, so its bytes, which are known, are
+    taken for the characters, which would have to be counted.
     """
     padding = F.when(text.endswith("=="), 2).when(text.endswith("="), 1).otherwise(0)
-    exact = (F.length(text) % 4 == 0) & (F.length(decoded) == F.length(text) / 4 * 3 - padding)
+    size = F.octet_length(text)
+    exact = (size % 4 == 0) & (F.length(decoded) == size / 4 * 3 - padding)
     return F.when(exact, decoded).otherwise(_lenient_base64(text))
 
 

@@ -18,9 +18,13 @@ def computed_once(df: DataFrame, *columns: str | Column) -> DataFrame:
 
     The optimizer moves a filter below a projection by copying the projected expressions
     into it, so a decoded column would be decoded again for every place that mentions it.
-    It does not do so through a generator, and this one gives each row exactly once.
+    It does not do so through a generator, and this one gives each row exactly once. Columns
+    given by name, the first ones, pass beside it: in it they would be put into a struct and taken out of it again.
     """
-    return df.select(F.inline(F.array(F.struct(*columns))))
+    names = [c for c in columns if isinstance(c, str)]
+    if list(columns[: len(names)]) != names:
+        raise ValueError("columns given by name stand first")
+    return df.select(*names, F.inline(F.array(F.struct(*columns[len(names) :]))))
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = 100_000) -> DataFrame:
