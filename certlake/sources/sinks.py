@@ -34,14 +34,15 @@ def by_day(df: DataFrame) -> DataFrame:
     return df.hint("rebalance", "day").sortWithinPartitions("day", "d")
 
 
-def append_documents(rows: DataFrame, root: str, batch: str | None = None) -> None:
+def append_documents(rows: DataFrame, root: str, batch: str | None = None, packed: bool = False) -> None:
     """Certificate documents by day and batch. There is no key: duplicates stay.
 
     A batch of a given name replaces what it wrote before, so one that is repeated after a
     failure adds nothing twice, also after it was compacted; without a name it gets a new one.
+    The days of a `packed` batch share files until they are compacted.
     """
     documents = with_day(minimal_documents(rows))
-    DayStore(rows.sparkSession, root).append(by_day(documents), batch)
+    DayStore(rows.sparkSession, root).append(by_day(documents), batch, packed)
 
 
 def compact_documents(spark: SparkSession, root: str, first: str, last: str) -> None:
