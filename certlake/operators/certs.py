@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -68,23 +69,35 @@ def decode_leaves(entries: DataFrame) -> DataFrame:
 
 
 def _kernel(details: bool, bare_tbs: bool, schema: pa.Schema, fields: list[str]):
+    lists, plain = fields[: der.LISTS], fields[der.LISTS :]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nothing = (None,) * len(fields)
         for batch in batches:
             kinds = batch.column("entry_type").to_pylist() if bare_tbs else None
-            found = []
+            # All elements of a field in one list with the rows' ends: lists kept for each row would cost more than they hold.
+            elements, ends = [[] for _ in lists], [[0] for _ in lists]
+            into = [*zip(elements, ends)]
+            others, decoded = [], []
             for row, data in enumerate(batch.column("payload").to_pylist()):
                 certificate = None if data is None else der.read_certificate(data, details)
                 if certificate is None and bare_tbs and data is not None and kinds[row] == 1:
                     certificate = der.read_bare_tbs(data, details)
-                found.append(certificate or nothing)
-            values = dict(zip(fields, zip(*found))) if found else {}
-            values["decoded"] = [c is not nothing for c in found]
-            columns = [
-                batch.column(f.name) if f.name in batch.schema.names else pa.array(values.get(f.name, ()), f.type)
-                for f in schema
-            ]
-            yield pa.RecordBatch.from_arrays(columns, schema=schema)
+                decoded.append(certificate is not None)
+                for (found, end), values in zip(into, certificate or ((),) * len(lists)):
+                    found.extend(values)
+                    end.append(len(found))
+                if details:
+                    others.append(certificate[der.LISTS :] if certificate else (None,) * len(plain))
+            values = {"decoded": pa.array(decoded, pa.bool_())}
+            missing = pc.invert(values["decoded"])
+            for name, found, end in zip(lists, elements, ends):
+                kind = schema.field(name).type
+                flat = pa.array(found, kind.value_type)
+                values[name] = pa.ListArray.from_arrays(pa.array(end, pa.int32()), flat, type=kind, mask=missing)
+            for name, found in zip(plain, zip(*others) if others else [()] * len(plain)):
+                kind = schema.field(name).type
+                values[name] = pa.array(found, kind) if details else pa.nulls(len(decoded), kind)
+            yield pa.RecordBatch.from_arrays([values[n] if n in values else batch.column(n) for n in schema.names], schema=schema)
 
     return run
 
