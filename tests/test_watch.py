@@ -67,3 +67,17 @@ def test_look_alikes_are_those_of_all_pairs(spark):
     want = {(n, x, t.lower(), lev(x, t.lower())) for n, _ in names if n for x in n.lower().split(".") if x for t, _ in terms if t and lev(x, t.lower()) <= 1}
     assert sorted(map(tuple, got)) == sorted(want)
     assert {g["name"] for g in got if g["term"] == "example"} == {"ExamplE.com", "exampl.com"}
+
+
+def test_many_terms_of_a_small_file_are_dealt_out(spark, tmp_path):
+    """Look-alikes: the files are small enough for a broadcast, what is made of them is not."""
+    spark.range(20_000).selectExpr("concat('shop', id) as term").write.parquet(f"{tmp_path}/terms")
+    names = [("shop77.example.com", 1), ("shop1999.a", 2), ("sh0p12345.a", 3), ("shop123456.a", 4)]
+    spark.createDataFrame(names, NAMES).write.parquet(f"{tmp_path}/names")
+    found = watch.look_alikes(spark.read.parquet(f"{tmp_path}/names"), spark.read.parquet(f"{tmp_path}/terms"))
+    rows = found.collect()
+    plan = found._jdf.queryExecution().toString()
+    assert "Broadcast" not in plan and "SortMergeJoin [_key" in plan and "SortMergeJoin [label" in plan
+    terms = [f"shop{k}" for k in range(20_000)]
+    want = {(n, x, t, lev(x, t)) for n, _ in names for x in n.split(".") for t in terms if abs(len(x) - len(t)) < 2 and x[0] == "s" and lev(x, t) <= 1}
+    assert sorted(map(tuple, rows)) == sorted(want) and len(rows) > 60
