@@ -1,6 +1,7 @@
 """The keyed health stream against the batch operators."""
 
 import random
+import tracemalloc
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -74,6 +75,32 @@ def test_late_and_unordered_requests_give_the_batch_states(spark, tmp_path, seed
     assert ends(found) == ends_by_hand(rows, spark)
 
 
+@pytest.mark.parametrize("count", [0, 1, 63, 64, 65, 1000])
+def test_minutes_come_in_order_whether_kept_or_in_files(count):
+    minutes = [{"start": k, "requests": [k, k + 1], "summary": None if k % 3 else "s", "other": 1} for k in range(count)]
+    mixed = random.Random(count).sample(minutes, count)
+    want = [{f: m[f] for f in ("start", "requests", "summary")} for m in minutes]
+    assert list(server_state.in_order(iter(mixed), ("start", "requests", "summary"), 64, 8)) == want
+
+
+def test_a_server_of_very_many_minutes_is_ordered_in_bounded_memory():
+    mixed = random.Random(5)
+    rows = ({"start": mixed.randrange(1 << 40), "requests": [mixed.randrange(1 << 60) for _ in range(20)]} for _ in range(30_000))
+    tracemalloc.start()
+    last, count = -1, 0
+    for row in server_state.in_order(rows, ("start", "requests"), 1000, 16):
+        assert row["start"] >= last
+        last, count = row["start"], count + 1
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert count == 30_000 and peak < 8 << 20  # all at once are 30 MB
+
+
+def test_the_stores_of_all_partitions_share_a_bounded_memory(spark):
+    with server_state.state_on_disk(spark):
+        assert spark.conf.get("spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage") == "true"
+
+
 def test_requests_one_by_one_are_what_their_summaries_say():
     rng = random.Random(4)
     batches, steps = fold.reachable_batches(1000), fold.recovery_steps(1000)
