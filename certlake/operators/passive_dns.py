@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from certlake.functions import dns as fd
 from certlake.functions import names as nm
 from certlake.operators.asof import as_of_join
-from certlake.operators.once import broadcast_if_small
+from certlake.operators.once import FREQUENT, broadcast_if_small, by_frequency
 from certlake.operators.ordered import successive
 from certlake.session import written
 
@@ -216,13 +216,24 @@ def certificate_addresses(rows: DataFrame, records: DataFrame) -> DataFrame:
     return rows.select("sha1", "name", "cn").join(right, ["sha1", "name"])
 
 
-def address_changes(records: DataFrame) -> DataFrame:
-    """Successive records of one (certificate, domain) whose address sets differ."""
-    facts = (
-        records.where("c is not null")
-        .select("c", "d", "ts", "h", F.sort_array("i").alias("i"))
-        .distinct()
-    )
+def address_changes(records: DataFrame, limit: int = FREQUENT) -> DataFrame:
+    """Successive records of one (certificate, domain) whose address sets differ.
+
+    The records of a pair are dealt out and sorted once, and equal ones dropped there. Pairs are counted first; those
+    with more than `limit` records are spread over tasks.
+    """
+    keys = ["c", "d"]
+    facts = records.where("c is not null").select(*keys, "ts", "h", F.sort_array("i").alias("i"))
+    (few,), many = by_frequency(keys, facts, limit=limit)
+    along = Window.partitionBy(*keys).orderBy("ts", "h", "i")
+    before = F.lag(F.struct("ts", "h", "i")).over(along)
+    marked = few.select(*keys, "ts", "i", before.alias("_prev"))
+    changed = marked.where(F.col("_prev").isNotNull() & ~F.col("_prev.i").eqNullSafe(F.col("i")))
+    changes = changed.select(*keys, "ts", F.col("_prev.i").alias("before"), F.col("i").alias("after"))
+    return changes if many is None else changes.unionByName(_spread_changes(written(many[0].distinct())))
+
+
+def _spread_changes(facts: DataFrame) -> DataFrame:
     pairs = successive(facts, ["c", "d"], ["ts", "h"], F.floor(F.col("ts") / HOUR), ["i"])
     return pairs.where(~F.col("prev.i").eqNullSafe(F.col("cur.i"))).select(
         "c", "d", F.col("cur.ts").alias("ts"), F.col("prev.i").alias("before"), F.col("cur.i").alias("after")

@@ -1,6 +1,7 @@
 import hashlib
 import random
 
+import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -197,6 +198,27 @@ def test_address_changes(spark):
     assert sorted((r.c, r.ts, r.before, r.after) for r in got) == [("c", 7300, ["1", "2"], ["3"]), ("c", 9999999, ["3"], None)]
 
 
+@pytest.mark.parametrize("limit", [1 << 14, 20])
+def test_address_changes_move_records_once(spark, limit):
+    rng = random.Random(6)
+    rows = []
+    for _ in range(600):
+        ips = rng.choice([["1"], ["2", "1"], ["1", "2"], ["3"], None])
+        rows.append((rng.choice(["c1", "c1", "c2", "c3", None]), rng.choice(["d", "e", None]), rng.choice([None, *range(0, 90_000, 900)]), f"h{sorted(ips or [])}", ips))
+    rows += rows[:100]
+    records = spark.createDataFrame(rows, "c string, d string, ts long, h string, i array<string>")
+    found = pd.address_changes(records, limit)
+    want, first = [], lambda v: (v is not None, v or 0)
+    for key in {r[:2] for r in rows if r[0]}:
+        own = sorted({(first(ts), h, None if i is None else tuple(sorted(i))) for c, d, ts, h, i in rows if (c, d) == key}, key=lambda r: r[:2])
+        want += [(*key, b[0][1] if b[0][0] else None, a[2], b[2]) for a, b in zip(own, own[1:]) if a[2] != b[2]]
+    got = [(r.c, r.d, r.ts, r.before and tuple(r.before), r.after and tuple(r.after)) for r in found.collect()]
+    assert sorted(map(repr, got)) == sorted(map(repr, want)) and len(got) > 100
+    if limit > 600:
+        plan = found._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[2]
+        assert plan.count("Exchange hashpartitioning") == 1
+
+
 def test_reuse_when_adaptive_execution_turns_joins_into_broadcasts(spark):
     """Joins are planned as sorted ones, and found small enough to broadcast only as they run."""
     rng = random.Random(10)
