@@ -16,9 +16,9 @@ from certlake.sources.daystore import DayStore
 from certlake.sources.daystore import child as _child  # noqa: F401
 from certlake.sources.daystore import move_and_publish as _publish
 
-def write_json(rows: DataFrame, path: str, mode: str = "append") -> None:
+def write_json(rows: DataFrame, path: str, mode: str = "append", compression: str | None = None) -> None:
     """JSON lines; keys without a value are left out."""
-    rows.select(*RESULT_KEYS).write.mode(mode).json(path)
+    rows.select(*RESULT_KEYS).write.mode(mode).json(path, compression=compression)
 
 
 def write_csv(rows: DataFrame, path: str, mode: str = "append") -> None:

@@ -21,6 +21,9 @@ from certlake.sources.landed import stream_entry_pages
 from certlake.sources.sinks import append_documents, upsert_batch, write_json
 from certlake.streaming.carried import Carried, batch_name
 
+#: How JSON lines are compressed. Readers tell it from the files' names.
+PACKED = "gzip"
+
 
 def follow_names(
     spark: SparkSession, landing: str, pattern: str | None = None, max_files: int | None = None
@@ -145,17 +148,17 @@ def record_batches(root: str) -> Callable[[DataFrame, int], None]:
 
 
 def alert_batches(pattern: str, rows_path: str, alerts_path: str, run: str) -> Callable[[DataFrame, int], None]:
-    """All rows to one place and the rows that match a pattern to another, decoded once; for
+    """All rows to one place and the rows that match a pattern to another, decoded once, in compressed files; for
     `run` see `document_batches`."""
     regex = nm.java_pattern(pattern)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        kept = batch.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            write_json(kept, f"{rows_path}/batch={run}-{batch_id}", "overwrite")
-            write_json(kept.where(F.col("name").rlike(regex)), f"{alerts_path}/batch={run}-{batch_id}", "overwrite")
-        finally:
-            kept.unpersist()
+        spark, name = batch.sparkSession, f"batch={run}-{batch_id}"
+        rows = batch.select(*RESULT_KEYS)
+        write_json(rows, f"{rows_path}/{name}", "overwrite", PACKED)
+        # What was written is read again, so a batch needs no second place meanwhile.
+        kept = spark.read.schema(rows.schema).json(f"{rows_path}/{name}")
+        write_json(kept.where(F.col("name").rlike(regex)), f"{alerts_path}/{name}", "overwrite", PACKED)
 
     return write
 

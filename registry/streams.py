@@ -19,7 +19,7 @@ import registry.metrics  # noqa: F401
 from registry.catalog import ORACLE, query
 from registry.decode import MINIMAL_SQL
 from registry.dns import FRESH
-from registry.fixtures import duck, fx_entries, fx_heads, fx_pages, fx_records, fx_requests, fx_reuse, fx_strained, spread_evenly, table
+from registry.fixtures import duck, fx_entries, fx_heads, fx_pages, fx_records, fx_requests, fx_reuse, fx_strained, spread_evenly, spread_rows, table
 from registry.health import ENDED_SQL, STATE_COLUMNS
 from registry.metrics import arrival
 
@@ -27,10 +27,10 @@ NAME_COLUMNS = ("name", "sha1", "dns", "log_url", "entry_index")
 _ROWS = duck("select name, sha1, dns, log_url, entry_index from fx_rows", "fx_rows")
 
 
-def pages(spark, sf_dir):
+def pages(spark, sf_dir, deal=spread_evenly):
     """Every log entry as a landed page of one entry, in a file for each core: a file is what a stream counts."""
     entry = F.array(F.struct("leaf_input")).alias("entries")
-    columns = fx_entries(spark, sf_dir, spread_evenly).withColumn("start", F.col("entry_index"))
+    columns = fx_entries(spark, sf_dir, deal).withColumn("start", F.col("entry_index"))
     return columns.withColumn("entries", entry).select("log_url", "start", "entries", "entry_index")
 
 
@@ -40,6 +40,14 @@ def landing(spark, sf_dir):
     return base
 
 
+def packed_landing(spark, sf_dir):
+    """The same pages for a stream that takes all files at once. A compressed file is read by one task, so files are as
+    many as the rows ask for."""
+    base = shared_dir(spark)
+    pages(spark, sf_dir, spread_rows).drop("entry_index").write.json(f"{base}/landing", compression=follow.PACKED)
+    return base
+
+
 @query("I1_follow", _ROWS)
 def follow_mode(spark, sf_dir):
     """Pages land in two steps while the stream runs."""
@@ -236,7 +244,7 @@ def micro_batches(spark, sf_dir):
 
 @query("I10_match_alerts", duck("select name, sha1 from fx_rows where starts_with(name, 'www.shop1')", "fx_rows"))
 def match_alerts(spark, sf_dir):
-    base = landing(spark, sf_dir)
+    base = packed_landing(spark, sf_dir)
     found = follow.follow_names(spark, f"{base}/landing")
     writer = follow.batch_writer(found, follow.alert_batches(r"^www\.shop1", f"{base}/rows", f"{base}/alerts", "first"))
     follow.start(writer, f"{base}/checkpoint").awaitTermination()

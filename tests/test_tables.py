@@ -191,6 +191,39 @@ def test_stream_resumes_and_alerts(spark, tmp_path):
     assert sorted(r.name for r in spark.read.json(f"{base}/alerts").collect()) == ["b.example", "bad.example"]
 
 
+def test_rows_and_alerts_are_packed_and_decoded_once_without_a_cache(spark, tmp_path, monkeypatch):
+    kept, seen = [], spark.sparkContext.accumulator(0)
+    monkeypatch.setattr(type(spark.range(0)), "persist", lambda self, *level: kept.append(level) or self)
+
+    def counted(batches):
+        for batch in batches:
+            seen.add(batch.num_rows)
+            yield batch
+
+    rows = [("b\u00e9\"\n.example", 5, "", "s", None, ["1.2.3.4"], ["x", "y"]), ("a.example", None, None, None, ["e@x"], None, None)]
+    batch = spark.createDataFrame(rows, "name string, ts long, cn string, sha1 string, email array<string>, ip array<string>, dns array<string>")
+    write = follow.alert_batches("^b", f"{tmp_path}/rows", f"{tmp_path}/alerts", "r")
+    for _ in range(2):
+        write(batch.mapInArrow(counted, batch.schema), 0)
+    write(batch.limit(0), 1)
+    assert seen.value == 2 * len(rows) and not kept
+    for folder, want in (("rows", rows), ("alerts", rows[:1])):
+        files = [f.name for f in Path(tmp_path, folder).rglob("part-*")]
+        assert files and all(f.endswith(".json.gz") for f in files)
+        found = spark.read.schema(batch.schema).json(f"{tmp_path}/{folder}")
+        assert sorted(map(repr, map(tuple, found.select(*batch.columns).collect()))) == sorted(map(repr, want))
+
+
+def test_packed_pages_are_the_landed_ones(spark, tmp_path):
+    from registry import streams
+
+    spark.range(40).selectExpr("id as o_orderkey", "id % 7 as o_custkey", "'F' as o_orderstatus", "'1-URGENT' as o_orderpriority").write.parquet(f"{tmp_path}/orders.parquet")
+    plain, packed = (f"{make(spark, str(tmp_path))}/landing" for make in (streams.landing, streams.packed_landing))
+    assert all(f.suffix == ".gz" for f in Path(packed).glob("part-*")) and list(Path(packed).glob("part-*"))
+    lines = lambda path: sorted(r.value for r in spark.read.text(path).collect())
+    assert lines(packed) == lines(plain) and len(lines(plain)) == 40
+
+
 def test_bounded_run(spark, tmp_path):
     pages(spark, ["a.example"]).write.json(f"{tmp_path}/landing")
     rows = follow.follow_names(spark, f"{tmp_path}/landing").select("name")
