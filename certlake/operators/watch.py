@@ -54,7 +54,7 @@ def _by_labels(names: DataFrame, terms: DataFrame) -> DataFrame:
     ends = [F.when(_n_labels(F.col("_name")) >= r["n"], F.concat(F.lit("."), F.substring_index("_name", ".", -r["n"]))) for r in counts]
     keyed = names.select("name", F.explode(F.array_compact(F.array(whole, *ends))).alias("_key"))
     keys = own.select("term", "kind", F.concat(F.when(F.col("kind") == EXACT, "=").otherwise("."), "_term").alias("_key"))
-    return keyed.join(broadcast_if_small(keys), "_key").select("name", "term", "kind")
+    return keyed.join(_broadcast_or_dealt(keys), "_key").select("name", "term", "kind")
 
 
 def _by_automaton(names: DataFrame, terms: DataFrame) -> DataFrame:
@@ -118,7 +118,8 @@ def watched(names: DataFrame, terms: DataFrame) -> DataFrame:
 
 def watched_rows(rows: DataFrame, terms: DataFrame) -> DataFrame:
     """All `rows` whose name meets a term, once for each of them, with `term` and `kind`."""
-    return rows.join(watched(rows, terms), "name")
+    # Rows read from compressed files are many for their bytes, by which the planner would broadcast them.
+    return rows.hint("merge").join(watched(rows, terms), "name")
 
 
 def look_alikes(names: DataFrame, terms: DataFrame) -> DataFrame:

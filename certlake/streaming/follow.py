@@ -16,7 +16,7 @@ from certlake.operators.intervals import COLUMNS, merged_intervals, page_interva
 from certlake.operators.reuse import reuse_within_ttl
 from certlake.operators.watch import watched_rows
 from certlake.plans.search import search_names
-from certlake.session import written
+from certlake.session import written, written_aside
 from certlake.sources.landed import stream_entry_pages
 from certlake.sources.sinks import append_documents, upsert_batch, write_json
 from certlake.streaming.carried import Carried, batch_name
@@ -165,15 +165,13 @@ def alert_batches(pattern: str, rows_path: str, alerts_path: str, run: str) -> C
 
 def watch_batches(terms_path: str, alerts_path: str, run: str) -> Callable[[DataFrame, int], None]:
     """Rows whose name meets a term of the table at `terms_path` (term, kind), which is read again for each
-    batch, so terms can be added while the stream goes on; for `run` see `document_batches`."""
+    batch, so terms can be added while the stream goes on; for `run` see `document_batches`. A batch is written aside,
+    in less room than a cache takes, and removed when its alerts are there; they are in compressed files."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         terms = batch.sparkSession.read.schema("term string, kind string").parquet(terms_path)
-        kept = batch.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
+        with written_aside(batch.select(*RESULT_KEYS)) as kept:
             found = watched_rows(kept, terms).select(*RESULT_KEYS, "term", "kind")
-            found.write.mode("overwrite").json(f"{alerts_path}/batch={run}-{batch_id}")
-        finally:
-            kept.unpersist()
+            found.write.mode("overwrite").json(f"{alerts_path}/batch={run}-{batch_id}", compression=PACKED)
 
     return write

@@ -6,7 +6,7 @@ from certlake.streaming import follow
 from registry.catalog import query
 from registry.decode import rows
 from registry.fixtures import duck, table
-from registry.streams import landing
+from registry.streams import packed_landing
 
 TERMS = {
     "customer": ("concat('WWW.shop', c_custkey, '.example.com')", "'exact'"),
@@ -52,7 +52,7 @@ def look_alikes(spark, sf_dir):
 @query("I10_watch_alerts", duck(f"+ {_WATCHED} select r.name, sha1, term, kind from fx_rows r join watched w on w.name = r.name", "fx_rows"))
 def watch_alerts(spark, sf_dir):
     """Alerts of a stream for a table of terms."""
-    base, root = landing(spark, sf_dir), shared_dir(spark)
+    base, root = packed_landing(spark, sf_dir), shared_dir(spark)
     terms(spark, sf_dir).write.parquet(f"{root}/terms")
     found = follow.follow_names(spark, f"{base}/landing")
     writer = follow.batch_writer(found, follow.watch_batches(f"{root}/terms", f"{root}/alerts", "first"))

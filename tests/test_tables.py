@@ -5,6 +5,7 @@ from pathlib import Path
 import der_writer as dw
 import pytest
 
+from certlake import session
 from certlake.operators.passive_dns import between_days, record_documents
 from certlake.plans.search import search_names
 from certlake.schemas import DNS_RECORDS
@@ -224,6 +225,21 @@ def test_packed_pages_are_the_landed_ones(spark, tmp_path):
     assert lines(packed) == lines(plain) and len(lines(plain)) == 40
 
 
+def test_a_watched_batch_is_written_aside_and_removed(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(type(spark.range(0)), "persist", None)
+    folders = []
+    aside = session.shared_dir
+    monkeypatch.setattr(session, "shared_dir", lambda s: folders.append(aside(s)) or folders[-1])
+    spark.createDataFrame([("example", "suffix")], "term string, kind string").write.parquet(f"{tmp_path}/terms")
+    columns = "name string, ts long, cn string, sha1 string, email array<string>, ip array<string>, dns array<string>"
+    batch = spark.createDataFrame([(n, 1, "", "s", None, None, ["x"]) for n in ("a.example", "b.example", "c.org", "a.example")], columns)
+    for _ in range(2):
+        follow.watch_batches(f"{tmp_path}/terms", f"{tmp_path}/alerts", "r")(batch, 0)
+    assert len(folders) == 2 and not any(Path(f).exists() for f in folders)
+    assert all(f.suffix == ".gz" for f in Path(tmp_path, "alerts").rglob("part-*"))
+    assert sorted(r.name for r in spark.read.json(f"{tmp_path}/alerts").collect()) == ["a.example", "a.example", "b.example"]
+
+
 def test_bounded_run(spark, tmp_path):
     pages(spark, ["a.example"]).write.json(f"{tmp_path}/landing")
     rows = follow.follow_names(spark, f"{tmp_path}/landing").select("name")
