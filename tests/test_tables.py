@@ -240,6 +240,14 @@ def test_a_watched_batch_is_written_aside_and_removed(spark, tmp_path, monkeypat
     assert sorted(r.name for r in spark.read.json(f"{tmp_path}/alerts").collect()) == ["a.example", "a.example", "b.example"]
 
 
+def test_a_stream_of_json_lines_is_packed(spark, tmp_path):
+    pages(spark, ["a.example", "b.example"]).write.json(f"{tmp_path}/landing")
+    rows = follow.follow_names(spark, f"{tmp_path}/landing")
+    follow.start(follow.json_writer(rows, f"{tmp_path}/rows"), f"{tmp_path}/checkpoint").awaitTermination()
+    assert all(f.suffix == ".gz" for f in Path(tmp_path, "rows").glob("part-*"))
+    assert sorted(r.name for r in spark.read.schema("name string").json(f"{tmp_path}/rows").collect()) == ["a.example", "b.example"]
+
+
 def test_bounded_run(spark, tmp_path):
     pages(spark, ["a.example"]).write.json(f"{tmp_path}/landing")
     rows = follow.follow_names(spark, f"{tmp_path}/landing").select("name")
