@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from datetime import date
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 
 from certlake.functions.dns import day_of_seconds
 from certlake.operators.certs import RESULT_KEYS, minimal_documents, with_day
 from certlake.operators.passive_dns import address_table, daily_sketches, merged_statistics, newest, upserted
 from certlake.schemas import DNS_RECORDS, SKETCHES
-from certlake.session import written
+from certlake.session import written, written_aside
 from certlake.sources.daystore import DayStore
 from certlake.sources.daystore import child as _child  # noqa: F401
 from certlake.sources.daystore import move_and_publish as _publish
@@ -76,9 +76,38 @@ def upsert_records(records: DataFrame, root: str) -> None:
 
 
 def upsert_batch(records: DataFrame, root: str) -> None:
-    """`upsert_records` of records that are kept already, such as a persisted batch. Each day remembers what it was
-    last given; a day that is given the very same records again stays as it is."""
-    _upsert(_timed(records), root, repeats=True)
+    """`upsert_records` of a batch that may come again, as after a failure. Each day remembers what it was
+    last given; a day that is given the very same records again stays as it is.
+
+    A batch is first compared with what its days remember, by the rows of each day and then by all fields; one that only
+    repeats them is neither kept nor moved. Any other is evaluated once more, into a table that is removed afterwards.
+    """
+    timed = _timed(records)
+    if not _repeats(timed, root):
+        with written_aside(timed) as kept:
+            _upsert(kept, root, repeats=True)
+
+
+def _repeats(new: DataFrame, root: str) -> bool:
+    """Whether every day of `new` was last given these very records. A commit that was stopped is ended first."""
+    store = DayStore(new.sparkSession, root, lambda *args: _publish(*args))
+    store.finish()
+    known = store.state()["notes"]
+    if not known:
+        return False
+    counts = {str(r["day"]): r["count"] for r in new.groupBy("day").count().collect()}
+    if any(known.get(day, "").split(",")[0] != str(n) for day, n in counts.items()):
+        return False
+    return all(known[str(r["day"])] == _note(r) for r in new.groupBy("day").agg(F.count("*").alias("n"), *_sums(new)).collect())
+
+
+def _sums(new: DataFrame) -> list[Column]:
+    fields = [c for c in new.columns if c != "day"]
+    return [F.sum(F.xxhash64(F.lit(seed), *fields).cast("decimal(20,0)")).cast("string").alias(f"sum{seed}") for seed in (1, 2)]
+
+
+def _note(day: Row) -> str:
+    return f"{day['n']},{day['sum1']},{day['sum2']}"
 
 
 def _timed(records: DataFrame) -> DataFrame:
@@ -92,10 +121,9 @@ def _upsert(new: DataFrame, root: str, repeats: bool = False) -> None:
     store.finish()
     per_day = [F.count("*").alias("n"), F.approx_count_distinct("h").alias("facts")]
     if repeats:
-        fields = [c for c in new.columns if c != "day"]
-        per_day += [F.sum(F.xxhash64(F.lit(seed), *fields).cast("decimal(20,0)")).cast("string").alias(f"sum{seed}") for seed in (1, 2)]
+        per_day += _sums(new)
     given = {str(r["day"]): r for r in new.groupBy("day").agg(*per_day).collect()}
-    notes = {day: f"{r['n']},{r['sum1']},{r['sum2']}" for day, r in given.items()} if repeats else {}
+    notes = {day: _note(r) for day, r in given.items()} if repeats else {}
     if notes:
         known = store.state()["notes"]
         given = {day: r for day, r in given.items() if known.get(day) != notes[day]}

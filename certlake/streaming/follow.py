@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter, StreamingQuery
@@ -139,11 +138,7 @@ def record_batches(root: str) -> Callable[[DataFrame, int], None]:
     """DNS records by day; a batch that is repeated changes nothing (see `upsert_batch`)."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        kept = batch.persist(StorageLevel.MEMORY_AND_DISK)
-        try:
-            upsert_batch(kept, root)
-        finally:
-            kept.unpersist()
+        upsert_batch(batch, root)
 
     return write
 

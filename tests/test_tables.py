@@ -192,6 +192,26 @@ def test_stream_resumes_and_alerts(spark, tmp_path):
     assert sorted(r.name for r in spark.read.json(f"{base}/alerts").collect()) == ["b.example", "bad.example"]
 
 
+def test_a_repeated_batch_is_compared_and_not_kept(spark, tmp_path, monkeypatch):
+    root, kept, aside = str(tmp_path / "dns"), [], sinks.written_aside
+    monkeypatch.setattr(type(spark.range(0)), "persist", None)
+    monkeypatch.setattr(sinks, "written_aside", lambda df: kept.append(df) or aside(df))
+    write, rows = follow.record_batches(root), [("a", ["1.1.1.1"], "c", 5), ("b", ["2.2.2.2"], "c", DAY + 5)]
+    stored = lambda: sorted((r.d, r.ts) for r in landed.read_by_day(spark, root).collect())
+    for batch_id in (0, 1, 1):
+        write(records(spark, rows), batch_id)
+        assert len(kept) == 1 and stored() == [("a", 5), ("b", DAY + 5)]
+    write(records(spark, rows[:1]), 2)  # some of its days
+    write(records(spark, []), 3)
+    assert len(kept) == 1
+    write(records(spark, [("a", ["1.1.1.1"], "c", 6), rows[1]]), 4)  # as many rows of each day, one of them another
+    assert len(kept) == 2 and stored() == [("a", 6), ("b", DAY + 5)]
+    write(records(spark, [*rows, ("c", None, None, 9 * DAY)]), 5)  # a new day
+    assert len(kept) == 3 and stored() == [("a", 6), ("b", DAY + 5), ("c", 9 * DAY)]
+    with pytest.raises(Exception, match="without a time"):
+        write(records(spark, [("a", ["1.1.1.1"], "c", None)]), 6)
+
+
 def test_rows_and_alerts_are_packed_and_decoded_once_without_a_cache(spark, tmp_path, monkeypatch):
     kept, seen = [], spark.sparkContext.accumulator(0)
     monkeypatch.setattr(type(spark.range(0)), "persist", lambda self, *level: kept.append(level) or self)
