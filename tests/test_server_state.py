@@ -8,6 +8,7 @@ import pytest
 
 from certlake.operators import fold, health
 from certlake.streaming import follow, server_state
+from registry import streams
 
 START = datetime(2024, 1, 1, tzinfo=timezone.utc)
 SCHEMA = "url string, status int, ts timestamp, seq long"
@@ -75,6 +76,17 @@ def test_late_and_unordered_requests_give_the_batch_states(spark, tmp_path, seed
     assert ends(found) == ends_by_hand(rows, spark)
 
 
+def test_one_stream_takes_in_all_landings(spark, monkeypatch):
+    rng = random.Random(6)
+    rows = [request(rng.choice("abc"), 9 * n, rng.choice([429, 503, 200, 404]), n) for n in range(300)]
+    requests, started, start = spark.createDataFrame(rows, SCHEMA), [], follow.start
+    monkeypatch.setattr(follow, "start", lambda *args, **options: started.append(start(*args, **options)) or started[-1])
+    found = streams.processed(spark, requests)
+    assert states(server_state.newest_states(found)) == states(health.server_states(requests))
+    assert ends(found) == ends_by_hand(rows, spark)
+    assert len(started) == 1 and not started[0].isActive
+
+
 @pytest.mark.parametrize("count", [0, 1, 63, 64, 65, 1000])
 def test_minutes_come_in_order_whether_kept_or_in_files(count):
     minutes = [{"start": k, "requests": [k, k + 1], "summary": None if k % 3 else "s", "other": 1} for k in range(count)]
