@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from certlake.functions import dns as fd
 from certlake.functions import names as nm
 from certlake.operators.asof import as_of_join
-from certlake.operators.once import FREQUENT, broadcast_if_small, by_frequency
+from certlake.operators.once import FREQUENT, broadcast_if_small, by_frequency, computed_once
 from certlake.operators.ordered import successive
 from certlake.session import written
 
@@ -179,8 +179,10 @@ def ipv4_in_range(numbers: Column, low: int, high: int) -> Column:
 
 
 def ipv4_table(records: DataFrame) -> DataFrame:
-    """`ip, d, ts`: one row per IPv4 address, for pushed-down range filters."""
-    return records.select(F.explode("ii").alias("ip"), "d", "ts")
+    """`ip, d, ts`: one row per IPv4 address, for pushed-down range filters. An exploded column gets a filter for empty
+    lists, which goes below the step that makes the numbers and would make them twice more."""
+    once = computed_once(records, "d", "ts", F.col("ii"))
+    return once.select(F.explode("ii").alias("ip"), "d", "ts")
 
 
 #: Free low bits of the blocks by which an address finds its ranges: 65,536 addresses.

@@ -36,6 +36,15 @@ def test_documents(spark):
     assert rows["bare.example.com"].h == hashlib.sha256(b"bare.example.com::").hexdigest()[:16]
 
 
+def test_the_numbers_of_addresses_are_made_once(spark):
+    records = pd.record_documents(answers(spark, EXAMPLES))
+    plan = pd.ipv4_table(records)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RLIKE") == 1
+    odd = spark.createDataFrame([("a", 1, [7, None, 7]), ("b", 2, []), ("c", 3, None), (None, None, [9])], "d string, ts long, ii array<long>")
+    got = [tuple(r) for r in pd.ipv4_table(odd).select("ip", "d", "ts").collect()]
+    assert sorted(got, key=repr) == sorted([(7, "a", 1), (None, "a", 1), (7, "a", 1), (9, None, None)], key=repr)
+
+
 def test_lookups(spark):
     records = pd.record_documents(answers(spark, EXAMPLES + [("test1.example.com", ["192.168.1.1"], "abc123", None, 5000)]))
     assert [r.ts for r in pd.lookup_domain(records, "test1.example.com").collect()] == [5000, 1000]
